@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality
+import public_tokenizers
+
+from . import langid, mixing, packing, quality, simhash
 from .common import id_remainder, table
 
 
@@ -24,6 +26,23 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.annotate(held, model, threshold=0.3, keep=["doc_id", "held_out"])
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document: doc_id, fingerprint, component_id."""
+    found = simhash.cluster(table(spark, sf_dir, "documents"), width=3, seed=42, distance=2)
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document: doc_id, size, source_size, target, taken."""
+    return mixing.taken_words(table(spark, sf_dir, "documents"), weights=(3.0, 1.0, 2.0), share=1.5, max_repeats=2.0)
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document: doc_id, held_out, lang_pred, score."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -34,6 +53,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
+    "op3_packing": op3_packing,
+    "op7_simhash": op7_simhash,
+    "op9_mixing": op9_mixing,
     "op10_language": op10_language,
 }
 
