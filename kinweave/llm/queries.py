@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import chat, langid, mixing, mpegts, packing, quality, simhash
+from . import chat, html_text, knn, langid, mixing, mpegts, packing, quality, simhash
 from .common import id_remainder, table
 
 
@@ -43,6 +43,16 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page: page_id, url, text, n_chars."""
+    return html_text.extract_pages(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
+def op5_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of every 20th vector: query_id, rank, vec_id, score."""
+    return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: doc_id, fingerprint, component_id."""
     found = simhash.cluster(table(spark, sf_dir, "documents"), width=3, seed=42, distance=2)
@@ -72,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
+    "op4_html": op4_html,
+    "op5_knn": op5_knn,
     "op7_simhash": op7_simhash,
     "op8_transport_stream": op8_transport_stream,
     "op9_mixing": op9_mixing,
