@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import chat, html_text, knn, langid, mixing, mpegts, packing, quality, simhash
+from . import chat, html_text, knn, langid, lm, mixing, mpegts, packing, quality, simhash
 from .common import id_remainder, table
 
 
@@ -53,6 +53,12 @@ def op5_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    found = lm.score_documents(table(spark, sf_dir, "documents"), id_remainder("doc_id", 5) != 1)
+    return found.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: doc_id, fingerprint, component_id."""
     found = simhash.cluster(table(spark, sf_dir, "documents"), width=3, seed=42, distance=2)
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_html": op4_html,
     "op5_knn": op5_knn,
+    "op6_language_model": op6_language_model,
     "op7_simhash": op7_simhash,
     "op8_transport_stream": op8_transport_stream,
     "op9_mixing": op9_mixing,
