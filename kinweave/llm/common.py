@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -60,9 +62,7 @@ def map_batches(
     flag = pa.bool_()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in small(batches):
             made = per_batch(batch)
             mask = None if where is None else pa.array(made.pop(where), flag)
             columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
@@ -74,6 +74,26 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def small(batches: Iterator[pa.RecordBatch], most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``most`` bytes, without empty ones; at the end memory goes back to the system.
+
+    Workers outlive a task, and what their allocators keep adds up with that of
+    other stages.
+    """
+    for batch in batches:
+        step = max(1, int(batch.num_rows * most / max(1, batch.nbytes)))
+        for a in range(0, batch.num_rows, step):
+            yield batch.slice(a, step)
+    give_back()
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, small
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -285,7 +285,7 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     word = re.compile("[^\x20\x09-\x0D]+")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             get = lambda name: batch.column(batch.schema.get_field_index(name))
             at, made = [], []
             for i, (text, size, own) in enumerate(zip(get("text").to_pylist(), get("size").to_pylist(), get("parts").to_pylist())):

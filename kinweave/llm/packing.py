@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, texts
+from .common import cut, small, texts
 
 #: White space by Python's rule that tokenizers may take for something else.
 _UNSURE = re.compile("[\x0b\x0c\x1c-\x1f\x85]")
@@ -58,7 +58,7 @@ class Encoder:
     ``remember`` bounds the words and the runs kept.
     """
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor share its cores already
         from tokenizers import Tokenizer
 
@@ -105,9 +105,6 @@ class Encoder:
                 yield b"".join([words[w] for w in split])
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each piece of ``docs`` (doc_id, text).
 
@@ -125,8 +122,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
-        for batch in batches:
+        coder = Encoder(tokenizer)  # for this task alone: a worker that goes on to other stages doesn't keep its words
+        for batch in small(batches):
             row, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(coder.encode(texts(batch))):
                 ids += end
