@@ -1 +1,155 @@
-"""Queries."""
+"""Queries of the haplotype-map operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import hapmap as hm
+from .registry import query
+
+_LONG = """
+lg as (select chrom, b, start_pos, end_pos, id, i, 0 as slot, h0 as label from fx_mark union all select chrom, b, start_pos, end_pos, id, i, 1, h1 from fx_mark)
+"""
+
+
+def _long(mark):
+    return hm.to_long(mark, ["chrom", "b", "start_pos", "end_pos", "id", "i"])
+
+
+@query("short_run_mask", "W3", "fx_mark", sql=f"""
+with {_LONG}, k as (select *, row_number() over (partition by chrom, id, slot order by b) as r from lg where label is not null),
+i as (select *, sum(n) over (partition by chrom, id, slot order by r rows unbounded preceding) as run from (select *, case when label is distinct from lag(label) over (partition by chrom, id, slot order by r) then 1 else 0 end as n from k) x),
+m as (select *, row_number() over (partition by chrom, id, slot, run order by r) as bef, count(*) over (partition by chrom, id, slot, run) as len from i)
+select chrom, b, id, slot, label, bef < 3 and len - bef + 1 < 3 as masked from m union all select chrom, b, id, slot, label, false from lg where label is null
+""")
+def short_run_mask(mark):
+    return hm.short_run_mask(_long(mark), 3).select("chrom", "b", "id", "slot", "label", "masked")
+
+
+@query("label_fill", "W5 W6", "fx_mark", sql=f"""
+with {_LONG} select chrom, b, id, slot, case when count(*) over (partition by chrom, id, slot) >= 3 then coalesce(
+  (select arg_max(x.label, x.b) from lg x where x.chrom = lg.chrom and x.id = lg.id and x.slot = lg.slot and x.b <= lg.b and x.label is not null),
+  (select arg_min(x.label, x.b) from lg x where x.chrom = lg.chrom and x.id = lg.id and x.slot = lg.slot and x.b >= lg.b and x.label is not null)) else label end as filled from lg
+""")
+def label_fill(mark):
+    return hm.fill_from_neighbours(_long(mark)).select("chrom", "b", "id", "slot", "filled")
+
+
+@query("label_switches", "W4 SK3", "fx_mark", sql=f"""
+with {_LONG}, s as (select *, lag(end_pos) over w as prev_end, lag(coalesce(label, '?')) over w as old, coalesce(label, '?') as new from lg window w as (partition by chrom, id, slot order by b))
+select chrom, id, slot, prev_end, start_pos as next_start, old, new from s where old <> new
+""")
+def label_switches(mark):
+    return hm.switches(_long(mark))
+
+
+@query("block_consensus", "A23", "fx_block", "fx_mark", sql=f"""
+with {_LONG}, n as (select k.chrom, k.b, m.id, m.slot, m.label, count(*) as n from (select chrom, b * 3 as b, min(start_pos) as start_pos, max(end_pos) + 400000 as end_pos from fx_block group by chrom, b) k
+  join lg m on m.chrom = k.chrom and m.start_pos between k.start_pos and k.end_pos where m.label is not null group by k.chrom, k.b, m.id, m.slot, m.label)
+select chrom, b, id, slot, label, n from (select *, row_number() over (partition by chrom, b, id, slot order by n desc, label) as r from n) t where r = 1
+""")
+def block_consensus(block, mark):
+    wide = block.select("chrom", (F.col("b") * 3).alias("b"), "start_pos", (F.col("end_pos") + 400000).alias("end_pos"))
+    markers = _long(mark).select("chrom", F.col("start_pos").alias("pos0"), "id", "slot", "label")
+    return hm.consensus(wide, markers)
+
+
+@query("marker_trace", "S7 S8", "fx_gt", sql="""
+with p as (select site_id, max(case when id = 'S04' then g0 end) as d0, max(case when id = 'S04' then g1 end) as d1, max(case when id = 'S05' then g0 end) as m0, max(case when id = 'S05' then g1 end) as m1 from fx_gt group by site_id),
+u as (select *, case when d0 is null or m0 is null then null when d0 not in (m0, m1) and d1 not in (m0, m1) then least(d0, d1) when d0 not in (m0, m1) then d0 when d1 not in (m0, m1) then d1 end as ud,
+  case when d0 is null or m0 is null then null when m0 not in (d0, d1) and m1 not in (d0, d1) then least(m0, m1) when m0 not in (d0, d1) then m0 when m1 not in (d0, d1) then m1 end as um from p),
+c as (select g.site_id, g.id, g.g0 is not null as called, coalesce(ud in (g.g0, g.g1), false) as a, coalesce(um in (g.g0, g.g1), false) as c from fx_gt g join u on u.site_id = g.site_id where g.i >= 6),
+n as (select site_id, count(*) filter (where a) as na, count(*) filter (where called and not a) as nb, count(*) filter (where c) as nc, count(*) filter (where called and not c) as nd,
+  min(id) filter (where a) as ia, min(id) filter (where called and not a) as ib, min(id) filter (where c) as ic, min(id) filter (where called and not c) as idd from c group by site_id)
+select c.site_id, c.id, case when na = 0 or not (a or called) then null when (nb > na or (nb = na and ib < ia)) = a then 'B' else 'A' end as h0,
+  case when nc = 0 or not (c or called) then null when (nd > nc or (nd = nc and idd < ic)) = c then 'D' else 'C' end as h1 from c join n on n.site_id = c.site_id
+""")
+def marker_trace(gt):
+    family = [("S04", None, None), ("S05", None, None)] + [(f"S{i:02d}", "S04", "S05") for i in range(6, 14)]
+    return hm.trace_sites(gt, family)
+
+
+@query("marker_trace_generations", "S7", "fx_gt")
+def marker_trace_generations(gt):
+    family = [("S04", None, None), ("S05", None, None), ("S06", "S04", "S05"), ("S07", None, None), ("S08", "S06", "S07"), ("S09", "S06", "S07")]
+    return hm.trace_sites(gt, family, with_backfill=False)
+
+
+_STRING = "string_agg(coalesce(h0, '?') || coalesce(h1, '?'), '' order by id)"
+_MARKERS = f"mk as (select chrom, b, start_pos, end_pos, cast(1 as bigint) as n_markers, {_STRING} as labels from fx_mark where i in (6, 7, 8) group by chrom, b, start_pos, end_pos)"
+
+
+def _markers(mark):
+    few = mark.where("i in (6, 7, 8)")
+    pair = F.struct("id", F.concat(F.coalesce("h0", F.lit("?")), F.coalesce("h1", F.lit("?"))).alias("x"))
+    return few.groupBy("chrom", "start_pos", "end_pos").agg(F.lit(1).cast("long").alias("n_markers"), F.array_join(F.transform(F.sort_array(F.collect_list(pair)), lambda p: p["x"]), "").alias("labels"))
+
+
+@query("block_collapse", "S1", "fx_mark", sql=f"""
+with recursive {_MARKERS}, r as (select *, row_number() over (partition by chrom order by start_pos) as k from mk),
+w as (select chrom, k, start_pos, end_pos, n_markers, labels, cast(1 as bigint) as block from r where k = 1
+  union all select r.chrom, r.k, case when ok then w.start_pos else r.start_pos end, r.end_pos, case when ok then w.n_markers + 1 else 1 end,
+    case when ok then list_aggregate(list_transform(range(1, 7), lambda j: case when w.labels[j] = '?' then r.labels[j] else w.labels[j] end), 'string_agg', '') else r.labels end, case when ok then w.block else w.block + 1 end
+  from w join r on r.chrom = w.chrom and r.k = w.k + 1,
+  lateral (select len(list_filter(range(1, 7), lambda j: w.labels[j] <> r.labels[j] and w.labels[j] <> '?' and r.labels[j] <> '?')) = 0 as ok) o)
+select chrom, start_pos, max(end_pos) as end_pos, max(n_markers) as n_markers, arg_max(labels, k) as labels from w group by chrom, block, start_pos
+""")
+def block_collapse(mark):
+    return hm.collapse(_markers(mark))
+
+
+@query("phase_flips", "S2", "fx_mark")
+def phase_flips(mark):
+    return hm.flip_phases(hm.collapse(_markers(mark)), {"AB": [0, 2, 4], "CD": [1, 3, 5]})
+
+
+@query("iht_unpivot", "2.13", "fx_label", sql="select chrom, b, id, 0 as slot, h0 as label from fx_label union all select chrom, b, id, 1, h1 from fx_label")
+def iht_unpivot(label):
+    return hm.to_long(label, ["chrom", "b", "id"])
+
+
+@query("iht_pivot", "2.13 SK1 SK13", "fx_label", sql="""
+select chrom, b, max(case when id = 'S04' then h0 || '/' || h1 end) as "S04", max(case when id = 'S06' then h0 || '|' || h1 end) as "S06", max(case when id = 'S07' then h0 || '|' || h1 end) as "S07" from fx_label group by chrom, b
+""")
+def iht_pivot(label):
+    text = hm.iht_text(F.col("h0"), F.col("h1"), F.col("id") == "S04")
+    return label.groupBy("chrom", "b").pivot("id", ["S04", "S06", "S07"]).agg(F.max(text))
+
+
+@query("label_counts", "A2", "fx_mark", sql=f"with {_LONG} select id, count(label) as n_known from lg group by id")
+def label_counts(mark):
+    return hm.label_counts(_long(mark))
+
+
+_COVER = """
+cv as (select chrom, b, start_pos, end_pos, count(*) filter (where l = 'A') as n_a, count(*) filter (where l = 'B') as n_b, count(*) filter (where l = 'C') as n_c, count(*) filter (where l = 'D') as n_d
+  from (select chrom, b, start_pos, end_pos, i, h0 as l from fx_mark union all select chrom, b, start_pos, end_pos, i, h1 from fx_mark) t where i in (6, 7) group by chrom, b, start_pos, end_pos),
+cw as (select *, (n_a > 0)::int + (n_b > 0)::int + (n_c > 0)::int + (n_d > 0)::int as ncov, case when n_d = 0 then 'D' when n_c = 0 then 'C' when n_b = 0 then 'B' when n_a = 0 then 'A' end as paint from cv)
+"""
+
+
+@query("iht_stats", "A9", "fx_mark", sql=f"with {_COVER} select * from cw")
+def iht_stats(mark):
+    return hm.block_coverage(mark.where("i in (6, 7)"))
+
+
+@query("length_by_coverage", "A10", "fx_mark", sql=f"with {_COVER} select ncov, count(*) as n_blocks, cast(sum(end_pos - start_pos) as bigint) as bases from cw group by ncov")
+def length_by_coverage(mark):
+    return hm.length_by_coverage(hm.block_coverage(mark.where("i in (6, 7)")))
+
+
+@query("hap_length_sums", "A10 A22", "fx_label", sql="""
+select id, l as label, cast(sum(end_pos - start_pos) as bigint) as bases from (select id, h0 as l, start_pos, end_pos from fx_label union all select id, h1, start_pos, end_pos from fx_label) t group by id, l
+""")
+def hap_length_sums(label):
+    return hm.haplotype_lengths(label)
+
+
+@query("label_merge", "G22", "fx_mark", sql="""
+select chrom, b, id, case when h0 is null then l1 when l1 is null or h0 = l1 then h0 end as merged from (select *, lead(h0) over (partition by chrom, id order by b) as l1 from fx_mark) t
+""")
+def label_merge(mark):
+    from pyspark.sql import Window
+
+    nxt = mark.withColumn("l1", F.lead("h0").over(Window.partitionBy("chrom", "id").orderBy("b")))
+    return nxt.select("chrom", "b", "id", hm.merge_labels(F.col("h0"), F.col("l1")).alias("merged"))
