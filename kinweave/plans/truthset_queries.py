@@ -1 +1,124 @@
-"""Queries."""
+"""Queries of the truth-set, haplotype-graph and assembly operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import assembly, haplograph
+from ..operators import truthset as ts
+from .registry import query
+
+_MASH = """
+cl as (select s.chrom || ':' || (s.pos0 - s.pos0 % 20000) || ':' || (s.pos0 - s.pos0 % 20000 + 1) || ':' || s.ref || ':' || s.alt as site, case when g.g0 is null then './.' else g.g0 || '/' || g.g1 end as genotype, 'c' || (g.i % 3) as caller
+  from fx_site s join fx_gt g on g.site_id = s.site_id where g.i between 6 and 8),
+co as (select site, string_agg(genotype, ',' order by genotype) as genotypes, string_agg(caller, ',' order by caller) as callers, count(distinct genotype) > 1 as conflict, count(distinct caller) as n_sources, min(genotype) as genotype from cl group by site)
+"""
+
+
+def _calls(site, gt):
+    pos = F.col("pos0") - F.col("pos0") % 20000
+    key = F.concat_ws(":", "chrom", pos.cast("string"), (pos + 1).cast("string"), "ref", "alt")
+    genotype = F.when(F.col("g0").isNull(), "./.").otherwise(F.concat_ws("/", F.col("g0").cast("string"), F.col("g1").cast("string")))
+    both = site.join(gt.where("i between 6 and 8"), "site_id")
+    return both.select(key.alias("site"), genotype.alias("genotype"), F.concat(F.lit("c"), (F.col("i") % 3).cast("string")).alias("caller"))
+
+
+@query("mash_collapse", "A7", "fx_site", "fx_gt", sql=f"with {_MASH} select site, genotypes, callers from co")
+def mash_collapse(site, gt):
+    c = ts.collapse_sites(_calls(site, gt))
+    return c.select("site", F.array_join("genotypes", ",").alias("genotypes"), F.array_join("callers", ",").alias("callers"))
+
+
+@query("mash_conflict", "A8", "fx_site", "fx_gt", sql=f"with {_MASH} select site, conflict, n_sources, genotype from co")
+def mash_conflict(site, gt):
+    return ts.conflicts(ts.collapse_sites(_calls(site, gt))).select("site", "conflict", F.col("n_sources").cast("long").alias("n_sources"), "genotype")
+
+
+@query("mash_contained", "G13 J10 SC15 SK7", "fx_site", sql="""
+with s as (select site_id, chrom, pos0 // 20000 as pos, ref, case when site_id % 3 = 0 then [alt, substr('ACGT', cast(1 + site_id % 4 as integer), 1)] else [alt] end as alts, site_id % 11 = 0 as conflict from fx_site),
+e as (select site_id, chrom, pos, ref, len(alts) as n_alts, unnest(alts) as alt from s), k as (select site_id as other, chrom, pos, ref, unnest(alts) as alt from s where not conflict),
+h as (select site_id, n_alts, count(distinct e.alt) as n from e join k using (chrom, pos, ref, alt) where site_id <> other group by site_id, n_alts)
+select s.site_id, case when conflict then 'gt_mismatch' when h.n = h.n_alts then 'contained' else 'PASS' end as filter from s left join h on h.site_id = s.site_id
+""")
+def mash_contained(site):
+    second = F.substr(F.lit("ACGT"), (1 + F.col("site_id") % 4).cast("int"), F.lit(1))
+    alts = F.when(F.col("site_id") % 3 == 0, F.array(F.col("alt"), second)).otherwise(F.array("alt"))
+    sites = site.select(F.col("site_id").alias("site"), "chrom", F.expr("pos0 div 20000").alias("pos"), "ref", alts.alias("alts"), (F.col("site_id") % 11 == 0).alias("conflict"))
+    return ts.contained(sites).select(F.col("site").alias("site_id"), ts.site_filter(F.col("conflict"), F.col("contained")).alias("filter"))
+
+
+@query("anno_join", "J11 SK10", "fx_site", sql="""
+with k as (select site_id, chrom || ':' || (pos0 // 3000) as key from fx_site), a as (select key, max(site_id) as anno from k where site_id % 2 = 0 group by key)
+select k.site_id, a.anno from k left join a on a.key = k.key
+""")
+def anno_join(site):
+    keyed = site.select("site_id", F.concat_ws(":", "chrom", F.expr("pos0 div 3000").cast("string")).alias("key"))
+    notes = keyed.where("site_id % 2 = 0").select("key", F.col("site_id").alias("anno"), F.col("site_id").alias("n"))
+    return ts.annotate(keyed, notes).select("site_id", "anno")
+
+
+_HAPS = """
+al as (select start_pos // 40000 as key, row_number() over (partition by start_pos // 40000 order by id) as n, prio as hap, abs(svlen) * 6 as block_len, start_pos % 7 as edits, start_pos % 3 as indels from fx_sv),
+ch as (select key, hap, edits, indels from (select *, row_number() over (partition by key order by edits, indels, n) as r from al where block_len >= 1500 or n = 1) x where r = 1)
+"""
+
+
+def _alignments(calls):
+    from pyspark.sql import Window
+
+    key = F.expr("start_pos div 40000").alias("key")
+    n = F.row_number().over(Window.partitionBy(F.expr("start_pos div 40000")).orderBy("id")).alias("n")
+    return calls.select("id", key, n, F.col("prio").alias("hap"), (F.abs("svlen") * 6).alias("block_len"), (F.col("start_pos") % 7).alias("edits"), (F.col("start_pos") % 3).alias("indels"))
+
+
+@query("hap_select", "A11 SC14", "fx_sv", sql=f"with {_HAPS} select key, cast(hap as bigint) as hap, edits, indels from ch")
+def hap_select(calls):
+    return ts.best_haplotypes(_alignments(calls)).withColumn("hap", F.col("hap").cast("long"))
+
+
+@query("hap_annotations", "J12 J13 G16 SK9", "fx_sv", sql=f"""
+with {_HAPS} select f.id, case when ch.hap is not null then 'HAP_PASS' when f.start_pos % 5 = 0 then 'HAP_FAIL' else 'HAP_OVLP' end as label from fx_sv f left join ch on ch.key = f.start_pos // 40000 and ch.hap = f.prio
+""")
+def hap_annotations(calls):
+    variants = calls.select(F.expr("start_pos div 40000").alias("key"), F.col("prio").alias("hap"), "id", (F.col("start_pos") % 5 == 0).alias("overlaps"))
+    return ts.haplotype_labels(variants, ts.best_haplotypes(_alignments(calls))).select("id", "label")
+
+
+@query("problem_regions", "F21 F20 F22", "fx_iv", sql="""
+with x as (select chrom, s, e, row_number() over (partition by chrom order by s, e) as k, s % 9 as x, e % 10 as y from fx_iv where s % 9 >= 6 or e % 10 >= 6),
+p as (select *, max(e) over (partition by chrom order by k rows between unbounded preceding and 1 preceding) as pe from x),
+i as (select *, sum(case when pe is null or s > pe then 1 else 0 end) over (partition by chrom order by k rows unbounded preceding) as island from p)
+select chrom, min(s) as s, max(e) as e, count(*) as n from i group by chrom, island
+""")
+def problem_regions(a):
+    return ts.problem_regions(a.withColumns({"x": F.col("s") % 9, "y": F.col("e") % 10}))
+
+
+@query("region_haplotypes", "W10 S3 S4 SC17 SK8", "fx_site")
+def region_haplotypes(site):
+    at = F.col("pos0") % 40
+    base = F.repeat(F.lit("A"), 60)
+    return haplograph.region_haplotypes(
+        site.where("site_id % 4 = 0").select(F.expr("pos0 div 40000").alias("region"), base.alias("sequence"), F.lit(0).alias("offset"), at.alias("pos"), F.lit("A").alias("ref"), F.when(F.col("alt") == "A", "C").otherwise(F.col("alt")).alias("alt"))
+    )
+
+
+@query("cigar_projection", "S11 SC18 J7", "fx_site", sql="""
+select site_id, case when t < 20 then t when t < 25 then 20 else t - 5 + 3 end as q from (select site_id, pos0 % 50 as t from fx_site) x
+""")
+def cigar_projection(site):
+    cigar = assembly.parse_cigar(F.lit("20M5D3I40M"))
+    return site.select("site_id", assembly.project(cigar, F.lit(0), F.col("pos0") % 50).alias("q"))
+
+
+@query("assembly_concordance", "G11 SC19", "fx_label", sql="""
+with c as (select chrom || ':' || b as region, i, h0, h1, case when i % 7 = 0 and b % 5 = 0 then 'x' else '' end as bad from fx_label where i >= 6)
+select region, case when bool_and(bad = '') then 0 end as config, cast(0 as bigint) as n_missing, cast(0 as bigint) as n_multi from c group by region
+""")
+def assembly_concordance(label):
+    region = F.concat_ws(":", "chrom", F.col("b").cast("string"))
+    # a haplotype's sequence is its letter; some children have a base of their own
+    bad = F.when((F.col("i") % 7 == 0) & (F.col("b") % 5 == 0), "x").otherwise("")
+    role = F.when(F.col("i") == 4, "dad").when(F.col("i") == 5, "mom").otherwise("child")
+    seqs = F.when(F.col("i") >= 6, F.array(F.concat("h0", bad), F.concat("h1", bad))).otherwise(F.array("h0", "h1"))
+    return assembly.concordant_configuration(label.select(region.alias("region"), "id", role.alias("role"), "h0", "h1", seqs.alias("seqs"), F.lit(False).alias("single")))
