@@ -14,8 +14,9 @@ equal texts get equal results; ties go to the smaller language name; without
 any learned language all is ``und``.
 
 Learning reads a bounded sample: ``per_language`` documents of each language
-with the smallest hashes of their ids, ``max_docs`` in all, whole texts of up
-to ``max_chars`` characters.  Scoring reads whole texts of all documents.
+with the smallest hashes of their ids, ``max_docs`` in all, of the
+``max_languages`` most frequent languages, whole texts of up to ``max_chars``
+characters.  Scoring reads whole texts of all documents.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -165,20 +166,32 @@ def predict(docs: list[str | None], model: Model | None, chunk: int = 256) -> tu
     return langs, scores
 
 
-def train(docs: DataFrame, per_language: int = 300, max_docs: int = 2400, max_chars: int = 200_000) -> Model | None:
+def train(docs: DataFrame, per_language: int = 300, max_docs: int = 2400, max_chars: int = 200_000, max_languages: int = 1000) -> Model | None:
     """Fit on a bounded sample of ``docs`` (doc_id, text, lang)."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= max_chars))
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_languages).collect()
+    if not counts:
+        return None
+    # ids first, by a bar on their hash that about twice as many as needed pass: no text is sorted and no language meets in one task
+    bar = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (2 * per_language + 50) / r["n"])) for r in counts], "lang string, bar double")
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    # ids first: the texts of all documents aren't sorted to choose a few of them
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = (
+    passed = (
         usable.select("lang", "doc_id", key.alias("h"))
-        .withColumn("n", rank)
-        .where(F.col("n") <= per_language)
-        .orderBy("n", "lang")
-        .limit(max_docs)
-        .select("doc_id", "lang", "n")
+        .join(F.broadcast(bar), "lang")
+        .where((F.col("h").cast("double") / 2.0**64 + 0.5) < F.col("bar"))
+        .select("lang", "doc_id", "h")
+        .distinct()
+        .collect()
     )
+    ranked: list[tuple] = []
+    place: dict[str, int] = {}
+    for r in sorted(passed, key=lambda r: (r["h"], r["doc_id"] or 0)):
+        n = place[r["lang"]] = place.get(r["lang"], 0) + 1
+        if n <= per_language:
+            ranked.append((n, r["lang"], r["doc_id"]))
+    ranked = sorted(ranked, key=lambda x: x[:2])[:max_docs]
+    id_type = usable.schema["doc_id"].dataType.simpleString()
+    chosen = docs.sparkSession.createDataFrame(ranked, f"n long, lang string, doc_id {id_type}")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.lang") == F.col("b.lang"))
     rows = (
         usable.alias("a")
