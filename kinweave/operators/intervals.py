@@ -68,14 +68,14 @@ def count_overlaps(a: DataFrame, b: DataFrame, name: str = "n", size: int = BIN)
 
 def merge(df: DataFrame, size: int = BIN, gap: int = 0) -> DataFrame:
     """Islands of overlapping and book-ended intervals (I2): chrom, s, e, n intervals."""
-    rows = df.select("chrom", "s", "e").withColumn("_bin", F.expr(f"floor(s / {size * 64})"))
+    # equal rows are one first: both scans need the same total order
+    rows = df.groupBy("chrom", "s", "e").agg(F.count(F.lit(1)).alias("_n")).withColumn("_bin", F.expr(f"floor(s / {size * 64})"))
     order = ["s", "e"]
-    # equal rows are interchangeable, so (s, e) orders them enough for a running maximum of e
     seen = running(rows, ["chrom"], "_bin", order, F.col("e"), "_reach")
     starts = F.col("_reach").isNull() | (F.col("s") > F.col("_reach") + gap)
     marked = seen.withColumn("_start", F.when(starts, F.col("s")))
     island = running(marked, ["chrom"], "_bin", order, F.col("_start"), "_island", inclusive=True)
-    return island.groupBy("chrom", F.col("_island").alias("s")).agg(F.max("e").alias("e"), F.count(F.lit(1)).alias("n")).select("chrom", "s", "e", "n")
+    return island.groupBy("chrom", F.col("_island").alias("s")).agg(F.max("e").alias("e"), F.sum("_n").alias("n")).select("chrom", "s", "e", "n")
 
 
 def intersect(a: DataFrame, b: DataFrame, size: int = BIN) -> DataFrame:

@@ -1,0 +1 @@
+"""Readers and writers of pedigree, variant, interval, alignment and sequence files."""
