@@ -14,7 +14,7 @@ from ..operators.hapmap import iht_text
 
 def write_lines(lines: DataFrame, path: str, header: list[str] | None = None, as_one: bool = False) -> None:
     """Write a DataFrame of one text column; the header lines come first, in a part of their own unless ``as_one``."""
-    own = lines.select(lines[lines.columns[0]].cast("string").alias("value"))
+    own = lines.toDF("value")
     if as_one:
         own = own.coalesce(1)
     if header:
@@ -37,7 +37,8 @@ def vcf_lines(records: DataFrame, samples: list[str]) -> DataFrame:
 
     def call(name: str) -> Column:
         c = F.get(F.filter("calls", lambda x: x["sample"] == name), 0)
-        gt = F.array_join(F.transform(c["gt"], dot), F.when(c["phased"], "|").otherwise("/"))
+        alleles = F.transform(c["gt"], dot)
+        gt = F.when(c["phased"], F.array_join(alleles, "|")).otherwise(F.array_join(alleles, "/"))
         return F.concat_ws(":", F.coalesce(gt, F.lit("./.")), dot(c["dp"]), dot(c["gq"]))
 
     return records.select(
