@@ -29,7 +29,7 @@ def query(name: str, covers: str, *needs: str, sql: str | None = None):
 
 
 def _load() -> None:
-    for family in ("intervals", "pedigree", "concordance", "hapmap", "sv", "hmm", "repeats", "truthset"):
+    for family in ("intervals", "pedigree", "concordance", "hapmap", "sv", "hmm", "repeats", "truthset", "files"):
         import_module(f"{__package__}.{family}_queries")
 
 

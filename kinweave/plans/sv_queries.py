@@ -52,7 +52,11 @@ def sv_support_select(calls):
     return sv.closest_support(calls, _merged(calls)[1]).withColumn("prio", F.col("prio").cast("long"))
 
 
-@query("sv_best_primary", "A17", "fx_sv")
+@query("sv_best_primary", "A17", "fx_sv", sql=f"""
+with {_MERGED}, x as (select lk.support_id, list_sort(list({{'s': p.s, 'e': p.e, 'id': p.id, 'diff': abs(a.svlen - b.svlen), 'same_gt': a.start_pos % 2 = b.start_pos % 2}})) as xs
+  from lk join fx_sv a on a.id = lk.support_id join fx_sv b on b.id = lk.primary_id join iv p on p.id = lk.primary_id group by lk.support_id having count(*) > 1)
+select support_id, list_reduce(xs, lambda b, v: case when v.diff < b.diff or (v.diff <= 50 and v.same_gt) then v else b end).id as primary_id from x
+""")
 def sv_best_primary(calls):
     links = _merged(calls)[1]
     p = sv.flanked(calls).select(F.col("id").alias("primary_id"), "s", "e", F.col("svlen").alias("p_len"), (F.col("start_pos") % 2).alias("p_gt"))
