@@ -19,8 +19,8 @@ def classify(gts: DataFrame, ped: DataFrame, least_dp: int = 5, least_gq: int =
     own = gts.select("site_id", "id", F.array("g0", "g1").alias("gt"), F.coalesce(called, F.lit(False)).alias("called"))
     by_site = own.groupBy("site_id").agg(F.map_from_entries(F.collect_list(F.struct("id", F.struct("gt", "called")))).alias("calls"))
     return (
-        by_site.crossJoin(F.broadcast(trios(ped)))  # a few dozen people, each site's row once for each
-        .where(F.array_contains(F.map_keys("calls"), F.col("child")))
+        by_site.withColumn("child", F.explode(F.map_keys("calls")))
+        .join(F.broadcast(trios(ped)), "child")  # a few dozen people
         .select(
             "site_id",
             "child",
@@ -66,10 +66,10 @@ def transmission_counts(classes: DataFrame) -> DataFrame:
 def average_quality(gts: DataFrame, ped: DataFrame, least_dp: int = 5, least_gq: int = 10) -> DataFrame:
     """Mean GQ of a site over all people of the pedigree; no-calls and absent people count 0."""
     people = ped.select("id").distinct()
-    n = people.agg(F.count(F.lit(1)).alias("n_people"))
+    n_people = people.count()  # of one family study
     called = F.col("g0").isNotNull() & F.col("g1").isNotNull() & (F.col("dp") >= least_dp) & (F.col("gq") >= least_gq)
     sums = gts.join(F.broadcast(people), "id", "left_semi").groupBy("site_id").agg(F.sum(F.when(called, F.col("gq")).otherwise(0)).alias("gq"))
-    return sums.crossJoin(F.broadcast(n)).select("site_id", (F.col("gq") / F.col("n_people")).alias("avg_gq"))
+    return sums.select("site_id", (F.col("gq") / F.lit(n_people)).alias("avg_gq"))
 
 
 def candidates(classes: DataFrame, max_unknown: int = 3) -> DataFrame:

@@ -65,14 +65,24 @@ def assignments(found: DataFrame, labels: list[str]) -> DataFrame:
     return out.select("trid", key.alias("ord"), *labels)
 
 
-def best_assignment(choices: DataFrame, calls: DataFrame, labels: list[str]) -> DataFrame:
+def best_assignment(choices: DataFrame, found: DataFrame, calls: DataFrame, labels: list[str]) -> DataFrame:
     """The choice of fewest errors, then least distance, then first in order (A19): trid, n_errors, sum_error and the labels' alleles.
 
-    ``calls`` has trid, id, a0, a1 (a sample's alleles) and h0, h1 (its labels).
+    ``found`` holds the candidates, ``calls`` trid, id, a0, a1 (a sample's
+    alleles) and h0, h1 (its labels).  A sample's distance depends on the alleles
+    of its two labels alone, so samples are compared once for each pair of
+    candidates, and a choice adds up what its pairs cost.
     """
-    of = lambda h: F.coalesce(*[F.when(F.col(h) == x, F.col(x)) for x in labels])
-    scored = choices.join(calls, "trid").withColumn("_scored", pair_distance(F.col("a0"), F.col("a1"), of("h0"), of("h1")))
-    sums = scored.groupBy("trid", "ord", *labels).agg(F.sum("_scored.errors").alias("n_errors"), F.sum("_scored.distance").alias("sum_error"))
+    of = lambda h: found.select("trid", F.col("label").alias(h), F.col("seq").alias(f"s{h}"))
+    pairs = calls.join(of("h0"), ["trid", "h0"]).join(of("h1"), ["trid", "h1"]).where("h0 <> h1 or sh0 = sh1")
+    scored = pairs.withColumn("_d", pair_distance(F.col("a0"), F.col("a1"), F.col("sh0"), F.col("sh1")))
+    costs = scored.groupBy("trid", "h0", "h1", "sh0", "sh1").agg(F.sum("_d.errors").alias("errors"), F.sum("_d.distance").alias("distance"))
+    key = lambda *x: F.concat_ws("|", *x)
+    table = costs.groupBy("trid").agg(F.map_from_entries(F.collect_list(F.struct(key("h0", "h1", "sh0", "sh1").alias("k"), F.struct("errors", "distance").alias("v")))).alias("_costs"))
+    both = choices.join(table, "trid")
+    costs_of = [F.try_element_at("_costs", key(F.lit(x), F.lit(y), F.col(x), F.col(y))) for x in labels for y in labels]
+    total = lambda f: sum((F.coalesce(c[f], F.lit(0)) for c in costs_of), F.lit(0).cast("long"))
+    sums = both.select("trid", "ord", *labels, total("errors").alias("n_errors"), total("distance").alias("sum_error"))
     best = F.min(F.struct("n_errors", "sum_error", "ord", *labels)).alias("m")
     return sums.groupBy("trid").agg(best).select("trid", "m.n_errors", "m.sum_error", *[f"m.{x}" for x in labels])
 

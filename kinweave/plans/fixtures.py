@@ -49,7 +49,7 @@ from (select site_id, id, i, case when (site_id * 13 + i * 5) % 197 = 0 then 1 -
   from (select s.site_id, l.id, l.i,
       case when (s.site_id * 31 + (case l.h0 when 'A' then 1 when 'B' then 2 when 'C' then 3 else 4 end) * 17) % 7 < 3 then 1 else 0 end as a0,
       case when (s.site_id * 31 + (case l.h1 when 'A' then 1 when 'B' then 2 when 'C' then 3 else 4 end) * 17) % 7 < 3 then 1 else 0 end as a1
-    from {fx_site} s join {fx_label} l on s.chrom = l.chrom and s.pos0 between l.start_pos and l.end_pos) x) y
+    from {fx_site} s join {fx_label} l on s.chrom = l.chrom and cast(floor(s.pos0 / 200000) as bigint) = l.b and s.pos0 between l.start_pos and l.end_pos) x) y
 """,
     # half-open intervals (BED), many overlaps
     "fx_iv": """

@@ -67,7 +67,8 @@ z as (select trid, ord, "A", "B", "C", "D", sum(case when st <= cr then (a0 <> e
 select trid, cast(n_errors as bigint) as n_errors, cast(sum_error as bigint) as sum_error, "A", "B", "C", "D" from (select *, row_number() over (partition by trid order by n_errors, sum_error, ord) as r from z) q where r = 1
 """)
 def tr_best_assign(tr):
-    return rp.best_assignment(rp.assignments(_candidates(tr), _LABELS), _calls(tr), _LABELS)
+    found = _candidates(tr)
+    return rp.best_assignment(rp.assignments(found, _LABELS), found, _calls(tr), _LABELS)
 
 
 @query("tr_summary", "A20 SK14", "fx_tr", sql="""
