@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, map_batches, texts
+from .common import by_bytes, map_batches, sample_ids, texts
 
 #: Classes of bytes that a line's shape is told from.
 _LOWER, _UPPER, _DIGIT, _SPACE, _BANG, _PIPE, _MARK, _ODD, _HIGH, _REST = range(10)
@@ -238,15 +238,14 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 4000, max_tr
     Rows of ``labels`` that contradict each other, and null ids or labels, teach
     nothing.  Of several texts with one id the smallest teaches.
     """
-    chosen = (
+    agreed = (
         labels.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
         .groupBy("doc_id")
         .agg(F.min("label").alias("label"), F.max("label").alias("other"))
         .where("label = other")
         .select("doc_id", "label")
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_train_docs)
     )
+    chosen = sample_ids(agreed, "doc_id", max_train_docs)
 
     def shapes(batch: pa.RecordBatch) -> dict[str, list]:
         x, size, counts = line_features(texts(batch))
