@@ -2,12 +2,15 @@
 
 A region's variants are few (a region is a handful of overlapping calls), and
 each region and haplotype is solved on its own.  The number of paths is
-exponential in a region's forks: ``max_paths`` bounds it, and a region beyond it
-is reported, not cut.
+exponential in a region's forks, and so are the rows; they are made one by one
+and handed on in batches, so that memory holds a region's variants and one path.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +27,8 @@ def variant_end(pos: int, ref: str, alt: str) -> int:
     return pos + len(ref) - len(alt) if variant_kind(ref, alt) == "DEL" else pos
 
 
-def paths(variants: list[tuple[int, str, str]], max_paths: int = 4096) -> list[list[int]] | None:
-    """All ways through variants sorted by position that take no two overlapping ones (W10, S3); None beyond ``max_paths``.
+def each_path(variants: list[tuple[int, str, str]]) -> Iterator[list[int]]:
+    """All ways, in order, through variants sorted by position that take no two overlapping ones.
 
     A path goes from a variant to those that begin behind it before any variant
     that it could have taken in between ends.
@@ -41,18 +44,19 @@ def paths(variants: list[tuple[int, str, str]], max_paths: int = 4096) -> list[l
         first_end = min(end[i] for i in after)
         return [i for i in after if start[i] <= first_end]
 
-    out: list[list[int]] = []
     stack: list[tuple[list[int], int]] = [([], -1 << 62)]
     while stack:
         path, last = stack.pop()
         nxt = following(last)
         if not nxt:
-            out.append(path)
-            if len(out) > max_paths:
-                return None
-            continue
+            yield path
         stack += [([*path, i], max(end[i], start[i])) for i in reversed(nxt)]
-    return sorted(out)
+
+
+def paths(variants: list[tuple[int, str, str]], max_paths: int = 4096) -> list[list[int]] | None:
+    """The ways of ``each_path`` as a list; None beyond ``max_paths``."""
+    out = list(islice(each_path(variants), max_paths + 1))
+    return None if len(out) > max_paths else sorted(out)
 
 
 def haplotype(sequence: str, offset: int, chosen: list[tuple[int, str, str]]) -> str:
@@ -81,22 +85,23 @@ def haplotype(sequence: str, offset: int, chosen: list[tuple[int, str, str]]) ->
     return "".join(bases)
 
 
-def region_haplotypes(variants: DataFrame, max_paths: int = 4096) -> DataFrame:
+def region_haplotypes(variants: DataFrame, batch: int = 2000) -> DataFrame:
     """(region, path, n_variants, haplotype, complete) of each way through each region's variants.
 
-    ``variants`` has region, sequence, offset, pos, ref, alt.  A region with too
-    many ways gives one row with ``complete`` false.
+    ``variants`` has region, sequence, offset, pos, ref, alt.  However many ways
+    a region has, all are given, so ``complete`` is true.
     """
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(set(zip(pdf["pos"].tolist(), pdf["ref"].tolist(), pdf["alt"].tolist())))
-        region, sequence, offset = pdf["region"].iloc[0], pdf["sequence"].iloc[0], int(pdf["offset"].iloc[0])
-        found = paths(rows, max_paths)
-        if found is None:
-            made = [(region, 0, 0, None, False)]
-        else:
-            made = [(region, k, len(p), haplotype(sequence, offset, [rows[i] for i in p]), True) for k, p in enumerate(found)]
-        return pd.DataFrame(made, columns=["region", "path", "n_variants", "haplotype", "complete"])
-
-    rows = variants.select(F.col("region").cast("string").alias("region"), "sequence", F.col("offset").cast("long").alias("offset"), F.col("pos").cast("long").alias("pos"), "ref", "alt")
-    return rows.groupBy("region").applyInPandas(solve, "region string, path long, n_variants long, haplotype string, complete boolean")
+    names = ["region", "path", "n_variants", "haplotype", "complete"]
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for region, sequence, offset, found in zip(pdf["region"], pdf["sequence"], pdf["offset"], pdf["found"]):
+                rows = sorted((v["pos"], v["ref"], v["alt"]) for v in found)
+                ways = enumerate(each_path(rows))
+                while some := list(islice(ways, batch)):
+                    made = [(region, k, len(p), haplotype(sequence, int(offset), [rows[i] for i in p]), True) for k, p in some]
+                    yield pd.DataFrame(made, columns=names)
+
+    rows = variants.select(F.col("region").cast("string").alias("region"), "sequence", F.col("offset").cast("long").alias("offset"), F.struct(F.col("pos").cast("long").alias("pos"), "ref", "alt").alias("v"))
+    regions = rows.groupBy("region").agg(F.min_by("sequence", "offset").alias("sequence"), F.min("offset").alias("offset"), F.collect_set("v").alias("found"))
+    return regions.mapInPandas(solve, "region string, path long, n_variants long, haplotype string, complete boolean")

@@ -99,7 +99,7 @@ def region_haplotypes(site):
     at = F.col("pos0") % 40
     base = F.repeat(F.lit("A"), 60)
     return haplograph.region_haplotypes(
-        site.where("site_id % 4 = 0").select(F.expr("pos0 div 40000").alias("region"), base.alias("sequence"), F.lit(0).alias("offset"), at.alias("pos"), F.lit("A").alias("ref"), F.when(F.col("alt") == "A", "C").otherwise(F.col("alt")).alias("alt"))
+        site.select(F.expr("pos0 div 40000").alias("region"), base.alias("sequence"), F.lit(0).alias("offset"), at.alias("pos"), F.lit("A").alias("ref"), F.when(F.col("alt") == "A", "C").otherwise(F.col("alt")).alias("alt"))
     )
 
 
