@@ -79,8 +79,9 @@ _STRING = "string_agg(coalesce(h0, '?') || coalesce(h1, '?'), '' order by id)"
 _MARKERS = f"mk as (select chrom, b, start_pos, end_pos, cast(1 as bigint) as n_markers, {_STRING} as labels from fx_mark where i in (6, 7, 8) group by chrom, b, start_pos, end_pos)"
 
 
-def _markers(mark):
-    few = mark.where("i in (6, 7, 8)")
+def _markers(mark, last=8):
+    """Labels of the children from 6 to ``last`` at each marker."""
+    few = mark.where(f"i between 6 and {last}")
     pair = F.struct("id", F.concat(F.coalesce("h0", F.lit("?")), F.coalesce("h1", F.lit("?"))).alias("x"))
     return few.groupBy("chrom", "start_pos", "end_pos").agg(F.lit(1).cast("long").alias("n_markers"), F.array_join(F.transform(F.sort_array(F.collect_list(pair)), lambda p: p["x"]), "").alias("labels"))
 
@@ -100,7 +101,7 @@ def block_collapse(mark):
 
 @query("phase_flips", "S2", "fx_mark")
 def phase_flips(mark):
-    return hm.flip_phases(hm.collapse(_markers(mark)), {"AB": [0, 2, 4], "CD": [1, 3, 5]})
+    return hm.flip_phases(hm.collapse(_markers(mark, 13)), {"AB": list(range(0, 16, 2)), "CD": list(range(1, 16, 2))})
 
 
 @query("iht_unpivot", "2.13", "fx_label", sql="select chrom, b, id, 0 as slot, h0 as label from fx_label union all select chrom, b, id, 1, h1 from fx_label")

@@ -13,9 +13,10 @@ ob as (select s.chrom, s.pos0, cast(sum(case when g.g0 > 0 or g.g1 > 0 then 1 <<
 """
 
 
-def _observed(site, gt):
+def _observed(site, gt, last=8):
+    """The children, from 6 to ``last``, that carry an alternative at each site."""
     bit = F.when((F.col("g0") > 0) | (F.col("g1") > 0), F.expr("shiftleft(1L, cast(i - 6 as int))")).otherwise(0)
-    return site.join(gt.where("i between 6 and 8"), "site_id").groupBy("chrom", "pos0").agg(F.sum(bit).alias("observed"))
+    return site.join(gt.where(f"i between 6 and {last}"), "site_id").groupBy("chrom", "pos0").agg(F.sum(bit).alias("observed"))
 
 
 @query("informative_snps", "F13 SC23", "fx_site", "fx_gt", sql="""
@@ -43,7 +44,7 @@ def grandparent_haplotype(gt):
 
 @query("hmm_viterbi", "S5", "fx_site", "fx_gt")
 def hmm_viterbi(site, gt):
-    return hmm.viterbi_paths(hmm.cut_windows(_observed(site, gt)), 3, ["chrom", "window"])
+    return hmm.viterbi_paths(hmm.cut_windows(_observed(site, gt, 13)), 8, ["chrom", "window"])
 
 
 _RUNS = f"""
