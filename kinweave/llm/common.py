@@ -22,11 +22,14 @@ def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that the session names, which all executors share.
 
     ``spark.checkpoint.dir`` is read from the session.  Only where it is unset
-    (tests, a single machine) a temporary folder takes its place.
+    (tests, a single machine) a temporary folder takes its place; on a cluster
+    that is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kinweave-checkpoint-"))
     return sc.getCheckpointDir()
 
