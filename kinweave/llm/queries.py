@@ -97,4 +97,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
 }
 
-ORACLES: dict[str, str] = {}
+#: SQL for DuckDB with the same rows.
+ORACLES: dict[str, str] = {
+    # turns in the order that the operator reads them, null first; a turn is "### Role: text</turn>" and a line end
+    "op1_chat": r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, role as role0, text as text0 from conversations
+  union all select -7, k, role, '\### Assistant: </turn> ok', role, '\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) f(k, role)
+), o as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role0 nulls first, text0 nulls first) as n,
+    4 + length(case when role in ('user', 'assistant', 'system') then role when role in ('User', 'Assistant', 'System') then '\r' || role
+      else replace(replace(replace(replace(role, '\', '\\'), '###', '\t'), '</turn>', '\e'), ':', '\c') end) + 2
+    + length(replace(replace(replace(text, '\', '\\'), '###', '\t'), '</turn>', '\e')) + 8 as chars
+  from t
+), c as (
+  select *, sum(chars) over (partition by conv_id order by n) as so_far, role = 'assistant' or n = max(n) over (partition by conv_id) as ends from o
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by n)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by n) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(so_far) filter (where ends) as bigint) as formatted_chars, count(*) filter (where ends) as n_examples
+from c group by conv_id
+""",
+    "op5_knn": """
+with e as (select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+q as (select vec_id, min(v) as v from e where vec_id % 20 = 0 group by vec_id),
+s as (select q.vec_id as query_id, e.vec_id, cast(list_sum(list_transform(list_zip(q.v, e.v), lambda p: p[1] * p[2])) as bigint) as score from q join e on e.vec_id <> q.vec_id and len(e.v) = len(q.v)),
+r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
+select query_id, rank, vec_id, score from r where rank <= 20
+""",
+}
