@@ -1,24 +1,36 @@
 """Main text of web pages.
 
 The standard library's streaming parser gives start tags, end tags and text.
-Block-level tags cut the page into lines; a line has a text-to-tag ratio, which
-is zero for lines in page furniture (navigation, forms, scripts, notices and the
-like, told by tag, role, class or id) and discounts link text.  The ratios are
-smoothed by a Gaussian over neighbouring lines, and lines above a threshold form
-clusters of content.  A cluster selects its region: the innermost article or
-main element around its lines with all lines that aren't furniture, short ones
-too, or, on pages without such elements, the lines from the cluster's first to
-its last.
+Block-level tags cut the page into lines.  A line's text-to-tag ratio is its
+text outside of links over the tags since the line before; the ratios are
+smoothed by a Gaussian over neighbouring lines, and lines above a threshold are
+clusters of content.  Lines in page furniture (navigation, forms, scripts,
+notices and the like, told by tag, role and class) have ratio zero.
+
+The clusters select the content regions.  The outermost article and main
+elements that hold a cluster are regions as a whole, short lines included,
+unless the clusters outside of them weigh more.  Otherwise the region is the
+smallest container that holds nearly all of the clusters' weight; of the page's
+body only what lies between the first cluster and the last, with the headings
+above.  A class name is evidence, not a verdict: an article or main element
+inside a named container is content again, names that state a condition
+(has-sidebar, comments-open) say nothing, and weak names don't touch
+paragraphs.
 
 Defined results: null and empty pages give the empty text; character references
 are decoded; white space of any kind and length inside a block is one space;
 blocks are joined by one space in page order.  Nothing is cut short, and pages
-may be of any length.
+may be of any length.  Marks that can't be read (unfinished tags, comments and
+declarations) end at the next ``>``.  Elements nested deeper than 512 levels
+count as their ancestor at that level, but for what they hide.  Time grows in
+proportion to the page's length, whatever its marks.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -34,20 +46,24 @@ _BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_CONTAINERS = frozenset("article body center div main section td".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _FURNITURE = frozenset(
-    "nav footer aside form script style noscript template head title iframe object canvas svg button select option textarea "
+    "nav footer aside script style noscript template head title iframe object canvas svg button select option textarea "
     "dialog menu menuitem audio video map datalist".split()
 )
 _REGIONS = frozenset(("article", "main"))
 _FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
-_FURNITURE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|"
-    r"subscri\w*|signup|login|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|side|rail|widget\w*|related|recommend\w*|share|sharing|"
-    r"social|comments?|commentlist|disqus|replies|respond|footer|masthead|topbar|toolbar|pagination|pager|tags|skip)(?:$|[\s_-])",
-    re.IGNORECASE,
+_STRONG_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr popup modal newsletter "
+    "subscribe subscription signup login breadcrumb breadcrumbs sidebar sidebars navbar navigation nav related recommend recommended recommendations share sharing "
+    "social comment comments commentlist disqus replies respond footer masthead topbar toolbar pagination pager".split()
 )
-_HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:header|site-header|page-header)(?:$|[\s_-])", re.IGNORECASE)
+_WEAK_NAMES = frozenset("notice notices alert alerts banner banners menu menus widget widgets rail tags overlay header skip".split())
+_CONDITIONS_BEFORE = frozenset("has with no is without not show hide hides shows".split())
+_CONDITIONS_AFTER = frozenset("open opened closed enabled disabled on off free left right".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+_NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Elements that a sibling's start tag closes, and what they lie in.
 _CLOSED_BY_SIBLING = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -59,80 +75,160 @@ _CLOSED_BY_SIBLING = {
     "option": ({"option"}, {"select", "datalist"}),
 }
 
+#: How sure it is that a line is furniture: content, inside a form, by a name, by its element.
+_PLAIN, _FORM, _NAMED, _SURE = range(4)
+_DEPTH = 512
+
+
+@lru_cache(maxsize=4096)
+def name_evidence(names: str) -> int:
+    """0, 1 (weak) or 2 (strong): what the names of a class or id attribute say for furniture."""
+    found = 0
+    for name in names.split():
+        words = [w.lower() for w in _NAME_WORDS.findall(name)]
+        if not words or words[0] in _CONDITIONS_BEFORE or (len(words) > 1 and words[-1] in _CONDITIONS_AFTER and words[-2] in _STRONG_NAMES | _WEAK_NAMES):
+            continue
+        if not _STRONG_NAMES.isdisjoint(words):
+            return 2
+        if not _WEAK_NAMES.isdisjoint(words):
+            found = 1
+    return found
+
 
 class _Lines(HTMLParser):
-    """Lines of a page: text, tags, link characters, furniture or not, region."""
+    """Lines of a page: text, tags, link characters, level of furniture, region, container, heading or not."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, furniture, region
+        self.open: list[tuple[str, int, int, int]] = []  # tag, level, region, container
+        self.n_open: Counter[str] = Counter()
+        self.deep: Counter[str] = Counter()  # elements below the depth that is kept
+        self.deep_hidden = 0
         self.texts: list[str] = []
         self.tags: list[int] = []
         self.links: list[int] = []
-        self.furniture: list[bool] = []
+        self.level: list[int] = []
         self.region: list[int] = []
+        self.node: list[int] = []
+        self.heading: list[bool] = []
+        self.parents: list[int] = [-1]
         self.n_regions = 0
         self.parts: list[str] = []
         self.n_tags = self.n_link = 0
-        self.link_depth = 0
+        self.spent, self.budget, self.no_comment_end = 0, 0, False
+
+    # -- marks that can't be read end at the next ">"
+
+    def _skipped(self, i: int) -> int:
+        k = self.rawdata.find(">", i + 1)
+        return len(self.rawdata) if k < 0 else k + 1
+
+    def parse_starttag(self, i):
+        if self.spent > self.budget:  # a hostile page: no scan goes beyond the next ">"
+            k = self._skipped(i)
+            m = re.match(r"[a-zA-Z][a-zA-Z0-9]*", self.rawdata[i + 1 : min(k, i + 64)])
+            if m:
+                tag = m[0].lower()
+                self.handle_starttag(tag, [])
+                if tag in self.CDATA_CONTENT_ELEMENTS:
+                    self.set_cdata_mode(tag)
+            return k
+        k = super().parse_starttag(i)
+        if k >= 0:
+            return k
+        self.spent += len(self.rawdata) - i
+        return self._skipped(i)
 
-    def _state(self) -> tuple[bool, int]:
-        return (self.open[-1][1], self.open[-1][2]) if self.open else (False, 0)
+    def parse_endtag(self, i):
+        k = super().parse_endtag(i)
+        return k if k >= 0 else self._skipped(i)
+
+    def parse_pi(self, i):
+        return self._skipped(i)
+
+    def parse_comment(self, i, report=1):
+        k = -1 if self.no_comment_end else super().parse_comment(i, report)
+        if k >= 0:
+            return k
+        self.no_comment_end = True
+        return self._skipped(i)
+
+    def parse_marked_section(self, i, report=1):
+        return self._skipped(i)
+
+    # -- lines
+
+    def _state(self) -> tuple[int, int, int]:
+        level, region, node = self.open[-1][1:] if self.open else (_PLAIN, 0, 0)
+        return (_SURE if self.deep_hidden else level), region, node
 
     def _flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                furniture, region = self._state()
+                level, region, node = self._state()
                 self.texts.append(text)
                 self.tags.append(self.n_tags)
                 self.links.append(self.n_link)
-                self.furniture.append(furniture)
+                self.level.append(level)
                 self.region.append(region)
+                self.node.append(node)
+                self.heading.append(any(self.n_open[h] for h in _HEADINGS))
                 self.n_tags = self.n_link = 0
             self.parts = []
 
     def _close_to(self, at: int) -> None:
         self._flush()
-        for tag, _, _ in self.open[at:]:
-            self.link_depth -= tag == "a"
+        for tag, *_ in self.open[at:]:
+            self.n_open[tag] -= 1
         del self.open[at:]
+        self._left()
+
+    def _left(self) -> None:
+        # what lies deeper than the levels that are kept ends with any of them
+        if self.deep:
+            self.deep.clear()
+            self.deep_hidden = 0
 
-    def _is_furniture(self, tag: str, attrs: list[tuple[str, str | None]], region: int) -> bool:
+    @staticmethod
+    def _furniture(tag: str, attrs: list[tuple[str, str | None]], region: int) -> int:
         if tag in _FURNITURE or (tag == "header" and not region):
-            return True
+            return _SURE
         if tag in ("html", "body"):
-            return False
+            return _PLAIN
+        level = _FORM if tag == "form" else _PLAIN
         for k, v in attrs:
             if k == "hidden" or (k == "aria-hidden" and v == "true"):
-                return True
+                return _SURE
             if not v:
                 continue
             if k in ("class", "id"):
-                # a whole article isn't furniture for the classes that page builders put on it
-                if tag not in _REGIONS and (_FURNITURE_NAME.search(v) or (not region and _HEADER_NAME.search(v))):
-                    return True
-                if tag in _REGIONS and re.search(r"comment|\bads?\b|sponsor|related", v, re.IGNORECASE):
-                    return True
+                evidence = name_evidence(v)
+                if tag in _REGIONS:
+                    # page builders put many names on a whole article
+                    if evidence == 2 and re.search(r"comment|\bads?\b|sponsor|related|promo", v, re.IGNORECASE):
+                        level = _NAMED
+                elif evidence == 2 or (evidence == 1 and tag in _BLOCKS and tag not in _HEADINGS and tag not in ("p", "blockquote", "pre", "figure", "li", "td")):
+                    level = _NAMED
             elif k == "role" and v in _FURNITURE_ROLES and tag != "article":
-                return True
+                level = max(level, _FORM if v == "form" else _NAMED)
             elif k == "style" and _HIDDEN.search(v):
-                return True
-        return False
+                return _SURE
+        return level
 
     def handle_starttag(self, tag, attrs):
-        block = tag in _BLOCKS
-        if block:
+        if tag in _BLOCKS:
             self._flush()
             if tag in _CLOSED_BY_SIBLING:
                 siblings, around = _CLOSED_BY_SIBLING[tag]
-                for i in range(len(self.open) - 1, -1, -1):
-                    if self.open[i][0] in around:
-                        break
-                    if self.open[i][0] in siblings:
-                        self._close_to(i)
-                        break
-            if tag != "br":
+                if any(self.n_open[s] for s in siblings):
+                    for i in range(len(self.open) - 1, -1, -1):
+                        if self.open[i][0] in around:
+                            break
+                        if self.open[i][0] in siblings:
+                            self._close_to(i)
+                            break
+            if tag != "br" and self.n_open["p"]:
                 # a block ends a paragraph that is still open
                 for i in range(len(self.open) - 1, -1, -1):
                     name = self.open[i][0]
@@ -144,15 +240,25 @@ class _Lines(HTMLParser):
         self.n_tags += 1
         if tag in _VOID:
             return
-        furniture, region = self._state()
-        if not furniture and self._is_furniture(tag, attrs, region):
+        level, region, node = self._state()
+        own = self._furniture(tag, attrs, region)
+        if tag in _REGIONS and own == _PLAIN and level < _SURE:
+            level = _PLAIN  # an article or main element is content, whatever the names around it are
+        elif own > level:
             self._flush()
-            furniture = True
-        if tag in _REGIONS and not furniture:
+            level = own
+        if len(self.open) >= _DEPTH:
+            self.deep[tag] += 1
+            self.deep_hidden += own == _SURE
+            return
+        if tag in _REGIONS and level == _PLAIN and not region:
             self.n_regions += 1
             region = self.n_regions
-        self.open.append((tag, furniture, region))
-        self.link_depth += tag == "a"
+        if tag in _CONTAINERS:
+            self.parents.append(node)
+            node = len(self.parents) - 1
+        self.open.append((tag, level, region, node))
+        self.n_open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         if tag in _BLOCKS:
@@ -163,24 +269,33 @@ class _Lines(HTMLParser):
         self.n_tags += 1
         if tag in _BLOCKS:
             self._flush()
+        if self.deep[tag]:
+            self._flush()
+            self.deep[tag] -= 1
+            self.deep_hidden = max(0, self.deep_hidden - (tag in _FURNITURE)) if any(self.deep.values()) else 0
+            return
+        if not self.n_open[tag]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
             name = self.open[i][0]
             if name == tag:
                 if self.open[i][1] or tag in _BLOCKS:
                     self._close_to(i)
                 else:
-                    self.link_depth -= tag == "a"
+                    self.n_open[tag] -= 1
                     del self.open[i]
+                    self._left()
                 return
             if tag not in _BLOCKS and name in _BLOCKS and name != "p":
                 return  # an inline end tag doesn't reach out of its block
 
     def handle_data(self, data):
         self.parts.append(data)
-        if self.link_depth > 0:
+        if self.n_open["a"] > 0:
             self.n_link += len(data)
 
     def lines(self, html: str) -> None:
+        self.budget = 8 * len(html) + 1_000_000
         self.feed(html)
         self.close()
         self._flush()
@@ -193,41 +308,63 @@ def smooth(ratio: np.ndarray, sigma: float = 1.0, radius: int = 2) -> np.ndarray
     return np.convolve(ratio, kernel / kernel.sum())[radius : radius + len(ratio)]
 
 
-def content_lines(page: _Lines) -> list[int]:
+def clusters(ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines are in clusters of content, and the smoothed ratios."""
+    smoothed = smooth(ratio)
+    top = float(smoothed.max(initial=0.0))
+    threshold = min(float(smoothed.std()), 0.5 * top) if top > 0 else 0.0
+    return (ratio > 0) & (smoothed >= threshold), smoothed
+
+
+def content_lines(page: _Lines, whole: float = 0.95, long_form: int = 250) -> list[int]:
     """Numbers of the lines in the selected regions."""
     n = len(page.texts)
     if not n:
         return []
     length = np.array([len(t) for t in page.texts], dtype=float)
-    plain = np.array([not f for f in page.furniture])
+    level, region, node = np.array(page.level), np.array(page.region), np.array(page.node)
     own = np.maximum(length - np.minimum(page.links, length), 0.0)
-    ratio = np.where(plain, own / np.maximum(page.tags, 1), 0.0)
-    smoothed = smooth(ratio)
-    spread = float(smoothed.std())
-    threshold = min(spread, 0.5 * float(smoothed.max())) if smoothed.max() > 0 else 0.0
-    chosen = plain & (ratio > 0) & (smoothed >= threshold)
-    region = np.array(page.region)
-    in_region = plain & (region > 0)
-    if in_region.any():
-        # regions by the evidence of their clusters; a page's own article has the most
-        weight = np.bincount(region[in_region], np.where(chosen, smoothed, 0.0)[in_region] + 1e-9 * length[in_region], page.n_regions + 1)
-        picked = weight >= 0.2 * weight.max()
-        picked[0] = False
-        return np.flatnonzero(in_region & picked[region]).tolist()
+    plain = level == _PLAIN
+    if not own[plain].any() and own[level == _FORM].sum() >= long_form:
+        plain = level <= _FORM  # a page that is one form
+    if not plain.any():
+        return []
+    chosen, smoothed = clusters(np.where(plain, own / np.maximum(page.tags, 1), 0.0))
     if not chosen.any():
         return np.flatnonzero(plain & (own > 0)).tolist()
-    # no article or main element: clusters, with the short lines between lines of one cluster
-    at = np.flatnonzero(chosen)
-    out: list[int] = []
-    begin = prev = int(at[0])
-    for i in [*at[1:].tolist(), None]:
-        if i is not None and i - prev <= 4:
-            prev = i
-            continue
-        out += [j for j in range(begin, prev + 1) if plain[j]]
-        if i is not None:
-            begin = prev = i
-    return out
+    weight = np.where(chosen, smoothed, 0.0)
+    inside = plain & (region > 0)
+    if weight[inside].sum() >= 0.5 * weight.sum():
+        holds = np.zeros(page.n_regions + 1, dtype=bool)
+        holds[region[chosen & inside]] = True
+        return np.flatnonzero(inside & holds[region]).tolist()
+    # the smallest container with nearly all of the weight; children come after their parents
+    sums = np.bincount(node, weight, len(page.parents))
+    lines = np.bincount(node[plain], minlength=len(page.parents))
+    for i in range(len(page.parents) - 1, 0, -1):
+        sums[page.parents[i]] += sums[i]
+        lines[page.parents[i]] += lines[i]
+    at = int(np.flatnonzero(sums >= whole * sums[0])[-1])
+    while at > 0 and lines[at] < 2:
+        at = page.parents[at]
+    below = np.zeros(len(page.parents), dtype=bool)
+    below[at] = True
+    for i in range(at + 1, len(page.parents)):
+        below[i] = below[page.parents[i]]
+    part = plain & below[node]
+    if at == 0 or page.parents[at] == 0:
+        # the body: from the first cluster to the last, with the headings above
+        first, last = np.flatnonzero(chosen & part)[[0, -1]].tolist()
+        while first > 0 and page.heading[first - 1] and part[first - 1]:
+            first -= 1
+        part[:first], part[last + 1 :] = False, False
+    # three link-only lines and more in a row are a menu
+    menu = part & (own == 0)
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], menu, [False])).astype(int)))
+    for a, z in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        if z - a >= 3:
+            part[a:z] = False
+    return np.flatnonzero(part).tolist()
 
 
 def extract(html: str) -> str:

@@ -180,6 +180,49 @@ def test_html(spark):
     assert html_text.extract_pages(df.limit(0)).count() == 0
 
 
+ONE = "<p>A first paragraph of some length here and more words so that it counts as text.</p>"
+TWO = "<p>A second paragraph of some length here, which ends the story as it should.</p>"
+
+
+@pytest.mark.parametrize(
+    "page, parts",
+    [
+        # names on wrappers don't take an article away, nor weak names its paragraphs
+        (f'<div class="layout has-sidebar"><article>{ONE}{TWO}</article></div>', [ONE, TWO]),
+        (f'<div class="with-sidebar sidebar"><article>{ONE}{TWO}</article></div>', [ONE, TWO]),
+        (f'<body class="no-comments"><div class="no-comments widget-area side-by-side main-menu-open"><article>{ONE}{TWO}</article></div>', [ONE, TWO]),
+        (f'<article>{ONE}<p class="notice">Short.</p><p class=tags>One.</p>{TWO}</article>', [ONE, "Short.", "One.", TWO]),
+        # the clusters decide: no article or main element
+        (f"<body><nav><a>x</a></nav><div>{ONE}{'<p>S.</p>' * 6}{TWO}<p>End.</p></div><div>Copyright us</div>", [ONE, *["S."] * 6, TWO, "End."]),
+        (f'<body><div id=top><a href=/>Home</a> <a>Two</a></div><div class=post><h2>Head</h2>{ONE}<p>Tiny.</p>{TWO}</div><div class="related-posts"><p>{"Other story that is long. " * 9}</p></div>', ["Head", ONE, "Tiny.", TWO]),
+        (f"<body><p>Site</p><h1>T</h1>{ONE}<p>x</p>{TWO}<ul><li><a>a</a><li><a>b</a><li><a>c</a></ul>", ["T", ONE, "x", TWO]),
+        (f"<form id=f><input>{ONE * 3}{TWO}</form>", [ONE, ONE, ONE, TWO]),
+        (f"<body><article><h3><a href=x>A teaser</a></h3></article><div>{ONE * 3}{TWO}</div>", [ONE, ONE, ONE, TWO]),
+        # several regions
+        (f"<main><h1>Title</h1><p>Lead.</p><article>{ONE * 6}</article><article><p>Tiny one here in a sibling.</p></article></main><footer>f</footer>", ["Title", "Lead.", *[ONE] * 6, "Tiny one here in a sibling."]),
+        (f"<article>{ONE * 6}</article><article><p>Shorter article in here.</p></article>", [*[ONE] * 6, "Shorter article in here."]),
+        (f"<article>{ONE}{TWO}</article><article class=comment><p>I like it a lot, thank you very much.</p></article><section class=comments>{ONE}</section>", [ONE, TWO]),
+        # marks that can't be read
+        ("<p>x</p><![foo[ y ]]>", ["x"]), ("<![ %", []), ("<p>a</p><!-- never closed <p>b", ["a", "b"]), ('<p>a <a href="x>b</a> c', ["a b c"]), ("<p>a<script>x", ["a"]),
+    ],
+)
+def test_html_regions(page, parts):
+    assert html_text.extract(page) == " ".join(re.sub("<[^>]+>", "", x) for x in parts)
+
+
+def test_html_time_is_linear():
+    """Hostile pages of a megabyte: seconds at most, where a quadratic scan takes hours."""
+    import time
+
+    pages = ["<i>" * 150_000 + "</b>" * 150_000, "<a " * 300_000, "<a " * 300_000 + ">", '<a href="' * 100_000 + ">", "<!-- >" * 150_000, "<a b='" * 3 + "<p>x" * 250_000, "<b>" * 9999 + "<i>" * 150_000 + "</b>" * 100_000, "<div><nav>" * 50_000 + "</div></nav>" * 50_000]
+    for page in pages:
+        began = time.time()
+        html_text.extract(page)
+        assert time.time() - began < 20
+    deep = "<div>" * 2000
+    assert html_text.extract(f"<article>{deep}<nav>menu</nav>text</article>") == "text"
+
+
 def test_html_articles_of_the_table(spark):
     import html
 
