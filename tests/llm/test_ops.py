@@ -355,6 +355,29 @@ def test_language_model_sums_to_one_and_state_is_carried(spark, docs):
     assert np.allclose(a[3], b[3], rtol=1e-4)
 
 
+def test_language_model_goes_on_learning_on_workers(spark):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents").select(F.xxhash64("doc_id").alias("h"), "text")
+    counts = common.cut(lm.count_words(docs))
+    vocab = lm.make_vocabulary(counts)
+    rows_ = sorted((r["h"], r["text"] or "") for r in docs.collect())
+    reader = lm.Reader(vocab, None)
+    start = lm.fit(reader.arrays([t for _, t in rows_[:60]]), vocab, hidden=8, epochs=1)
+    before = {k: x.copy() for k, x in start.p.items()}
+    spread = lm.refine(start, vocab, docs, rounds=2, worker_docs=150)
+    again = lm.refine(start, vocab, docs.repartition(5), rounds=2, worker_docs=150)
+    assert all(np.array_equal(before[k], start.p[k]) for k in before)
+    assert all(np.allclose(spread.p[k], again.p[k], atol=1e-5) for k in before)
+    texts = [t for _, t in rows_[-200:]]
+    assert lm.Reader(vocab, spread).score(texts)[3].sum() > lm.Reader(vocab, start).score(texts)[3].sum()
+    # one worker and one round: the same as learning here
+    alone = lm.refine(start, vocab, docs, rounds=1, worker_docs=10**6)
+    own = lm.Network.__new__(lm.Network)
+    own.hidden, own.p = 8, {k: x.copy() for k, x in before.items()}
+    here = lm.fit(reader.arrays([t for _, t in rows_]), None, epochs=1, lanes=128, rate=3e-3, seed=0, start=own)
+    assert all(np.allclose(alone.p[k], here.p[k], atol=1e-4) for k in before)
+    assert lm.refine(start, vocab, docs.limit(0)) is start
+
+
 def test_language_model_odd(spark, odd, none):
     got = lm.score_documents(odd, F.col("doc_id") < 5, epochs=1).collect()
     assert len(got) == len(ODD) and all(np.isfinite(r["score"]) for r in got)
