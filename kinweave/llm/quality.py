@@ -12,12 +12,16 @@ those named are ignored.  Without labelled rows of both kinds the model has no
 evidence and every score is the share of good labels (0.5 without labels).
 
 Learning reads at most ``max_train_docs`` labelled documents (those with the
-smallest hash of their id) of ``max_train_lines`` lines at most each; scoring
-reads every line of every document.
+smallest hashes of their ids), of these only texts of up to ``max_doc_lines``
+lines, and in all ``max_lines`` lines, which bounds what reaches the driver.
+Scoring reads every line of every document.  Long texts pass in blocks: a stretch
+of the chain is a product of 2 x 2 matrices, so forward and backward messages at
+the blocks' ends come first, and memory holds a number for each line.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, map_batches, sample_ids, texts
+from .common import by_bytes, cut, map_batches, sample_ids, texts
 
 #: Classes of bytes that a line's shape is told from.
 _LOWER, _UPPER, _DIGIT, _SPACE, _BANG, _PIPE, _MARK, _ODD, _HIGH, _REST = range(10)
@@ -54,19 +58,44 @@ _N_OWN = _N_CLASSES + 13
 N_FEATURES = 3 * _N_OWN + 3
 
 
+def _own(kinds: np.ndarray, size: np.ndarray, again: np.ndarray, doubled: np.ndarray, varied: np.ndarray) -> np.ndarray:
+    """A line's own features from its bytes by class, its size, and whether it and its words repeat."""
+    share = kinds / np.maximum(size, 1)[:, None].astype(np.float32)
+    own = np.empty((len(size), _N_OWN), dtype=np.float32)
+    own[:, :_N_CLASSES] = share
+    own[:, _N_CLASSES] = np.log1p(size) / 8
+    own[:, _N_CLASSES + 1] = np.minimum(size / (kinds[:, _SPACE] + 1), 40) / 10
+    own[:, _N_CLASSES + 2] = again
+    own[:, _N_CLASSES + 3] = share[:, _UPPER] > 0.4
+    own[:, _N_CLASSES + 4] = share[:, _ODD] > 0.06
+    own[:, _N_CLASSES + 5] = share[:, _PIPE] > 0.02
+    own[:, _N_CLASSES + 6] = share[:, _BANG] > 0.03
+    own[:, _N_CLASSES + 7] = share[:, _DIGIT] > 0.2
+    own[:, _N_CLASSES + 8] = size == 0
+    own[:, _N_CLASSES + 9] = doubled
+    own[:, _N_CLASSES + 10] = doubled > 0.2
+    own[:, _N_CLASSES + 11] = varied
+    own[:, _N_CLASSES + 12] = varied < 0.3
+    return own
+
+
+def _kinds(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes by class and size of each line; every line of ``block`` ends with a line end."""
+    ends = np.flatnonzero(block == 10)
+    n = len(ends)
+    size = np.diff(ends, prepend=-1) - 1
+    line_of = np.repeat(np.arange(n, dtype=np.int64) * _N_CLASSES, size + 1)
+    kinds = np.bincount(line_of + _CLASS[block], minlength=n * _N_CLASSES).reshape(n, _N_CLASSES).astype(np.float32)
+    kinds[:, _REST] -= 1  # the line end itself
+    return kinds, size
+
+
 def line_features(docs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of all lines of ``docs``: (lines x features, line bytes, lines of each document)."""
     raw = [d.encode("utf-8", "surrogatepass") for d in docs]
     counts = np.array([r.count(b"\n") + 1 for r in raw], dtype=np.int64)
-    joined = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
-    ends = np.flatnonzero(joined == 10)
-    n = len(ends)
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    size = ends - starts
-    line_of = np.repeat(np.arange(n, dtype=np.int64) * _N_CLASSES, size + 1)
-    kinds = np.bincount(line_of + _CLASS[joined], minlength=n * _N_CLASSES).reshape(n, _N_CLASSES).astype(np.float32)
-    kinds[:, _REST] -= 1  # the line end itself
-    share = kinds / np.maximum(size, 1)[:, None].astype(np.float32)
+    kinds, size = _kinds(np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8))
+    n = len(size)
 
     again = np.zeros(n, dtype=np.float32)
     doubled = np.zeros(n, dtype=np.float32)
@@ -83,22 +112,7 @@ def line_features(docs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 varied[i] = len(set(words)) / len(words)
         at += int(k)
 
-    own = np.empty((n, _N_OWN), dtype=np.float32)
-    own[:, :_N_CLASSES] = share
-    own[:, _N_CLASSES] = np.log1p(size) / 8
-    own[:, _N_CLASSES + 1] = np.minimum(size / (kinds[:, _SPACE] + 1), 40) / 10
-    own[:, _N_CLASSES + 2] = again
-    own[:, _N_CLASSES + 3] = share[:, _UPPER] > 0.4
-    own[:, _N_CLASSES + 4] = share[:, _ODD] > 0.06
-    own[:, _N_CLASSES + 5] = share[:, _PIPE] > 0.02
-    own[:, _N_CLASSES + 6] = share[:, _BANG] > 0.03
-    own[:, _N_CLASSES + 7] = share[:, _DIGIT] > 0.2
-    own[:, _N_CLASSES + 8] = size == 0
-    own[:, _N_CLASSES + 9] = doubled
-    own[:, _N_CLASSES + 10] = doubled > 0.2
-    own[:, _N_CLASSES + 11] = varied
-    own[:, _N_CLASSES + 12] = varied < 0.3
-
+    own = _own(kinds, size, again, doubled, varied)
     first = np.zeros(n, dtype=bool)
     first[np.cumsum(counts) - counts] = True
     last = np.zeros(n, dtype=bool)
@@ -113,6 +127,112 @@ def line_features(docs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, size, counts
 
 
+def _line_blocks(raw: bytes, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Ranges of whole lines, their line ends included, of about ``most`` bytes; a longer line is a range of its own."""
+    at, n = 0, len(raw)
+    while at <= n:
+        end = raw.rfind(b"\n", at, min(n, at + most)) + 1
+        if end <= at:
+            end = raw.find(b"\n", at) + 1 or n + 1
+        yield at, end
+        at = end
+
+
+def _long_line(raw: bytes, at: int, end: int, step: int = 1 << 20) -> tuple[np.ndarray, float, float]:
+    """Bytes by class, share of doubled words and of different words of one line, read a piece at a time."""
+    kinds = np.zeros(256, dtype=np.int64)
+    hashes, rest = [], b""
+    for a in range(at, end, step):
+        part = raw[a : min(end, a + step)]
+        kinds += np.bincount(np.frombuffer(part, dtype=np.uint8), minlength=256)
+        words = (rest + part).split()
+        rest = words.pop() if words and not part[-1:].isspace() else b""
+        hashes.append(np.fromiter(map(hash, words), dtype=np.int64, count=len(words)))
+    if rest:
+        hashes.append(np.array([hash(rest)], dtype=np.int64))
+    h = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.int64)
+    by_class = np.bincount(_CLASS, kinds, _N_CLASSES).astype(np.float32)
+    if len(h) < 2:
+        return by_class, 0.0, 1.0
+    return by_class, float((h[1:] == h[:-1]).sum()) / (len(h) - 1), len(np.unique(h)) / len(h)
+
+
+def long_emission(raw: bytes, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Evidence and size of each line of one long text; the lines pass in blocks."""
+    # lines that occur again, by their hashes
+    kept: list[np.ndarray] = []
+    repeats: list[np.ndarray] = []
+
+    def merge() -> None:
+        u, c = np.unique(np.concatenate(kept), return_counts=True) if kept else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        repeats.append(u[c > 1])
+        kept[:] = [u]
+
+    for a, z in _line_blocks(raw):
+        u, c = np.unique(np.fromiter((hash(x) for x in raw[a:z].removesuffix(b"\n").split(b"\n") if x), dtype=np.int64), return_counts=True)
+        repeats.append(u[c > 1])
+        kept.append(u)
+        if sum(map(len, kept[1:])) > 2_000_000:
+            merge()
+    merge()
+    twice = np.unique(np.concatenate(repeats))
+    del kept, repeats
+    w = weights.astype(np.float32)
+    es, sizes, tail = [], [], np.float32(0)
+    for a, z in _line_blocks(raw):
+        body = raw[a:z].removesuffix(b"\n")
+        lines = body.split(b"\n")
+        doubled, varied = np.zeros(len(lines), dtype=np.float32), np.ones(len(lines), dtype=np.float32)
+        if len(body) > 1 << 18:
+            by_class, d, v = _long_line(raw, a, a + len(body))
+            kinds, size, doubled[0], varied[0] = by_class[None], np.array([len(body)]), d, v
+        else:
+            kinds, size = _kinds(np.frombuffer(body + b"\n", dtype=np.uint8))
+            for i, line in enumerate(lines):
+                if len(line) > 1 and len(words := line.split()) > 1:
+                    doubled[i] = sum(map(eq, words, words[1:])) / (len(words) - 1)
+                    varied[i] = len(set(words)) / len(words)
+        again = np.isin(np.fromiter(map(hash, lines), dtype=np.int64, count=len(lines)), twice) & (size > 0)
+        own = _own(kinds, size, again, doubled, varied)
+        e = own @ w[:_N_OWN] + w[-1]
+        left, right = own @ w[_N_OWN : 2 * _N_OWN], own @ w[2 * _N_OWN : 3 * _N_OWN]
+        e[1:] += left[:-1]
+        e[:-1] += right[1:]
+        if es:
+            e[0] += tail
+            es[-1][-1] += right[0]
+        tail = left[-1]
+        es.append(e)
+        sizes.append(size.astype(np.int32))
+    es[0][0] += w[-3]
+    es[-1][-1] += w[-2]
+    return np.concatenate(es), np.concatenate(sizes)
+
+
+def long_mean(emission: np.ndarray, size: np.ndarray, pairs: np.ndarray, segment: int = 1 << 19) -> float:
+    """Length-weighted mean of the marginals of one chain, a segment at a time."""
+    move = np.exp(pairs)
+    cuts = list(range(0, len(emission), segment))
+    q = []
+    for a in cuts:
+        psi = _forces(emission[a : a + segment])
+        begin = np.arange(0, len(psi), 1024)
+        parts = transfer(psi, begin, np.minimum(1024, len(psi) - begin), move)
+        whole = parts[0]
+        for m in parts[1:]:
+            whole = whole @ move @ m
+            whole = whole / whole.sum()
+        q.append(whole)
+    left, right = _messages(np.array(q), np.array([False] + [True] * (len(q) - 1)), move, _HALF, _ONE)
+    total = weight = 0.0
+    for j, a in enumerate(cuts):
+        part = emission[a : a + segment]
+        w = size[a : a + segment] + 1.0
+        total += float(marginals(part, np.array([len(part)]), pairs, before=left[j], after=right[j]) @ w)
+        weight += float(w.sum())
+    return total / weight
+
+
 @dataclass
 class Crf:
     """Weights of the features for label 1 (label 0 weighs 0) and of label pairs."""
@@ -125,24 +245,71 @@ class Crf:
     curve: tuple[float, float] = (1.0, 0.0)
 
 
-def marginals(emission: np.ndarray, counts: np.ndarray, pairs: np.ndarray, expected: bool = False):
+def _forces(emission: np.ndarray) -> np.ndarray:
+    psi = np.empty((len(emission), 2))
+    e = np.clip(emission, -30, 30)
+    np.exp(e / 2, out=psi[:, 1])
+    np.divide(1.0, psi[:, 1], out=psi[:, 0])
+    return psi
+
+
+def transfer(psi: np.ndarray, begin: np.ndarray, length: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """What each stretch does to a message, as 2 x 2 matrices up to a factor: from before its first position to its last."""
+    order = np.argsort(-length, kind="stable")
+    begin, length = begin[order], length[order]
+    q = psi[begin][:, None, :] * np.eye(2)[None]
+    for t in range(1, int(length[0]) if len(length) else 0):
+        k = int(np.searchsorted(-length, -t, side="left"))
+        one = (q[:k] @ move) * psi[begin[:k] + t][:, None, :]
+        q[:k] = one / one.sum(axis=(1, 2), keepdims=True)
+    out = np.empty_like(q)
+    out[order] = q
+    return out
+
+
+def _messages(q: np.ndarray, joined: np.ndarray, move: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Messages that enter each stretch from the left and from the right; ``joined`` stretches go on from the one before."""
+    left, right = np.tile(before, (len(q), 1)), np.tile(after, (len(q), 1))
+    for j in range(1, len(q)):
+        if joined[j]:
+            m = left[j - 1] @ q[j - 1] @ move
+            left[j] = m / m.sum()
+    for j in range(len(q) - 2, -1, -1):
+        if joined[j + 1]:
+            m = move @ (q[j + 1] @ right[j + 1])
+            right[j] = m / m.sum()
+    return left, right
+
+
+_HALF, _ONE = np.full(2, 0.5), np.ones(2)
+
+
+def marginals(emission: np.ndarray, counts: np.ndarray, pairs: np.ndarray, expected: bool = False, before: np.ndarray = _HALF, after: np.ndarray = _ONE, piece: int = 1024):
     """Forward-backward over chains laid end to end.
 
     Returns each position's probability of label 1 and, if asked, the expected
     number of each label pair.  Chains run side by side, longest first, so that
-    step t touches just the chains with more than t positions.
+    step t touches just the chains with more than t positions; chains of more
+    than two pieces are cut into pieces, which run side by side as well.
     """
-    order = np.argsort(-counts, kind="stable")
-    begin = (np.cumsum(counts) - counts)[order]
-    length = counts[order]
-    longest = int(length[0]) if len(length) else 0
-    active = np.searchsorted(-length, -np.arange(longest), side="left")  # chains with more than t positions
-    psi = np.ones((len(emission), 2))
-    e = np.clip(emission, -30, 30)
-    psi[:, 0], psi[:, 1] = np.exp(-e / 2), np.exp(e / 2)
-    move = np.exp(pairs)
+    begin, length = np.cumsum(counts) - counts, counts
+    psi, move = _forces(emission), np.exp(pairs)
+    longest = int(counts.max(initial=0))
+    left, right, joined = np.tile(before, (len(counts), 1)), np.tile(after, (len(counts), 1)), np.zeros(len(counts), dtype=bool)
+    if longest > 2 * piece:
+        n = np.where(counts > 2 * piece, -(-counts // piece), 1)
+        chain = np.repeat(np.arange(len(counts)), n)
+        nth = np.arange(len(chain)) - np.repeat(np.cumsum(n) - n, n)
+        begin = begin[chain] + nth * piece
+        length = np.where(n[chain] > 1, np.minimum(piece, counts[chain] - nth * piece), counts[chain])
+        joined = nth > 0
+        left, right = _messages(transfer(psi, begin, length, move), joined, move, before, after)
+        longest = int(length.max())
+    order = np.argsort(-length, kind="stable")
+    begin, length, left, right = begin[order], length[order], left[order], right[order]
+    active = np.searchsorted(-length, -np.arange(longest), side="left")  # stretches with more than t positions
     alpha = np.empty_like(psi)
-    a = np.full((len(length), 2), 0.5)
+    a = left
     for t in range(longest):
         k = int(active[t])
         at = begin[:k] + t
@@ -150,22 +317,31 @@ def marginals(emission: np.ndarray, counts: np.ndarray, pairs: np.ndarray, expec
         a /= a.sum(axis=1, keepdims=True)
         alpha[at] = a
     both = np.zeros((2, 2))
-    p = alpha[:, 1].copy()
-    b = np.ones((len(length), 2))
+    p = np.empty(len(psi))
+    b = right.copy()
+    ends = begin + length - 1
+    g = alpha[ends] * b
+    p[ends] = g[:, 1] / g.sum(axis=1)
     for t in range(longest - 1, 0, -1):
         k = int(active[t])
         at = begin[:k] + t
-        right = psi[at] * b[:k]
-        left = alpha[at - 1]
+        force = psi[at] * b[:k]
+        was = alpha[at - 1]
         if expected:
-            xi = left[:, :, None] * move[None] * right[:, None, :]
+            xi = was[:, :, None] * move[None] * force[:, None, :]
             xi /= xi.sum(axis=(1, 2), keepdims=True)
             both += xi.sum(axis=0)
-        nb = right @ move.T
+        nb = force @ move.T
         nb /= nb.sum(axis=1, keepdims=True)
         b[:k] = nb
-        g = left * nb
+        g = was * nb
         p[at - 1] = g[:, 1] / g.sum(axis=1)
+    if expected and joined.any():
+        # between pieces
+        on = joined[order]
+        at = begin[on]
+        xi = alpha[at - 1][:, :, None] * move[None] * (psi[at] * b[on])[:, None, :]
+        both += (xi / xi.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
     return (p, both) if expected else p
 
 
@@ -220,11 +396,15 @@ def _calibrate(z: np.ndarray, labels: np.ndarray, rounds: int = 60) -> tuple[flo
 
 
 def score(docs: list[str], model: Crf, most_bytes: int = 4_000_000) -> np.ndarray:
-    """Scores of ``docs``, some megabytes of text at a time."""
+    """Scores of ``docs``, some megabytes of text at a time; longer texts, and those of very many lines, by blocks."""
     if not model.learned:
         return np.full(len(docs), model.prior)
     out = np.empty(len(docs))
-    for a, z in by_bytes([len(d) for d in docs], most_bytes):
+    sizes = [len(d) + 100 * d.count("\n") for d in docs]
+    for a, z in by_bytes(sizes, most_bytes):
+        if sizes[a] > most_bytes:
+            out[a] = long_mean(*long_emission(docs[a].encode("utf-8", "surrogatepass"), model.weights), model.pairs)
+            continue
         x, size, counts = line_features(docs[a:z])
         p = marginals(x @ model.weights, counts, model.pairs)
         out[a:z] = _weighted(p, size + 1.0, counts)
@@ -232,7 +412,7 @@ def score(docs: list[str], model: Crf, most_bytes: int = 4_000_000) -> np.ndarra
     return 1 / (1 + np.exp(-np.clip(slope * _logit(out) + shift, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 4000, max_train_lines: int = 2000) -> Crf:
+def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 4000, max_doc_lines: int = 2000, max_lines: int = 200_000) -> Crf:
     """Fit on a bounded sample of ``docs`` (doc_id, text) with ``labels`` (doc_id, label).
 
     Rows of ``labels`` that contradict each other, and null ids or labels, teach
@@ -248,20 +428,28 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 4000, max_tr
     chosen = sample_ids(agreed, "doc_id", max_train_docs)
 
     def shapes(batch: pa.RecordBatch) -> dict[str, list]:
-        x, size, counts = line_features(texts(batch))
+        docs_here = texts(batch)
+        n = [t.count("\n") + 1 for t in docs_here]
+        short = [t if k <= max_doc_lines else "" for t, k in zip(docs_here, n)]
+        x, size, counts = line_features(short)
         parts = np.split(np.column_stack((x, size)).astype(np.float32), np.cumsum(counts)[:-1])
-        return {"x": [p[: max_train_lines + 1].tobytes() for p in parts]}
+        return {"n": n, "x": [p.tobytes() for p in parts]}
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    made = map_batches(rows, shapes, {"x": T.BinaryType()}, keep=["doc_id", "label"]).collect()
-    made = sorted(made, key=lambda r: r["doc_id"])
-    x = [np.frombuffer(r["x"], dtype=np.float32).reshape(-1, N_FEATURES + 1) for r in made]
-    used = [i for i, part in enumerate(x) if len(part) <= max_train_lines]
-    if not used:
+    made = cut(map_batches(rows, shapes, {"n": T.LongType(), "x": T.BinaryType()}, keep=["doc_id", "label"]))
+    # the lines are counted before they come to the driver
+    ids, total = [], 0
+    for r in made.where(F.col("n") <= max_doc_lines).select("doc_id", "n").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").collect():
+        total += r["n"]
+        if total > max_lines:
+            break
+        ids.append(r["doc_id"])
+    if not ids:
         return Crf(np.zeros(N_FEATURES), np.zeros((2, 2)), 0.5, learned=False)
-    rows_used = np.concatenate([x[i] for i in used])
-    counts = np.array([len(x[i]) for i in used])
-    return fit(rows_used[:, :-1], counts, np.array([int(made[i]["label"]) for i in used]), rows_used[:, -1])
+    found = sorted(made.where(F.col("doc_id").isin(ids)).select("doc_id", "label", "x").collect(), key=lambda r: r["doc_id"])
+    x = [np.frombuffer(r["x"], dtype=np.float32).reshape(-1, N_FEATURES + 1) for r in found]
+    lines = np.concatenate(x)
+    return fit(lines[:, :-1], np.array([len(part) for part in x]), np.array([int(r["label"]) for r in found]), lines[:, -1])
 
 
 def annotate(docs: DataFrame, model: Crf, threshold: float = 0.3, keep: list[str] | None = None, only_kept: bool = False) -> DataFrame:
