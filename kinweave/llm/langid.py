@@ -16,7 +16,8 @@ any learned language all is ``und``.
 Learning reads a bounded sample: ``per_language`` documents of each language
 with the smallest hashes of their ids, ``max_docs`` in all, of the
 ``max_languages`` most frequent languages, whole texts of up to ``max_chars``
-characters.  Scoring reads whole texts of all documents.
+characters and ``max_total_chars`` in all, which bounds what reaches the driver.
+Scoring reads whole texts of all documents.
 """
 
 from __future__ import annotations
@@ -98,11 +99,22 @@ def _codes(symbols: np.ndarray) -> np.ndarray:
 
 def presence(docs: list[str], model_tables: tuple[np.ndarray, np.ndarray], n_grams: int) -> np.ndarray:
     """Which known n-grams each text has: (texts x n-grams) of 0 and 1."""
+    return evidence(docs, model_tables, n_grams)[0]
+
+
+def evidence(docs: list[str], model_tables: tuple[np.ndarray, np.ndarray], n_grams: int) -> tuple[np.ndarray, np.ndarray]:
+    """``presence``, and the share of each text's n-grams, repeats included, that are known."""
     symbol, number = model_tables
-    out = np.zeros((len(docs), n_grams + 1), dtype=np.uint8)
+    out, known = np.zeros((len(docs), n_grams + 1), dtype=np.uint8), np.zeros(len(docs))
     for i, text in enumerate(docs):
-        out[i, number[_codes(symbol[_points(text)])]] = 1
-    return out[:, 1:]
+        # long texts pass in parts that share two symbols
+        seen, total = 0, 0
+        for a in range(0, max(1, len(text)), 1 << 20):
+            at = number[_codes(symbol[_points(text[max(0, a - 2) : a + (1 << 20)])])]
+            out[i, at] = 1
+            seen, total = seen + np.count_nonzero(at), total + len(at)
+        known[i] = seen / max(1, total)
+    return out[:, 1:], known
 
 
 def fit(docs: list[str], langs: list[str], n_landmarks: int = 160, max_grams: int = 12000, ridge: float = 1e-3) -> Model | None:
@@ -147,26 +159,27 @@ def _kernel(p: np.ndarray, landmarks: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return (p @ landmarks.astype(np.float32).T) / own[:, None] / sizes[None, :]
 
 
-def predict(docs: list[str | None], model: Model | None, chunk: int = 256) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text."""
-    langs, scores = [UNKNOWN] * len(docs), np.zeros(len(docs))
+def predict(docs: list[str | None], model: Model | None, chunk: int = 256) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language and score of each text, and the share of its n-grams that the model knows."""
+    langs, scores, shares = [UNKNOWN] * len(docs), np.zeros(len(docs)), np.zeros(len(docs))
     some = [i for i, d in enumerate(docs) if d and any(map(str.isalpha, d))]
     if model is None:
-        return langs, scores
+        return langs, scores, shares
     tables, marks = model.ready(), model.landmarks.astype(np.float32)
     for a in range(0, len(some), chunk):
         at = some[a : a + chunk]
-        k = _kernel(presence([docs[i] for i in at], tables, len(model.grams)), marks, model.landmark_sizes)
+        present, shares[at] = evidence([docs[i] for i in at], tables, len(model.grams))
+        k = _kernel(present, marks, model.landmark_sizes)
         margin = k @ model.coefficients[:-1] + model.coefficients[-1]
         best = margin.argmax(axis=1)
         e = np.exp(model.sharpness / 2 * (margin - margin.max(axis=1, keepdims=True)))
         scores[at] = 1 / e.sum(axis=1)
         for i, b in zip(at, best):
             langs[i] = model.languages[b]
-    return langs, scores
+    return langs, scores, shares
 
 
-def train(docs: DataFrame, per_language: int = 300, max_docs: int = 2400, max_chars: int = 200_000, max_languages: int = 1000) -> Model | None:
+def train(docs: DataFrame, per_language: int = 300, max_docs: int = 2400, max_chars: int = 200_000, max_total_chars: int = 20_000_000, max_languages: int = 1000) -> Model | None:
     """Fit on a bounded sample of ``docs`` (doc_id, text, lang)."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= max_chars))
     counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_languages).collect()
@@ -176,11 +189,11 @@ def train(docs: DataFrame, per_language: int = 300, max_docs: int = 2400, max_ch
     bar = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (2 * per_language + 50) / r["n"])) for r in counts], "lang string, bar double")
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     passed = (
-        usable.select("lang", "doc_id", key.alias("h"))
+        usable.select("lang", "doc_id", key.alias("h"), F.char_length("text").alias("chars"))
         .join(F.broadcast(bar), "lang")
         .where((F.col("h").cast("double") / 2.0**64 + 0.5) < F.col("bar"))
-        .select("lang", "doc_id", "h")
-        .distinct()
+        .groupBy("lang", "doc_id", "h")
+        .agg(F.max("chars").alias("chars"))
         .collect()
     )
     ranked: list[tuple] = []
@@ -188,8 +201,11 @@ def train(docs: DataFrame, per_language: int = 300, max_docs: int = 2400, max_ch
     for r in sorted(passed, key=lambda r: (r["h"], r["doc_id"] or 0)):
         n = place[r["lang"]] = place.get(r["lang"], 0) + 1
         if n <= per_language:
-            ranked.append((n, r["lang"], r["doc_id"]))
+            ranked.append((n, r["lang"], r["doc_id"], r["chars"]))
+    # round robin over the languages until the characters are used up
     ranked = sorted(ranked, key=lambda x: x[:2])[:max_docs]
+    ends = np.cumsum([x[3] for x in ranked])
+    ranked = [x[:3] for x, end in zip(ranked, ends) if end <= max_total_chars]
     id_type = usable.schema["doc_id"].dataType.simpleString()
     chosen = docs.sparkSession.createDataFrame(ranked, f"n long, lang string, doc_id {id_type}")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.lang") == F.col("b.lang"))
@@ -205,15 +221,19 @@ def train(docs: DataFrame, per_language: int = 300, max_docs: int = 2400, max_ch
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
-def annotate(docs: DataFrame, model: Model | None, min_score: float = 0.0, keep: list[str] | None = None, only_kept: bool = False) -> DataFrame:
-    """Add ``lang_pred`` and ``score``; with ``only_kept``, rows that are ``und`` or score under ``min_score`` go."""
+def annotate(docs: DataFrame, model: Model | None, min_score: float = 0.0, min_known: float = 0.0, keep: list[str] | None = None, only_kept: bool = False) -> DataFrame:
+    """Add ``lang_pred`` and ``score``; with ``only_kept``, rows go that are ``und``, score under ``min_score`` or know under ``min_known`` of their n-grams.
+
+    The score weighs the learned languages against each other; it is the share of
+    known n-grams that tells a text in none of them.
+    """
     new = {"lang_pred": T.StringType(), "score": T.DoubleType()} | ({"kept": T.BooleanType()} if only_kept else {})
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
-        langs, scores = predict(texts(batch), model)
+        langs, scores, shares = predict(texts(batch), model)
         made = {"lang_pred": langs, "score": scores}
         if only_kept:
-            made["kept"] = [x != UNKNOWN and s >= min_score for x, s in zip(langs, scores)]
+            made["kept"] = [x != UNKNOWN and s >= min_score and k >= min_known for x, s, k in zip(langs, scores, shares)]
         return made
 
     return map_batches(docs, run, new, keep=keep, where="kept" if only_kept else None)

@@ -100,6 +100,34 @@ def test_quality_learns_and_marginals_are_exact(spark, docs):
     assert np.mean([r["predicted"] == r["quality"] for r in found]) > 0.93
 
 
+def test_quality_long_texts():
+    """Long chains by pieces, and long texts by blocks, give what the plain recurrences give."""
+    rng = np.random.default_rng(3)
+    pairs = rng.normal(size=(2, 2))
+    counts = np.array([5000, 2, 1, 2500, 2048, 2049])
+    e = rng.normal(size=counts.sum()) * 3
+    whole = quality.marginals(e, counts, pairs, expected=True, piece=10**6)
+    pieces = quality.marginals(e, counts, pairs, expected=True)
+    assert np.allclose(whole[0], pieces[0]) and np.allclose(whole[1], pieces[1])
+    sizes = rng.integers(0, 90, len(e))
+    assert quality.long_mean(e, sizes, pairs, segment=1500) == pytest.approx((quality.marginals(e, np.array([len(e)]), pairs) @ (sizes + 1.0)) / (sizes + 1.0).sum())
+    w = rng.normal(size=quality.N_FEATURES)
+    lines = [" ".join(rng.choice(["the", "cat", "Über", "12", "|", "!!!", "on", "on"], rng.integers(0, 12))) for _ in range(30_000)]
+    for text in ("\n".join([*lines, "x y " * 200_000, "", "z"]), "", "\n", "a\n", "a\n\nb"):
+        x, size, _ = quality.line_features([text])
+        by_blocks = quality.long_emission(text.encode(), w)
+        assert np.allclose(x @ w, by_blocks[0], atol=1e-4) and (size == by_blocks[1]).all()
+    model = quality.Crf(0.3 * w, pairs)
+    text = "\n".join(lines)
+    assert quality.score([text], model, most_bytes=1000) == pytest.approx(quality.score([text], model, most_bytes=10**9))
+
+
+def test_quality_learning_is_bounded(spark, docs):
+    labels = common.table(spark, DATA, "labels").select("doc_id", F.col("quality").alias("label"))
+    assert quality.train(docs, labels, max_lines=0).learned is False
+    assert quality.train(docs, labels, max_lines=400).learned
+
+
 def test_quality_odd(spark, odd, none):
     labels = spark.createDataFrame([(4, 1), (6, 0), (6, 0), (5, 1), (5, 0), (None, 1), (9, None)], "doc_id long, label int")
     model = quality.train(odd, labels)
@@ -528,6 +556,18 @@ def test_language(spark, odd, none):
     assert langid.annotate(none, model).count() == 0
 
 
+def test_language_evidence(spark, docs):
+    """Texts in none of the learned languages are told by the n-grams that no landmark knows; clean ones stay."""
+    model = langid.train(common.table(spark, "/root/testdata/sf0.01", "documents"))
+    foreign = ["Вчера вечером мы гуляли по набережной и говорили о книгах.", "昨日の夜、友達と川へ行きました。", "Χθες το βράδυ πήγαμε στο ποτάμι με φίλους."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(foreign)], "doc_id long, text string")
+    assert langid.annotate(df, model, min_known=0.6, only_kept=True).count() == 0
+    clean = docs.where("lang is not null")
+    assert langid.annotate(clean, model, min_known=0.6, only_kept=True).count() == clean.count()
+    long = "palabra larga " * 200_000
+    assert np.array_equal(langid.predict([long], model)[1] > 0.2, [True])
+
+
 def test_kernel_is_the_presence_kernel(spark):
     model = langid.fit(["abc abd", "xyz", "abc"], ["p", "q", "p"])
     symbol, number = model.ready()
