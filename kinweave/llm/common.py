@@ -34,6 +34,12 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is on."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the shared folder."""
     shared_folder(df.sparkSession)
