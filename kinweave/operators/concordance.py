@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .intervals import without
+
 BIN = 1 << 18
 
 
@@ -31,7 +33,7 @@ def block_join(sites: DataFrame, blocks: DataFrame, first_only: bool = True, siz
 
 def outside_blocks(sites: DataFrame, blocks: DataFrame, size: int = BIN) -> DataFrame:
     """Sites that no block holds."""
-    return sites.join(block_join(sites, blocks, False, size).select(*sites.columns).distinct(), sites.columns, "left_anti")
+    return without(sites, block_join(sites, blocks, False, size), sites.columns)
 
 
 def gather(sites: DataFrame, blocks: DataFrame, labels: DataFrame, gts: DataFrame, founders: list[str], first_only: bool = True) -> DataFrame:

@@ -30,7 +30,8 @@ def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner", keys: list[str]
     """Pairs of overlapping intervals (J5): columns of ``a``, and those of ``b`` with the prefix ``b_``.
 
     ``keys`` are equal in both (chrom by default).  With ``how="left"`` rows of
-    ``a`` without a partner stay.  Intervals longer than ``wide`` bins meet in
+    ``a`` without a partner stay; equal rows are told apart by nothing but their
+    number, so a lost executor can't mix them up.  Intervals longer than ``wide`` bins meet in
     coarser bins, so that a few giant ones don't fill thousands of bins.
     """
     keys = keys or ["chrom"]
@@ -43,7 +44,7 @@ def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner", keys: list[str]
         return x.withColumn("_bin", _bins("s", "e", size)).join(y.withColumn("_bin", _bins("b_s", "b_e", size)), [*keys, "_bin"]).where(overlaps & (F.col("_bin") == first)).drop("_bin")
 
     if how == "left":
-        a = a.withColumn("_row", F.monotonically_increasing_id())
+        a = a.groupBy(*a.columns).agg(F.count(F.lit(1)).alias("_copies"))
     if wide is None:
         pairs = meet(a, right, size)
     else:
@@ -52,9 +53,37 @@ def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner", keys: list[str]
         pairs = pairs.unionByName(meet(a.where(long_a), right, size * wide)).unionByName(meet(a.where(~long_a), right.where(long_b), size * wide))
     if how != "left":
         return pairs
-    own = [c for c in a.columns if c != "_row"]
+    own = [c for c in a.columns if c != "_copies"]
     only_b = [c for c in right.columns if c not in keys]
-    return a.join(pairs.select("_row", *only_b), "_row", "left").select(*own, *only_b)
+    alone = without(a, pairs.select(*own), own).select("*", *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in only_b])
+    return _repeated(pairs.select(*a.columns, *only_b).unionByName(alone)).select(*own, *only_b)
+
+
+def _repeated(df: DataFrame) -> DataFrame:
+    """Each row as many times as ``_copies`` says."""
+    return df.withColumn("_copies", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).drop("_copies")
+
+
+def _matching(a: DataFrame, b: DataFrame, columns: list[str], how: str) -> DataFrame:
+    other = b.select(*[F.col(c).alias(f"_other_{c}") for c in columns]).distinct()
+    return a.join(other, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_other_{c}")) for c in columns]), how)
+
+
+def without(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of ``a`` that ``b`` doesn't have in ``columns``; nulls are equal."""
+    return _matching(a, b, columns, "left_anti")
+
+
+def among(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of ``a`` that ``b`` has in ``columns``; nulls are equal."""
+    return _matching(a, b, columns, "left_semi")
+
+
+def _tally(a: DataFrame, pairs: DataFrame, value: Column, name: str) -> DataFrame:
+    """Each distinct row of ``a`` with the sum of ``value`` over its ``pairs``, in one aggregation; zeros stay and nulls are equal."""
+    rows = a.select("*", F.lit(1).alias("_own"), F.lit(0).cast("long").alias("_sum")).unionByName(pairs.select(*a.columns, F.lit(0).alias("_own"), value.cast("long").alias("_sum")))
+    sums = rows.groupBy(*a.columns).agg(F.sum("_own").alias("_own"), F.sum("_sum").alias("_sum"))
+    return sums.select(*a.columns, F.expr("_sum div _own").alias(name))
 
 
 def count_overlaps(a: DataFrame, b: DataFrame, name: str = "n", size: int = BIN) -> DataFrame:
@@ -62,8 +91,7 @@ def count_overlaps(a: DataFrame, b: DataFrame, name: str = "n", size: int = BIN)
 
     Rows of ``a`` are told apart by all their columns.
     """
-    hits = overlap_join(a, b.select("chrom", "s", "e"), size=size).groupBy(*a.columns).agg(F.count(F.lit(1)).alias(name))
-    return a.join(hits, a.columns, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return _tally(a, overlap_join(a, b.select("chrom", "s", "e"), size=size), F.lit(1), name)
 
 
 def merge(df: DataFrame, size: int = BIN, gap: int = 0) -> DataFrame:
@@ -86,8 +114,7 @@ def intersect(a: DataFrame, b: DataFrame, size: int = BIN) -> DataFrame:
 
 def keep_overlapping(a: DataFrame, b: DataFrame, size: int = BIN) -> DataFrame:
     """Rows of ``a`` that overlap ``b``, once each (I4)."""
-    hit = overlap_join(a, merge(b).select("chrom", "s", "e"), size=size).select(*a.columns).distinct()
-    return a.join(hit, a.columns, "left_semi")
+    return among(a, overlap_join(a, merge(b).select("chrom", "s", "e"), size=size), a.columns)
 
 
 def subtract(a: DataFrame, b: DataFrame, size: int = BIN) -> DataFrame:
@@ -95,17 +122,15 @@ def subtract(a: DataFrame, b: DataFrame, size: int = BIN) -> DataFrame:
 
     ``a`` may hold equal rows; each gives its own pieces.
     """
-    rows = a.withColumn("_a", F.monotonically_increasing_id())
+    rows = a.groupBy(*a.columns).agg(F.count(F.lit(1)).alias("_copies"))
     pairs = overlap_join(rows, merge(b).select("chrom", "s", "e"), size=size)
-    # clip first: least and greatest skip nulls, so rows without a partner go their own way
-    cut = pairs.withColumns({"bs": F.greatest("s", "b_s"), "be": F.least("e", "b_e")})
-    order = Window.partitionBy("_a").orderBy("bs")
-    before = cut.select(*a.columns, "_a", F.coalesce(F.lag("be").over(order), F.col("s")).alias("ps"), F.col("bs").alias("pe"))
-    after = cut.groupBy("_a", *a.columns).agg(F.max("be").alias("ps")).withColumn("pe", F.col("e"))
-    whole = rows.join(cut.select("_a").distinct(), "_a", "left_anti").withColumns({"ps": F.col("s"), "pe": F.col("e")})
-    columns = [F.col("ps").alias("s") if c == "s" else F.col("pe").alias("e") if c == "e" else F.col(c) for c in a.columns]
-    pieces = reduce(DataFrame.unionByName, [x.select("_a", *a.columns, "ps", "pe") for x in (before, after, whole)])
-    return pieces.where("ps < pe").select(*columns)
+    taken = pairs.select(*rows.columns, F.greatest("s", "b_s").alias("bs"), F.least("e", "b_e").alias("be"))
+    # an empty stretch at each row's end: what lies before it is the last piece, or the whole row
+    ends = rows.select("*", F.col("e").alias("bs"), F.col("e").alias("be"))
+    order = Window.partitionBy(*rows.columns).orderBy("bs", "be")
+    pieces = taken.unionByName(ends).withColumn("ps", F.coalesce(F.lag("be").over(order), F.col("s"))).where("ps < bs")
+    columns = [F.col("ps").alias("s") if c == "s" else F.col("bs").alias("e") if c == "e" else F.col(c) for c in a.columns]
+    return _repeated(pieces).select(*columns)
 
 
 def depth_segments(df: DataFrame, size: int = BIN) -> DataFrame:
@@ -145,8 +170,7 @@ def windows(df: DataFrame, width: int, step: int) -> DataFrame:
 def coverage(a: DataFrame, b: DataFrame, size: int = BIN) -> DataFrame:
     """Each distinct interval of ``a`` with the part of it that ``b`` covers (I10): covered bases and fraction."""
     pairs = overlap_join(a, merge(b).select("chrom", "s", "e"), size=size)
-    sums = pairs.groupBy(*a.columns).agg(F.sum(F.least("e", "b_e") - F.greatest("s", "b_s")).alias("covered"))
-    out = a.join(sums, a.columns, "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
+    out = _tally(a, pairs, F.least("e", "b_e") - F.greatest("s", "b_s"), "covered")
     return out.withColumn("fraction", F.when(F.col("e") > F.col("s"), F.col("covered") / (F.col("e") - F.col("s"))).otherwise(F.lit(0.0)))
 
 

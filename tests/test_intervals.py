@@ -51,3 +51,27 @@ def test_empty(spark):
     some = frame(spark, [("a", 1, 5)])
     assert rows_of(iv.merge(none)) == [] and rows_of(iv.subtract(some, none)) == [("a", 1, 5)] and rows_of(iv.intersect(none, some)) == []
     assert iv.coverage(some, none).first()["fraction"] == 0
+
+
+def test_nulls_and_equal_rows_stay(spark):
+    """A null in any other column loses no row, and equal rows keep their number, however the rows are dealt out."""
+    a = [("c", 0, 10, None), ("c", 0, 10, "x"), ("c", 0, 10, "x"), ("c", 20, 30, None), ("c", 20, 30, None), (None, 1, 5, "y")]
+    x = spark.createDataFrame(a, "chrom string, s long, e long, name string").repartition(3, "name")
+    y = frame(spark, [("c", 5, 8), ("c", 6, 9), ("c", 28, 40)])
+    named = lambda df, *more: sorted(map(repr, df.select("chrom", "s", "e", "name", *more).collect()))
+    want = lambda rows, *more: sorted(map(repr, spark.createDataFrame(rows, ", ".join(["chrom string, s long, e long, name string", *more])).collect()))
+    assert named(iv.keep_overlapping(x, y)) == want(a[:5])
+    assert named(iv.count_overlaps(x, y), "n") == want([(*a[0], 2), (*a[1], 2), (*a[3], 1), (*a[5], 0)], "n long")
+    assert named(iv.coverage(x, y), "covered") == want([(*a[0], 4), (*a[1], 4), (*a[3], 2), (*a[5], 0)], "covered long")
+    left = [("c", s, e, n) for _, s0, _, n in a[:5] for s, e in (((0, 5), (9, 10)) if s0 == 0 else ((20, 28),))]
+    assert named(iv.subtract(x, y)) == want([*left, a[5]])
+    assert named(iv.overlap_join(x, y, how="left"), "b_s") == want([(*r, b) for r in a[:3] for b in (5, 6)] + [(*r, 28) for r in a[3:5]] + [(*a[5], None)], "b_s long")
+    assert named(iv.uncovered(x, y)) == want([a[5]])
+
+
+def test_sites_outside_blocks_with_nulls(spark):
+    from kinweave.operators import concordance
+
+    sites = spark.createDataFrame([("c", 5, None), ("c", 5, 1), ("c", 50, None)], "chrom string, pos0 long, qual int")
+    blocks = spark.createDataFrame([("c", 0, 0, 10)], "chrom string, b long, start_pos long, end_pos long")
+    assert [r["pos0"] for r in concordance.outside_blocks(sites, blocks).collect()] == [50]
