@@ -16,6 +16,10 @@ from ..sources import writers as wr
 from .registry import query
 
 
+#: The sequenced family of the views: two parents and their eight children.
+PEOPLE = [f"S{i:02d}" for i in range(4, 14)]
+
+
 def _place(df) -> str:
     return f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
 
@@ -36,12 +40,12 @@ def file_ped(ped):
 
 
 @query("file_vcf", "SC4 SC6 SC8 SK4 SK10", "fx_site", "fx_gt", sql="""
-select s.chrom, s.pos0, s.ref, s.alt, cast(s.qual as double) as qual, g.id, g.g0, g.g1, cast(g.dp as integer) as dp, cast(g.gq as integer) as gq from fx_site s join fx_gt g on g.site_id = s.site_id where g.i between 4 and 6
+select s.chrom, s.pos0, s.ref, s.alt, cast(s.qual as double) as qual, g.id, g.g0, g.g1, cast(g.dp as integer) as dp, cast(g.gq as integer) as gq from fx_site s join fx_gt g on g.site_id = s.site_id
 """)
 def file_vcf(site, gt):
-    at, samples = _place(site), ["S04", "S05", "S06"]
+    at, samples = _place(site), PEOPLE
     call = F.struct(F.col("id").alias("sample"), F.array("g0", "g1").alias("gt"), F.lit(False).alias("phased"), "dp", "gq")
-    calls = gt.where("i between 4 and 6").groupBy("site_id").agg(F.collect_list(call).alias("calls"))
+    calls = gt.groupBy("site_id").agg(F.collect_list(call).alias("calls"))
     records = site.join(calls, "site_id").select(
         "chrom", "pos0", F.lit(None).cast("string").alias("id"), "ref", F.array("alt").alias("alts"), "qual", F.array(F.lit("PASS")).alias("filters"), F.create_map(F.lit("SITE"), F.col("site_id").cast("string")).alias("info"), "calls"
     )
@@ -50,26 +54,43 @@ def file_vcf(site, gt):
     return rows.select("chrom", "pos0", "ref", F.get("alts", 0).alias("alt"), "qual", F.col("sample").alias("id"), F.get("gt", 0).alias("g0"), F.get("gt", 1).alias("g1"), "dp", "gq")
 
 
-@query("file_iht", "SC10 SC11 SC12 SK1 J15", "fx_mark", sql="select chrom, start_pos, end_pos, cast(3 as bigint) as n_markers, id, id = 'S04' as founder, h0, h1 from fx_mark where id in ('S04', 'S06', 'S07')")
+@query("file_iht", "SC10 SC11 SC12 SK1 J15", "fx_mark", sql="select chrom, start_pos, end_pos, cast(3 as bigint) as n_markers, id, id in ('S04', 'S05') as founder, h0, h1 from fx_mark")
 def file_iht(mark):
-    at, people = _place(mark), ["S04", "S06", "S07"]
-    rows = mark.where(F.col("id").isin(people)).withColumn("n_markers", F.lit(3).cast("long"))
-    wr.write_lines(wr.iht_lines(rows, people, ["S04"]), at, ["\t".join(["#chrom", "start", "end", *people, "marker_count", "len"])])
+    at, people = _place(mark), PEOPLE
+    rows = mark.withColumn("n_markers", F.lit(3).cast("long"))
+    wr.write_lines(wr.iht_lines(rows, people, ["S04", "S05"]), at, ["\t".join(["#chrom", "start", "end", *people, "marker_count", "len"])])
     return rd.read_iht(mark.sparkSession, at)
 
 
-@query("file_switches", "SK3 SK2 SK15", "fx_label", sql="""
-select chrom || ' ' || pe || ' ' || start_pos || ' ' || id || ' ' || p0 || ' ' || h0 as line from (select *, lag(h0) over w as p0, lag(end_pos) over w as pe from fx_label where i = 6 window w as (partition by chrom, id order by b)) t where p0 <> h0
+@query("file_switches", "SK3 SK15", "fx_label", sql="""
+with l as (select chrom, b, start_pos, end_pos, id, 0 as slot, h0 as h from fx_label union all select chrom, b, start_pos, end_pos, id, 1, h1 from fx_label)
+select chrom || ' ' || pe || ' ' || start_pos || ' ' || id || ' ' || p || ' ' || h as line from (select *, lag(h) over w as p, lag(end_pos) over w as pe from l window w as (partition by chrom, id, slot order by b)) t where p <> h
 """)
 def file_switches(label):
     from ..operators import hapmap
 
     at = _place(label)
-    rows = hapmap.to_long(label.where("i = 6"), ["chrom", "b", "start_pos", "end_pos", "id"]).where("slot = 0")
+    rows = hapmap.to_long(label, ["chrom", "b", "start_pos", "end_pos", "id"])
     wr.write_lines(wr.switch_lines(hapmap.switches(rows)), at)
     return label.sparkSession.read.text(at).select(F.replace("value", F.lit("\t"), F.lit(" ")).alias("line"))
 
 
+@query("file_markers", "SK2", "fx_label", sql="""
+with l as (select chrom, start_pos, id, h0 as h from fx_label union all select chrom, start_pos, id, h1 from fx_label),
+g as (select chrom, start_pos, h, string_agg(distinct id, ',' order by id) as ids from l where h is not null group by chrom, start_pos, h),
+i as (select chrom, start_pos, string_agg(h || ':' || ids, ';' order by h) as info from g group by chrom, start_pos),
+p as (select chrom, start_pos, string_agg(coalesce(h0, '?') || '|' || coalesce(h1, '?'), ' ' order by id) as pairs from fx_label group by chrom, start_pos)
+select p.chrom || ' ' || p.start_pos || ' ' || pairs || ' ' || info as line from p join i on i.chrom = p.chrom and i.start_pos = p.start_pos
+""")
+def file_markers(label):
+    from ..operators import hapmap
+
+    at = _place(label)
+    rows = hapmap.to_long(label, ["chrom", "start_pos", "id"]).withColumnRenamed("start_pos", "pos0")
+    wr.write_lines(wr.marker_lines(rows, PEOPLE), at)
+    return label.sparkSession.read.text(at).select(F.replace("value", F.lit("\t"), F.lit(" ")).alias("line"))
+
+
 @query("allele_counts", "I19", "fx_gt", sql="""
 select site_id, cast(coalesce(sum(coalesce(g0, 0) + coalesce(g1, 0)), 0) as integer) as ac, cast(count(g0) + count(g1) as integer) as an, coalesce(sum(coalesce(g0, 0) + coalesce(g1, 0)), 0) > 0 as kept from fx_gt group by site_id
 """)

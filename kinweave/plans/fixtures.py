@@ -120,7 +120,7 @@ def with_views(sql: str) -> str:
                 order.append(n)
 
     add(sql)
-    heads = ",\n".join(f"{n} as ({_NAME.sub(lambda m: m[1], VIEWS[n]).strip()})" for n in order)
+    heads = ",\n".join(f"{n} as materialized ({_NAME.sub(lambda m: m[1], VIEWS[n]).strip()})" for n in order)
     rest = sql.strip()
     if not heads:
         return rest

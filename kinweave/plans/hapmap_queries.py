@@ -76,12 +76,12 @@ def marker_trace_generations(gt):
 
 
 _STRING = "string_agg(coalesce(h0, '?') || coalesce(h1, '?'), '' order by id)"
-_MARKERS = f"mk as (select chrom, b, start_pos, end_pos, cast(1 as bigint) as n_markers, {_STRING} as labels from fx_mark where i in (6, 7, 8) group by chrom, b, start_pos, end_pos)"
+_MARKERS = f"mk as (select chrom, b, start_pos, end_pos, cast(1 as bigint) as n_markers, {_STRING} as labels from fx_mark where i between 6 and 13 group by chrom, b, start_pos, end_pos)"
 
 
-def _markers(mark, last=8):
-    """Labels of the children from 6 to ``last`` at each marker."""
-    few = mark.where(f"i between 6 and {last}")
+def _markers(mark):
+    """Labels of the children, 6 to 13, at each marker."""
+    few = mark.where("i between 6 and 13")
     pair = F.struct("id", F.concat(F.coalesce("h0", F.lit("?")), F.coalesce("h1", F.lit("?"))).alias("x"))
     return few.groupBy("chrom", "start_pos", "end_pos").agg(F.lit(1).cast("long").alias("n_markers"), F.array_join(F.transform(F.sort_array(F.collect_list(pair)), lambda p: p["x"]), "").alias("labels"))
 
@@ -90,9 +90,9 @@ def _markers(mark, last=8):
 with recursive {_MARKERS}, r as (select *, row_number() over (partition by chrom order by start_pos) as k from mk),
 w as (select chrom, k, start_pos, end_pos, n_markers, labels, cast(1 as bigint) as block from r where k = 1
   union all select r.chrom, r.k, case when ok then w.start_pos else r.start_pos end, r.end_pos, case when ok then w.n_markers + 1 else 1 end,
-    case when ok then list_aggregate(list_transform(range(1, 7), lambda j: case when w.labels[j] = '?' then r.labels[j] else w.labels[j] end), 'string_agg', '') else r.labels end, case when ok then w.block else w.block + 1 end
+    case when ok then list_aggregate(list_transform(range(1, 17), lambda j: case when w.labels[j] = '?' then r.labels[j] else w.labels[j] end), 'string_agg', '') else r.labels end, case when ok then w.block else w.block + 1 end
   from w join r on r.chrom = w.chrom and r.k = w.k + 1,
-  lateral (select len(list_filter(range(1, 7), lambda j: w.labels[j] <> r.labels[j] and w.labels[j] <> '?' and r.labels[j] <> '?')) = 0 as ok) o)
+  lateral (select len(list_filter(range(1, 17), lambda j: w.labels[j] <> r.labels[j] and w.labels[j] <> '?' and r.labels[j] <> '?')) = 0 as ok) o)
 select chrom, start_pos, max(end_pos) as end_pos, max(n_markers) as n_markers, arg_max(labels, k) as labels from w group by chrom, block, start_pos
 """)
 def block_collapse(mark):
@@ -101,7 +101,7 @@ def block_collapse(mark):
 
 @query("phase_flips", "S2", "fx_mark")
 def phase_flips(mark):
-    return hm.flip_phases(hm.collapse(_markers(mark, 13)), {"AB": list(range(0, 16, 2)), "CD": list(range(1, 16, 2))})
+    return hm.flip_phases(hm.collapse(_markers(mark)), {"AB": list(range(0, 16, 2)), "CD": list(range(1, 16, 2))})
 
 
 @query("iht_unpivot", "2.13", "fx_label", sql="select chrom, b, id, 0 as slot, h0 as label from fx_label union all select chrom, b, id, 1, h1 from fx_label")
@@ -109,12 +109,14 @@ def iht_unpivot(label):
     return hm.to_long(label, ["chrom", "b", "id"])
 
 
-@query("iht_pivot", "2.13 SK1 SK13", "fx_label", sql="""
-select chrom, b, max(case when id = 'S04' then h0 || '/' || h1 end) as "S04", max(case when id = 'S06' then h0 || '|' || h1 end) as "S06", max(case when id = 'S07' then h0 || '|' || h1 end) as "S07" from fx_label group by chrom, b
-""")
+_PEOPLE = [f"S{i:02d}" for i in range(4, 14)]
+_PIVOT = ", ".join(f"""max(case when id = '{p}' then h0 || '{"/" if p in ("S04", "S05") else "|"}' || h1 end) as "{p}\"""" for p in _PEOPLE)
+
+
+@query("iht_pivot", "2.13 SK1 SK13", "fx_label", sql=f"select chrom, b, {_PIVOT} from fx_label group by chrom, b")
 def iht_pivot(label):
-    text = hm.iht_text(F.col("h0"), F.col("h1"), F.col("id") == "S04")
-    return label.groupBy("chrom", "b").pivot("id", ["S04", "S06", "S07"]).agg(F.max(text))
+    text = hm.iht_text(F.col("h0"), F.col("h1"), F.col("id").isin("S04", "S05"))
+    return label.groupBy("chrom", "b").pivot("id", _PEOPLE).agg(F.max(text))
 
 
 @query("label_counts", "A2", "fx_mark", sql=f"with {_LONG} select id, count(label) as n_known from lg group by id")
@@ -124,19 +126,19 @@ def label_counts(mark):
 
 _COVER = """
 cv as (select chrom, b, start_pos, end_pos, count(*) filter (where l = 'A') as n_a, count(*) filter (where l = 'B') as n_b, count(*) filter (where l = 'C') as n_c, count(*) filter (where l = 'D') as n_d
-  from (select chrom, b, start_pos, end_pos, i, h0 as l from fx_mark union all select chrom, b, start_pos, end_pos, i, h1 from fx_mark) t where i in (6, 7) group by chrom, b, start_pos, end_pos),
+  from (select chrom, b, start_pos, end_pos, i, h0 as l from fx_mark union all select chrom, b, start_pos, end_pos, i, h1 from fx_mark) t where i >= 6 group by chrom, b, start_pos, end_pos),
 cw as (select *, (n_a > 0)::int + (n_b > 0)::int + (n_c > 0)::int + (n_d > 0)::int as ncov, case when n_d = 0 then 'D' when n_c = 0 then 'C' when n_b = 0 then 'B' when n_a = 0 then 'A' end as paint from cv)
 """
 
 
 @query("iht_stats", "A9", "fx_mark", sql=f"with {_COVER} select * from cw")
 def iht_stats(mark):
-    return hm.block_coverage(mark.where("i in (6, 7)"))
+    return hm.block_coverage(mark.where("i >= 6"))
 
 
 @query("length_by_coverage", "A10", "fx_mark", sql=f"with {_COVER} select ncov, count(*) as n_blocks, cast(sum(end_pos - start_pos) as bigint) as bases from cw group by ncov")
 def length_by_coverage(mark):
-    return hm.length_by_coverage(hm.block_coverage(mark.where("i in (6, 7)")))
+    return hm.length_by_coverage(hm.block_coverage(mark.where("i >= 6")))
 
 
 @query("hap_length_sums", "A10 A22", "fx_label", sql="""

@@ -9,14 +9,14 @@ from .registry import query
 
 _OBSERVED = """
 ob as (select s.chrom, s.pos0, cast(sum(case when g.g0 > 0 or g.g1 > 0 then 1 << (g.i - 6) else 0 end) as bigint) as observed
-  from fx_site s join fx_gt g on g.site_id = s.site_id where g.i between 6 and 8 group by s.chrom, s.pos0)
+  from fx_site s join fx_gt g on g.site_id = s.site_id where g.i between 6 and 13 group by s.chrom, s.pos0)
 """
 
 
-def _observed(site, gt, last=8):
-    """The children, from 6 to ``last``, that carry an alternative at each site."""
+def _observed(site, gt):
+    """The children, 6 to 13, that carry an alternative at each site."""
     bit = F.when((F.col("g0") > 0) | (F.col("g1") > 0), F.expr("shiftleft(1L, cast(i - 6 as int))")).otherwise(0)
-    return site.join(gt.where(f"i between 6 and {last}"), "site_id").groupBy("chrom", "pos0").agg(F.sum(bit).alias("observed"))
+    return site.join(gt.where("i between 6 and 13"), "site_id").groupBy("chrom", "pos0").agg(F.sum(bit).alias("observed"))
 
 
 @query("informative_snps", "F13 SC23", "fx_site", "fx_gt", sql="""
@@ -44,7 +44,7 @@ def grandparent_haplotype(gt):
 
 @query("hmm_viterbi", "S5", "fx_site", "fx_gt")
 def hmm_viterbi(site, gt):
-    return hmm.viterbi_paths(hmm.cut_windows(_observed(site, gt, 13)), 8, ["chrom", "window"])
+    return hmm.viterbi_paths(hmm.cut_windows(_observed(site, gt)), 8, ["chrom", "window"])
 
 
 _RUNS = f"""
@@ -68,10 +68,10 @@ def state_blocks(site, gt):
 
 
 @query("state_labels", "G20 G21", "fx_site", "fx_gt", sql=f"""
-with {_OBSERVED} select chrom, pos0, case when pos0 % 2 = 0 then observed else 7 - observed end as state, case when ((case when pos0 % 2 = 0 then observed else 7 - observed end) >> 1) % 2 = 1 then 'A' else 'B' end as label from ob
+with {_OBSERVED} select chrom, pos0, case when pos0 % 2 = 0 then observed else 255 - observed end as state, case when ((case when pos0 % 2 = 0 then observed else 255 - observed end) >> 1) % 2 = 1 then 'A' else 'B' end as label from ob
 """)
 def state_labels(site, gt):
-    turned = _observed(site, gt).withColumn("state", hmm.complement(F.col("observed"), F.when(F.col("pos0") % 2 == 0, "A").otherwise("B"), 3))
+    turned = _observed(site, gt).withColumn("state", hmm.complement(F.col("observed"), F.when(F.col("pos0") % 2 == 0, "A").otherwise("B"), 8))
     return turned.select("chrom", "pos0", "state", hmm.state_labels(F.col("state"), 1, F.lit("dad")).alias("label"))
 
 
@@ -104,14 +104,14 @@ def overlap_fix(block):
 
 
 @query("combined_fill", "W6", "fx_label", sql="""
-with l as (select chrom, start_pos, case when b % 2 = 0 then h0 end as dad, case when b % 2 = 1 then h1 end as mom from fx_label where i = 6)
-select chrom, start_pos, coalesce((select arg_max(x.dad, x.start_pos) from l x where x.chrom = l.chrom and x.start_pos <= l.start_pos and x.dad is not null), (select arg_min(x.dad, x.start_pos) from l x where x.chrom = l.chrom and x.start_pos >= l.start_pos and x.dad is not null)) as dad,
-  coalesce((select arg_max(x.mom, x.start_pos) from l x where x.chrom = l.chrom and x.start_pos <= l.start_pos and x.mom is not null), (select arg_min(x.mom, x.start_pos) from l x where x.chrom = l.chrom and x.start_pos >= l.start_pos and x.mom is not null)) as mom from l
+with l as (select chrom, id, start_pos, case when b % 2 = 0 then h0 end as dad, case when b % 2 = 1 then h1 end as mom from fx_label where i >= 6)
+select chrom, id, start_pos, coalesce((select arg_max(x.dad, x.start_pos) from l x where x.chrom = l.chrom and x.id = l.id and x.start_pos <= l.start_pos and x.dad is not null), (select arg_min(x.dad, x.start_pos) from l x where x.chrom = l.chrom and x.id = l.id and x.start_pos >= l.start_pos and x.dad is not null)) as dad,
+  coalesce((select arg_max(x.mom, x.start_pos) from l x where x.chrom = l.chrom and x.id = l.id and x.start_pos <= l.start_pos and x.mom is not null), (select arg_min(x.mom, x.start_pos) from l x where x.chrom = l.chrom and x.id = l.id and x.start_pos >= l.start_pos and x.mom is not null)) as mom from l
 """)
 def combined_fill(label):
     from ..operators import hapmap
 
-    one = label.where("i = 6")
-    rows = one.select("chrom", F.col("start_pos").alias("b"), F.lit("x").alias("id"), F.posexplode(F.array(F.when(F.col("b") % 2 == 0, F.col("h0")), F.when(F.col("b") % 2 == 1, F.col("h1")))).alias("slot", "label"))
+    pair = F.array(F.when(F.col("b") % 2 == 0, F.col("h0")), F.when(F.col("b") % 2 == 1, F.col("h1")))
+    rows = label.where("i >= 6").select("chrom", F.col("start_pos").alias("b"), "id", F.posexplode(pair).alias("slot", "label"))
     filled = hapmap.fill_from_neighbours(rows, 1)
-    return filled.groupBy("chrom", F.col("b").alias("start_pos")).agg(F.max(F.when(F.col("slot") == 0, F.col("filled"))).alias("dad"), F.max(F.when(F.col("slot") == 1, F.col("filled"))).alias("mom"))
+    return filled.groupBy("chrom", "id", F.col("b").alias("start_pos")).agg(F.max(F.when(F.col("slot") == 0, F.col("filled"))).alias("dad"), F.max(F.when(F.col("slot") == 1, F.col("filled"))).alias("mom"))

@@ -10,7 +10,7 @@ from .registry import query
 
 _MASH = """
 cl as (select s.chrom || ':' || (s.pos0 - s.pos0 % 20000) || ':' || (s.pos0 - s.pos0 % 20000 + 1) || ':' || s.ref || ':' || s.alt as site, case when g.g0 is null then './.' else g.g0 || '/' || g.g1 end as genotype, 'c' || (g.i % 3) as caller
-  from fx_site s join fx_gt g on g.site_id = s.site_id where g.i between 6 and 8),
+  from fx_site s join fx_gt g on g.site_id = s.site_id),
 co as (select site, string_agg(genotype, ',' order by genotype) as genotypes, string_agg(caller, ',' order by caller) as callers, count(distinct genotype) > 1 as conflict, count(distinct caller) as n_sources, min(genotype) as genotype from cl group by site)
 """
 
@@ -19,7 +19,7 @@ def _calls(site, gt):
     pos = F.col("pos0") - F.col("pos0") % 20000
     key = F.concat_ws(":", "chrom", pos.cast("string"), (pos + 1).cast("string"), "ref", "alt")
     genotype = F.when(F.col("g0").isNull(), "./.").otherwise(F.concat_ws("/", F.col("g0").cast("string"), F.col("g1").cast("string")))
-    both = site.join(gt.where("i between 6 and 8"), "site_id")
+    both = site.join(gt, "site_id")
     return both.select(key.alias("site"), genotype.alias("genotype"), F.concat(F.lit("c"), (F.col("i") % 3).cast("string")).alias("caller"))
 
 
