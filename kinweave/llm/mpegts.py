@@ -6,6 +6,12 @@ the packetised elementary stream (PES) packets with their time stamps and
 random-access points.  ``mux`` writes a payload as one private data stream, so
 that any bytes can be kept in the format and read back.
 
+Tables may run over several packets and packets may hold several tables.  A
+packet with the counter of the one before is a repeat only if its bytes are the
+same (its clock reference aside); otherwise packets were lost.  A table or PES
+packet that misses a transport packet is given up or marked ``damaged``.  Data
+packets of streams that no table has named yet are counted.
+
 Defined results: a null value has null media columns; a stream cut short or with
 bad checksums or counters is read as far as it goes and says so in its columns;
 bytes that aren't a transport stream have no programs and no data; empty bytes
@@ -62,6 +68,7 @@ class Pes:
     dts: int | None
     random_access: bool
     data: bytes
+    damaged: bool = False
 
 
 @dataclass
@@ -75,6 +82,7 @@ class Stream:
     lost: int = 0  # breaks of a continuity counter
     repeated: int = 0  # packets sent twice
     broken: int = 0  # bytes that are no packet
+    unnamed: int = 0  # packets of streams that no table has named
     pes: list[Pes] = field(default_factory=list)
 
     def data(self, pid: int) -> bytes:
@@ -82,15 +90,40 @@ class Stream:
         return b"".join(p.data for p in self.pes if p.pid == pid)
 
 
-def _section(payload: bytes) -> bytes | None:
-    """The first table section of a packet that begins one, or None."""
-    if not payload:
-        return None
-    at = 1 + payload[0]
-    if len(payload) < at + 3:
-        return None
-    length = ((payload[at + 1] & 0x0F) << 8) | payload[at + 2]
-    return payload[at : at + 3 + length]
+class _Sections:
+    """Collects the table sections of one pid."""
+
+    def __init__(self) -> None:
+        self.held: bytes | None = None
+
+    def take(self, payload: bytes, begins: bool, lost: bool) -> list[bytes]:
+        """The sections that this packet completes."""
+        done: list[bytes] = []
+        if lost:
+            self.held = None
+        if not begins:
+            if self.held is not None:
+                self.held += payload
+                self._cut(done)
+            return done
+        pointer = payload[0] if payload else 0
+        if self.held is not None:
+            self.held += payload[1 : 1 + pointer]
+            self._cut(done)
+        self.held = payload[1 + pointer :]
+        self._cut(done)
+        return done
+
+    def _cut(self, done: list[bytes]) -> None:
+        while self.held is not None and len(self.held) >= 3:
+            if self.held[0] == 0xFF:  # stuffing
+                self.held = None
+                return
+            end = 3 + ((self.held[1] & 0x0F) << 8 | self.held[2])
+            if len(self.held) < end:
+                return
+            done.append(self.held[:end])
+            self.held = self.held[end:] or None
 
 
 def _stamp(b: bytes) -> int:
@@ -101,7 +134,7 @@ def _stamped(mark: int, t: int) -> bytes:
     return bytes([(mark << 4) | ((t >> 30) & 7) << 1 | 1, (t >> 22) & 255, ((t >> 15) & 127) << 1 | 1, (t >> 7) & 255, (t & 127) << 1 | 1])
 
 
-def _pes(pid: int, raw: bytes, random_access: bool) -> Pes | None:
+def _pes(pid: int, raw: bytes, random_access: bool, damaged: bool = False) -> Pes | None:
     if len(raw) < 9 or raw[:3] != b"\x00\x00\x01":
         return None
     flags, head = raw[7] >> 6, raw[8]
@@ -109,25 +142,41 @@ def _pes(pid: int, raw: bytes, random_access: bool) -> Pes | None:
     dts = _stamp(raw[14:19]) if flags == 3 and len(raw) >= 19 else pts
     length = struct.unpack(">H", raw[4:6])[0]
     end = 6 + length if length else len(raw)
-    return Pes(pid, raw[3], pts, dts, random_access, raw[9 + head : end])
+    return Pes(pid, raw[3], pts, dts, random_access, raw[9 + head : end], damaged or end > len(raw))
 
 
 def parse(media: bytes) -> Stream:
     """Read a transport stream in order of its packets."""
     out = Stream()
-    counter: dict[int, int] = {}
-    open_: dict[int, tuple[list[bytes], bool]] = {}
-    pmt_pids: set[int] = set()
+    counter: dict[int, tuple[int, bytes]] = {}
+    open_: dict[int, list] = {}  # parts, random access, damaged
+    sections: dict[int, _Sections] = {PAT_PID: _Sections()}
 
     def close(pid: int) -> None:
         if pid in open_:
-            parts, random_access = open_.pop(pid)
-            p = _pes(pid, b"".join(parts), random_access)
+            parts, random_access, damaged = open_.pop(pid)
+            p = _pes(pid, b"".join(parts), random_access, damaged)
             if p is None:
                 out.broken += sum(map(len, parts))
             else:
                 out.pes.append(p)
 
+    def table(pid: int, s: bytes) -> None:
+        if len(s) < 12 or crc32_mpeg(s) != 0:
+            out.bad_tables += 1
+        elif pid == PAT_PID and s[0] == _TABLE_PAT:
+            for k in range(8, len(s) - 4, 4):
+                number, p = struct.unpack(">HH", s[k : k + 4])
+                if number:
+                    out.programs[number] = p & 0x1FFF
+                    sections.setdefault(p & 0x1FFF, _Sections())
+        elif s[0] == _TABLE_PMT:
+            k = 12 + ((s[10] & 0x0F) << 8 | s[11])
+            while k + 5 <= len(s) - 4:
+                kind, p, info = struct.unpack(">BHH", s[k : k + 5])
+                out.streams[p & 0x1FFF] = kind
+                k += 5 + (info & 0x0FFF)
+
     at, n = 0, len(media)
     while at + PACKET <= n:
         if media[at] != SYNC:
@@ -148,37 +197,32 @@ def parse(media: bytes) -> Stream:
         at = end
         if pid == NULL_PID or not control & 1 or start > end:
             continue
+        payload = media[start:end]
         last = counter.get(pid)
+        lost = False
         if last is not None and not jump:
-            if cc == last:
+            if cc == last[0] and payload == last[1]:
                 out.repeated += 1
                 continue
-            if cc != (last + 1) & 15:
-                out.lost += 1
-        counter[pid] = cc
-        payload = media[start:end]
-        if pid == PAT_PID or pid in pmt_pids:
-            if begins and (s := _section(payload)):
-                if len(s) < 12 or crc32_mpeg(s) != 0:
-                    out.bad_tables += 1
-                elif pid == PAT_PID and s[0] == _TABLE_PAT:
-                    for k in range(8, len(s) - 4, 4):
-                        number, p = struct.unpack(">HH", s[k : k + 4])
-                        if number:
-                            out.programs[number] = p & 0x1FFF
-                            pmt_pids.add(p & 0x1FFF)
-                elif s[0] == _TABLE_PMT:
-                    k = 12 + ((s[10] & 0x0F) << 8 | s[11])
-                    while k + 5 <= len(s) - 4:
-                        kind, p, info = struct.unpack(">BHH", s[k : k + 5])
-                        out.streams[p & 0x1FFF] = kind
-                        k += 5 + (info & 0x0FFF)
+            lost = cc != (last[0] + 1) & 15
+            out.lost += lost
+        counter[pid] = (cc, payload)
+        if pid in sections:
+            for s in sections[pid].take(payload, begins, lost):
+                table(pid, s)
         elif pid in out.streams:
             if begins:
+                if lost and pid in open_:
+                    open_[pid][2] = True
                 close(pid)
-                open_[pid] = ([payload], random_access)
+                open_[pid] = [[payload], random_access, False]
             elif pid in open_:
                 open_[pid][0].append(payload)
+                open_[pid][2] |= lost
+            else:
+                out.broken += len(payload)  # the packet's beginning is missing
+        else:
+            out.unnamed += 1
     out.broken += n - at
     for pid in sorted(open_):
         close(pid)
@@ -257,6 +301,7 @@ MEDIA = {
     "repeated_packets": T.LongType(),
     "bad_tables": T.LongType(),
     "broken_bytes": T.LongType(),
+    "unnamed_packets": T.LongType(),
     "pes": T.ArrayType(
         T.StructType(
             [
@@ -264,6 +309,7 @@ MEDIA = {
                 T.StructField("pts", T.LongType()),
                 T.StructField("dts", T.LongType()),
                 T.StructField("random_access", T.BooleanType()),
+                T.StructField("damaged", T.BooleanType()),
                 T.StructField("data", T.BinaryType()),
             ]
         )
@@ -285,7 +331,8 @@ def media_columns(df: DataFrame, media: str = "media", keep: list[str] | None =
             "repeated_packets": get(lambda s: s.repeated),
             "bad_tables": get(lambda s: s.bad_tables),
             "broken_bytes": get(lambda s: s.broken),
-            "pes": get(lambda s: [{"pid": p.pid, "pts": p.pts, "dts": p.dts, "random_access": p.random_access, "data": p.data} for p in s.pes]),
+            "unnamed_packets": get(lambda s: s.unnamed),
+            "pes": get(lambda s: [{"pid": p.pid, "pts": p.pts, "dts": p.dts, "random_access": p.random_access, "damaged": p.damaged, "data": p.data} for p in s.pes]),
         }
 
     return map_batches(df, run, MEDIA, keep=keep)

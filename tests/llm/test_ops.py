@@ -500,6 +500,30 @@ def test_transport_stream(spark, odd, none):
     assert cols[1]["programs"] == 1 and len(cols[1]["pes"]) == 11 and cols[2]["pes"] is None and cols[3]["packets"] == 0 and cols[4]["broken_bytes"] == 4
 
 
+def test_transport_stream_tables_over_packets_and_damage():
+    import struct
+
+    # a program map of 60 streams, which is longer than a packet
+    body = struct.pack(">BHHBBBHH", 2, 0xB000 | (13 + 5 * 60), 1, 0xC1, 0, 0, 0xE101, 0xF000) + b"".join(struct.pack(">BHH", 6, 0xE000 | (0x101 + k), 0xF000) for k in range(60))
+    section = body + struct.pack(">I", mpegts.crc32_mpeg(body))
+    payloads = [b"\x00" + section[:183], section[183:] + b"\xff" * (184 - len(section[183:]))]
+    pmt = b"".join(struct.pack(">BHB", 0x47, (0x4000 if k == 0 else 0) | 0x100, 0x10 | k) + x for k, x in enumerate(payloads))
+    media = mpegts.mux(bytes(range(256)) * 200, pes_bytes=20_000)
+    head, rest = media[:188], media[376:]
+    s = mpegts.parse(head + pmt + rest)
+    assert (len(s.streams), s.bad_tables, len(s.pes), s.lost) == (60, 0, 3, 0) and s.data(0x101) == bytes(range(256)) * 200
+    assert mpegts.parse(head + pmt[:188] + rest).streams == {} and mpegts.parse(head + pmt[:188] + rest).unnamed == len(rest) // 188
+    # a lost packet marks its own PES packet only
+    packets = [media[i : i + 188] for i in range(0, len(media), 188)]
+    s = mpegts.parse(b"".join(packets[:20] + packets[21:]))
+    assert s.lost == 1 and [p.damaged for p in s.pes] == [True, False, False] and len(s.pes[0].data) == 20_000 - 184
+    # the same counter with other bytes isn't a repeat
+    other = packets[20][:60] + bytes([packets[20][60] ^ 1]) + packets[20][61:]
+    s = mpegts.parse(b"".join(packets[:21] + [other] + packets[21:]))
+    assert (s.repeated, s.lost) == (0, 1) and s.pes[0].damaged
+    assert mpegts.parse(b"".join(packets[:21] + packets[20:])).data(0x101) == bytes(range(256)) * 200
+
+
 # 9
 
 
