@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scans import neighbour
+
 
 def depth_stats(depths: DataFrame) -> DataFrame:
     """Mean and population deviation of depth by chromosome and sample, over all records (A1)."""
@@ -60,11 +62,13 @@ def fill_from_neighbours(labels: DataFrame, least_blocks: int = 3) -> DataFrame:
     return labels.withColumn("filled", F.when(enough, F.coalesce(before, after)).otherwise(F.col("label")))
 
 
-def switches(labels: DataFrame) -> DataFrame:
-    """(chrom, id, slot, prev_end, next_start, old, new) where neighbouring blocks differ; unknown is a label here."""
-    line = Window.partitionBy("chrom", "id", "slot").orderBy("b")
-    text = F.coalesce("label", F.lit("?"))
-    steps = labels.withColumns({"prev_end": F.lag("end_pos").over(line), "old": F.lag(text).over(line), "new": text})
+def switches(labels: DataFrame, size: int = 1 << 16) -> DataFrame:
+    """(chrom, id, slot, prev_end, next_start, old, new) where neighbouring blocks differ; unknown is a label here.
+
+    Rows meet in bins of ``size`` along ``b``, so that no task holds a chromosome.
+    """
+    rows = labels.withColumns({"new": F.coalesce("label", F.lit("?")), "_bin": F.expr(f"floor(b / {size})")})
+    steps = neighbour(rows, ["chrom", "id", "slot"], "_bin", ["b"], {"prev_end": F.col("end_pos"), "old": F.col("new")})
     return steps.where("old is not null and old <> new").select("chrom", "id", "slot", "prev_end", F.col("start_pos").alias("next_start"), "old", "new")
 
 

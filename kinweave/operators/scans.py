@@ -30,3 +30,19 @@ def running(df: DataFrame, keys: list[str], bin_column: str, order: list[str], v
     out = df.withColumn("_inside", aggregate(value).over(inside)).join(before, at)
     both = F.greatest("_inside", "_before") if how == "max" else F.coalesce("_inside", F.lit(0)) + F.coalesce("_before", F.lit(0))
     return out.select(*df.columns, both.alias(name))
+
+
+def neighbour(df: DataFrame, keys: list[str], bin_column: str, order: list[str], values: dict[str, Column], after: bool = False) -> DataFrame:
+    """Add ``values`` of the row before each row of ``keys`` in ``order``, or of the row after; null where there is none.
+
+    ``order`` must be total and ``bin_column`` must not fall along it.  The rows at
+    the bins' ends get theirs from the nearest bin that has rows.
+    """
+    move, edge = (F.lead, F.min_by) if after else (F.lag, F.max_by)
+    at = [*keys, bin_column]
+    packed = F.struct(*[v.alias(n) for n, v in values.items()])
+    inside = df.withColumn("_inside", move(packed).over(Window.partitionBy(*at).orderBy(*order)))
+    edges = df.groupBy(*at).agg(edge(packed, F.struct(*order)).alias("_edge"))
+    near = edges.select(*at, move("_edge").over(Window.partitionBy(*keys).orderBy(bin_column)).alias("_near"))
+    both = inside.join(near, at).withColumn("_there", F.coalesce("_inside", "_near"))
+    return both.select(*df.columns, *[F.col(f"_there.{n}").alias(n) for n in values])

@@ -31,7 +31,7 @@ def file_bed(rg):
     return rd.read_bed(rg.sparkSession, at).select("chrom", "s", "e", F.get("rest", 0).alias("name"))
 
 
-@query("file_ped", "SC2 SC3", "fx_ped", sql="select 'F' as family, id, father, mother, cast(sex as integer) as sex, cast(0 as integer) as phenotype from fx_ped")
+@query("file_ped", "SC2", "fx_ped", sql="select 'F' as family, id, father, mother, cast(sex as integer) as sex, cast(0 as integer) as phenotype from fx_ped")
 def file_ped(ped):
     at = _place(ped)
     parent = lambda c: F.coalesce(F.col(c), F.when(F.col("i") % 2 == 0, "NA").otherwise("0"))
@@ -39,7 +39,7 @@ def file_ped(ped):
     return rd.read_ped(ped.sparkSession, at)
 
 
-@query("file_vcf", "SC4 SC6 SC8 SK4 SK10", "fx_site", "fx_gt", sql="""
+@query("file_vcf", "SC4 SC6 SC8 SC23 SK4 SK10", "fx_site", "fx_gt", sql="""
 select s.chrom, s.pos0, s.ref, s.alt, cast(s.qual as double) as qual, g.id, g.g0, g.g1, cast(g.dp as integer) as dp, cast(g.gq as integer) as gq from fx_site s join fx_gt g on g.site_id = s.site_id
 """)
 def file_vcf(site, gt):
@@ -54,7 +54,7 @@ def file_vcf(site, gt):
     return rows.select("chrom", "pos0", "ref", F.get("alts", 0).alias("alt"), "qual", F.col("sample").alias("id"), F.get("gt", 0).alias("g0"), F.get("gt", 1).alias("g1"), "dp", "gq")
 
 
-@query("file_iht", "SC10 SC11 SC12 SK1 J15", "fx_mark", sql="select chrom, start_pos, end_pos, cast(3 as bigint) as n_markers, id, id in ('S04', 'S05') as founder, h0, h1 from fx_mark")
+@query("file_iht", "SC11 SK1 J15", "fx_mark", sql="select chrom, start_pos, end_pos, cast(3 as bigint) as n_markers, id, id in ('S04', 'S05') as founder, h0, h1 from fx_mark")
 def file_iht(mark):
     at, people = _place(mark), PEOPLE
     rows = mark.withColumn("n_markers", F.lit(3).cast("long"))
@@ -91,6 +91,199 @@ def file_markers(label):
     return label.sparkSession.read.text(at).select(F.replace("value", F.lit("\t"), F.lit(" ")).alias("line"))
 
 
+_WIDE = "case when b % 5 = 0 and i = 6 then h0 when b % 2 = 0 and i = 7 then h0 || h0 else h0 || h1 end"
+
+
+def _wide_csv(label) -> str:
+    """An inheritance CSV; some blocks have a label of one letter, some of two equal ones."""
+    at = _place(label)
+    text = F.when((F.col("b") % 5 == 0) & (F.col("i") == 6), F.col("h0")).when((F.col("b") % 2 == 0) & (F.col("i") == 7), F.concat("h0", "h0")).otherwise(F.concat("h0", "h1"))
+    wr.csv_folder(label.groupBy("chrom", "start_pos", "end_pos").pivot("id", PEOPLE).agg(F.max(text)), at)
+    return at
+
+
+@query("file_inheritance_csv", "SC10 SK13", "fx_label", sql=f"""
+with w as (select chrom, start_pos, end_pos, id, cast(i - 4 as integer) as ord, {_WIDE} as x from fx_label),
+k as (select chrom, start_pos from w group by chrom, start_pos having min(length(x)) = 2)
+select w.chrom, w.start_pos, end_pos, id, ord, x[1] as h0, x[2] as h1 from w join k on k.chrom = w.chrom and k.start_pos = w.start_pos
+""")
+def file_inheritance_csv(label):
+    return rd.read_inheritance_csv(label.sparkSession, _wide_csv(label)).drop("b")
+
+
+@query("file_ivec_csv", "SC12", "fx_label", sql=f"""
+with w as (select chrom, start_pos, end_pos, id, cast(i - 4 as integer) as ord, {_WIDE} as x from fx_label),
+k as (select chrom, start_pos from w group by chrom, start_pos having min(length(x)) = 2)
+select w.chrom, w.start_pos, end_pos, id, ord, x[1] as h0, case when x[1] <> x[2] then x[2] end as h1 from w join k on k.chrom = w.chrom and k.start_pos = w.start_pos
+""")
+def file_ivec_csv(label):
+    return rd.read_ivec_csv(label.sparkSession, _wide_csv(label)).drop("b")
+
+
+@query("file_ped_header", "SC3", "fx_ped", sql="select 'F' as family, id, father, mother, cast(sex as integer) as sex from fx_ped")
+def file_ped_header(ped):
+    at = _place(ped)
+    parent = lambda c: F.coalesce(F.col(c), F.lit("NA"))
+    wr.write_lines(ped.select(F.concat_ws("\t", F.lit("F"), "id", parent("father"), parent("mother"), F.when(F.col("sex") == 1, "male").otherwise("Female"))), at, ["#family\tid\tfather\tmother\tsex"])
+    return rd.read_ped_with_header(ped.sparkSession, at)
+
+
+@query("file_paf", "SC14", "fx_sv", sql="""
+select id || ';chr' || (prio + 1) || ':1-9;' || (start_pos % 2) as name, abs(svlen) * 6 as block_len, case when start_pos % 5 > 0 then start_pos % 7 end as edits, id as sample, 'chr' || (prio + 1) || ':1-9' as region, cast(start_pos % 2 as varchar) as hap from fx_sv
+""")
+def file_paf(calls):
+    at = _place(calls)
+    name = F.concat_ws(";", "id", F.concat(F.lit("chr"), (F.col("prio") + 1).cast("string"), F.lit(":1-9")), (F.col("start_pos") % 2).cast("string"))
+    more = F.when(F.col("start_pos") % 5 > 0, F.concat(F.lit("tp:A:P\tNM:i:"), (F.col("start_pos") % 7).cast("string"))).otherwise("tp:A:P")
+    wr.write_lines(calls.select(F.concat_ws("\t", name, *[F.lit("0")] * 9, (F.abs("svlen") * 6).cast("string"), F.lit("60"), more)), at)
+    return rd.read_paf(calls.sparkSession, at)
+
+
+@query("file_mash", "SC15 A7", "fx_site", "fx_gt", sql="""
+select cast(site_id as varchar) as site, string_agg(coalesce(g0 || '/' || g1, './.'), ',' order by i) as genotypes, string_agg('c' || i, ',' order by i) as callers from fx_gt group by site_id
+""")
+def file_mash(site, gt):
+    at = _place(gt)
+    text = F.coalesce(F.concat(F.col("g0").cast("string"), F.lit("/"), F.col("g1").cast("string")), F.lit("./."))
+    pairs = gt.groupBy("site_id").agg(F.sort_array(F.collect_list(F.struct("i", text.alias("g")))).alias("p"))
+    wr.write_lines(pairs.select(F.concat_ws(" ", F.col("site_id").cast("string"), F.array_join(F.transform("p", lambda p: p["g"]), ","), F.array_join(F.transform("p", lambda p: F.concat(F.lit("c"), p["i"].cast("string"))), ","))), at)
+    rows = rd.read_mash(gt.sparkSession, at)
+    return rows.select("site", F.array_join("genotypes", ",").alias("genotypes"), F.array_join("callers", ",").alias("callers"))
+
+
+@query("file_contigs", "SC16 I11", "fx_rg", sql="""
+select r.chrom, greatest(s - 25, 0) as s, least(e + 25, m) as e from fx_rg r join (select chrom, max(e) as m from fx_rg group by chrom) c on c.chrom = r.chrom
+""")
+def file_contigs(rg):
+    from ..operators import intervals
+
+    at = _place(rg)
+    lengths = rg.groupBy("chrom").agg(F.max("e").alias("n"))
+    wr.write_lines(lengths.select(F.concat_ws("\t", "chrom", F.col("n").cast("string"), F.lit("6"), F.lit("60"), F.lit("61"))), at)
+    return intervals.slop(rg, rd.read_fai(rg.sparkSession, at), 25).select("chrom", "s", "e")
+
+
+@query("file_fasta", "SC17 SK8", "fx_site", sql="""
+with q as (select chrom, string_agg(ref, '' order by site_id) as seq from fx_site group by chrom),
+r as (select distinct chrom, site_id % 150 as s, site_id % 150 + 70 as e from fx_site)
+select r.chrom, s, e, lower(substr(seq, cast(s + 1 as integer), 70)) as sequence from r join q on q.chrom = r.chrom
+""")
+def file_fasta(site):
+    at = _place(site)
+    bases = site.groupBy("chrom").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("site_id", "ref"))), lambda x: x["ref"]), "").alias("seq"))
+    wr.write_lines(wr.fasta_lines(bases.select(F.concat("chrom", F.lit(" of >1 part")).alias("name"), F.regexp_replace("seq", "(.{60})", "$1\n").alias("seq")), "name", "seq"), at)
+    chunks = rd.fasta_chunks(rd.read_fasta(site.sparkSession, at), 32)
+    begin = F.col("site_id") % 150
+    return rd.fasta_region(chunks, site.select("chrom", begin.alias("s"), (begin + 70).alias("e")), 32)
+
+
+@query("file_alignments", "SC18 J7 S11", "fx_site", "fx_block", sql="""
+select site_id, b, case when t < 1000 then t when t < 1005 then 1000 when t < 6005 then t - 5 else t - 5 + 300 end as q
+from (select site_id, b, pos0 - start_pos as t from fx_site s join fx_block k on k.chrom = s.chrom and s.pos0 between k.start_pos and k.end_pos) x
+""")
+def file_alignments(site, block):
+    from ..operators import assembly, concordance
+
+    at = _place(site)
+    wr.write_lines(block.select(F.concat_ws("\t", F.concat_ws(".", "chrom", F.col("b").cast("string")), F.lit("0"), "chrom", (F.col("start_pos") + 1).cast("string"), F.lit("60"), F.lit("1000M5D5000M300I193995M"), *[F.lit("*")] * 5)), at, ["@HD\tVN:1.6"])
+    reads = rd.read_sam(site.sparkSession, at).select("chrom", F.substring_index("name", ".", -1).cast("long").alias("b"), "pos0", assembly.parse_cigar(F.col("cigar")).alias("ops"))
+    span = F.aggregate("ops", F.lit(0).cast("long"), lambda n, x: n + F.when(x["op"].isin("M", "D", "N", "=", "X"), x["len"]).otherwise(0))
+    placed = reads.select("chrom", "b", F.col("pos0").alias("start_pos"), (F.col("pos0") + span - 1).alias("end_pos"))
+    met = concordance.block_join(site, placed, first_only=False).join(reads.select("chrom", "b", "ops"), ["chrom", "b"])
+    return met.select("site_id", "b", assembly.project(F.col("ops"), F.col("start_pos"), F.col("pos0")).alias("q"))
+
+
+@query("file_json", "SC19 SK9", "fx_label", sql="select chrom || ':' || b as region, id, [h0, h1][1] as first, [h0, h1][2] as second from fx_label")
+def file_json(label):
+    at = _place(label)
+    wr.write_lines(wr.json_lines(label.select(F.concat_ws(":", "chrom", F.col("b").cast("string")).alias("region"), "id", F.array("h0", "h1").alias("haps"))), at)
+    rows = rd.read_json_lines(label.sparkSession, at, "region string, id string, haps array<string>")
+    return rows.select("region", "id", F.get("haps", 0).alias("first"), F.get("haps", 1).alias("second"))
+
+
+@query("file_sites", "SC22 SK14", "fx_site", sql="select cast(site_id as varchar) as site_id, chrom, cast(pos0 as varchar) as pos0 from fx_site")
+def file_sites(site):
+    at = _place(site)
+    wr.csv_folder(site.select("site_id", "chrom", "pos0"), at, "\t")
+    return rd.read_sites(site.sparkSession, at)
+
+
+@query("file_regions", "SC21 I14", "fx_rg", sql="select chrom, s, e from fx_rg")
+def file_regions(rg):
+    from ..functions.text import parse_region
+    from ..operators.intervals import region_text
+
+    at = _place(rg)
+    wr.write_lines(rg.select(region_text(F.col("chrom"), F.col("s"), F.col("e"))), at)
+    return rg.sparkSession.read.text(at).select(parse_region(F.col("value")).alias("r")).select("r.*")
+
+
+@query("file_repeats", "SC13", "fx_tr", sql="""
+with l as (select trid, i, slot, seq, purity_pct from fx_tr)
+select cast(trid as varchar) as trid, 'chr1' as chrom, trid * 100 as s, trid * 100 + 50 as e, 'S' || lpad(cast(i as varchar), 2, '0') as id, cast(slot as integer) as slot, seq, purity_pct / 100.0 as purity, case when slot = 0 then 0.25 end as methylation from l
+""")
+def file_repeats(tr):
+    at = _place(tr)
+    loci = tr.groupBy("trid").agg(F.sort_array(F.collect_set("seq")).alias("seqs"), F.collect_list(F.struct("i", "slot", "seq", "purity_pct")).alias("c"))
+
+    def call(who: int):
+        own = F.array_sort(F.filter("c", lambda c: c["i"] == who), lambda x, y: (x["slot"] - y["slot"]).cast("int"))
+        gt = F.array_join(F.transform(own, lambda c: F.array_position("seqs", c["seq"]).cast("string")), "/")
+        return F.concat_ws(":", gt, F.array_join(F.transform(own, lambda c: (c["purity_pct"] / 100).cast("string")), ","), F.lit("0.25,."))
+
+    info = F.concat(F.lit("TRID="), F.col("trid").cast("string"), F.lit(";END="), (F.col("trid") * 100 + 50).cast("string"), F.lit(";MOTIFS=AC,G;STRUC=x"))
+    alts = F.array_join(F.transform("seqs", lambda x: F.concat(F.lit("T"), x)), ",")
+    line = F.concat_ws("\t", F.lit("chr1"), (F.col("trid") * 100).cast("string"), F.lit("."), F.lit("TA"), alts, F.lit("."), F.lit("."), info, F.lit("GT:AP:AM"), *[call(4 + k) for k in range(10)])
+    wr.write_lines(loci.select(line), at, wr.vcf_header(PEOPLE))
+    return rd.read_repeats_vcf(tr.sparkSession, at).drop("motifs")
+
+
+_SV_INFO = ["SVTYPE", "SVLEN", "END", "RNAMES"]
+
+
+def _sv_file(calls) -> str:
+    at = _place(calls)
+    info = F.map_from_arrays(F.array(*map(F.lit, _SV_INFO)), F.array("svtype", F.col("svlen").cast("string"), F.col("end_pos").cast("string"), F.lit("r1,r2")))
+    none = F.array(F.struct(F.lit("").alias("sample"), F.array(F.lit(None).cast("int")).alias("gt"), F.lit(False).alias("phased"), F.lit(None).cast("int").alias("dp"), F.lit(None).cast("int").alias("gq")))
+    records = calls.select("chrom", F.col("start_pos").alias("pos0"), "id", F.lit("N").alias("ref"), F.array(F.lit("<SV>")).alias("alts"), F.lit(None).cast("double").alias("qual"), F.array(F.lit("PASS")).alias("filters"), info.alias("info"), none.alias("calls"))
+    wr.write_lines(wr.vcf_lines(records, []), at, wr.vcf_header([]))
+    return at
+
+
+@query("file_sv_vcf", "SC20 F18", "fx_sv", sql="select id, cast(0 as bigint) as prio, chrom, svtype, start_pos, end_pos, svlen from fx_sv where svtype in ('INS', 'DEL')")
+def file_sv_vcf(calls):
+    from ..operators import sv
+
+    return sv.keep_types(rd.read_sv_vcf(calls.sparkSession, _sv_file(calls), 0), ("INS", "DEL"))
+
+
+@query("file_sv_stripped", "SK12 G18", "fx_sv", sql="select id, chrom, start_pos as pos0, 'END;SVLEN;SVTYPE' as keys from fx_sv")
+def file_sv_stripped(calls):
+    from ..operators import sv
+
+    spark, at = calls.sparkSession, _place(calls)
+    whole = rd.read_vcf(spark, _sv_file(calls))
+    wr.write_lines(wr.vcf_lines(whole.withColumn("info", sv.strip_info(F.col("info"), ["RNAMES"], [])).withColumn("calls", F.array(F.struct(F.lit("").alias("sample"), F.array(F.lit(None).cast("int")).alias("gt"), F.lit(False).alias("phased"), F.lit(None).cast("int").alias("dp"), F.lit(None).cast("int").alias("gq")))), []), at, wr.vcf_header([]))
+    return rd.read_vcf(spark, at).select("id", "chrom", "pos0", F.array_join(F.sort_array(F.map_keys("info")), ";").alias("keys"))
+
+
+@query("file_sv_merged", "SK11 S6", "fx_sv", sql="""
+with iv as (select id, prio, chrom, svtype, start_pos - 200 as s, end_pos + case when svtype = 'INS' then 1 else 0 end + 200 as e, start_pos from fx_sv where prio < 2),
+m as (select p.id as primary_id, c.id as support_id from iv c join iv p on p.prio = 0 and p.chrom = c.chrom and p.svtype = c.svtype and c.s < p.e and p.s < c.e where c.prio = 1),
+g as (select primary_id, string_agg(distinct support_id, ',' order by support_id) as ids from m group by primary_id)
+select id, chrom, start_pos as pos0, svtype, coalesce(ids, '.') as support, case when ids is null then '1' else '2' end as n_sources from iv left join g on g.primary_id = iv.id where prio = 0 or id not in (select support_id from m)
+""")
+def file_sv_merged(calls):
+    from ..operators import sv
+
+    spark, at = calls.sparkSession, _place(calls)
+    two = calls.where("prio < 2")
+    primaries, links = sv.merge_callers(two, 2)
+    wr.write_lines(wr.merged_sv_lines(primaries, links, two), at, wr.vcf_header([]))
+    info = lambda k: F.element_at("info", k)
+    return rd.read_vcf(spark, at).select("id", "chrom", "pos0", info("SVTYPE").alias("svtype"), info("SUPPORT").alias("support"), info("N_SOURCES").alias("n_sources"))
+
+
 @query("allele_counts", "I19", "fx_gt", sql="""
 select site_id, cast(coalesce(sum(coalesce(g0, 0) + coalesce(g1, 0)), 0) as integer) as ac, cast(count(g0) + count(g1) as integer) as an, coalesce(sum(coalesce(g0, 0) + coalesce(g1, 0)), 0) > 0 as kept from fx_gt group by site_id
 """)

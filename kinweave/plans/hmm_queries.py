@@ -19,7 +19,7 @@ def _observed(site, gt):
     return site.join(gt.where("i between 6 and 13"), "site_id").groupBy("chrom", "pos0").agg(F.sum(bit).alias("observed"))
 
 
-@query("informative_snps", "F13 SC23", "fx_site", "fx_gt", sql="""
+@query("informative_snps", "F13", "fx_site", "fx_gt", sql="""
 select s.site_id, case when d.g0 is null or m.g0 is null then 'variant_no_call' when d.g0 = d.g1 then 'variant_autosome_not_het' when m.g0 > 0 or m.g1 > 0 then 'variant_called_other_parent'
   when s.site_id % 5 = 0 then 'variant_multialleleic' end as reason
 from fx_site s left join fx_gt d on d.site_id = s.site_id and d.id = 'S04' left join fx_gt m on m.site_id = s.site_id and m.id = 'S05'

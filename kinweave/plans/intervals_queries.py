@@ -144,7 +144,7 @@ def bed_around(a):
     return iv.around(a, 10)
 
 
-@query("bed_region_text", "I14 SC21", "fx_rg", sql="select chrom || ':' || s || '-' || e as region from fx_rg")
+@query("bed_region_text", "I14", "fx_rg", sql="select chrom || ':' || s || '-' || e as region from fx_rg")
 def bed_region_text(b):
     return b.select(iv.region_text(F.col("chrom"), F.col("s"), F.col("e")).alias("region"))
 

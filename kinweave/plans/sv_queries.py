@@ -34,7 +34,7 @@ def _with_gt(calls):
     return calls.withColumn("gt", (F.col("start_pos") % 2).cast("string"))
 
 
-@query("sv_merge", "S6 D14 F18 SK11", "fx_sv", sql=f"with {_MERGED} select primary_id, support_id, cast(round as integer) as round from lk")
+@query("sv_merge", "S6 D14", "fx_sv", sql=f"with {_MERGED} select primary_id, support_id, cast(round as integer) as round from lk")
 def sv_merge(calls):
     return _merged(calls)[1]
 
@@ -75,7 +75,7 @@ def sv_support_stats(calls):
     return sv.support_stats(sv.support_table(*_merged(calls), _with_gt(calls)))
 
 
-@query("sv_size_stats", "A14 SC20", "fx_sv", sql="select svtype, count(*) as n, cast(sum(abs(svlen)) as bigint) as total_len from fx_sv group by rollup (svtype)")
+@query("sv_size_stats", "A14", "fx_sv", sql="select svtype, count(*) as n, cast(sum(abs(svlen)) as bigint) as total_len from fx_sv group by rollup (svtype)")
 def sv_size_stats(calls):
     return sv.size_stats(calls)
 
@@ -122,7 +122,7 @@ def sv_infer(calls):
     return calls.select("id", size.cast("long").alias("svlen"), kind.alias("svtype"))
 
 
-@query("sv_strip_info", "G18 SK12", "fx_sv", sql="""
+@query("sv_strip_info", "G18", "fx_sv", sql="""
 select id, case when svlen <> 0 and prio <> 0 then 'SVTYPE' else 'SVLEN,SVTYPE' end as kept from (select id, svlen, prio from fx_sv) t
 """)
 def sv_strip_info(calls):

@@ -34,7 +34,7 @@ def mash_conflict(site, gt):
     return ts.conflicts(ts.collapse_sites(_calls(site, gt))).select("site", "conflict", F.col("n_sources").cast("long").alias("n_sources"), "genotype")
 
 
-@query("mash_contained", "G13 J10 SC15 SK7", "fx_site", sql="""
+@query("mash_contained", "G13 J10", "fx_site", sql="""
 with s as (select site_id, chrom, pos0 // 20000 as pos, ref, case when site_id % 3 = 0 then [alt, substr('ACGT', cast(1 + site_id % 4 as integer), 1)] else [alt] end as alts, site_id % 11 = 0 as conflict from fx_site),
 e as (select site_id, chrom, pos, ref, len(alts) as n_alts, unnest(alts) as alt from s), k as (select site_id as other, chrom, pos, ref, unnest(alts) as alt from s where not conflict),
 h as (select site_id, n_alts, count(distinct e.alt) as n from e join k using (chrom, pos, ref, alt) where site_id <> other group by site_id, n_alts)
@@ -71,12 +71,12 @@ def _alignments(calls):
     return calls.select("id", key, n, F.col("prio").alias("hap"), (F.abs("svlen") * 6).alias("block_len"), (F.col("start_pos") % 7).alias("edits"), (F.col("start_pos") % 3).alias("indels"))
 
 
-@query("hap_select", "A11 SC14", "fx_sv", sql=f"with {_HAPS} select key, cast(hap as bigint) as hap, edits, indels from ch")
+@query("hap_select", "A11", "fx_sv", sql=f"with {_HAPS} select key, cast(hap as bigint) as hap, edits, indels from ch")
 def hap_select(calls):
     return ts.best_haplotypes(_alignments(calls)).withColumn("hap", F.col("hap").cast("long"))
 
 
-@query("hap_annotations", "J12 J13 G16 SK9", "fx_sv", sql=f"""
+@query("hap_annotations", "J12 J13 G16", "fx_sv", sql=f"""
 with {_HAPS} select f.id, case when ch.hap is not null then 'HAP_PASS' when f.start_pos % 5 = 0 then 'HAP_FAIL' else 'HAP_OVLP' end as label from fx_sv f left join ch on ch.key = f.start_pos // 40000 and ch.hap = f.prio
 """)
 def hap_annotations(calls):
@@ -94,7 +94,7 @@ def problem_regions(a):
     return ts.problem_regions(a.withColumns({"x": F.col("s") % 9, "y": F.col("e") % 10}))
 
 
-@query("region_haplotypes", "W10 S3 S4 SC17 SK8", "fx_site")
+@query("region_haplotypes", "W10 S3 S4", "fx_site")
 def region_haplotypes(site):
     at = F.col("pos0") % 40
     base = F.repeat(F.lit("A"), 60)
@@ -103,7 +103,7 @@ def region_haplotypes(site):
     )
 
 
-@query("cigar_projection", "S11 SC18 J7", "fx_site", sql="""
+@query("cigar_projection", "S11", "fx_site", sql="""
 select site_id, case when t < 20 then t when t < 25 then 20 else t - 5 + 3 end as q from (select site_id, pos0 % 50 as t from fx_site) x
 """)
 def cigar_projection(site):
@@ -111,7 +111,7 @@ def cigar_projection(site):
     return site.select("site_id", assembly.project(cigar, F.lit(0), F.col("pos0") % 50).alias("q"))
 
 
-@query("assembly_concordance", "G11 SC19", "fx_label", sql="""
+@query("assembly_concordance", "G11", "fx_label", sql="""
 with c as (select chrom || ':' || b as region, i, h0, h1, case when i % 7 = 0 and b % 5 = 0 then 'x' else '' end as bad from fx_label where i >= 6)
 select region, case when bool_and(bad = '') then 0 end as config, cast(0 as bigint) as n_missing, cast(0 as bigint) as n_multi from c group by region
 """)

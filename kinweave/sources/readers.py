@@ -70,6 +70,9 @@ def read_vcf(spark: SparkSession, path: str, samples: list[str] | None = None) -
     fields = _lines(spark, path).where("not startswith(value, '#')").select(f.alias("f")).where("size(f) >= 8")
     dot = lambda c: F.when(c.isin(".", ""), None).otherwise(c)
     pairs = F.transform(F.split(F.get("f", 7), ";"), lambda x: F.struct(F.split(x, "=", 2)[0].alias("k"), F.coalesce(F.get(F.split(x, "=", 2), 1), F.lit("true")).alias("v")))
+    # of a repeated key the first counts: a map can't hold two
+    names_only = F.transform(pairs, lambda x: x["k"])
+    pairs = F.filter(pairs, lambda x, i: F.array_position(names_only, x["k"]) == i + 1)
     keys = F.split(F.get("f", 8), ":")
 
     def call(k: int) -> Column:
@@ -87,7 +90,7 @@ def read_vcf(spark: SparkSession, path: str, samples: list[str] | None = None) -
     return fields.select(
         F.get("f", 0).alias("chrom"), (_long(F.get("f", 1)) - 1).alias("pos0"), dot(F.get("f", 2)).alias("id"), F.get("f", 3).alias("ref"),
         F.filter(F.split(F.get("f", 4), ","), lambda a: a != ".").alias("alts"), dot(F.get("f", 5)).try_cast("double").alias("qual"),
-        F.filter(F.split(F.get("f", 6), ";"), lambda x: x != ".").alias("filters"), F.map_from_entries(F.array_distinct(pairs)).alias("info"), calls.alias("calls"),
+        F.filter(F.split(F.get("f", 6), ";"), lambda x: x != ".").alias("filters"), F.map_from_entries(pairs).alias("info"), calls.alias("calls"),
     ).where("pos0 is not null")
 
 
@@ -149,16 +152,58 @@ def read_fai(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """name, sequence in lower case, one row for each record (SC17)."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    head = F.substring_index("value", "\n", 1)
-    body = F.regexp_replace(F.substr("value", F.length(head) + 1), r"\s", "")
+    """name, sequence in lower case, one row for each record (SC17); for whole chromosomes see ``fasta_chunks``."""
+    records = spark.read.option("lineSep", "\n>").text(path).where(F.trim("value") != "")
+    whole = F.regexp_replace("value", "^>", "")
+    head = F.substring_index(whole, "\n", 1)
+    body = F.regexp_replace(F.substr(whole, F.length(head) + 1), r"\s", "")
     return records.select(F.split(F.trim(head), r"\s+")[0].alias("name"), F.lower(body).alias("sequence"))
 
 
-def fasta_region(fasta: DataFrame, regions: DataFrame) -> DataFrame:
-    """Sequences of regions (chrom, s, e), half open."""
-    return regions.join(fasta.withColumnRenamed("name", "chrom"), "chrom").select("chrom", "s", "e", F.substr("sequence", (F.col("s") + 1).cast("int"), (F.col("e") - F.col("s")).cast("int")).alias("sequence"))
+CHUNK = 1 << 16
+
+
+def fasta_chunks(fasta: DataFrame, size: int = CHUNK) -> DataFrame:
+    """chrom, chunk, sequence: records cut into chunks, a table to store once, so that regions meet chunks and no task ships a chromosome."""
+    at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("sequence") - 1) / size).cast("int")))).alias("chunk")
+    cut_up = fasta.select(F.col("name").alias("chrom"), "sequence", at)
+    return cut_up.select("chrom", "chunk", F.substr("sequence", F.col("chunk") * size + 1, F.lit(size)).alias("sequence"))
+
+
+def fasta_region(chunks: DataFrame, regions: DataFrame, size: int = CHUNK) -> DataFrame:
+    """chrom, s, e, sequence of distinct regions, half open, from the chunks that they touch."""
+    want = regions.select("chrom", "s", "e").where("s < e").distinct()
+    touched = want.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("s") / size), F.floor((F.col("e") - 1) / size)))).withColumn("chunk", F.col("chunk").cast("int"))
+    begin = F.greatest(F.col("s") - F.col("chunk") * size, F.lit(0))
+    part = F.substr("sequence", (begin + 1).cast("int"), (F.least(F.col("e") - F.col("chunk") * size, F.lit(size)) - begin).cast("int"))
+    parts = touched.join(chunks, ["chrom", "chunk"]).select("chrom", "s", "e", F.struct("chunk", part.alias("x")).alias("p"))
+    return parts.groupBy("chrom", "s", "e").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["x"]), "").alias("sequence"))
+
+
+def read_sam(spark: SparkSession, path: str) -> DataFrame:
+    """Alignments in text form: name, flag, chrom, pos0, mapq, cigar, seq (SC18); unmapped records are left out."""
+    f = _lines(spark, path).where("not startswith(value, '@')").select(F.split("value", "\t").alias("f")).where("size(f) >= 11")
+    rows = f.select(
+        F.get("f", 0).alias("name"), F.get("f", 1).try_cast("int").alias("flag"), F.get("f", 2).alias("chrom"), (_long(F.get("f", 3)) - 1).alias("pos0"),
+        F.get("f", 4).try_cast("int").alias("mapq"), F.get("f", 5).alias("cigar"), F.get("f", 9).alias("seq"),
+    )
+    return rows.where("pos0 >= 0 and chrom <> '*' and cigar <> '*'")
+
+
+def read_sv_vcf(spark: SparkSession, path: str, prio: int) -> DataFrame:
+    """Structural variants of one caller: id, prio, chrom, svtype, start_pos, end_pos, svlen (SC20).
+
+    Type and length come from INFO, else from the alleles; the end from INFO, else
+    from the reference allele.
+    """
+    rows = read_vcf(spark, path)
+    info = lambda k: F.try_element_at("info", F.lit(k))
+    d = F.length(F.get("alts", 0)) - F.length("ref")
+    svtype = F.coalesce(info("SVTYPE"), F.when(d > 0, "INS").when(d < 0, "DEL").otherwise("OTHER"))
+    return rows.select(
+        "id", F.lit(prio).cast("long").alias("prio"), "chrom", svtype.alias("svtype"), F.col("pos0").alias("start_pos"),
+        F.coalesce(info("END").try_cast("long"), F.col("pos0") + F.length("ref")).alias("end_pos"), F.coalesce(info("SVLEN").try_cast("long"), d.cast("long")).alias("svlen"),
+    )
 
 
 def read_mash(spark: SparkSession, path: str) -> DataFrame:
@@ -191,6 +236,11 @@ def read_json_document(spark: SparkSession, path: str, schema: str | None = None
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One JSON object a line (SC19)."""
+    return spark.read.schema(schema).json(path)
+
+
 def read_sites(spark: SparkSession, path: str) -> DataFrame:
     """A tab-separated table of sites with a header (SC22)."""
     return spark.read.csv(path, header=True, sep="\t")

@@ -46,6 +46,21 @@ def vcf_lines(records: DataFrame, samples: list[str]) -> DataFrame:
     )
 
 
+def merged_sv_lines(primaries: DataFrame, links: DataFrame, calls: DataFrame) -> DataFrame:
+    """VCF lines of merged structural variants with their support: SUPPORT, the supporting ids, and N_SOURCES (SK11)."""
+    support = links.groupBy(F.col("primary_id").alias("id")).agg(F.sort_array(F.collect_set("support_id")).alias("ids"), F.collect_set("round").alias("rounds"))
+    own = primaries.select("id").join(calls, "id").join(support, "id", "left")
+    info = F.create_map(
+        F.lit("SVTYPE"), F.col("svtype"), F.lit("SVLEN"), F.col("svlen").cast("string"), F.lit("END"), F.col("end_pos").cast("string"),
+        F.lit("SUPPORT"), F.coalesce(F.array_join("ids", ","), F.lit(".")), F.lit("N_SOURCES"), (1 + F.coalesce(F.size("rounds"), F.lit(0))).cast("string"),
+    )
+    records = own.select(
+        "chrom", F.col("start_pos").alias("pos0"), "id", F.lit("N").alias("ref"), F.array(F.concat(F.lit("<"), "svtype", F.lit(">"))).alias("alts"), F.lit(None).cast("double").alias("qual"),
+        F.array(F.lit("PASS")).alias("filters"), info.alias("info"), F.array(F.struct(F.lit("").alias("sample"), F.array(F.lit(None).cast("int")).alias("gt"), F.lit(False).alias("phased"), F.lit(None).cast("int").alias("dp"), F.lit(None).cast("int").alias("gq"))).alias("calls"),
+    )
+    return vcf_lines(records, [])
+
+
 def vcf_header(samples: list[str], contigs: list[tuple[str, int]] = ()) -> list[str]:
     """Header lines of a VCF."""
     return ["##fileformat=VCFv4.2", *[f"##contig=<ID={c},length={n}>" for c, n in contigs], "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])]
