@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import hapmap as hm
@@ -104,6 +106,20 @@ def phase_flips(mark):
     return hm.flip_phases(hm.collapse(_markers(mark)), {"AB": list(range(0, 16, 2)), "CD": list(range(1, 16, 2))})
 
 
+@query("map_builder", "S1 S2 S7 S8 W3 W4 W5 A1 A23 F5", "fx_site", "fx_gt")
+def map_builder(site, gt):
+    """Genotypes to blocks, all steps; written as three folders on the way."""
+    from ..operators import mapbuilder
+    from ..operators.storage import shared_folder
+
+    family = mapbuilder.Family([("S04", None, None), ("S05", None, None)] + [(f"S{i:02d}", "S04", "S05") for i in range(6, 14)])
+    # depths of the views vary evenly; here a few stand out
+    deep = gt.withColumn("dp", F.when((F.col("site_id") + F.col("i")) % 50 == 0, 90).otherwise(30))
+    made = mapbuilder.build(site, deep, family, run=3)
+    mapbuilder.write(made, family, f"{shared_folder(site.sparkSession)}/{uuid.uuid4().hex}")
+    return made.blocks
+
+
 @query("iht_unpivot", "2.13", "fx_label", sql="select chrom, b, id, 0 as slot, h0 as label from fx_label union all select chrom, b, id, 1, h1 from fx_label")
 def iht_unpivot(label):
     return hm.to_long(label, ["chrom", "b", "id"])
