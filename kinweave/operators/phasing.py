@@ -7,6 +7,8 @@ and bit j swaps founder j.  All orientations of a site are tried inside its row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,31 +16,44 @@ from ..functions.genotype import matches_ignoring_missing
 from .concordance import allele_of, founder_alleles
 
 
-def orientations(n_founders: int) -> Column:
+def oriented_allele(label: Column, orientation: Column, n_founders: int) -> Column:
+    """The allele that a label stands for in an orientation; null for labels that no founder has.
+
+    Labels are numbered A, B, C, ...; founder j has labels 2j and 2j + 1, and bit j
+    of the orientation swaps them.
+    """
+    alleles = F.array(*[F.col(f"f{j}_{k}") for j in range(n_founders) for k in (0, 1)])
+    n = F.ascii(label) - 65
+    swapped = F.call_function("shiftright", orientation, F.floor(n / 2).cast("int")).bitwiseAND(1)
+    return F.when((F.length(label) == 1) & n.between(0, 2 * n_founders - 1), F.get(alleles, n.bitwiseXOR(swapped.cast("int"))))
+
+
+def orientations(n_founders: int, written_out: int = 3) -> Column:
     """array<(mismatches, orientation, wrong ids)> over all orientations of ``gather``'s founders.
 
-    Founders must be few: their number is an exponent.  A label that no called
-    founder has stands for a missing allele, which agrees with any.  A sample
-    with first label ``.`` has its second allele twice.
+    Up to eight orientations are written out, which compiles; more are the
+    elements of a sequence, so that the plan doesn't grow with their number.  A
+    label that no called founder has stands for a missing allele, which agrees
+    with any.  A sample with first label ``.`` has its second allele twice.
     """
     if n_founders > 12:
         raise ValueError("2 ** founders orientations: 12 founders at most")
 
-    def one(k: int) -> Column:
-        alleles = founder_alleles(k, n_founders)
-
+    def one(k: Column, allele: Callable[[Column], Column]) -> Column:
         def wrong(c: Column) -> Column:
-            second = allele_of(c["h1"], alleles)
-            first = F.when(c["h0"] == ".", second).otherwise(allele_of(c["h0"], alleles))
+            second = allele(c["h1"])
+            first = F.when(c["h0"] == ".", second).otherwise(allele(c["h0"]))
             whole = c["g0"].isNotNull() & c["g1"].isNotNull() & first.isNotNull() & second.isNotNull()
             alike = (F.least(c["g0"], c["g1"]) == F.least(first, second)) & (F.greatest(c["g0"], c["g1"]) == F.greatest(first, second))
             partly = matches_ignoring_missing(F.array(c["g0"], c["g1"]), F.array(first, second))
             return c["h0"].isNotNull() & ~F.when(whole, alike).otherwise(partly)
 
         bad = F.transform(F.filter("calls", wrong), lambda c: c["id"])
-        return F.struct(F.size(bad).alias("mismatches"), F.lit(k).alias("orientation"), bad.alias("wrong"))
+        return F.struct(F.size(bad).alias("mismatches"), k.alias("orientation"), bad.alias("wrong"))
 
-    return F.array(*[one(k) for k in range(1 << n_founders)])
+    if n_founders <= written_out:
+        return F.array(*[one(F.lit(k), lambda label, k=k: allele_of(label, founder_alleles(k, n_founders))) for k in range(1 << n_founders)])
+    return F.transform(F.sequence(F.lit(0), F.lit((1 << n_founders) - 1)), lambda k: one(k, lambda label: oriented_allele(label, k, n_founders)))
 
 
 def best_orientation(gathered: DataFrame, n_founders: int, least_qual: float = 20.0, least_depth: int = 5) -> DataFrame:
@@ -74,11 +89,9 @@ def failed_singletons(decided: DataFrame) -> DataFrame:
 def phased_by_map(decided: DataFrame, n_founders: int, samples: list[str]) -> DataFrame:
     """(site_id, id, gt) of passing sites; samples without labels are ``./.``."""
     passing = decided.where("status = 'pass'")
-    ways = [founder_alleles(k, n_founders) for k in range(1 << n_founders)]
-    alleles = [F.element_at(F.array(*[w[i] for w in ways]), F.col("best.orientation") + 1).alias(f"a{i}") for i in range(2 * n_founders)]
-    columns = [F.col(f"a{i}") for i in range(2 * n_founders)]
-    each = passing.select("site_id", *alleles, "calls", F.explode(F.array(*[F.lit(s) for s in samples])).alias("id"))
+    founders = [f"f{j}_{k}" for j in range(n_founders) for k in (0, 1)]
+    each = passing.select("site_id", *founders, "best", "calls", F.explode(F.array(*[F.lit(s) for s in samples])).alias("id"))
     own = each.withColumn("c", F.get(F.filter("calls", lambda c: c["id"] == F.col("id")), 0))
-    text = lambda h: F.coalesce(allele_of(F.col(f"c.{h}"), columns).cast("string"), F.lit("."))
+    text = lambda h: F.coalesce(oriented_allele(F.col(f"c.{h}"), F.col("best.orientation"), n_founders).cast("string"), F.lit("."))
     gt = F.when(F.col("c.h0").isNull(), "./.").otherwise(F.concat(text("h0"), F.lit("|"), text("h1")))
     return own.select("site_id", "id", gt.alias("gt"))
