@@ -15,7 +15,8 @@ whose completion is null, so that no turn is lost.
 
 Rows are read in the order of their turn (null first), then role, then text; a
 null text or role is the empty text.  Rows with a null conversation id form one
-conversation.  Equal rows are turns of their own.  Other columns are ignored.
+conversation.  Equal rows are turns of their own.  Other columns are ignored, also those that
+bear the name of a result's column.
 
 A conversation is read as a stream and never held as a group: memory holds its
 prompt, which is one value of the result anyway.

@@ -52,12 +52,15 @@ def _byte_characters() -> list[str]:
 class Encoder:
     """Token ids of texts as bytes, remembering the ids of words and letter runs seen before.
 
-    Right for ``word_bpe``: it folds case, cuts at white space, and keeps runs
+    Made for ``word_bpe``: it folds case, cuts at white space, and keeps runs
     of letters and runs of marks apart, so ids of words are those of their runs.
     Words that aren't plainly letters and marks go through the whole tokenizer.
+    A tokenizer that reads a text of all these kinds otherwise gets whole texts.
     ``remember`` bounds the words and the runs kept.
     """
 
+    PROBE = "The CAT's hats, naïve Übung; word2vec don't stop... 12,5 % off! (x) a_b $9 #tag ÀÉ ß ÑANDÚ 日本 Tokens:\n\n two  spaces\tand a_long/path -- end"
+
     def __init__(self, path: str, remember: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor share its cores already
         from tokenizers import Tokenizer
@@ -67,6 +70,14 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {"": b""}
         self.shown = _byte_characters()
+        self.by_word = True
+        self.by_word = self._agrees()
+
+    def _agrees(self) -> bool:
+        try:
+            return next(self.encode([self.PROBE])) == self._ids(self.PROBE)
+        except Exception:  # a model that can't be asked for single words
+            return False
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -87,7 +98,7 @@ class Encoder:
         """Ids of each text, four bytes an id."""
         words = self.words
         for text in docs:
-            if _UNSURE.search(text):
+            if not self.by_word or _UNSURE.search(text):
                 yield self._ids(text)
                 continue
             split = text.split()
@@ -140,10 +151,6 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _divide(n: int, parts: tuple[int, ...], length: int) -> int:
-    return n // parts.count(length)
-
-
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Sequences as (lengths, how many alike), for ``counts`` pieces of each length.
 

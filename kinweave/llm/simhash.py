@@ -107,15 +107,16 @@ def links(fps: DataFrame, distance: int = 2, n_blocks: int = 5, crowd: int = 48)
     return pairs.unionByName(met).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the connected components of ``edges`` (a, b): root is the smallest node.
 
-    Alternating large-star and small-star rounds; each writes its links to the
-    checkpoint folder, and the driver sees two sums a round only.
+    Alternating large-star and small-star rounds, until nothing changes: their
+    number grows with the logarithm of the nodes.  Each round writes its links to
+    the checkpoint folder, and the driver sees two sums a round only.
     """
     now = cut(edges.select("a", "b").where("a <> b").distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         # large star: each node links its larger neighbours to the smallest of its neighbours and itself
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
@@ -135,8 +136,6 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError(f"components: not settled after {max_rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 

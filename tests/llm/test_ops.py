@@ -165,6 +165,18 @@ def test_packing(spark, docs):
     assert len(sequences) <= -(-total // 4096) + 1
 
 
+def test_packing_encoders_agree_with_their_tokenizers(docs):
+    from tokenizers import Tokenizer
+
+    texts = [r["text"] or "" for r in docs.limit(80).collect()] + ["", "Don't  stop\n\nnow", "ÀÉ 日本 a_b"]
+    for name, by_word in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = public_tokenizers.path(name)
+        coder, tk = packing.Encoder(path), Tokenizer.from_file(path)
+        assert coder.by_word is by_word
+        for text, ids in zip(texts, coder.encode(texts)):
+            assert np.frombuffer(ids, dtype="<u4").tolist() == tk.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_plan():
     rng = np.random.default_rng(1)
     for capacity in (7, 64):
