@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scans import neighbour
+from .hmm import runs
+from .scans import neighbour, running
 
 
 def depth_stats(depths: DataFrame) -> DataFrame:
@@ -34,32 +35,40 @@ def to_long(wide: DataFrame, keys: list[str]) -> DataFrame:
     return wide.select(*keys, F.posexplode(F.array("h0", "h1")).alias("slot", "label"))
 
 
-def short_run_mask(labels: DataFrame, run: int = 10) -> DataFrame:
+def short_run_mask(labels: DataFrame, run: int = 10, size: int = 1 << 16) -> DataFrame:
     """Add ``masked``: known labels with fewer than ``run`` like ones before and after in their stretch.
 
     Both counts include the row itself and stop at another label; unknown labels
-    are passed over.  Stretches of up to 2 * run - 3 lose their middle too.
+    are passed over.  Stretches of up to 2 * run - 3 lose their middle too.  Rows
+    are placed by scans over bins of ``size`` along ``b``; a stretch's length comes
+    from its parts by bin, so that a chromosome of one label stays many tasks.
     """
-    line = Window.partitionBy("chrom", "id", "slot").orderBy("b")
-    known = labels.where("label is not null")
-    new = (~F.lag("label").over(line).eqNullSafe(F.col("label"))).cast("int")
-    stretch = known.withColumn("_new", new).withColumn("_run", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    own = Window.partitionBy("chrom", "id", "slot", "_run")
-    marked = stretch.withColumns({"_before": F.row_number().over(own.orderBy("b")), "_n": F.count(F.lit(1)).over(own)})
-    mask = (F.col("_before") < run) & (F.col("_n") - F.col("_before") + 1 < run)
+    line = ["chrom", "id", "slot"]
+    known = runs(labels.where("label is not null"), line, "b", "label", size).withColumnRenamed("run", "_run")
+    placed = running(known.withColumn("_bin", F.expr(f"floor(b / {size})")), line, "_bin", ["b"], F.lit(1), "_place", how="sum", inclusive=True)
+    parts = placed.groupBy(*line, "_bin", "_run").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    stretches = parts.groupBy(*line, "_run").agg(F.min("_first").alias("_first"), F.sum("_n").alias("_n"))
+    marked = placed.join(parts.select(*line, "_bin", "_run").join(stretches, [*line, "_run"]), [*line, "_bin", "_run"])
+    before = F.col("_place") - F.col("_first") + 1
+    mask = (before < run) & (F.col("_n") - before + 1 < run)
     return marked.select(*labels.columns, mask.alias("masked")).unionByName(labels.where("label is null").withColumn("masked", F.lit(False)))
 
 
-def fill_from_neighbours(labels: DataFrame, least_blocks: int = 3) -> DataFrame:
+def fill_from_neighbours(labels: DataFrame, least_blocks: int = 3, size: int = 1 << 16) -> DataFrame:
     """Add ``filled``: an unknown label from the nearest known one before, else after.
 
-    Chromosomes with fewer than ``least_blocks`` blocks stay as they are.
+    Chromosomes with fewer than ``least_blocks`` blocks stay as they are.  Rows
+    meet in bins of ``size`` along ``b``.
     """
-    line = Window.partitionBy("chrom", "id", "slot").orderBy("b")
-    before = F.last("label", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("label", ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing))
-    enough = F.count(F.lit(1)).over(Window.partitionBy("chrom", "id", "slot")) >= least_blocks
-    return labels.withColumn("filled", F.when(enough, F.coalesce(before, after)).otherwise(F.col("label")))
+    line = ["chrom", "id", "slot"]
+    rows = labels.withColumns({"_bin": F.expr(f"floor(b / {size})"), "_from_end": -F.col("b")})
+    nearest = lambda place: F.when(F.col("label").isNotNull(), F.struct(F.col(place).alias("at"), F.col("label").alias("label")))
+    before = running(rows, line, "_bin", ["b"], nearest("b"), "_earlier", inclusive=True).withColumn("_bin", -F.col("_bin"))
+    both = running(before, line, "_bin", ["_from_end"], nearest("_from_end"), "_later", inclusive=True)
+    counts = both.groupBy(*line, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    totals = counts.select(*line, "_bin", F.sum("_n").over(Window.partitionBy(*line)).alias("_n"))
+    filled = F.when(F.col("_n") >= least_blocks, F.coalesce("_earlier.label", "_later.label")).otherwise(F.col("label"))
+    return both.join(totals, [*line, "_bin"]).select(*labels.columns, filled.alias("filled"))
 
 
 def switches(labels: DataFrame, size: int = 1 << 16) -> DataFrame:
@@ -124,14 +133,26 @@ BLOCK = T.StructType(
 )
 
 
-def collapse(markers: DataFrame) -> DataFrame:
+def collapse(markers: DataFrame, size: int = 1 << 20) -> DataFrame:
     """Greedy collapse of neighbouring markers into blocks.
 
     ``markers`` has chrom, start_pos, end_pos, n_markers and ``labels``, one
     character for each slot of each sample, ``?`` if unknown.  The next marker
     joins the block while no known label differs from what the block has so far;
-    it fills the block's unknown labels.  The order matters, so this is a fold.
+    it fills the block's unknown labels.
+
+    A block knows all that its last marker knows, so one ends for certain where
+    two neighbouring markers differ in a known label.  Those places, found by a
+    scan over bins of ``size``, cut a chromosome into stretches; only inside a
+    stretch is the order a fold, and stretches are folded side by side.
     """
+    order = ["start_pos", "end_pos", "labels"]
+    binned = markers.select(*BLOCK.names, F.expr(f"coalesce(floor(start_pos / {size}), -1)").alias("_bin"))
+    near = neighbour(binned, ["chrom"], "_bin", order, {"_labels": F.col("labels")})
+    differ = F.zip_with(F.split("_labels", ""), F.split("labels", ""), lambda a, b: (a != b) & (a != "?") & (b != "?"))
+    ends = (F.length("_labels") != F.length("labels")) | F.exists(differ, lambda x: x)
+    cuts = running(near, ["chrom"], "_bin", order, F.coalesce(ends, F.lit(False)).cast("int"), "_cut", how="sum", inclusive=True)
+    stretches = cuts.select(*BLOCK.names, F.concat_ws(":", "chrom", "_cut").alias("_stretch"))
 
     def step():
         block: dict = {}
@@ -152,7 +173,7 @@ def collapse(markers: DataFrame) -> DataFrame:
 
         return take
 
-    return fold(markers.select(*BLOCK.names), "chrom", ["start_pos", "end_pos", "labels"], step, BLOCK)
+    return fold(stretches, "_stretch", order, step, BLOCK)
 
 
 def flip_phases(blocks: DataFrame, pairs: dict[str, list[int]]) -> DataFrame:

@@ -227,9 +227,17 @@ def concat_distinct(sets: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, sets).dropDuplicates()
 
 
-def chunks(df: DataFrame, n: int, keys: list[str], order: list[str]) -> DataFrame:
-    """Add ``chunk``, 1 to ``n``: rows of each key in order, in chunks of nearly equal size."""
-    return df.withColumn("chunk", F.ntile(n).over(Window.partitionBy(*keys).orderBy(*order)))
+def chunks(df: DataFrame, n: int, keys: list[str], order: list[str], size: int = BIN) -> DataFrame:
+    """Add ``chunk``, 1 to ``n``: rows of each key in order, in chunks of nearly equal size, the larger ones first.
+
+    ``order`` is total and begins with a position; rows meet in bins of ``size``
+    along it, and a row's chunk follows from its place and its key's count.
+    """
+    placed = running(df.withColumn("_bin", F.expr(f"floor({order[0]} / {size * 64})")), keys, "_bin", order, F.lit(1), "_place", how="sum")
+    counts = placed.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    totals = counts.select(*keys, "_bin", F.sum("_n").over(Window.partitionBy(*keys)).alias("_n"))
+    chunk = F.expr(f"case when _place < (_n % {n}) * (_n div {n} + 1) then _place div (_n div {n} + 1) else _n % {n} + (_place - (_n % {n}) * (_n div {n} + 1)) div (_n div {n}) end + 1")
+    return placed.join(totals, [*keys, "_bin"]).select(*df.columns, chunk.cast("int").alias("chunk"))
 
 
 def ranked(df: DataFrame, size: int = BIN) -> DataFrame:
