@@ -71,7 +71,23 @@ def marker_trace(gt):
     return hm.trace_sites(gt, family)
 
 
-@query("marker_trace_generations", "S7", "fx_gt")
+def _private(x: str, y: str) -> str:
+    """SQL: the lower allele of x that y lacks."""
+    lacks = lambda a: f"{a} not in ({y}0, {y}1)"
+    return f"case when {x}0 is null or {y}0 is null then null when {lacks(x + '0')} and {lacks(x + '1')} then least({x}0, {x}1) when {lacks(x + '0')} then {x}0 when {lacks(x + '1')} then {x}1 end"
+
+
+_FOUR = ", ".join(f"max(case when id = '{who}' then g{j} end) as {x}{j}" for who, x in (("S04", "d"), ("S05", "m"), ("S06", "k"), ("S07", "w")) for j in (0, 1))
+
+
+@query("marker_trace_generations", "S7", "fx_gt", sql=f"""
+with p as (select site_id, {_FOUR} from fx_gt group by site_id),
+u as (select *, {_private('d', 'm')} as ud, {_private('m', 'd')} as um, {_private('k', 'w')} as uk, {_private('w', 'k')} as uw from p),
+c as (select *, case when ud in (k0, k1) then 'A' end as h0, case when um in (k0, k1) then 'C' end as h1 from u)
+select site_id, 'S06' as id, h0, h1 from c union all
+select g.site_id, g.id, case when uk in (g.g0, g.g1) and uk = case when h0 is not null then ud when h1 is not null then um end then coalesce(h0, h1) end, case when uw in (g.g0, g.g1) then 'E' end
+from fx_gt g join c on c.site_id = g.site_id where g.id in ('S08', 'S09')
+""")
 def marker_trace_generations(gt):
     family = [("S04", None, None), ("S05", None, None), ("S06", "S04", "S05"), ("S07", None, None), ("S08", "S06", "S07"), ("S09", "S06", "S07")]
     return hm.trace_sites(gt, family, with_backfill=False)
@@ -88,20 +104,38 @@ def _markers(mark):
     return few.groupBy("chrom", "start_pos", "end_pos").agg(F.lit(1).cast("long").alias("n_markers"), F.array_join(F.transform(F.sort_array(F.collect_list(pair)), lambda p: p["x"]), "").alias("labels"))
 
 
-@query("block_collapse", "S1", "fx_mark", sql=f"""
-with recursive {_MARKERS}, r as (select *, row_number() over (partition by chrom order by start_pos) as k from mk),
+_BLOCKS = f"""
+{_MARKERS}, r as (select *, row_number() over (partition by chrom order by start_pos) as k from mk),
 w as (select chrom, k, start_pos, end_pos, n_markers, labels, cast(1 as bigint) as block from r where k = 1
   union all select r.chrom, r.k, case when ok then w.start_pos else r.start_pos end, r.end_pos, case when ok then w.n_markers + 1 else 1 end,
     case when ok then list_aggregate(list_transform(range(1, 17), lambda j: case when w.labels[j] = '?' then r.labels[j] else w.labels[j] end), 'string_agg', '') else r.labels end, case when ok then w.block else w.block + 1 end
   from w join r on r.chrom = w.chrom and r.k = w.k + 1,
-  lateral (select len(list_filter(range(1, 17), lambda j: w.labels[j] <> r.labels[j] and w.labels[j] <> '?' and r.labels[j] <> '?')) = 0 as ok) o)
-select chrom, start_pos, max(end_pos) as end_pos, max(n_markers) as n_markers, arg_max(labels, k) as labels from w group by chrom, block, start_pos
-""")
+  lateral (select len(list_filter(range(1, 17), lambda j: w.labels[j] <> r.labels[j] and w.labels[j] <> '?' and r.labels[j] <> '?')) = 0 as ok) o),
+bl as (select chrom, start_pos, max(end_pos) as end_pos, max(n_markers) as n_markers, arg_max(labels, k) as labels from w group by chrom, block, start_pos)
+"""
+
+
+@query("block_collapse", "S1", "fx_mark", sql=f"with recursive {_BLOCKS} select * from bl")
 def block_collapse(mark):
     return hm.collapse(_markers(mark))
 
 
-@query("phase_flips", "S2", "fx_mark")
+_HALF = lambda first: f"list_aggregate(list_transform(range({first}, 17, 2), lambda j: labels[j]), 'string_agg', '')"
+_COUNT = lambda test: f"len(list_filter(range(1, 9), lambda j: {test}))"
+
+
+@query("phase_flips", "S2", "fx_mark", sql=f"""
+with recursive {_BLOCKS}, n as (select *, row_number() over (partition by chrom order by start_pos, end_pos) as k from bl),
+h as (select chrom, k, 'AB' as pair, 'BA' as turned, {_HALF(1)} as own from n union all select chrom, k, 'CD', 'DC', {_HALF(2)} from n),
+f as (select chrom, pair, k, own as labels, case when own <> '????????' then own end as last from h where k = 1
+  union all select h.chrom, h.pair, h.k, o.labels, case when h.own = '????????' then f.last else o.labels end
+  from f join h on h.chrom = f.chrom and h.pair = f.pair and h.k = f.k + 1,
+  lateral (select {_COUNT("h.own[j] <> '?' and f.last[j] <> '?'")} as n_both, {_COUNT("h.own[j] <> '?' and f.last[j] <> '?' and h.own[j] <> f.last[j]")} as wrong,
+    {_COUNT("h.own[j] <> '?'")} as n_own, {_COUNT("f.last[j] <> '?'")} as n_last) c,
+  lateral (select case when f.last is not null and n_both in (n_own, n_last) and n_both - wrong < wrong then translate(h.own, h.pair, h.turned) else h.own end as labels) o)
+select n.chrom, n.start_pos, n.end_pos, n.n_markers, list_aggregate(list_transform(range(1, 9), lambda j: a.labels[j] || c.labels[j]), 'string_agg', '') as labels
+from n join f a on a.chrom = n.chrom and a.k = n.k and a.pair = 'AB' join f c on c.chrom = n.chrom and c.k = n.k and c.pair = 'CD'
+""")
 def phase_flips(mark):
     return hm.flip_phases(hm.collapse(_markers(mark)), {"AB": list(range(0, 16, 2)), "CD": list(range(1, 16, 2))})
 
