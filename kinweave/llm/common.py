@@ -123,6 +123,26 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in column(batch, name).to_pylist()]
 
 
+def blocks(batch: pa.RecordBatch, row: int, table: bytes, name: str = "text", most: int = 1 << 20) -> Iterator[bytes]:
+    """The UTF-8 bytes of one text through the translation ``table``, in blocks of about ``most`` bytes.
+
+    A block ends after a space or line end, so that no word is cut and a text of
+    any length needs the memory of a block (or of its longest word).
+    """
+    data = column(batch, name)[row].as_buffer()
+    if data is None:
+        return
+    view, rest = memoryview(data), b""
+    for a in range(0, len(view), most):
+        now = rest + bytes(view[a : a + most]).translate(table)
+        end = max(now.rfind(b" "), now.rfind(b"\n")) + 1
+        if end:
+            yield now[:end]
+        rest = now[end:]
+    if rest:
+        yield rest
+
+
 def slices(n: int, size: int) -> Iterator[tuple[int, int]]:
     for a in range(0, n, size):
         yield a, min(n, a + size)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import chat, html_text, knn, langid, lm, mixing, mpegts, packing, quality, simhash
+from . import chat, collocations, divergence, html_text, knn, langid, lm, mixing, mpegts, packing, quality, simhash, urlfilter
 from .common import id_remainder, table
 
 
@@ -84,6 +84,27 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.annotate(held, model, keep=["doc_id", "held_out"])
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ in their words: lang, source, part, item, value, rank."""
+    return divergence.audit(table(spark, sf_dir, "documents"), min_docs=30, top_terms=50)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collocations of each language: lang, rank, phrase, a, l, r, n, score."""
+    return collocations.mine(table(spark, sf_dir, "documents"), min_count=30, top=2000, scale=2_000_000, cover=80)
+
+
+#: Rules by verdict, host and path, and the names that are listed for blocking.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+URL_LISTED = [f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url: page_id, host, path, rule, verdict."""
+    listed = spark.range(1).select(F.explode(F.array(*map(F.lit, URL_LISTED))).alias("name"))
+    return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, listed).drop("url")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_quality": op2_quality,
@@ -95,6 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_transport_stream": op8_transport_stream,
     "op9_mixing": op9_mixing,
     "op10_language": op10_language,
+    "op11_divergence": op11_divergence,
+    "op12_collocations": op12_collocations,
+    "op13_url_filter": op13_url_filter,
 }
 
 #: SQL for DuckDB with the same rows.
@@ -126,5 +150,46 @@ q as (select vec_id, min(v) as v from e where vec_id % 20 = 0 group by vec_id),
 s as (select q.vec_id as query_id, e.vec_id, cast(list_sum(list_transform(list_zip(q.v, e.v), lambda p: p[1] * p[2])) as bigint) as score from q join e on e.vec_id <> q.vec_id and len(e.v) = len(q.v)),
 r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
 select query_id, rank, vec_id, score from r where rank <= 20
+""",
+    "op11_divergence": r"""
+with d as (select row_number() over () as id, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+w as (select id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as (select lang, term, count(*) as n from w group by lang, term having count(distinct id) >= 30),
+size as (select lang, count(*) as v, sum(n)::hugeint as total from kept group by lang),
+cell as (select w.lang, w.source, w.term, count(*) as n from w join kept on w.lang = kept.lang and w.term = kept.term group by all),
+grp as (select g.lang, g.source, coalesce(sum(n), 0)::hugeint as total from (select distinct lang, source from d) g left join cell c on g.lang = c.lang and g.source = c.source group by all),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (g.total + 5 * s.v) as p, 1 + (1000000000::hugeint * (k.n + 5)) // (s.total + 5 * s.v) as q
+  from grp g join kept k on g.lang = k.lang join size s on s.lang = g.lang left join cell c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+pv as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(pv.value, 0) as value from grp a join grp b on a.lang = b.lang and a.source <> b.source
+  left join pv on pv.lang = a.lang and pv.source = a.source and pv.item = b.source),
+either_ as (select * from pairs union all select lang, source, 'term', term, p - q from p where n > 0 and p > q),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank from either_)
+select lang, source, part, item, value::bigint as value, rank::integer as rank from r where part = 'pair' or rank <= 50
+""",
+    "op12_collocations": r"""
+with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+piece as (select lang, regexp_extract_all(unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as w from d),
+pos as (select lang, w, unnest(generate_series(1, len(w))) as i from piece where len(w) > 0),
+g as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, w[i:i + k - 1] as words from pos, (values (1), (2), (3), (4)) s(k) where i + k - 1 <= len(w)),
+f as (select lang, k, phrase, any_value(words) as words, count(*) as n from g group by all having count(*) >= 30),
+total as (select lang, sum(len(w))::bigint as n from piece group by lang),
+cuts as (select f.lang, f.phrase, f.n as a, c.c as cut, array_to_string(words[1:c.c], ' ') as x, array_to_string(words[c.c + 1:], ' ') as y from f, (values (1), (2), (3)) c(c) where c.c < f.k),
+sc as (select cuts.*, fl.n as l, fr.n as r, (2000000::hugeint * a) // (fl.n + fr.n) as score from cuts join f fl on fl.lang = cuts.lang and fl.phrase = x join f fr on fr.lang = cuts.lang and fr.phrase = y),
+worst as (select * from sc qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+longer as (select f.lang, array_to_string(words[i:i + m - 1], ' ') as phrase, max(n) as n from f, (values (1), (2), (3)) p(i), (values (2), (3)) q(m) where k > m and i + m - 1 <= k group by all),
+alive as (select w.* from worst w left join longer o on o.lang = w.lang and o.phrase = w.phrase where o.n is null or 100::hugeint * o.n < 80::hugeint * w.a)
+select lang, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank, phrase, a, l, r, total.n as n, score::bigint as score from alive join total using (lang)
+qualify row_number() over (partition by lang order by score desc, a desc, encode(phrase)) <= 2000
+""",
+    "op13_url_filter": r"""
+with u as (select page_id, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
+h as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+rules(verdict, h, p) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+listed as (select name || '.example.' || tld as h from (values ('ads-track'), ('adult-x'), ('casino-win'), ('cheap-pills'), ('free-bets'), ('spam-farm')) n(name), (values ('com'), ('net'), ('org')) t(tld)),
+fits as (select page_id, h || p as rule, verdict, row_number() over (partition by page_id order by length(h || p) desc) as i from (select distinct page_id, host, path from h) x join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)),
+bad as (select distinct host from h join listed l on host = l.h or ends_with(host, '.' || l.h))
+select h.page_id, h.host, h.path, f.rule, coalesce(f.verdict, case when bad.host is null then 'allow' else 'block' end) as verdict
+from h left join fits f on f.page_id = h.page_id and f.i = 1 left join bad on bad.host = h.host
 """,
 }
