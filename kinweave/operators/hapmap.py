@@ -7,15 +7,12 @@ Labels are letters of founder haplotypes; null stands for an unknown label and
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .hmm import runs
 from .scans import neighbour, running
+from .storage import cut
 
 
 def depth_stats(depths: DataFrame) -> DataFrame:
@@ -93,47 +90,10 @@ def consensus(blocks: DataFrame, markers: DataFrame, size: int = 1 << 18) -> Dat
     return n.groupBy("chrom", "b", "id", "slot").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label"), F.max("n").alias("n"))
 
 
-def fold(rows: DataFrame, key: str, order: list[str], step: Callable[[], Callable[[dict | None], list[dict]]], schema: T.StructType) -> DataFrame:
-    """Run an ordered fold over each key's rows as a stream.
+BLOCK = ["chrom", "start_pos", "end_pos", "n_markers", "labels"]
 
-    ``step()`` makes the state of one key: a function that takes a row and
-    returns the rows that it settles, and None at the key's end.  Rows are
-    sorted by Spark, which spills, and pass one by one, so a key of any size
-    needs the memory of its state only.
-    """
-    names = schema.names
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state, out = object(), None, []
-        for part in parts:
-            for row in part.to_dict("records"):
-                if row[key] != current:
-                    if state is not None:
-                        out += state(None)
-                    current, state = row[key], step()
-                out += state(row)
-            if len(out) > 10_000:
-                yield pd.DataFrame(out, columns=names)
-                out = []
-        if state is not None:
-            out += state(None)
-        yield pd.DataFrame(out, columns=names)
-
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
-
-
-BLOCK = T.StructType(
-    [
-        T.StructField("chrom", T.StringType()),
-        T.StructField("start_pos", T.LongType()),
-        T.StructField("end_pos", T.LongType()),
-        T.StructField("n_markers", T.LongType()),
-        T.StructField("labels", T.StringType()),
-    ]
-)
-
-
-def collapse(markers: DataFrame, size: int = 1 << 20) -> DataFrame:
+
+def collapse(markers: DataFrame, size: int = 1 << 20, per_bin: int = 1 << 12) -> DataFrame:
     """Greedy collapse of neighbouring markers into blocks.
 
     ``markers`` has chrom, start_pos, end_pos, n_markers and ``labels``, one
@@ -141,165 +101,40 @@ def collapse(markers: DataFrame, size: int = 1 << 20) -> DataFrame:
     joins the block while no known label differs from what the block has so far;
     it fills the block's unknown labels.
 
-    A block knows all that its last marker knows, so one ends for certain where
-    two neighbouring markers differ in a known label.  Those places, found by a
-    scan over bins of ``size``, cut a chromosome into stretches; only inside a
-    stretch is the order a fold, and stretches are folded side by side.
+    A conflict is two neighbouring known labels of a slot that differ, the one at
+    marker e, the other at b.  A block that begins at x ends before the least b of
+    the conflicts with e at or after x, which a scan finds.  So only the places b
+    can begin a block, each points to the next, and those reached from the first
+    marker do.  The chain is followed in bins of ``per_bin`` markers: what leaves a
+    bin for each place where it may be entered, then from bin to bin, then inside.
     """
     order = ["start_pos", "end_pos", "labels"]
-    binned = markers.select(*BLOCK.names, F.expr(f"coalesce(floor(start_pos / {size}), -1)").alias("_bin"))
-    near = neighbour(binned, ["chrom"], "_bin", order, {"_labels": F.col("labels")})
-    differ = F.zip_with(F.split("_labels", ""), F.split("labels", ""), lambda a, b: (a != b) & (a != "?") & (b != "?"))
-    ends = (F.length("_labels") != F.length("labels")) | F.exists(differ, lambda x: x)
-    cuts = running(near, ["chrom"], "_bin", order, F.coalesce(ends, F.lit(False)).cast("int"), "_cut", how="sum", inclusive=True)
-    stretches = cuts.select(*BLOCK.names, F.concat_ws(":", "chrom", "_cut").alias("_stretch"))
-
-    def step():
-        block: dict = {}
-
-        def take(row: dict | None) -> list[dict]:
-            nonlocal block
-            if row is None:
-                return [block] if block else []
-            if block and len(block["labels"]) == len(row["labels"]) and all(a == b or a == "?" or b == "?" for a, b in zip(block["labels"], row["labels"])):
-                block = block | {
-                    "end_pos": row["end_pos"],
-                    "n_markers": block["n_markers"] + row["n_markers"],
-                    "labels": "".join(b if a == "?" else a for a, b in zip(block["labels"], row["labels"])),
-                }
-                return []
-            done, block = ([block] if block else []), {k: row[k] for k in BLOCK.names}
-            return done
-
-        return take
-
-    return fold(stretches, "_stretch", order, step, BLOCK)
-
-
-def flip_phases(blocks: DataFrame, pairs: dict[str, list[int]]) -> DataFrame:
-    """Swap a founder's two labels in a block where that lowers the mismatches to the block before.
-
-    ``pairs`` gives for each founder's two letters (as "AB") the label places of
-    its children; founders with one child, and chromosome X, are left alone.
-    Mismatches are counted against the last block in which that founder was
-    flippable; a flip must beat the block's own count, and a flipped block is
-    what the next is compared with.  A block whose flippable children are
-    neither a subset nor a superset of those before isn't flipped.
-    """
-    flippable = {f: at for f, at in sorted(pairs.items()) if len(at) > 1}
-
-    def step():
-        last: dict[str, dict[int, str]] = {}
-
-        def take(row: dict | None) -> list[dict]:
-            if row is None:
-                return []
-            labels = list(row["labels"])
-            if "chrX" not in row["chrom"] and "ChrX" not in row["chrom"]:
-                for founder, at in flippable.items():
-                    own = {i: labels[i] for i in at if labels[i] in founder}
-                    if not own:
-                        continue
-                    before = last.get(founder)
-                    if before is not None and (own.keys() <= before.keys() or own.keys() >= before.keys()):
-                        both = own.keys() & before.keys()
-                        wrong = sum(own[i] != before[i] for i in both)
-                        if len(both) - wrong < wrong:
-                            own = {i: founder[1 - founder.index(x)] for i, x in own.items()}
-                            for i, x in own.items():
-                                labels[i] = x
-                    last[founder] = own
-            return [{k: row[k] for k in BLOCK.names} | {"labels": "".join(labels)}]
-
-        return take
-
-    return fold(blocks.select(*BLOCK.names), "chrom", ["start_pos", "end_pos"], step, BLOCK)
-
-
-def founder_letters(founders: list[str]) -> dict[str, tuple[str, str]]:
-    """Letters of the founders' haplotypes in the order of their ids; ``?`` beyond 13 founders."""
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return {f: (letters[2 * i], letters[2 * i + 1]) if i < 13 else ("?", "?") for i, f in enumerate(sorted(founders))}
-
-
-def trace(calls: dict[str, tuple], family: list[tuple[str, str | None, str | None]]) -> dict[str, list[str | None]]:
-    """Labels [from father, from mother] of each non-founder at one site.
-
-    ``family`` lists (id, father, mother) in generation order.  A parent passes
-    its label to the children that carry an allele which the other parent
-    lacks: of two such alleles the lower.  Founders pass their first label,
-    others the label they have themselves, for the allele it came with.
-    """
-    with_children = {p for _, f, m in family for p in (f, m) if p}
-    letters = founder_letters([i for i, f, m in family if not f and not m and i in with_children])
-    labels: dict[str, list[str | None]] = {i: [None, None] for i, f, m in family if f or m}
-    came_with: dict[str, int] = {}
-    held = {i: (letters[i][0] if i in letters else None) for i, _, _ in family}
-    for who, father, mother in family:
-        if not father or not mother:
-            continue
-        own = calls.get(who)
-        for slot, (parent, other) in enumerate(((father, mother), (mother, father))):
-            a, b = calls.get(parent), calls.get(other)
-            if not own or not a or not b or None in (*own, *a, *b) or not held.get(parent):
-                continue
-            private = sorted(set(a) - set(b))
-            if not private or private[0] not in own:
-                continue
-            if parent not in letters and came_with.get(parent) != private[0]:
-                continue
-            labels[who][slot] = held[parent]
-            if held.get(who) is None:
-                held[who], came_with[who] = held[parent], private[0]
-    return labels
-
-
-def backfill(labels: dict[str, list[str | None]], calls: dict[str, tuple], family: list[tuple[str, str | None, str | None]]) -> dict[str, list[str | None]]:
-    """Give a founder's other label to the children that lack the traced one, and the first label to the larger group.
-
-    Only direct children of founders with several children change, and only
-    those with a called genotype; on a tie the group of the smallest id has the
-    first label.
-    """
-    with_children = {p for _, f, m in family for p in (f, m) if p}
-    letters = founder_letters([i for i, f, m in family if not f and not m and i in with_children])
-    out = {k: list(v) for k, v in labels.items()}
-    for founder, (first, second) in letters.items():
-        kids = [(i, 0 if f == founder else 1) for i, f, m in family if founder in (f, m)]
-        if len(kids) < 2:
-            continue
-        have = [(i, s) for i, s in kids if out[i][s] == first]
-        lack = [(i, s) for i, s in kids if out[i][s] is None and calls.get(i) and None not in calls[i]]
-        if not have:
-            continue
-        least = min(i for i, _ in have + lack)
-        swap = len(lack) > len(have) or (len(lack) == len(have) and least in {i for i, _ in lack})
-        for group, letter in ((have, second if swap else first), (lack, first if swap else second)):
-            for i, s in group:
-                out[i][s] = letter
-    return out
-
-
-def trace_sites(gts: DataFrame, family: list[tuple[str, str | None, str | None]], with_backfill: bool = True) -> DataFrame:
-    """(site_id, id, h0, h1) of every non-founder at every site of ``gts`` (site_id, id, g0, g1).
-
-    Sites are independent, so they are traced in batches side by side.
-    """
-    by_site = gts.groupBy("site_id").agg(F.collect_list("id").alias("ids"), F.collect_list(F.coalesce("g0", F.lit(-1))).alias("a"), F.collect_list(F.coalesce("g1", F.lit(-1))).alias("b"))
-    none = lambda x: None if x < 0 else int(x)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for site, ids, a, b in part.itertuples(index=False):
-                calls = {i: (none(x), none(y)) for i, x, y in zip(ids, a, b)}
-                found = trace(calls, family)
-                if with_backfill:
-                    found = backfill(found, calls, family)
-                rows += [(site, i, *h) for i, h in found.items()]
-            yield pd.DataFrame(rows, columns=["site_id", "id", "h0", "h1"])
-
-    return by_site.mapInPandas(run, "site_id long, id string, h0 string, h1 string")
+    binned = markers.select(*BLOCK, F.expr(f"coalesce(floor(start_pos / {size}), -1)").alias("_bin"))
+    placed = cut(running(binned, ["chrom"], "_bin", order, F.lit(1), "_at", how="sum").withColumn("_bin", F.expr(f"floor(_at / {per_bin})")))
+    # the number of labels counts as one more, always known
+    labels = F.concat(F.array(F.length("labels").cast("string")), F.split("labels", ""))
+    known = placed.select("chrom", "_bin", "_at", F.posexplode(labels).alias("slot", "label")).where("label not in ('?', '')")
+    near = neighbour(known, ["chrom", "slot"], "_bin", ["_at"], {"_e": F.col("_at"), "_label": F.col("label")})
+    conflicts = near.where("_label <> label").groupBy("chrom", F.col("_e").alias("x")).agg(F.min("_at").alias("b"))
+    places = conflicts.select("chrom", F.col("b").alias("x")).unionByName(placed.select("chrom", F.lit(0).cast("long").alias("x"))).distinct()
+    both = conflicts.withColumn("kind", F.lit(0)).unionByName(places.select("chrom", "x", F.lit(None).cast("long").alias("b"), F.lit(1).alias("kind")))
+    backwards = both.withColumns({"_x": -F.col("x"), "_bin": F.expr(f"floor(-x / {per_bin})")})
+    pointed = running(backwards, ["chrom"], "_bin", ["_x", "kind"], -F.col("b"), "_next", inclusive=True)
+    steps = pointed.where("kind = 1").select("chrom", "x", (-F.col("_next")).alias("next"), F.expr(f"floor(x / {per_bin})").alias("_bin"))
+    bins = cut(steps.groupBy("chrom", "_bin").agg(F.sort_array(F.collect_list(F.struct("x", "next"))).alias("steps")))
+    leaves = bins.select("chrom", F.expr(f"inline(filter(steps, s -> floor(s.next / {per_bin}) <> _bin))")).select("chrom", F.col("next").alias("x"))
+    doors = leaves.unionByName(bins.select("chrom", F.lit(0).cast("long").alias("x"))).distinct().withColumn("_bin", F.expr(f"floor(x / {per_bin})"))
+    crossed = doors.join(bins, ["chrom", "_bin"]).select("chrom", "x", F.expr("aggregate(steps, x, (at, s) -> if(s.x = at, s.next, at))").alias("exit"))
+    chain = crossed.groupBy("chrom").agg(F.sort_array(F.collect_list(F.struct("x", "exit"))).alias("doors"))
+    walk = lambda steps, start, to: f"aggregate({steps}, named_struct('at', {start}, 'out', cast(array() as array<bigint>)), (acc, s) -> if(s.x = acc.at, named_struct('at', s.{to}, 'out', concat(acc.out, array(s.x))), acc), acc -> acc.out)"
+    entered = chain.select("chrom", F.explode(F.expr(walk("doors", "0L", "exit"))).alias("x")).withColumn("_bin", F.expr(f"floor(x / {per_bin})"))
+    begins = entered.join(bins, ["chrom", "_bin"]).select("chrom", F.explode(F.expr(walk("steps", "x", "next"))).alias("_at"), F.lit(1).alias("_new"))
+    numbered = running(placed.join(begins, ["chrom", "_at"], "left"), ["chrom"], "_bin", ["_at"], F.coalesce("_new", F.lit(0)), "_block", how="sum", inclusive=True)
+    sums = numbered.groupBy("chrom", "_block").agg(F.min_by("start_pos", "_at").alias("start_pos"), F.max_by("end_pos", "_at").alias("end_pos"), F.sum("n_markers").alias("n_markers"))
+    slots = numbered.select("chrom", "_block", F.posexplode(F.split("labels", "")).alias("slot", "label")).where("label <> ''").groupBy("chrom", "_block", "slot")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("slot", "label"))), lambda s: s["label"]), "")
+    texts = slots.agg(F.coalesce(F.max(F.when(F.col("label") != "?", F.col("label"))), F.lit("?")).alias("label")).groupBy("chrom", "_block").agg(text.alias("labels"))
+    return sums.join(texts, ["chrom", "_block"], "left").select("chrom", "start_pos", "end_pos", "n_markers", F.coalesce("labels", F.lit("")).alias("labels"))
 
 
 def label_counts(labels: DataFrame) -> DataFrame:

@@ -50,6 +50,10 @@ from (select site_id, id, i, case when (site_id * 13 + i * 5) % 197 = 0 then 1 -
       case when (s.site_id * 31 + (case l.h0 when 'A' then 1 when 'B' then 2 when 'C' then 3 else 4 end) * 17) % 7 < 3 then 1 else 0 end as a0,
       case when (s.site_id * 31 + (case l.h1 when 'A' then 1 when 'B' then 2 when 'C' then 3 else 4 end) * 17) % 7 < 3 then 1 else 0 end as a1
     from {fx_site} s join {fx_label} l on s.chrom = l.chrom and cast(floor(s.pos0 / 200000) as bigint) = l.b and s.pos0 between l.start_pos and l.end_pos) x) y
+""",
+    # the same with chromosomes, one of them X
+    "fx_gtx": """
+select g.site_id, case when s.chrom = 'chr5' then 'chrX' else s.chrom end as chrom, s.pos0, g.id, g.i, g.g0, g.g1, g.dp, p.sex from {fx_gt} g join {fx_site} s on s.site_id = g.site_id join {fx_ped} p on p.id = g.id
 """,
     # half-open intervals (BED), many overlaps
     "fx_iv": """

@@ -7,6 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import hapmap as hm
+from ..operators import mapbuilder
+from ..operators.phases import flip_phases
+from ..operators.storage import shared_folder
+from ..operators.tracing import trace_sites
+from ..sources import writers
 from .registry import query
 
 _LONG = """
@@ -56,41 +61,50 @@ def block_consensus(block, mark):
     return hm.consensus(wide, markers)
 
 
-@query("marker_trace", "S7 S8", "fx_gt", sql="""
-with p as (select site_id, max(case when id = 'S04' then g0 end) as d0, max(case when id = 'S04' then g1 end) as d1, max(case when id = 'S05' then g0 end) as m0, max(case when id = 'S05' then g1 end) as m1 from fx_gt group by site_id),
-u as (select *, case when d0 is null or m0 is null then null when d0 not in (m0, m1) and d1 not in (m0, m1) then least(d0, d1) when d0 not in (m0, m1) then d0 when d1 not in (m0, m1) then d1 end as ud,
-  case when d0 is null or m0 is null then null when m0 not in (d0, d1) and m1 not in (d0, d1) then least(m0, m1) when m0 not in (d0, d1) then m0 when m1 not in (d0, d1) then m1 end as um from p),
-c as (select g.site_id, g.id, g.g0 is not null as called, coalesce(ud in (g.g0, g.g1), false) as a, coalesce(um in (g.g0, g.g1), false) as c from fx_gt g join u on u.site_id = g.site_id where g.i >= 6),
-n as (select site_id, count(*) filter (where a) as na, count(*) filter (where called and not a) as nb, count(*) filter (where c) as nc, count(*) filter (where called and not c) as nd,
-  min(id) filter (where a) as ia, min(id) filter (where called and not a) as ib, min(id) filter (where c) as ic, min(id) filter (where called and not c) as idd from c group by site_id)
-select c.site_id, c.id, case when na = 0 or not (a or called) then null when (nb > na or (nb = na and ib < ia)) = a then 'B' else 'A' end as h0,
-  case when nc = 0 or not (c or called) then null when (nd > nc or (nd = nc and idd < ic)) = c then 'D' else 'C' end as h1 from c join n on n.site_id = c.site_id
+def _private(x: str, y: str, tells: str) -> str:
+    """SQL: the lower allele of x that y lacks, if x can be told from y."""
+    lacks = lambda a: f"{a} not in ({y}0, {y}1)"
+    return f"case when {x}0 is null or {y}0 is null or not ({tells}) then null when {lacks(x + '0')} and {lacks(x + '1')} then least({x}0, {x}1) when {lacks(x + '0')} then {x}0 when {lacks(x + '1')} then {x}1 end"
+
+
+@query("marker_trace", "S7 S8", "fx_gtx", sql=f"""
+with p as (select site_id, max(chrom) = 'chrX' as x, max(case when id = 'S04' then g0 end) as d0, max(case when id = 'S04' then g1 end) as d1, max(case when id = 'S05' then g0 end) as m0, max(case when id = 'S05' then g1 end) as m1 from fx_gtx group by site_id),
+u as (select *, {_private('d', 'm', 'x = (d0 = d1)')} as ud, {_private('m', 'd', 'm0 <> m1')} as um from p),
+c as (select g.site_id, g.id, x, sex = 1 as son, coalesce(ud in (g.g0, g.g1), false) and not (x and sex = 1) as a, coalesce(um in (g.g0, g.g1), false) as c from fx_gtx g join u on u.site_id = g.site_id where g.i >= 6),
+n as (select site_id, count(*) filter (where a) as na, count(*) filter (where not a) as nb, count(*) filter (where c) as nc, count(*) filter (where not c) as nd,
+  min(id) filter (where a) as ia, min(id) filter (where not a) as ib, min(id) filter (where c) as ic, min(id) filter (where not c) as idd from c group by site_id)
+select c.site_id, c.id, case when x and son then '.' when x then case when a then 'A' end when na = 0 then null when (nb > na or (nb = na and ib < ia)) = a then 'B' else 'A' end as h0,
+  case when nc = 0 then null when (nd > nc or (nd = nc and idd < ic)) = c then 'D' else 'C' end as h1 from c join n on n.site_id = c.site_id
 """)
-def marker_trace(gt):
-    family = [("S04", None, None), ("S05", None, None)] + [(f"S{i:02d}", "S04", "S05") for i in range(6, 14)]
-    return hm.trace_sites(gt, family)
+def marker_trace(gtx):
+    return trace_sites(gtx, _NUCLEAR, sex=_SEX)
 
 
-def _private(x: str, y: str) -> str:
-    """SQL: the lower allele of x that y lacks."""
-    lacks = lambda a: f"{a} not in ({y}0, {y}1)"
-    return f"case when {x}0 is null or {y}0 is null then null when {lacks(x + '0')} and {lacks(x + '1')} then least({x}0, {x}1) when {lacks(x + '0')} then {x}0 when {lacks(x + '1')} then {x}1 end"
+_NUCLEAR = [("S04", None, None), ("S05", None, None)] + [(f"S{i:02d}", "S04", "S05") for i in range(6, 14)]
+_SEX = {f"S{i:02d}": 1 + i % 2 for i in range(4, 14)}
+#: Three generations: two couples' children marry S08 and S09.
+_THREE = [("S04", None, None), ("S05", None, None), ("S06", "S04", "S05"), ("S07", "S04", "S05"), ("S08", None, None), ("S09", None, None), ("S10", "S06", "S08"), ("S11", "S06", "S08"), ("S12", "S09", "S07"), ("S13", "S09", "S07")]
 
 
-_FOUR = ", ".join(f"max(case when id = '{who}' then g{j} end) as {x}{j}" for who, x in (("S04", "d"), ("S05", "m"), ("S06", "k"), ("S07", "w")) for j in (0, 1))
+def _three_sql() -> str:
+    people, couples = [i for i, _, _ in _THREE], [("S04", "S05"), ("S06", "S08"), ("S09", "S07")]
+    own = ", ".join(f"max(case when id = '{p}' then g{j} end) as {p}_{j}" for p in people for j in (0, 1))
+    marks = ", ".join(f"{_private(a + '_', b + '_', f'{a}_0 <> {a}_1')} as u_{a}" for f, m in couples for a, b in ((f, m), (m, f)))
+    has = lambda mark, who: f"coalesce({mark} in ({who}_0, {who}_1), false)"
+    first = ", ".join(f"{has('u_S04', k)} as f_{k}, {has('u_S05', k)} as m_{k}" for k in ("S06", "S07"))
+    # a parent of the second generation passes what it has, if its marker is the one that came last, its mother's before its father's
+    second = ", ".join(f"case when f_{k} then 'A' when m_{k} then 'C' end as own_{k}, case when case when m_{k} then u_S05 when f_{k} then u_S04 end = u_{k} then u_{k} end as pass_{k}" for k in ("S06", "S07"))
+    third = ", ".join([*(f"case when {has('pass_S06', k)} then own_S06 end as h0_{k}, {has('u_S08', k)} as m_{k}" for k in ("S10", "S11")), *(f"{has('u_S09', k)} as f_{k}, case when {has('pass_S07', k)} then own_S07 end as h1_{k}" for k in ("S12", "S13"))])
+    # of two children with one traced the smaller id has the first letter
+    fill = lambda x, a, b, letters: f"case when {x}_{a} or {x}_{b} then '{letters[0]}' end as {{0}}_{a}, case when {x}_{a} and {x}_{b} then '{letters[0]}' when {x}_{a} or {x}_{b} then '{letters[1]}' end as {{0}}_{b}"
+    filled = ", ".join([fill("f", "S06", "S07", "AB").format("h0"), fill("m", "S06", "S07", "CD").format("h1"), fill("m", "S10", "S11", "EF").format("h1"), fill("f", "S12", "S13", "GH").format("h0"), "h0_S10", "h0_S11", "h1_S12", "h1_S13"])
+    rows = " union all ".join(f"select site_id, '{k}' as id, h0_{k} as h0, h1_{k} as h1 from e" for k in ("S06", "S07", "S10", "S11", "S12", "S13"))
+    return f"with p as (select site_id, {own} from fx_gt group by site_id), u as (select *, {marks} from p), a as (select *, {first} from u), b as (select *, {second} from a), c as (select *, {third} from b), e as (select site_id, {filled} from c) {rows}"
 
 
-@query("marker_trace_generations", "S7", "fx_gt", sql=f"""
-with p as (select site_id, {_FOUR} from fx_gt group by site_id),
-u as (select *, {_private('d', 'm')} as ud, {_private('m', 'd')} as um, {_private('k', 'w')} as uk, {_private('w', 'k')} as uw from p),
-c as (select *, case when ud in (k0, k1) then 'A' end as h0, case when um in (k0, k1) then 'C' end as h1 from u)
-select site_id, 'S06' as id, h0, h1 from c union all
-select g.site_id, g.id, case when uk in (g.g0, g.g1) and uk = case when h0 is not null then ud when h1 is not null then um end then coalesce(h0, h1) end, case when uw in (g.g0, g.g1) then 'E' end
-from fx_gt g join c on c.site_id = g.site_id where g.id in ('S08', 'S09')
-""")
+@query("marker_trace_generations", "S7 S8", "fx_gt", sql=_three_sql())
 def marker_trace_generations(gt):
-    family = [("S04", None, None), ("S05", None, None), ("S06", "S04", "S05"), ("S07", None, None), ("S08", "S06", "S07"), ("S09", "S06", "S07")]
-    return hm.trace_sites(gt, family, with_backfill=False)
+    return trace_sites(gt, _THREE)
 
 
 _STRING = "string_agg(coalesce(h0, '?') || coalesce(h1, '?'), '' order by id)"
@@ -120,38 +134,45 @@ def block_collapse(mark):
     return hm.collapse(_markers(mark))
 
 
-_HALF = lambda first: f"list_aggregate(list_transform(range({first}, 17, 2), lambda j: labels[j]), 'string_agg', '')"
-_COUNT = lambda test: f"len(list_filter(range(1, 9), lambda j: {test}))"
+_DIFFER = lambda a, b: f"len(list_filter(range(0, 8), lambda j: {a}[2 * j + 1:2 * j + 2] <> {b}[2 * j + 1:2 * j + 2]))"
+_LETTERS = lambda x: f"list_distinct(list_filter(string_split({x}, ''), lambda l: l <> '?' and l <> ''))"
 
 
 @query("phase_flips", "S2", "fx_mark", sql=f"""
-with recursive {_BLOCKS}, n as (select *, row_number() over (partition by chrom order by start_pos, end_pos) as k from bl),
-h as (select chrom, k, 'AB' as pair, 'BA' as turned, {_HALF(1)} as own from n union all select chrom, k, 'CD', 'DC', {_HALF(2)} from n),
-f as (select chrom, pair, k, own as labels, case when own <> '????????' then own end as last from h where k = 1
-  union all select h.chrom, h.pair, h.k, o.labels, case when h.own = '????????' then f.last else o.labels end
-  from f join h on h.chrom = f.chrom and h.pair = f.pair and h.k = f.k + 1,
-  lateral (select {_COUNT("h.own[j] <> '?' and f.last[j] <> '?'")} as n_both, {_COUNT("h.own[j] <> '?' and f.last[j] <> '?' and h.own[j] <> f.last[j]")} as wrong,
-    {_COUNT("h.own[j] <> '?'")} as n_own, {_COUNT("f.last[j] <> '?'")} as n_last) c,
-  lateral (select case when f.last is not null and n_both in (n_own, n_last) and n_both - wrong < wrong then translate(h.own, h.pair, h.turned) else h.own end as labels) o)
-select n.chrom, n.start_pos, n.end_pos, n.n_markers, list_aggregate(list_transform(range(1, 9), lambda j: a.labels[j] || c.labels[j]), 'string_agg', '') as labels
-from n join f a on a.chrom = n.chrom and a.k = n.k and a.pair = 'AB' join f c on c.chrom = n.chrom and c.k = n.k and c.pair = 'CD'
+with recursive {_BLOCKS}, n as (select *, row_number() over (partition by chrom order by start_pos, end_pos) as k, {_LETTERS("labels")} as own from bl),
+f as (select chrom, k, labels, case when len(own) > 0 then labels end as last from n where k = 1
+  union all select n.chrom, n.k, o.now, case when len(n.own) > 0 then o.now else f.last end
+  from f join n on n.chrom = f.chrom and n.k = f.k + 1,
+  lateral (select f.last is not null and len(n.own) > 0 and (list_has_all(n.own, {_LETTERS("f.last")}) or list_has_all({_LETTERS("f.last")}, n.own)) as turns, {_DIFFER("n.labels", "f.last")} as before, translate(n.labels, 'AB', 'BA') as t) c,
+  lateral (select case when turns and {_DIFFER("c.t", "f.last")} < before then c.t else n.labels end as one) d,
+  lateral (select translate(d.one, 'CD', 'DC') as t) e,
+  lateral (select case when turns and {_DIFFER("e.t", "f.last")} < before then e.t else d.one end as now) o)
+select n.chrom, n.start_pos, n.end_pos, n.n_markers, f.labels from n join f on f.chrom = n.chrom and f.k = n.k
 """)
 def phase_flips(mark):
-    return hm.flip_phases(hm.collapse(_markers(mark)), {"AB": list(range(0, 16, 2)), "CD": list(range(1, 16, 2))})
-
-
-@query("map_builder", "S1 S2 S7 S8 W3 W4 W5 A1 A23 F5", "fx_site", "fx_gt")
-def map_builder(site, gt):
-    """Genotypes to blocks, all steps; written as three folders on the way."""
-    from ..operators import mapbuilder
-    from ..operators.storage import shared_folder
-
-    family = mapbuilder.Family([("S04", None, None), ("S05", None, None)] + [(f"S{i:02d}", "S04", "S05") for i in range(6, 14)])
-    # depths of the views vary evenly; here a few stand out
-    deep = gt.withColumn("dp", F.when((F.col("site_id") + F.col("i")) % 50 == 0, 90).otherwise(30))
-    made = mapbuilder.build(site, deep, family, run=3)
-    mapbuilder.write(made, family, f"{shared_folder(site.sparkSession)}/{uuid.uuid4().hex}")
-    return made.blocks
+    return flip_phases(hm.collapse(_markers(mark)), ["AB", "CD"], list(range(16)))
+
+
+@query("map_builder", "SC4 F1 F2 F4 F5 S1 S2 S7 S8 W3 W4 W5 A1 A23 SK1 SK2 SK3", "fx_site", "fx_gtx")
+def map_builder(site, gtx):
+    """From a VCF file to the lines of a map, its markers and its recombinants, all read back from their files."""
+    spark, at = site.sparkSession, f"{shared_folder(site.sparkSession)}/{uuid.uuid4().hex}"
+    writers.write_lines(writers.vcf_lines(_records(site, gtx), sorted(_SEX)), f"{at}/vcf", writers.vcf_header(sorted(_SEX)))
+    family = mapbuilder.Family(_NUCLEAR, _SEX)
+    mapbuilder.write(mapbuilder.from_vcf(spark, f"{at}/vcf", family, run=3, min_qual=5.0), family, f"{at}/map")
+    lines = [spark.read.text(f"{at}/map/{x}").where("value not like '#%'").select(F.lit(x).alias("file"), F.col("value").alias("line")) for x in ("iht", "markers", "recombinants")]
+    return lines[0].unionByName(lines[1]).unionByName(lines[2])
+
+
+def _records(site, gtx):
+    """Records of the views: every 17th an insertion; depths that are usual but for those of under 6."""
+    call = F.struct(F.col("id").alias("sample"), F.array("g0", "g1").alias("gt"), F.lit(False).alias("phased"), F.when(F.col("dp") < 6, 90).otherwise(30).alias("dp"), F.lit(None).cast("int").alias("gq"))
+    calls = gtx.groupBy("site_id", "chrom").agg(F.collect_list(call).alias("calls"))
+    alt = F.when(F.col("site_id") % 17 == 0, F.concat("alt", F.lit("A"))).otherwise(F.col("alt"))
+    return site.drop("chrom").join(calls, "site_id").select(
+        "chrom", "pos0", F.col("site_id").cast("string").alias("id"), "ref", F.array(alt).alias("alts"), F.col("qual").cast("double").alias("qual"), F.array(F.lit("PASS")).alias("filters"),
+        F.create_map(F.lit("SITE"), F.col("site_id").cast("string")).alias("info"), "calls",
+    )
 
 
 @query("iht_unpivot", "2.13", "fx_label", sql="select chrom, b, id, 0 as slot, h0 as label from fx_label union all select chrom, b, id, 1, h1 from fx_label")

@@ -73,7 +73,7 @@ def split_by_status(decided: DataFrame, path: str, lines) -> None:
 
 
 def iht_lines(labels: DataFrame, people: list[str], founders: list[str]) -> DataFrame:
-    """Lines of a haplotype map: chrom, start, end, labels of ``people``, marker count, length (SK1).
+    """Lines of a haplotype map: chrom, start, end, labels of ``people``, marker count, length, letters that occur beside the founders' own (SK1).
 
     ``labels`` has chrom, start_pos, end_pos, n_markers, id, h0, h1.
     """
@@ -81,12 +81,14 @@ def iht_lines(labels: DataFrame, people: list[str], founders: list[str]) -> Data
     wide = own.groupBy("chrom", "start_pos", "end_pos", "n_markers").pivot("id", people).agg(F.max("x"))
     text = [F.coalesce(F.col(p), F.lit("?|?")) for p in people]
     size = (F.col("end_pos") - F.col("start_pos")).cast("string")
-    return wide.select(F.concat_ws("\t", "chrom", F.col("start_pos").cast("string"), F.col("end_pos").cast("string"), *text, F.col("n_markers").cast("string"), size))
+    letters = F.split(F.concat_ws("", *[t for p, t in zip(people, text) if p not in founders]), "")
+    occur = F.array_join(F.sort_array(F.array_distinct(F.filter(letters, lambda x: x.rlike("^[A-Z]$")))), ",")
+    return wide.select(F.concat_ws("\t", "chrom", F.col("start_pos").cast("string"), F.col("end_pos").cast("string"), *text, F.col("n_markers").cast("string"), size, occur))
 
 
 def marker_lines(labels: DataFrame, people: list[str]) -> DataFrame:
     """Lines of markers with ``label:child,child;...`` in order (SK2): labels has chrom, pos0, id, slot, label."""
-    lists = labels.where("label is not null").groupBy("chrom", "pos0", "label").agg(F.array_join(F.sort_array(F.collect_set("id")), ",").alias("ids"))
+    lists = labels.where("label is not null and label <> '.'").groupBy("chrom", "pos0", "label").agg(F.array_join(F.sort_array(F.collect_set("id")), ",").alias("ids"))
     info = lists.groupBy("chrom", "pos0").agg(F.array_join(F.sort_array(F.collect_list(F.concat("label", F.lit(":"), "ids"))), ";").alias("info"))
     pairs = labels.groupBy("chrom", "pos0").pivot("id", people).agg(F.concat_ws("|", F.coalesce(F.max(F.when(F.col("slot") == 0, F.col("label"))), F.lit("?")), F.coalesce(F.max(F.when(F.col("slot") == 1, F.col("label"))), F.lit("?"))))
     return pairs.join(info, ["chrom", "pos0"]).select(F.concat_ws("\t", "chrom", F.col("pos0").cast("string"), *[F.coalesce(F.col(p), F.lit("?|?")) for p in people], "info"))

@@ -41,22 +41,6 @@ def test_a_long_switch_is_followed():
     assert set(hmm.viterbi(noisy, 2)[0].tolist()) == {1}
 
 
-def blocks(spark, rows):
-    return spark.createDataFrame(rows, "chrom string, start_pos long, end_pos long, n_markers long, labels string")
-
-
-def test_collapse(spark):
-    rows = [("c", 0, 1, 1, "A?"), ("c", 2, 3, 1, "?C"), ("c", 4, 5, 1, "AD"), ("c", 6, 7, 1, "?D"), ("d", 0, 1, 1, "..")]
-    got = sorted(tuple(r) for r in hapmap.collapse(blocks(spark, rows)).collect())
-    assert got == [("c", 0, 3, 2, "AC"), ("c", 4, 7, 2, "AD"), ("d", 0, 1, 1, "..")]
-
-
-def test_flips(spark):
-    rows = [("c", 0, 1, 1, "AAB"), ("c", 2, 3, 1, "BBA"), ("c", 4, 5, 1, "ABB"), ("chrX", 0, 1, 1, "AAB"), ("chrX", 2, 3, 1, "BBA")]
-    got = {(r["chrom"], r["start_pos"]): r["labels"] for r in hapmap.flip_phases(blocks(spark, rows), {"AB": [0, 1, 2]}).collect()}
-    assert got == {("c", 0): "AAB", ("c", 2): "AAB", ("c", 4): "ABB", ("chrX", 0): "AAB", ("chrX", 2): "BBA"}
-
-
 @pytest.mark.parametrize("length", [9, 10, 16, 17, 18, 30])
 def test_short_runs(spark, length):
     rows = [("c", i, "x", 0, "A") for i in range(length)] + [("c", length, "x", 0, "B")]
@@ -65,15 +49,6 @@ def test_short_runs(spark, length):
     assert masked == (set(range(1, length + 1)) if length < 10 else set(range(length - 8, 10)))
 
 
-def test_trace_generations():
-    family = [("d", None, None), ("m", None, None), ("k", "d", "m"), ("w", None, None), ("g", "k", "w")]
-    calls = {"d": (0, 1), "m": (0, 0), "k": (0, 1), "w": (0, 0), "g": (0, 1)}
-    assert hapmap.trace(calls, family) == {"k": ["A", None], "g": ["A", None]}
-    two = [("d", None, None), ("m", None, None), ("k1", "d", "m"), ("k2", "d", "m"), ("k3", "d", "m")]
-    calls = {"d": (0, 1), "m": (0, 0), "k1": (0, 0), "k2": (0, 1), "k3": (0, 0)}
-    assert hapmap.backfill(hapmap.trace(calls, two), calls, two) == {"k1": ["A", None], "k2": ["B", None], "k3": ["A", None]}
-
-
 def test_haplotype_graph():
     assert haplograph.haplotype("acgtacgt", 100, [(101, "C", "T"), (103, "TA", "T"), (106, "G", "GAA")]) == "aTgtcgAAt"
     ways = haplograph.paths([(10, "A", "T"), (10, "A", "C"), (20, "A", "G")])
