@@ -57,6 +57,41 @@ def test_planted_near_copies_go(spark, planted, crowd):
     assert [got[i] for i in range(len(planted))] == want
 
 
+def template(n, shared, own, pair, seed):
+    """Texts around one long passage, two and two with some words more in common."""
+    rng = np.random.default_rng(seed)
+    fresh = lambda k: [f"w{x}" for x in rng.integers(0, 1 << 40, k)]
+    base, out = fresh(shared), []
+    for _ in range(n // 2):
+        both = fresh(pair)
+        out += [" ".join(base + both + fresh(own)) for _ in range(2)]
+    return out
+
+
+@pytest.mark.parametrize("crowd, block", [(48, 512), (8, 16), (200, 64)])
+def test_pairs_among_texts_of_one_template(spark, crowd, block):
+    """Pairs just above the bar among 300 texts that are just below it: all are found, whatever counts as a crowd."""
+    texts = template(300, 350, 33, 12, 1) + template(120, 350, 45, 10, 2)
+    want = brute(texts)
+    assert 100 < len(texts) - len(set(want)) < 300
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.cluster(df, crowd=crowd, block=block).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+@pytest.mark.parametrize("crowd", [8, 30])
+def test_texts_of_frequent_shingles_only(spark, crowd):
+    """Texts put together from a few passages, so that all their shingles are frequent: similar ones share no rare shingle."""
+    rng = np.random.default_rng(6)
+    passage = [" ".join(f"p{k}w{i}" for i in range(40)) for k in range(18)]
+    texts = sorted({" ".join(passage[k] for k in sorted(rng.choice(18, 12, replace=False))) for _ in range(260)})
+    want = brute(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.cluster(df, crowd=crowd, block=20).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert 1 < len(set(want)) < len(texts)
+
+
 def test_stage_takes_near_copies(spark, planted):
     df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(planted)], DOCS)
     got = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect())
