@@ -27,6 +27,7 @@ more often, then to the smaller one in UTF-8 order.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,8 +42,8 @@ from .common import blocks, column, cut, small
 
 LONGEST, MIN_COUNT, SCALE, COVER, TOP = 4, 30, 2_000_000, 80, 2000
 MOST_WORDS = 1 << 18
-#: Stretches of one pivot that a task counts at once, on average.
-PER_PART = 1 << 16
+#: Different stretches of one pivot that a task counts at once, at most on average.
+PER_PART = 1 << 18
 #: ASCII letters in lower case; what ends a piece as a line end, a tab as a space.
 ENDS = bytes(10 if i in b".,;:!?\n\x0b\x0c\r" else 32 if i == 9 else i + 32 if 65 <= i <= 90 else i for i in range(256))
 
@@ -84,6 +85,7 @@ class Dictionary:
 
     def __init__(self, words: dict[str, list[bytes]], counts: dict[str, np.ndarray], complete: bool, least: int):
         self.words, self.counts, self.complete, self.least = words, counts, complete, least
+        self.names = sorted(words)
         self.codes: dict[str, dict[bytes, int]] | None = None
 
     def __getstate__(self):
@@ -97,13 +99,15 @@ class Dictionary:
             self.codes[lang] = {w: i + 1 for i, w in enumerate(self.words.get(lang, []))}
         return self.codes[lang]
 
+    def number(self, lang: str) -> int:
+        """The place of a language among those that have words here."""
+        return bisect_left(self.names, lang)
+
     def parts(self, lang: str, pivots: np.ndarray, per_part: int) -> np.ndarray:
-        """In how many parts the partition of each pivot is counted."""
+        """In how many parts the partition of each pivot, a word of the dictionary, is counted."""
         counts = self.counts.get(lang, np.zeros(0, dtype=np.int64))
-        n = np.full(len(pivots), self.least, dtype=np.int64)
-        inside = (pivots >= 1) & (pivots <= len(counts))
-        n[inside] = counts[pivots[inside] - 1]
-        return 1 + n // per_part
+        # a frequent word has few more frequent ones beside it, so that its stretches are few different ones
+        return 1 + np.minimum(counts[pivots - 1], np.minimum(pivots, 2000) ** (2 * _SIDE)) // per_part
 
 
 def dictionary(counts: DataFrame, min_count: int = MIN_COUNT, most_words: int = MOST_WORDS) -> Dictionary:
@@ -194,7 +198,7 @@ class _Stream:
         self.codes, self.order = codes[stop - _SIDE :], order[stop - _SIDE :]
 
     def full(self) -> bool:
-        return self.rows > 2_000_000 or len(self.outside) > 1 << 18
+        return self.rows > 1_000_000 or len(self.outside) > 1 << 18
 
     def flush(self) -> pa.Table | None:
         """Different stretches with their numbers.  What is kept back goes on."""
@@ -213,39 +217,60 @@ class _Stream:
         return words
 
 
-STRETCH = "lang string, pivot long, left long, right long, words array<string>, part int, n long"
+STRETCH = "key long, data binary, words array<string>, at int, n long"
+_SCHEMA = pa.schema([("key", pa.int64()), ("data", pa.binary()), ("words", pa.list_(pa.string())), ("at", pa.int32()), ("n", pa.int64())])
+#: A key is language, pivot and part in so many bits.
+_PART_BITS = 22
+
+
+def _packed(found: pa.Table, lang: int, known: Dictionary, name: str, per_part: int) -> Iterator[pa.RecordBatch]:
+    """One row for each pivot and part of ``found``: the left side, right side and number of each of its stretches."""
+    pivot, left, right, n = (found.column(c).to_numpy() for c in ("pivot", "left", "right", "n"))
+    mixed = (left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (right.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    part = ((mixed >> np.uint64(33)) % known.parts(name, pivot, per_part).astype(np.uint64)).astype(np.int64)
+    key = (((np.int64(lang) << _BITS) | pivot) << _PART_BITS) | part
+    order = np.lexsort((right, left, key))
+    key, data = key[order], np.stack([left, right, n], axis=1)[order]
+    starts = np.nonzero(np.diff(key, prepend=-1))[0]
+    bounds = np.append(starts, len(key))
+    for a in range(0, len(starts), 8192):
+        ends = bounds[a : a + 8193]
+        offsets = ((ends - ends[0]) * data.itemsize * 3).astype(np.int32)
+        size = len(ends) - 1
+        blob = pa.BinaryArray.from_buffers(pa.binary(), size, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[ends[0] : ends[-1]]))])
+        yield pa.RecordBatch.from_arrays([pa.array(key[ends[:-1]]), blob, pa.nulls(size, _SCHEMA.field("words").type), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64())], schema=_SCHEMA)
+
+
+def _as_text(found: pa.Table, stream: _Stream, words: list[bytes], name: str, orders: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Stretches with words outside the dictionary: their language and words as text, the pivot's place and their number."""
+    pivot, left, right, n = (found.column(c).to_numpy() for c in ("pivot", "left", "right", "n"))
+    sides = np.stack(_unpack(left, _SIDE)[::-1] + [pivot] + _unpack(right, _SIDE), axis=1)
+    for a in range(0, len(pivot), 4096):
+        rows = sides[a : a + 4096].tolist()
+        text = [[name, *[words[c - 1].decode("utf-8", "surrogatepass") for c in row if c]] for row in rows]
+        at = [sum(c > 0 for c in row[:_SIDE]) for row in rows]
+        key = orders[pivot[a : a + 4096] - stream.first]
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.nulls(len(rows), pa.binary()), pa.array(text, _SCHEMA.field("words").type), pa.array(at, pa.int32()), pa.array(n[a : a + 4096])], schema=_SCHEMA)
 
 
 def stretches(docs: DataFrame, shared, per_part: int = PER_PART) -> DataFrame:
-    """The stretches of ``docs`` (lang, text), to be counted by language, pivot and part.
+    """The stretches of ``docs`` (lang, text) by ``key``, which is language, pivot and part.
 
-    ``left`` and ``right`` are packed codes, nearest word first; if a word is
-    outside the dictionary, ``words`` has the text instead, ``left`` the pivot's place and
-    ``pivot`` its order.
+    A row of ``data`` has many, as packed codes, nearest word first.  If a word is
+    outside the dictionary a stretch is a row of its own with its words.
     """
-    schema = pa.schema([("lang", pa.string()), ("pivot", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("words", pa.list_(pa.string())), ("part", pa.int32()), ("n", pa.int64())])
 
-    def given(lang: str, stream: _Stream, known: Dictionary) -> Iterator[pa.RecordBatch]:
+    def given(name: str, stream: _Stream, known: Dictionary) -> Iterator[pa.RecordBatch]:
         found, orders = stream.flush(), np.array(stream.orders, dtype=np.int64)
         words = stream.forget(found)
         if found is None:
             return
-        pivot, left, right, n = (found.column(c).to_numpy() for c in ("pivot", "left", "right", "n"))
-        text: list[list[str] | None] = [None] * len(pivot)
         if words is not None:
-            sides = _unpack(left, _SIDE)[::-1] + [pivot] + _unpack(right, _SIDE)
-            pivot, left, right = pivot.copy(), left.copy(), right.copy()
-            for i in np.nonzero(np.max(sides, axis=0) >= stream.first)[0].tolist():
-                row = [int(s[i]) for s in sides]
-                text[i] = [words[c - 1].decode("utf-8", "surrogatepass") for c in row if c]
-                left[i], right[i] = sum(c > 0 for c in row[:_SIDE]), 0
-                pivot[i] = orders[row[_SIDE] - stream.first]
-        mixed = (left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (right.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        mixed ^= np.array([0 if t is None else xxhash.xxh64_intdigest(" ".join(t)) for t in text], dtype=np.uint64) if words is not None else np.uint64(0)
-        part = ((mixed >> np.uint64(33)) % known.parts(lang, pivot, per_part).astype(np.uint64)).astype(np.int32)
-        arrays = [pa.repeat(pa.scalar(lang, pa.string()), len(pivot)), pivot, left, right, pa.array(text, schema.field("words").type), part, n]
-        table = pa.table([x if isinstance(x, pa.Array) else pa.array(x) for x in arrays], schema=schema)
-        yield from table.to_batches(max_chunksize=100_000)
+            # the pivot is the rarest, so a word outside is there if and only if the pivot is one
+            outside = pc.greater_equal(found["pivot"], stream.first)
+            yield from _as_text(found.filter(outside), stream, words, name, orders)
+            found = found.filter(pc.invert(outside))
+        yield from _packed(found, known.number(name), known, name, per_part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -260,7 +285,7 @@ def stretches(docs: DataFrame, shared, per_part: int = PER_PART) -> DataFrame:
                     if stream.full():
                         yield from given(lang, stream, known)
                 stream.end()
-            if sum(s.rows for s in streams.values()) > 4_000_000:
+            if sum(s.rows for s in streams.values()) > 1_500_000:
                 for lang, stream in streams.items():
                     yield from given(lang, stream, known)
         for lang, stream in streams.items():
@@ -276,83 +301,78 @@ def stretches(docs: DataFrame, shared, per_part: int = PER_PART) -> DataFrame:
 _WINDOWS = [(a, b) for a in range(LONGEST) for b in range(LONGEST) if 1 <= a + b < LONGEST]
 
 
-def _phrases(rows: pa.Table) -> pa.Table:
-    """(pivot, part, head, tail, n): the phrases around each pivot, their codes packed two and two."""
-    pivot, part, n = (rows.column(c).to_numpy() for c in ("pivot", "part", "n"))
-    left, right = _unpack(rows.column("left").to_numpy(), _SIDE), _unpack(rows.column("right").to_numpy(), _SIDE)
-    out = []
+def _phrases(pivot: np.ndarray, split: np.ndarray, data: np.ndarray) -> pa.Table:
+    """(split, head, tail, n): the phrases around each stretch's pivot, their codes packed two and two."""
+    left, right, n = _unpack(data[:, 0], _SIDE), _unpack(data[:, 1], _SIDE), data[:, 2]
+    none = np.zeros(len(n), dtype=np.int64)
+    found = []
     for a, b in _WINDOWS:
-        has = np.ones(len(pivot), dtype=bool)
-        if a:
-            has &= left[a - 1] > 0
+        has = (left[a - 1] > 0) if a else np.ones(len(n), dtype=bool)
         if b:
-            has &= right[b - 1] > 0
-        items = [left[k][has] for k in range(a - 1, -1, -1)] + [pivot[has]] + [right[k][has] for k in range(b)]
-        items += [np.zeros(int(has.sum()), dtype=np.int64)] * (LONGEST - len(items))
-        out.append(pa.table({"pivot": pivot[has], "part": part[has], "head": _pack(items[:2]), "tail": _pack(items[2:]), "n": n[has]}))
-    return pa.concat_tables(out).group_by(["pivot", "part", "head", "tail"]).aggregate([("n", "sum")]).rename_columns(["pivot", "part", "head", "tail", "n"])
+            has = has & (right[b - 1] > 0)
+        items = [x[has] for x in [*left[:a][::-1], pivot, *right[:b], *[none] * (_SIDE - a - b)]]
+        found.append(pa.table({"split": split[has], "head": _pack(items[:2]), "tail": _pack(items[2:]), "n": n[has]}))
+    return pa.concat_tables(found).group_by(["split", "head", "tail"]).aggregate([("n", "sum")]).rename_columns(["split", "head", "tail", "n"])
+
 
+def mined(sent: DataFrame, shared, min_count: int = MIN_COUNT, per_part: int = PER_PART, most: int = 400_000) -> DataFrame:
+    """(lang, phrase, words, n): how often phrases of two words and more occur; those of split pivots may come in several rows.
 
-def mined(sent: DataFrame, shared, min_count: int = MIN_COUNT, per_part: int = PER_PART) -> DataFrame:
-    """(lang, phrase, words, n): how often phrases of two words and more occur; those of split pivots may come in several rows."""
+    Whole partitions of pivots are counted together, about ``most`` stretches at once.
+    """
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
 
-    def given(lang: str, found: pa.Table, known: Dictionary) -> Iterator[pa.RecordBatch]:
-        pivot, head, tail, n = (found.column(c).to_numpy() for c in ("pivot", "head", "tail", "n"))
-        stays = (n >= min_count) | (known.parts(lang, pivot, per_part) > 1)
-        codes = np.stack(_unpack(head[stays], 2) + _unpack(tail[stays], 2), axis=1)
-        words = known.words.get(lang, [])
-        text = [b" ".join([words[c - 1] for c in row if c]) for row in codes.tolist()]
-        size = (codes > 0).sum(axis=1).astype(np.int32)
-        table = pa.table([pa.repeat(pa.scalar(lang, pa.string()), len(text)), pa.array(text, pa.binary()).view(pa.string()), pa.array(size), pa.array(n[stays])], schema=schema)
-        yield from table.to_batches(max_chunksize=100_000)
-
-    def as_text(lang: str, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        """Phrases of stretches that came as text."""
-        found: Counter = Counter()
-        for words, at, n in zip(rows.column("words").to_pylist(), rows.column("left").to_pylist(), rows.column("n").to_pylist()):
-            for a, b in _WINDOWS:
-                if at >= a and at + b < len(words):
-                    found[(" ".join(words[at - a : at + b + 1]), a + b + 1)] += n
-        if found:
-            keys, n = list(found), list(found.values())
-            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(n)), pa.array([k for k, _ in keys]), pa.array([w for _, w in keys], pa.int32()), pa.array(n, pa.int64())], schema=schema)
+    def given(keys: np.ndarray, data: np.ndarray, known: Dictionary) -> Iterator[pa.RecordBatch]:
+        lang = keys >> (_BITS + _PART_BITS)
+        for number in np.unique(lang).tolist():
+            name, here = known.names[number], lang == number
+            pivot = (keys[here] >> _PART_BITS) & _MASK
+            found = _phrases(pivot, known.parts(name, pivot, per_part) > 1, data[here])
+            # a phrase has one pivot: what isn't split is complete
+            found = found.filter(pc.or_(found["split"], pc.greater_equal(found["n"], min_count)))
+            words, n = known.words[name], found["n"].to_numpy()
+            codes = np.stack(_unpack(found["head"].to_numpy(), 2) + _unpack(found["tail"].to_numpy(), 2), axis=1)
+            text = [b" ".join([words[c - 1] for c in row if c]) for row in codes.tolist()]
+            table = pa.table([pa.repeat(pa.scalar(name, pa.string()), len(text)), pa.array(text, pa.binary()).view(pa.string()), pa.array((codes > 0).sum(axis=1).astype(np.int32)), pa.array(n)], schema=schema)
+            yield from table.to_batches(max_chunksize=50_000)
+
+    def as_batch(found: Counter) -> pa.RecordBatch:
+        lang, phrase, words = zip(*found)
+        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(words, pa.int32()), pa.array(list(found.values()), pa.int64())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        held: dict[str, pa.Table] = {}
-
-        def close(lang: str, all_: bool) -> Iterator[pa.RecordBatch]:
-            """Give out the phrases of pivots that are done: all but the last that was read, if more may come."""
-            found = held[lang].group_by(["pivot", "part", "head", "tail"]).aggregate([("n", "sum")]).rename_columns(["pivot", "part", "head", "tail", "n"])
-            last = pc.and_(pc.equal(found["pivot"], held[lang]["pivot"][-1]), pc.equal(found["part"], held[lang]["part"][-1]))
-            yield from given(lang, found if all_ else found.filter(pc.invert(last)), known)
-            held[lang] = found.filter(last)
-
+        known, text = shared.value, Counter()
+        keys, data, rows = [], [], 0
         for batch in small(batches):
-            rows = pa.Table.from_batches([batch])
-            for lang in rows["lang"].unique().to_pylist():
-                for other in [x for x in held if x != lang]:  # sorted by language
-                    yield from close(other, True)
-                    del held[other]
-                mine = rows.filter(pc.equal(rows["lang"], lang))
-                plain, text = mine.filter(mine["words"].is_null()), mine.filter(mine["words"].is_valid())
-                if len(text):
-                    yield from as_text(lang, text)
-                if len(plain):
-                    # the last pivot read must be the last row held: what is not done stays for the next batch
-                    last = (plain["pivot"][-1], plain["part"][-1])
-                    new = _phrases(plain)
-                    is_last = pc.and_(pc.equal(new["pivot"], last[0]), pc.equal(new["part"], last[1]))
-                    tables = [new.filter(pc.invert(is_last)), new.filter(is_last)]
-                    held[lang] = pa.concat_tables(([held[lang]] if lang in held else []) + tables)
-                    if len(held[lang]) > 1_000_000:
-                        yield from close(lang, False)
-        for lang in list(held):
-            yield from close(lang, True)
-
-    dealt = sent.repartition("lang", "pivot", "part").sortWithinPartitions("lang", "pivot", "part")
-    return dealt.mapInArrow(run, "lang string, phrase string, words int, n long")
+            as_text = batch.filter(pc.is_valid(column(batch, "words")))
+            for words, at, n in zip(*(column(as_text, c).to_pylist() for c in ("words", "at", "n"))):
+                own = words[1:]
+                for a, b in _WINDOWS:
+                    if at >= a and at + b < len(own):
+                        text[(words[0], " ".join(own[at - a : at + b + 1]), a + b + 1)] += n
+            if len(text) > 200_000:
+                yield as_batch(text)
+                text.clear()
+            packed = batch.filter(pc.is_valid(column(batch, "data")))
+            if not packed.num_rows:
+                continue
+            blob = column(packed, "data")
+            keys.append(np.repeat(column(packed, "key").to_numpy(), pc.binary_length(blob).to_numpy() // 24))
+            data.append(np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.int64) for x in blob]).reshape(-1, 3))
+            rows += len(keys[-1])
+            if rows > most:
+                # the last pivot may go on in the next batch
+                whole, all_ = np.concatenate(keys), np.concatenate(data)
+                end = int(np.searchsorted(whole, whole[-1]))
+                if end:
+                    yield from given(whole[:end], all_[:end], known)
+                keys, data, rows = [whole[end:]], [all_[end:]], len(whole) - end
+        if keys:
+            yield from given(np.concatenate(keys), np.concatenate(data), known)
+        if text:
+            yield as_batch(text)
+
+    return sent.repartition("key").sortWithinPartitions("key").mapInArrow(run, "lang string, phrase string, words int, n long")
 
 
 def frequent(docs: DataFrame, counts: DataFrame, min_count: int = MIN_COUNT, most_words: int = MOST_WORDS, per_part: int = PER_PART) -> DataFrame:

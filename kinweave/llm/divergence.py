@@ -35,7 +35,7 @@ from .common import blocks, column, cut, small
 
 SCALE, SMOOTH, MIN_DOCS = 1_000_000_000, 5, 30
 #: Cells a task tallies, and sources a block has, both on average.
-CELLS, SOURCES = 500_000, 64
+CELLS, SOURCES = 50_000, 64
 #: ASCII letters in lower case, other ASCII as spaces, all else as it is.
 LETTERS = bytes(i if i > 127 or 97 <= i <= 122 else i + 32 if 65 <= i <= 90 else 32 for i in range(256))
 
