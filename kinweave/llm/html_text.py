@@ -2,34 +2,40 @@
 
 The standard library's streaming parser gives start tags, end tags and text.
 Block-level tags cut the page into lines.  A line's text-to-tag ratio is its
-text outside of links over the tags since the line before; the ratios are
+text outside of links over the start tags since the line before; the ratios are
 smoothed by a Gaussian over neighbouring lines, and lines above a threshold are
-clusters of content.  Lines in page furniture (navigation, forms, scripts,
-notices and the like, told by tag, role and class) have ratio zero.
+clusters of content.  Lines in page furniture (navigation, scripts, hidden
+elements and the like, told by element and role) have ratio zero.
 
 The clusters select the content regions.  The outermost article and main
 elements that hold a cluster are regions as a whole, short lines included,
 unless the clusters outside of them weigh more.  Otherwise the region is the
 smallest container that holds nearly all of the clusters' weight; of the page's
 body only what lies between the first cluster and the last, with the headings
-above.  A class name is evidence, not a verdict: an article or main element
-inside a named container is content again, names that state a condition
-(has-sidebar, comments-open) say nothing, and weak names don't touch
-paragraphs.
+above.
+
+A class name is evidence, not a verdict.  It counts if all of its words are those
+of page furniture (``share-buttons``, not ``share-price``); then it lowers the
+weight of its lines, which stay if the smoothed ratio is above the threshold even
+so.  Where names would leave less than a third of the page's unlinked text, and there
+is no article or main element, they are not believed.  An article or main element
+inside a named container is content again, and names that state a condition
+(has-sidebar, comments-open) say nothing.  Only elements, roles and hidden states
+are sure.
 
 Defined results: null and empty pages give the empty text; character references
 are decoded; white space of any kind and length inside a block is one space;
-blocks are joined by one space in page order.  Nothing is cut short, and pages
-may be of any length.  Marks that can't be read (unfinished tags, comments and
-declarations) end at the next ``>``.  Elements nested deeper than 512 levels
-count as their ancestor at that level, but for what they hide.  Time grows in
-proportion to the page's length, whatever its marks.
+blocks are joined by one space in page order; equal pages give equal texts and an
+empty table an empty one; other columns stay, those named text or n_chars are
+replaced.  Nothing is cut short: pages may be of any length and elements nested to
+any depth, and time grows in proportion to the page.  Marks that can't be read
+(unfinished tags, comments and declarations) end at the next ``>``.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_right
 from functools import lru_cache
 from html.parser import HTMLParser
 
@@ -60,6 +66,12 @@ _STRONG_NAMES = frozenset(
     "social comment comments commentlist disqus replies respond footer masthead topbar toolbar pagination pager".split()
 )
 _WEAK_NAMES = frozenset("notice notices alert alerts banner banners menu menus widget widgets rail tags overlay header skip".split())
+#: Words that go with those of furniture in a name without saying anything else.
+_STRUCTURE = frozenset(
+    "box bar block section area list links link buttons button btn icons icon container wrapper wrap inner outer row col column item items panel unit slot form field message msg text title heading label "
+    "posts post articles stories story news site page top bottom left right side primary secondary main global mobile desktop sticky fixed floating small large big first last new more follow us me a the and bg "
+    "zone space placeholder group grid card cards content body media network feed tweet facebook twitter linkedin whatsapp email mail user reader readers thread author meta info close toggle js css el component module".split()
+)
 _CONDITIONS_BEFORE = frozenset("has with no is without not show hide hides shows".split())
 _CONDITIONS_AFTER = frozenset("open opened closed enabled disabled on off free left right".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
@@ -77,7 +89,10 @@ _CLOSED_BY_SIBLING = {
 
 #: How sure it is that a line is furniture: content, inside a form, by a name, by its element.
 _PLAIN, _FORM, _NAMED, _SURE = range(4)
-_DEPTH = 512
+#: What a name leaves of a line's weight, and the share of the unlinked text that names must leave to be believed.
+_NAME_WEIGHT, _LEAST_SHARE = 0.1, 1 / 3
+#: Elements that a paragraph doesn't reach across.
+_FENCES = (_BLOCKS | _FURNITURE) - {"p"}
 
 
 @lru_cache(maxsize=4096)
@@ -86,6 +101,8 @@ def name_evidence(names: str) -> int:
     found = 0
     for name in names.split():
         words = [w.lower() for w in _NAME_WORDS.findall(name)]
+        if not _STRUCTURE.union(_STRONG_NAMES, _WEAK_NAMES).issuperset(words):
+            continue  # another word tells what it is about
         if not words or words[0] in _CONDITIONS_BEFORE or (len(words) > 1 and words[-1] in _CONDITIONS_AFTER and words[-2] in _STRONG_NAMES | _WEAK_NAMES):
             continue
         if not _STRONG_NAMES.isdisjoint(words):
@@ -100,10 +117,9 @@ class _Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, int, int]] = []  # tag, level, region, container
-        self.n_open: Counter[str] = Counter()
-        self.deep: Counter[str] = Counter()  # elements below the depth that is kept
-        self.deep_hidden = 0
+        self.open: list[tuple[str, int, int, int] | None] = []  # tag, level, region, container; None if closed before what it holds
+        self.at: dict[str, list[int]] = {}  # places of each tag in ``open``
+        self.fences: list[int] = []
         self.texts: list[str] = []
         self.tags: list[int] = []
         self.links: list[int] = []
@@ -115,7 +131,7 @@ class _Lines(HTMLParser):
         self.n_regions = 0
         self.parts: list[str] = []
         self.n_tags = self.n_link = 0
-        self.spent, self.budget, self.no_comment_end = 0, 0, False
+        self.no_comment_end = False
 
     # -- marks that can't be read end at the next ">"
 
@@ -124,20 +140,8 @@ class _Lines(HTMLParser):
         return len(self.rawdata) if k < 0 else k + 1
 
     def parse_starttag(self, i):
-        if self.spent > self.budget:  # a hostile page: no scan goes beyond the next ">"
-            k = self._skipped(i)
-            m = re.match(r"[a-zA-Z][a-zA-Z0-9]*", self.rawdata[i + 1 : min(k, i + 64)])
-            if m:
-                tag = m[0].lower()
-                self.handle_starttag(tag, [])
-                if tag in self.CDATA_CONTENT_ELEMENTS:
-                    self.set_cdata_mode(tag)
-            return k
         k = super().parse_starttag(i)
-        if k >= 0:
-            return k
-        self.spent += len(self.rawdata) - i
-        return self._skipped(i)
+        return k if k >= 0 else self._skipped(i)
 
     def parse_endtag(self, i):
         k = super().parse_endtag(i)
@@ -159,8 +163,11 @@ class _Lines(HTMLParser):
     # -- lines
 
     def _state(self) -> tuple[int, int, int]:
-        level, region, node = self.open[-1][1:] if self.open else (_PLAIN, 0, 0)
-        return (_SURE if self.deep_hidden else level), region, node
+        return self.open[-1][1:] if self.open else (_PLAIN, 0, 0)
+
+    def _last(self, tags) -> int:
+        """Place of the innermost open element of these, -1 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
 
     def _flush(self) -> None:
         if self.parts:
@@ -173,22 +180,26 @@ class _Lines(HTMLParser):
                 self.level.append(level)
                 self.region.append(region)
                 self.node.append(node)
-                self.heading.append(any(self.n_open[h] for h in _HEADINGS))
+                self.heading.append(any(self.at.get(h) for h in _HEADINGS))
                 self.n_tags = self.n_link = 0
             self.parts = []
 
     def _close_to(self, at: int) -> None:
         self._flush()
-        for tag, *_ in self.open[at:]:
-            self.n_open[tag] -= 1
-        del self.open[at:]
-        self._left()
+        while len(self.open) > at:
+            self._pop()
+        self._trim()
+
+    def _pop(self) -> None:
+        top = self.open.pop()
+        if top is not None:
+            self.at[top[0]].pop()
+            if top[0] in _FENCES:
+                self.fences.pop()
 
-    def _left(self) -> None:
-        # what lies deeper than the levels that are kept ends with any of them
-        if self.deep:
-            self.deep.clear()
-            self.deep_hidden = 0
+    def _trim(self) -> None:
+        while self.open and self.open[-1] is None:
+            self.open.pop()
 
     @staticmethod
     def _furniture(tag: str, attrs: list[tuple[str, str | None]], region: int) -> int:
@@ -221,22 +232,13 @@ class _Lines(HTMLParser):
             self._flush()
             if tag in _CLOSED_BY_SIBLING:
                 siblings, around = _CLOSED_BY_SIBLING[tag]
-                if any(self.n_open[s] for s in siblings):
-                    for i in range(len(self.open) - 1, -1, -1):
-                        if self.open[i][0] in around:
-                            break
-                        if self.open[i][0] in siblings:
-                            self._close_to(i)
-                            break
-            if tag != "br" and self.n_open["p"]:
-                # a block ends a paragraph that is still open
-                for i in range(len(self.open) - 1, -1, -1):
-                    name = self.open[i][0]
-                    if name == "p":
-                        self._close_to(i)
-                        break
-                    if name in _BLOCKS or name in _FURNITURE:
-                        break
+                last, limit = self._last(siblings), self._last(around)
+                if last > limit:
+                    # the outermost of the siblings that lie in here
+                    inside = [self.at[t][bisect_right(self.at[t], limit)] for t in siblings if self.at.get(t) and self.at[t][-1] > limit]
+                    self._close_to(min(inside))
+            if tag != "br" and (at := self._last(("p",))) > (self.fences[-1] if self.fences else -1):
+                self._close_to(at)  # a block ends a paragraph that is still open
         self.n_tags += 1
         if tag in _VOID:
             return
@@ -247,18 +249,16 @@ class _Lines(HTMLParser):
         elif own > level:
             self._flush()
             level = own
-        if len(self.open) >= _DEPTH:
-            self.deep[tag] += 1
-            self.deep_hidden += own == _SURE
-            return
         if tag in _REGIONS and level == _PLAIN and not region:
             self.n_regions += 1
             region = self.n_regions
         if tag in _CONTAINERS:
             self.parents.append(node)
             node = len(self.parents) - 1
+        self.at.setdefault(tag, []).append(len(self.open))
+        if tag in _FENCES:
+            self.fences.append(len(self.open))
         self.open.append((tag, level, region, node))
-        self.n_open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         if tag in _BLOCKS:
@@ -266,36 +266,28 @@ class _Lines(HTMLParser):
         self.n_tags += 1
 
     def handle_endtag(self, tag):
-        self.n_tags += 1
         if tag in _BLOCKS:
             self._flush()
-        if self.deep[tag]:
-            self._flush()
-            self.deep[tag] -= 1
-            self.deep_hidden = max(0, self.deep_hidden - (tag in _FURNITURE)) if any(self.deep.values()) else 0
-            return
-        if not self.n_open[tag]:
+        if not self.at.get(tag):
             return
-        for i in range(len(self.open) - 1, -1, -1):
-            name = self.open[i][0]
-            if name == tag:
-                if self.open[i][1] or tag in _BLOCKS:
-                    self._close_to(i)
-                else:
-                    self.n_open[tag] -= 1
-                    del self.open[i]
-                    self._left()
-                return
-            if tag not in _BLOCKS and name in _BLOCKS and name != "p":
-                return  # an inline end tag doesn't reach out of its block
+        i = self.at[tag][-1]
+        if tag not in _BLOCKS and self.fences and self.fences[-1] > i:
+            return  # an inline end tag doesn't reach out of its block
+        if self.open[i][1] or tag in _BLOCKS:
+            self._close_to(i)
+        else:
+            self.at[tag].pop()
+            if tag in _FENCES:
+                self.fences.remove(i)
+            self.open[i] = None
+            self._trim()
 
     def handle_data(self, data):
         self.parts.append(data)
-        if self.n_open["a"] > 0:
+        if self.at.get("a"):
             self.n_link += len(data)
 
     def lines(self, html: str) -> None:
-        self.budget = 8 * len(html) + 1_000_000
         self.feed(html)
         self.close()
         self._flush()
@@ -308,15 +300,25 @@ def smooth(ratio: np.ndarray, sigma: float = 1.0, radius: int = 2) -> np.ndarray
     return np.convolve(ratio, kernel / kernel.sum())[radius : radius + len(ratio)]
 
 
-def clusters(ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which lines are in clusters of content, and the smoothed ratios."""
+def clusters(ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Which lines are in clusters of content, the smoothed ratios, and the threshold."""
     smoothed = smooth(ratio)
     top = float(smoothed.max(initial=0.0))
     threshold = min(float(smoothed.std()), 0.5 * top) if top > 0 else 0.0
-    return (ratio > 0) & (smoothed >= threshold), smoothed
+    return (ratio > 0) & (smoothed >= threshold), smoothed, threshold
 
 
-def content_lines(page: _Lines, whole: float = 0.95, long_form: int = 250) -> list[int]:
+def _with_title(part: np.ndarray, heading: np.ndarray) -> np.ndarray:
+    """``part`` with the headings that stand right above it, unless it has some of its own."""
+    first = int(np.flatnonzero(part)[0]) if part.any() else 0
+    if not (part & heading).any():
+        while first > 0 and heading[first - 1]:
+            first -= 1
+            part[first] = True
+    return part
+
+
+def content_lines(page: _Lines, whole: float = 0.85, long_form: int = 250) -> list[int]:
     """Numbers of the lines in the selected regions."""
     n = len(page.texts)
     if not n:
@@ -324,20 +326,29 @@ def content_lines(page: _Lines, whole: float = 0.95, long_form: int = 250) -> li
     length = np.array([len(t) for t in page.texts], dtype=float)
     level, region, node = np.array(page.level), np.array(page.region), np.array(page.node)
     own = np.maximum(length - np.minimum(page.links, length), 0.0)
-    plain = level == _PLAIN
+    named = level == _NAMED
+    plain = (level == _PLAIN) | named
     if not own[plain].any() and own[level == _FORM].sum() >= long_form:
-        plain = level <= _FORM  # a page that is one form
+        plain |= level == _FORM  # a page that is one form
     if not plain.any():
         return []
-    chosen, smoothed = clusters(np.where(plain, own / np.maximum(page.tags, 1), 0.0))
+    if not own[plain & ~named & (region > 0)].any() and own[plain & ~named].sum() < _LEAST_SHARE * own[plain].sum():
+        named &= False
+    ratio = np.where(plain, own / np.maximum(page.tags, 1), 0.0) * np.where(named, _NAME_WEIGHT, 1.0)
+    chosen, smoothed, threshold = clusters(ratio)
+    # names are believed where the neighbours alone lift a line over the threshold
+    chosen &= ~named | (ratio >= threshold)
+    # a named line stays if it is in a cluster in spite of its name
+    plain &= ~named | chosen
     if not chosen.any():
         return np.flatnonzero(plain & (own > 0)).tolist()
-    weight = np.where(chosen, smoothed, 0.0)
+    weight = np.where(chosen & ~named, np.minimum(smoothed, ratio), 0.0)
     inside = plain & (region > 0)
     if weight[inside].sum() >= 0.5 * weight.sum():
         holds = np.zeros(page.n_regions + 1, dtype=bool)
         holds[region[chosen & inside]] = True
-        return np.flatnonzero(inside & holds[region]).tolist()
+        part = inside & holds[region]
+        return np.flatnonzero(_with_title(part, np.array(page.heading) & (level < _SURE) & (own > 0))).tolist()
     # the smallest container with nearly all of the weight; children come after their parents
     sums = np.bincount(node, weight, len(page.parents))
     lines = np.bincount(node[plain], minlength=len(page.parents))
@@ -354,10 +365,10 @@ def content_lines(page: _Lines, whole: float = 0.95, long_form: int = 250) -> li
     part = plain & below[node]
     if at == 0 or page.parents[at] == 0:
         # the body: from the first cluster to the last, with the headings above
-        first, last = np.flatnonzero(chosen & part)[[0, -1]].tolist()
-        while first > 0 and page.heading[first - 1] and part[first - 1]:
-            first -= 1
+        solid = np.flatnonzero(chosen & part & (ratio >= threshold))
+        first, last = (solid if len(solid) else np.flatnonzero(chosen & part))[[0, -1]].tolist()
         part[:first], part[last + 1 :] = False, False
+    part = _with_title(part, np.array(page.heading) & (level < _SURE) & (own > 0))
     # three link-only lines and more in a row are a menu
     menu = part & (own == 0)
     edges = np.flatnonzero(np.diff(np.concatenate(([False], menu, [False])).astype(int)))

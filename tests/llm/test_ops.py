@@ -242,6 +242,15 @@ TWO = "<p>A second paragraph of some length here, which ends the story as it sho
         (f"<main><h1>Title</h1><p>Lead.</p><article>{ONE * 6}</article><article><p>Tiny one here in a sibling.</p></article></main><footer>f</footer>", ["Title", "Lead.", *[ONE] * 6, "Tiny one here in a sibling."]),
         (f"<article>{ONE * 6}</article><article><p>Shorter article in here.</p></article>", [*[ONE] * 6, "Shorter article in here."]),
         (f"<article>{ONE}{TWO}</article><article class=comment><p>I like it a lot, thank you very much.</p></article><section class=comments>{ONE}</section>", [ONE, TWO]),
+        # names that also say something else, and names around all there is
+        (f'<body><div class="social-history">{ONE}{TWO}</div>', [ONE, TWO]),
+        (f'<body><div class="cookie-recipes">{ONE}{TWO}</div>', [ONE, TWO]),
+        (f'<body><div id="ad-hoc-committee">{ONE}{TWO}</div>', [ONE, TWO]),
+        (f'<body><div class="sidebar">{ONE}{TWO}</div>', [ONE, TWO]),
+        (f'<article>{ONE}<p class="share-price">Now 12.</p>{TWO}<p class="share-buttons">Share</p></article>', [ONE, "Now 12.", TWO]),
+        (f'<body><div class="header"><h1>Head</h1></div><div>{ONE}{TWO}</div>', ["Head", ONE, TWO]),
+        (f'<body><div class="header"><h1>Head</h1></div><article>{ONE}{TWO}</article>', ["Head", ONE, TWO]),
+        (f'<body><div class="header"><h1><a href=/>Site</a></h1></div><article>{ONE}{TWO}</article>', [ONE, TWO]),
         # marks that can't be read
         ("<p>x</p><![foo[ y ]]>", ["x"]), ("<![ %", []), ("<p>a</p><!-- never closed <p>b", ["a", "b"]), ('<p>a <a href="x>b</a> c', ["a b c"]), ("<p>a<script>x", ["a"]),
     ],
@@ -250,6 +259,40 @@ def test_html_regions(page, parts):
     assert html_text.extract(page) == " ".join(re.sub("<[^>]+>", "", x) for x in parts)
 
 
+def layouts():
+    """Pages without article elements or telling names: (html, main text)."""
+    rng = np.random.default_rng(12)
+    words = lambda n: " ".join("".join(rng.choice(list("aeionrst"), 5)) for _ in range(n))
+    for k in range(60):
+        story = [words(int(n)) for n in rng.integers(4 if k % 3 else 12, 60, 7)]
+        story[0], story[-1] = words(40), words(40)
+        menu = "".join(f"<li><a href=x>{words(2)}</a></li>" for _ in range(6))
+        short = lambda n: "".join(f"<div><span>{words(2)}</span></div>" for _ in range(n))
+        body = "".join(f"<p>{x}</p>" for x in story)
+        page = [
+            f"<body><div><ul>{menu}</ul></div>{short(5)}<div><h1>{words(4)}</h1>{body}</div>{short(5)}",
+            f"<body><table><tr><td><ul>{menu}</ul></td><td>{body}</td><td>{short(4)}</td></tr></table>",
+            f"<body>{short(3)}<h1>{words(4)}</h1>{body}{short(6)}<p>{words(3)}</p>",
+        ][k % 3]
+        heading = re.findall("<h1>(.*?)</h1>", page)
+        yield page, " ".join(heading + story)
+
+
+def test_html_clusters_decide(monkeypatch):
+    """Where nothing but the lines' ratios tells content, smoothing and threshold do: without them a third of the pages are wrong."""
+    pages = list(layouts())
+    assert sum(html_text.extract(page) == want for page, want in pages) == len(pages)
+    monkeypatch.setattr(html_text, "clusters", lambda ratio: (ratio > 0, ratio, 0.0))
+    assert sum(html_text.extract(page) != want for page, want in pages) >= 20
+
+
+def test_html_deep():
+    """An article at any depth is a region, and tags keep their attributes however many there are."""
+    assert html_text.extract("<p>outside</p>" + "<div>" * 3000 + f"<article>{ONE}{TWO}</article>" + "</div>" * 3000 + "<p>outside</p>") == " ".join(re.sub("<[^>]+>", "", x) for x in (ONE, TWO))
+    many = "<b b='x' <" * 50_000
+    assert html_text.extract(f"{many}><article>{ONE}<div hidden>no</div>{TWO}</article>") == " ".join(re.sub("<[^>]+>", "", x) for x in (ONE, TWO))
+
+
 def test_html_time_is_linear():
     """Hostile pages of a megabyte: seconds at most, where a quadratic scan takes hours."""
     import time
