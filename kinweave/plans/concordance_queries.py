@@ -68,10 +68,21 @@ def concordance_totals(site, block, label, gt):
     return cc.totals(_decided(site, block, label, gt), cc.outside_blocks(site, block))
 
 
+_VALUE = lambda h: f"case {h} when 'A' then pd[1 + k % 2] when 'B' then pd[2 - k % 2] when 'C' then pm[1 + k // 2] else pm[2 - k // 2] end"
+
+
+# one aggregate by site and one by block: calls and labels as lists in the order of ids
 @query("phased_genotypes", "G2", *_VIEWS, sql=f"""
-with {_CONFIG} select st.site_id, l.id,
-  cast(case l.h0 when 'A' then cf.a when 'B' then cf.b when 'C' then cf.c else cf.d end as varchar) || '|' || cast(case l.h1 when 'A' then cf.a when 'B' then cf.b when 'C' then cf.c else cf.d end as varchar) as gt
-from st join cf on cf.site_id = st.site_id and cf.k = st.k join fx_label l on l.chrom = st.chrom and l.b = st.b and l.i >= 6 where st.status = 'pass'
+with g as (select site_id, max(case when id = 'S04' then [g0, g1] end) as pd, max(case when id = 'S05' then [g0, g1] end) as pm, list([g0, g1] order by id) filter (where i >= 6) as kids,
+  bool_or(g0 is null) as missing, bool_and(g0 = 0 and g1 = 0) as ref, bool_and(g0 <> g1) as het from fx_gt group by site_id),
+l as (select chrom, b, start_pos, end_pos, list([h0, h1] order by id) as labels, list(id order by id) as ids from fx_label where i >= 6 group by chrom, b, start_pos, end_pos),
+s as (select fx_site.site_id, pd, pm, kids, labels, ids from fx_site join g on g.site_id = fx_site.site_id join l on l.chrom = fx_site.chrom and l.b = fx_site.pos0 // 200000 and pos0 between start_pos and end_pos
+  where qual >= 5 and not missing and not g.ref and not het),
+c as (select *, unnest(range(4)) as k from s),
+m as (select site_id, min(k) as k, any_value(pd) as pd, any_value(pm) as pm, any_value(labels) as labels, any_value(ids) as ids from c
+  where len(list_filter(range(1, 9), lambda j: list_sort([{_VALUE("labels[j][1]")}, {_VALUE("labels[j][2]")}]) = list_sort(kids[j]))) = 8 group by site_id),
+r as (select *, unnest(range(1, 9)) as j from m)
+select site_id, ids[j] as id, cast({_VALUE("labels[j][1]")} as varchar) || '|' || cast({_VALUE("labels[j][2]")} as varchar) as gt from r
 """)
 def phased_genotypes(site, block, label, gt):
     return cc.phased(_decided(site, block, label, gt))

@@ -95,7 +95,18 @@ n as (select site_id, count(*) filter (where kind = 'Valid') as n_valid, count(*
 """
 
 
-@query("trio_class", "G8 F11 J8", "fx_gt", "fx_ped", sql=f"with {_TRIO} select site_id, child, kind from t")
+_PARENTS = ", ".join(f"max(case when id = '{who}' then {c} end) as {x}_{c}" for who, x in (("S04", "f"), ("S05", "m")) for c in ("g0", "g1", "dp", "gq"))
+
+
+# one aggregate by site: the parents' calls as columns, the children's as a list
+@query("trio_class", "G8 F11 J8", "fx_gt", "fx_ped", sql=f"""
+with s as (select site_id, {_PARENTS}, list(struct_pack(id := id, g0 := g0, g1 := g1, dp := dp, gq := gq)) filter (where i >= 6) as kids from fx_gt group by site_id),
+k as (select * exclude (kids), unnest(kids) as c from s)
+select site_id, c.id as child, case when c.g0 is null or f_g0 is null or m_g0 is null or least(c.dp, f_dp, m_dp) < 5 or least(c.gq, f_gq, m_gq) < 10 then 'Unknown'
+  when (c.g0 in (m_g0, m_g1) and c.g1 in (f_g0, f_g1)) or (c.g1 in (m_g0, m_g1) and c.g0 in (f_g0, f_g1)) then 'Valid'
+  when m_g0 + m_g1 + f_g0 + f_g1 = 0 and c.g0 <> c.g1 then 'CanDenovo' else 'Violation' end as kind
+from k
+""")
 def trio_class(gt, ped):
     return denovo.classify(gt.where("i >= 4"), ped).where("child >= 'S06'").select("site_id", "child", "kind")
 

@@ -34,7 +34,17 @@ def _with_gt(calls):
     return calls.withColumn("gt", (F.col("start_pos") % 2).cast("string"))
 
 
-@query("sv_merge", "S6 D14", "fx_sv", sql=f"with {_MERGED} select primary_id, support_id, cast(round as integer) as round from lk")
+# all overlaps with an earlier caller once, by bins; then who is a primary is decided for one caller after the other
+@query("sv_merge", "S6 D14", "fx_sv", sql="""
+with iv as (select id, prio, chrom, svtype, start_pos - 200 as s, end_pos + case when svtype = 'INS' then 1 else 0 end + 200 as e from fx_sv),
+bins as (select *, unnest(range(s // 2000, (e - 1) // 2000 + 1)) as bin from iv),
+ov as (select p.id as p, p.prio as pk, c.id as c, c.prio as ck from bins p join bins c on p.chrom = c.chrom and p.svtype = c.svtype and p.bin = c.bin
+  where p.prio < c.prio and c.s < p.e and p.s < c.e and p.bin = greatest(p.s // 2000, c.s // 2000)),
+not1 as (select distinct c as id from ov where ck = 1),
+not2 as (select distinct c as id from ov where ck = 2 and not (pk = 1 and p in (select id from not1))),
+l1 as (select * from ov where not (pk = 1 and p in (select id from not1)) and not (pk = 2 and p in (select id from not2)))
+select p as primary_id, c as support_id, cast(ck as integer) as round from l1
+""")
 def sv_merge(calls):
     return _merged(calls)[1]
 
