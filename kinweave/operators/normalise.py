@@ -7,7 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_ALIGNED = T.StructType([T.StructField("pos0", T.LongType()), T.StructField("ref", T.StringType()), T.StructField("alt", T.StringType())])
+from ..sources.readers import CHUNK, fasta_region
+from .storage import cut
+
+_ALIGNED = T.StructType([T.StructField("pos0", T.LongType()), T.StructField("ref", T.StringType()), T.StructField("alt", T.StringType()), T.StructField("more", T.BooleanType())])
 
 
 def align_left(pos: int, ref: str, alt: str, sequence: str, offset: int) -> tuple[int, str, str]:
@@ -31,14 +34,55 @@ def align_left(pos: int, ref: str, alt: str, sequence: str, offset: int) -> tupl
 
 
 def left_align(variants: DataFrame) -> DataFrame:
-    """``variants`` (pos0, ref, alt, sequence, offset, ...) with pos0, ref and alt left-aligned; row by row, in batches."""
+    """``variants`` (pos0, ref, alt, sequence, offset, ...) with pos0, ref and alt left-aligned, and ``more``: whether only the sequence's begin stopped it."""
 
     @F.pandas_udf(_ALIGNED)
     def aligned(pos: pd.Series, ref: pd.Series, alt: pd.Series, sequence: pd.Series, offset: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([align_left(*x) for x in zip(pos, ref, alt, sequence, offset)], columns=["pos0", "ref", "alt"])
+        made = [align_left(*x) for x in zip(pos, ref, alt, sequence, offset)]
+        more = [o > 0 and p == o and min(len(r), len(a)) == 1 and len(r) != len(a) and r[-1] == a[-1] for (p, r, a), o in zip(made, offset)]
+        return pd.DataFrame([(*m, x) for m, x in zip(made, more)], columns=["pos0", "ref", "alt", "more"])
 
     made = variants.withColumn("_v", aligned("pos0", "ref", "alt", "sequence", "offset"))
-    return made.withColumns({c: F.col(f"_v.{c}") for c in ("pos0", "ref", "alt")}).drop("_v")
+    return made.withColumns({c: F.col(f"_v.{c}") for c in ("pos0", "ref", "alt", "more")}).drop("_v")
+
+
+def split_alternatives(records: DataFrame) -> DataFrame:
+    """A row for each alternative of ``records`` (alts), ``alt`` and ``alt_no`` from 1 on."""
+    each = F.posexplode("alts").alias("_k", "alt")
+    return records.select(*[c for c in records.columns if c not in ("alt", "alt_no")], each).withColumn("alt_no", F.col("_k") + 1).drop("_k", "alts")
+
+
+def normalise(records: DataFrame, chunks: DataFrame, size: int = CHUNK, reach: int = 64) -> DataFrame:
+    """``records`` (chrom, pos0, ref, alts, ...) one alternative a row, in the shortest and leftmost way.
+
+    ``chunks`` is the reference (``read_fasta_chunks``).  ``matches`` says whether
+    ``ref`` is what the reference has there; if it isn't, the row stays as it is.
+    Letters are compared in upper case.  A variant is looked at with ``reach``
+    bases before it; those that arrive at the begin of what they see go on from
+    there with eight times as many, until none does, so a shift may cross any
+    number of chunks.
+    """
+    upper = split_alternatives(records).withColumns({"ref": F.upper("ref"), "alt": F.upper("alt")})
+    keyed = upper.withColumns({"_s": F.greatest(F.col("pos0") - reach, F.lit(0)), "_e": F.col("pos0") + F.length("ref")})
+    plain = F.col("alt").rlike("^[ACGTN]+$") & F.col("ref").rlike("^[ACGTN]+$") & (F.col("pos0") >= 0)
+
+    def seen(rows: DataFrame) -> DataFrame:
+        windows = fasta_region(chunks, rows.select("chrom", F.col("_s").alias("s"), F.col("_e").alias("e")), size)
+        return rows.join(windows.select("chrom", F.col("s").alias("_s"), F.col("e").alias("_e"), F.upper("sequence").alias("sequence")), ["chrom", "_s", "_e"], "left").withColumn("offset", F.col("_s"))
+
+    first = seen(keyed).withColumn("matches", F.coalesce(F.substr("sequence", (F.col("pos0") - F.col("_s") + 1).cast("int"), F.length("ref")) == F.col("ref"), F.lit(False)))
+    first = cut(first)
+    names = [*upper.columns, "matches"]
+    done = first.where(~(F.col("matches") & plain)).select(*names)
+    now = cut(left_align(first.where(F.col("matches") & plain)).select(*names, "more"))
+    while True:
+        done = done.unionByName(now.where("not more").select(*names))
+        left = now.where("more").drop("more")
+        if left.isEmpty():
+            return done
+        reach *= 8
+        again = left.withColumns({"_s": F.greatest(F.col("pos0") - reach, F.lit(0)), "_e": F.col("pos0") + F.length("ref")})
+        now = cut(left_align(seen(again)).select(*names, "more"))
 
 
 def allele_counts(gts: Column, n_alts: Column) -> tuple[Column, Column]:

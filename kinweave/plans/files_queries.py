@@ -172,7 +172,7 @@ def file_fasta(site):
     at = _place(site)
     bases = site.groupBy("chrom").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("site_id", "ref"))), lambda x: x["ref"]), "").alias("seq"))
     wr.write_lines(wr.fasta_lines(bases.select(F.concat("chrom", F.lit(" of >1 part")).alias("name"), F.regexp_replace("seq", "(.{60})", "$1\n").alias("seq")), "name", "seq"), at)
-    chunks = rd.fasta_chunks(rd.read_fasta(site.sparkSession, at), 32)
+    chunks = rd.read_fasta_chunks(site.sparkSession, at, 32)
     begin = F.col("site_id") % 150
     return rd.fasta_region(chunks, site.select("chrom", begin.alias("s"), (begin + 70).alias("e")), 32)
 
@@ -294,12 +294,51 @@ def allele_counts(gt):
     return both.select("site_id", F.get("counts", 0).alias("ac"), "an", (F.size(nm.trim_alternatives(F.array(F.lit("T")), F.col("counts"))) > 0).alias("kept"))
 
 
-@query("left_align", "I18", "fx_site", sql="select site_id, cast(4 as bigint) as pos0, repeat('C', 1) || repeat('A', cast(1 + site_id % 3 as integer)) as ref, 'C' as alt from fx_site")
+#: Reference sequences with stretches of one base and of repeats; deletions and tandem duplications in them, some with a second alternative that changes the last base.
+_INDELS = """
+q as (select chrom, string_agg(repeat(ref, cast(1 + site_id % 7 as integer)) || case when site_id % 160 = 0 then repeat('ACT', 60) else '' end, '' order by site_id) as seq from fx_site group by chrom),
+v as (select site_id, q.chrom, substr(seq, 400 + (site_id * 37) % (length(seq) - 800) - 198, 220) as seq, 400 + (site_id * 37) % (length(seq) - 800) as a, 1 + site_id % 3 as k, site_id % 2 = 0 as deletes, site_id % 5 = 0 as two from fx_site s join q on q.chrom = s.chrom)
+"""
+
+
+@query("left_align", "I18 SC17", "fx_site", sql=f"""
+with {_INDELS}, m as (select *, 199 as o, unnest(range(0, 200)) as t from v),
+f as (select site_id, min(t) filter (where case when deletes then substr(seq, t + 2, o - t) = substr(seq, t + 2 + k, o - t)
+    else substr(substr(seq, t + 2, o - t) || substr(seq, o + 2, k), k + 1) = substr(seq, t + 2, o - t) end) as t from m group by site_id),
+g as (select v.*, f.t, 199 as o from v join f on f.site_id = v.site_id)
+select site_id, 1 as alt_no, a - o + t as pos0, substr(seq, t + 1, case when deletes then 1 + k else 1 end) as ref, case when deletes then substr(seq, t + 1, 1) else substr(seq, t + 1, 1) || left(substr(seq, t + 2, o - t) || substr(seq, o + 2, k), k) end as alt from g
+union all select site_id, 2, a + case when deletes then k else 0 end, substr(seq, o + 1 + case when deletes then k else 0 end, 1), translate(substr(seq, o + 1 + case when deletes then k else 0 end, 1), 'ACGT', 'CGTA') from g where two
+""")
 def left_align(site):
-    # a deletion of some A at the right end of a stretch of them
-    n = (1 + F.col("site_id") % 3).cast("int")
-    rows = site.select("site_id", (F.lit(12).cast("long") - n).alias("pos0"), F.repeat(F.lit("A"), n + 1).alias("ref"), F.lit("A").alias("alt"), F.lit("GGGGCAAAAAAAAGG").alias("sequence"), F.lit(0).cast("long").alias("offset"))
-    return nm.left_align(rows).select("site_id", "pos0", "ref", "alt")
+    """Normalised against a FASTA that is written and read back; a shift crosses many of its small chunks."""
+    at = _place(site)
+    piece = F.concat(F.repeat("ref", (1 + F.col("site_id") % 7).cast("int")), F.when(F.col("site_id") % 160 == 0, F.repeat(F.lit("ACT"), 60)).otherwise(""))
+    bases = site.groupBy("chrom").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("site_id", piece.alias("x")))), lambda x: x["x"]), "").alias("seq"))
+    wr.write_lines(wr.fasta_lines(bases.select("chrom", F.regexp_replace("seq", "(.{60})", "$1\n").alias("lines")), "chrom", "lines"), at)
+    a, k = 400 + (F.col("site_id") * 37) % (F.length("seq") - 800), 1 + F.col("site_id") % 3
+    placed = site.select("site_id", "chrom").join(bases, "chrom").withColumns({"a": a, "k": k, "deletes": F.col("site_id") % 2 == 0})
+    base = lambda n: F.substr("seq", (F.col("a") + 1).cast("int"), n.cast("int"))
+    ref = F.when(F.col("deletes"), base(1 + F.col("k"))).otherwise(base(F.lit(1)))
+    alt = F.when(F.col("deletes"), base(F.lit(1))).otherwise(base(1 + F.col("k")))
+    last = F.concat(F.expr("left(ref, length(ref) - 1)"), F.translate(F.right("ref", F.lit(1)), "ACGT", "CGTA"))
+    records = placed.select("site_id", "chrom", F.col("a").alias("pos0"), ref.alias("ref"), alt.alias("alt"))
+    records = records.select("site_id", "chrom", "pos0", "ref", F.when(F.col("site_id") % 5 == 0, F.array("alt", last)).otherwise(F.array("alt")).alias("alts"))
+    made = nm.normalise(records, rd.read_fasta_chunks(site.sparkSession, at, 64), 64, reach=16)
+    return made.where("matches").select("site_id", "alt_no", "pos0", "ref", "alt")
+
+
+@query("file_region", "SC4 SC5 SC7 F1", "fx_site", "fx_gt", sql="""
+select s.chrom, s.pos0, s.ref, s.alt, cast(s.qual as double) as qual, g.id, g.g0, g.g1 from fx_site s join fx_gt g on g.site_id = s.site_id
+where s.qual >= 12 and ((s.chrom = 'chr2' and s.pos0 between 3000000 and 6500000) or (s.chrom = 'chr4' and s.pos0 between 0 and 1000000))
+""")
+def file_region(site, gt):
+    """Two regions of stored records, from the folders and row groups that they touch."""
+    at = _place(site)
+    call = F.struct(F.col("id").alias("sample"), F.array("g0", "g1").alias("gt"))
+    calls = gt.groupBy("site_id").agg(F.collect_list(call).alias("calls"))
+    rd.store_records(site.join(calls, "site_id").select("chrom", "pos0", "ref", F.array("alt").alias("alts"), F.col("qual").cast("double").alias("qual"), "calls"), at, 1 << 20)
+    found = rd.read_region(site.sparkSession, at, [("chr2", 3_000_000, 6_500_000), ("chr4", 0, 1_000_000)], 12.0, 1 << 20)
+    return found.select("chrom", "pos0", "ref", F.get("alts", 0).alias("alt"), "qual", F.explode("calls").alias("c")).select("chrom", "pos0", "ref", "alt", "qual", F.col("c.sample").alias("id"), F.get("c.gt", 0).alias("g0"), F.get("c.gt", 1).alias("g1"))
 
 
 @query("label_combinations", "J19", "fx_ped", sql="""

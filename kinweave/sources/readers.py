@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scans import running
+
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "")
@@ -94,6 +96,38 @@ def read_vcf(spark: SparkSession, path: str, samples: list[str] | None = None) -
     ).where("pos0 is not null")
 
 
+RANGE = 1 << 22
+
+
+def store_records(records: DataFrame, path: str, size: int = RANGE, parts: int | None = None) -> None:
+    """Write records of ``read_vcf`` by chromosome and range of positions, sorted by position inside (SC7).
+
+    This takes the place of an index: regions read only the folders of their
+    ranges, and in these the row groups whose positions and qualities can match.
+    """
+    placed = records.withColumn("range", F.expr(f"pos0 div {size}"))
+    spread = placed.repartition(*([parts] if parts else []), "chrom", "range").sortWithinPartitions("chrom", "range", "pos0")
+    spread.write.mode("errorifexists").option("parquet.block.size", 8 << 20).partitionBy("chrom", "range").parquet(path)
+
+
+def read_region(spark: SparkSession, path: str, regions: list[tuple[str, int, int]], min_qual: float | None = None, size: int = RANGE, longest: int = 0) -> DataFrame:
+    """Records of ``store_records`` in one of the ``regions`` (chrom, first, last position, both in), without those of low quality (SC4, SC5).
+
+    A record belongs to a region by its position, or, with ``longest`` the
+    greatest length of a reference allele, by any of its bases.
+    """
+    stored = spark.read.parquet(path)
+    here: Column = F.lit(False)
+    for chrom, first, last in regions:
+        start = max(0, first - max(0, longest - 1))
+        own = (F.col("chrom") == chrom) & F.col("range").between(start // size, last // size) & F.col("pos0").between(start, last)
+        here = here | (own & (F.col("pos0") + F.length("ref") > first) if longest else own)
+    found = stored.where(here)
+    if min_qual is not None:
+        found = found.where(F.col("qual").isNull() | F.isnan("qual") | (F.col("qual") >= min_qual))
+    return found.drop("range")
+
+
 def genotypes(records: DataFrame) -> DataFrame:
     """Records' calls as rows: chrom, pos0, ref, alts, qual, sample, gt, phased, dp, gq, ad."""
     return records.select("chrom", "pos0", "ref", "alts", "qual", F.explode("calls").alias("c")).select("chrom", "pos0", "ref", "alts", "qual", "c.*")
@@ -152,7 +186,7 @@ def read_fai(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """name, sequence in lower case, one row for each record (SC17); for whole chromosomes see ``fasta_chunks``."""
+    """name, sequence in lower case, one row for each record (SC17); for whole chromosomes see ``read_fasta_chunks``."""
     records = spark.read.option("lineSep", "\n>").text(path).where(F.trim("value") != "")
     whole = F.regexp_replace("value", "^>", "")
     head = F.substring_index(whole, "\n", 1)
@@ -163,6 +197,28 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 CHUNK = 1 << 16
 
 
+def read_fasta_chunks(spark: SparkSession, path: str, size: int = CHUNK) -> DataFrame:
+    """chrom, chunk, sequence in lower case, read line by line (SC17): a record of any length is read by many tasks.
+
+    A line's place in its record is the number of bases between its header and
+    itself, a running sum over the splits of the file.  Lines are ordered by the
+    split they come from and their order in it.  A record whose name comes again
+    in another file keeps the chunks of each.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+    head = F.startswith("value", F.lit(">"))
+    lines = raw.withColumns({"bases": F.when(head, "").otherwise(F.lower(F.regexp_replace("value", r"\s", ""))), "name": F.when(head, F.split(F.trim(F.substr("value", F.lit(2))), r"\s+")[0])}).drop("value")
+    summed = running(lines, ["file"], "split", ["line"], F.length("bases").cast("long"), "so_far", how="sum")
+    header = F.when(F.col("name").isNotNull(), F.struct("split", "line", "name", "so_far"))
+    placed = running(summed, ["file"], "split", ["line"], header, "head").where("bases <> '' and head is not null")
+    at = F.col("so_far") - F.col("head.so_far")
+    spread = placed.select("file", F.col("head.name").alias("chrom"), at.alias("at"), "bases").withColumn("chunk", F.explode(F.expr(f"sequence(at div {size}, (at + length(bases) - 1) div {size})")))
+    begin = F.greatest(F.col("chunk") * size - F.col("at"), F.lit(0))
+    piece = F.substr("bases", (begin + 1).cast("int"), (F.least((F.col("chunk") + 1) * size - F.col("at"), F.length("bases")) - begin).cast("int"))
+    pieces = spread.groupBy("file", "chrom", "chunk").agg(F.sort_array(F.collect_list(F.struct("at", piece.alias("x")))).alias("pieces"))
+    return pieces.select("chrom", F.col("chunk").cast("int").alias("chunk"), F.array_join(F.transform("pieces", lambda p: p["x"]), "").alias("sequence"))
+
+
 def fasta_chunks(fasta: DataFrame, size: int = CHUNK) -> DataFrame:
     """chrom, chunk, sequence: records cut into chunks, a table to store once, so that regions meet chunks and no task ships a chromosome."""
     at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("sequence") - 1) / size).cast("int")))).alias("chunk")
