@@ -44,7 +44,7 @@ def grandparent_haplotype(gt):
 
 @query("hmm_viterbi", "S5", "fx_site", "fx_gt")
 def hmm_viterbi(site, gt):
-    return hmm.viterbi_paths(hmm.cut_windows(_observed(site, gt)), 8, ["chrom", "window"])
+    return hmm.viterbi_paths(hmm.cut_windows(_observed(site, gt), hmm.most_sites(8)), 8, ["chrom"])
 
 
 _RUNS = f"""

@@ -34,6 +34,31 @@ def test_viterbi_is_the_dense_one():
     assert hmm.viterbi(np.zeros(0, np.int64), 3)[0].size == 0
 
 
+@pytest.mark.parametrize("most", [1, 40, 20_000])
+def test_path_over_windows_is_the_uncut_one(spark, most):
+    """Lines of different lengths, cut into windows of any size; and the whole table, line by line."""
+    rng = np.random.default_rng(5)
+    rows = [(c, int(p), int(x)) for c, n in (("a", 6 if most == 1 else 130), ("b", 3 if most == 1 else 41), ("c", 1)) for p, x in enumerate(np.repeat(rng.integers(0, 8, n // 3 + 1), 3)[:n] ^ rng.choice([0, 0, 0, 1, 2], n))]
+    df = spark.createDataFrame(rows, "chrom string, pos0 long, observed long").repartition(3)
+    got = {(r["chrom"], r["pos0"]): r["state"] for r in hmm.viterbi_paths(hmm.cut_windows(df, most), 3, ["chrom"]).collect()}
+    for c in "abc":
+        seen = np.array([x for k, _, x in rows if k == c])
+        assert [got[c, p] for p in range(len(seen))] == hmm.viterbi(seen, 3)[0].tolist()
+    assert hmm.viterbi_paths(hmm.cut_windows(df.limit(0), most), 3, ["chrom"]).count() == 0
+
+
+def test_viterbi_of_the_table(spark):
+    from kinweave.plans import fixtures, hmm_queries, registry
+
+    data = "/root/testdata/sf0.001"
+    seen = hmm_queries._observed(*fixtures.views(spark, data, "fx_site", "fx_gt")).toPandas().sort_values(["chrom", "pos0"])
+    whole = {(r["chrom"], r["pos0"]): r["state"] for r in registry.QUERIES["hmm_viterbi"](spark, data).collect()}
+    cut = hmm.viterbi_paths(hmm.cut_windows(hmm_queries._observed(*fixtures.views(spark, data, "fx_site", "fx_gt")), 90), 8, ["chrom"])
+    assert {(r["chrom"], r["pos0"]): r["state"] for r in cut.collect()} == whole
+    for chrom, rows in seen.groupby("chrom"):
+        assert [whole[chrom, p] for p in rows["pos0"]] == hmm.viterbi(rows["observed"].to_numpy(), 8)[0].tolist()
+
+
 def test_a_long_switch_is_followed():
     seen = np.array([1] * 60 + [3] * 60)
     assert hmm.viterbi(seen, 2)[0].tolist() == seen.tolist()
