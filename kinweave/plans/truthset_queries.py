@@ -111,14 +111,40 @@ def cigar_projection(site):
     return site.select("site_id", assembly.project(cigar, F.lit(0), F.col("pos0") % 50).alias("q"))
 
 
-@query("assembly_concordance", "G11", "fx_label", sql="""
-with c as (select chrom || ':' || b as region, i, h0, h1, case when i % 7 = 0 and b % 5 = 0 then 'x' else '' end as bad from fx_label where i >= 6)
-select region, case when bool_and(bad = '') then 0 end as config, cast(0 as bigint) as n_missing, cast(0 as bigint) as n_multi from c group by region
+#: Per block and sample: the sequences of its two haplotypes, of which some have a base of their own, and how its contigs lie.
+_ASSEMBLED = """
+a as (select chrom, b, start_pos, i, id, h0, h1, case when i >= 6 and i % 7 = 0 and b % 5 = 0 then 'T' else '' end as own, i = 9 and b % 11 = 3 as lacks, i = 8 and b % 13 = 5 as twice from fx_label),
+q as (select *, case h0 when 'A' then case when b % 2 = 0 then 'AC' else 'GT' end when 'B' then case when b % 2 = 0 then 'GT' else 'AC' end when 'C' then case when b % 4 < 2 then 'CA' else 'TG' end else case when b % 4 < 2 then 'TG' else 'CA' end end as s0,
+  case h1 when 'A' then case when b % 2 = 0 then 'AC' else 'GT' end when 'B' then case when b % 2 = 0 then 'GT' else 'AC' end when 'C' then case when b % 4 < 2 then 'CA' else 'TG' end else case when b % 4 < 2 then 'TG' else 'CA' end end as s1 from a)
+"""
+
+
+@query("assembly_concordance", "G11 J3 J7 S11", "fx_label", sql=f"""
+with {_ASSEMBLED}, r as (select chrom, b, count(*) filter (where lacks) as n_missing, count(*) filter (where twice and not lacks) as n_multi, bool_or(own <> '') as bad from q group by chrom, b)
+select chrom || ':' || b as region, n_missing + n_multi = 0 and b % 7 <> 6 and not bad as concordant, cast(case when n_missing + n_multi = 0 and b % 7 <> 6 and not bad then case when b % 4 = 0 then 0 when b % 4 = 1 then 1 when b % 4 = 2 then 3 else 2 end end as integer) as config,
+  n_missing, n_multi, b % 7 <> 6 as in_block from r
 """)
 def assembly_concordance(label):
-    region = F.concat_ws(":", "chrom", F.col("b").cast("string"))
-    # a haplotype's sequence is its letter; some children have a base of their own
-    bad = F.when((F.col("i") % 7 == 0) & (F.col("b") % 5 == 0), "x").otherwise("")
-    role = F.when(F.col("i") == 4, "dad").when(F.col("i") == 5, "mom").otherwise("child")
-    seqs = F.when(F.col("i") >= 6, F.array(F.concat("h0", bad), F.concat("h1", bad))).otherwise(F.array("h0", "h1"))
-    return assembly.concordant_configuration(label.select(region.alias("region"), "id", role.alias("role"), "h0", "h1", seqs.alias("seqs"), F.lit(False).alias("single")))
+    """Contigs with clips, insertions and deletions, cut to a region of each block; every seventh region is in no block."""
+    spark = label.sparkSession
+    odd, late = F.col("b") % 2 == 1, F.col("b") % 4 >= 2
+    ab, cd = lambda x: F.when(x, "GT").otherwise("AC"), lambda x: F.when(x, "TG").otherwise("CA")
+    of = lambda h: F.when(h == "A", ab(odd)).when(h == "B", ab(~odd)).when(h == "C", cd(late)).otherwise(cd(~late))
+    rows = label.select("chrom", "b", "start_pos", "i", "id", "h0", "h1", F.explode(F.array(F.lit(1), F.lit(2))).alias("hap"))
+    rows = rows.where(~((F.col("i") == 9) & (F.col("b") % 11 == 3) & (F.col("hap") == 2)))
+    twice = F.when((F.col("i") == 8) & (F.col("b") % 13 == 5) & (F.col("hap") == 1), 2).otherwise(1)
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), twice)))
+    # the region takes 41 bases, the last beyond its end; a sample's own base stands at their end
+    bad = (F.col("i") >= 6) & (F.col("i") % 7 == 0) & (F.col("b") % 5 == 0)
+    two = of(F.when(F.col("hap") == 1, F.col("h0")).otherwise(F.col("h1")))
+    inside = F.concat(F.repeat(two, 20), F.when(bad, "N").otherwise(F.substring(two, 1, 1)))
+    clip, inserted = 3 + F.col("i"), 1 + F.col("b") % 9
+    filler = lambda n: F.repeat(F.substring(F.lit("ACGT"), 1 + F.col("i") % 4, 1), n.cast("int"))
+    seq = F.concat(filler(clip + 100 + inserted), inside, filler(F.lit(300)))
+    cigar = F.concat(clip.cast("string"), F.lit("S100M"), inserted.cast("string"), F.lit("I20M5D70M2H"))
+    # the deletion is after the region's first 20 bases: they go on behind it
+    contigs = rows.select(F.col("id").alias("sample"), "hap", "chrom", F.col("start_pos").alias("pos0"), F.concat(cigar, F.lit("")).alias("cigar"), seq.alias("seq"), (F.col("i") % 2 == 0).alias("reverse"))
+    regions = label.select("chrom", "b", "start_pos").distinct().select(F.concat_ws(":", "chrom", F.col("b").cast("string")).alias("region"), "chrom", "b", (F.col("start_pos") + 100).alias("s"), (F.col("start_pos") + 145).alias("e"))
+    found = assembly.haplotypes(assembly.region_sequences(contigs, regions), regions, [(f"S{i:02d}", i % 2 == 0) for i in range(4, 14)])
+    blocks = label.where(F.col("b") % 7 != 6).select(F.concat_ws(":", "chrom", F.col("b").cast("string")).alias("region"), F.col("id").alias("sample"), "h0", "h1")
+    return assembly.concordance(found, blocks, "S04", "S05")
