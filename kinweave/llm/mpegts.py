@@ -9,13 +9,18 @@ that any bytes can be kept in the format and read back.
 Tables may run over several packets and packets may hold several tables.  A
 packet with the counter of the one before is a repeat only if its bytes are the
 same (its clock reference aside); otherwise packets were lost.  A table or PES
-packet that misses a transport packet is given up or marked ``damaged``.  Data
-packets of streams that no table has named yet are counted.
+packet that misses a transport packet is given up or marked ``damaged``.  Packets
+marked as faulty or scrambled are taken as missing.  Data packets of streams that
+no table has named yet are counted; tables come again at each random-access point.
+A sync byte is believed if another stands a packet further, so that stray ones
+before or between packets cost no packet.
 
 Defined results: a null value has null media columns; a stream cut short or with
 bad checksums or counters is read as far as it goes and says so in its columns;
 bytes that aren't a transport stream have no programs and no data; empty bytes
-are an empty stream.
+are an empty stream.  Media of any length are held as a whole, with their copy, in
+their task; equal rows give equal columns, an empty table an empty one, and columns
+named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -83,6 +88,7 @@ class Stream:
     repeated: int = 0  # packets sent twice
     broken: int = 0  # bytes that are no packet
     unnamed: int = 0  # packets of streams that no table has named
+    unreadable: int = 0  # packets marked as faulty or scrambled
     pes: list[Pes] = field(default_factory=list)
 
     def data(self, pid: int) -> bytes:
@@ -145,6 +151,35 @@ def _pes(pid: int, raw: bytes, random_access: bool, damaged: bool = False) -> Pe
     return Pes(pid, raw[3], pts, dts, random_access, raw[9 + head : end], damaged or end > len(raw))
 
 
+def _is_sync(media: bytes, at: int) -> bool:
+    """Whether a packet can begin at ``at``, or the data ends before it."""
+    return at >= len(media) or media[at] == SYNC
+
+
+def _next_sync(media: bytes, at: int) -> int:
+    """The first place from ``at`` on with a sync byte that two others follow in step, or the data's end; else the end."""
+    at = media.find(SYNC, at)
+    while at >= 0 and not (at + PACKET <= len(media) and _is_sync(media, at + PACKET) and _is_sync(media, at + 2 * PACKET)):
+        at = media.find(SYNC, at + 1)
+    return len(media) if at < 0 else at
+
+
+def _believed(media: bytes, at: int, locked: bool) -> bool:
+    """Whether a packet begins at ``at``; ``locked``: one has just ended there.
+
+    A sync byte counts if the next is in its place.  After a good packet it also
+    counts if bytes were put in or spoilt behind it, that is if packets don't go on
+    in step from a place inside of it.
+    """
+    if media[at] != SYNC:
+        return False
+    if _is_sync(media, at + PACKET):
+        return True
+    if not locked:
+        return False
+    return _next_sync(media, at + 1) >= at + PACKET
+
+
 def parse(media: bytes) -> Stream:
     """Read a transport stream in order of its packets."""
     out = Stream()
@@ -177,16 +212,21 @@ def parse(media: bytes) -> Stream:
                 out.streams[p & 0x1FFF] = kind
                 k += 5 + (info & 0x0FFF)
 
-    at, n = 0, len(media)
+    at, n, locked = 0, len(media), False
     while at + PACKET <= n:
-        if media[at] != SYNC:
-            nxt = media.find(SYNC, at + 1)
-            nxt = n if nxt < 0 else nxt
+        nxt = at if _believed(media, at, locked) else _next_sync(media, at + 1)
+        if nxt > at:
             out.broken += nxt - at
-            at = nxt
+            at, locked = nxt, False
             continue
         out.packets += 1
+        locked = True
         b1, b2, b3 = media[at + 1], media[at + 2], media[at + 3]
+        if b1 & 0x80 or b3 & 0xC0:
+            # marked as faulty, or scrambled: as if it were missing, which the counter of the next shows
+            out.unreadable += 1
+            at += PACKET
+            continue
         pid, begins, control, cc = (b1 & 0x1F) << 8 | b2, bool(b1 & 0x40), (b3 >> 4) & 3, b3 & 15
         start, end, random_access, jump = at + 4, at + PACKET, False, False
         if control & 2:
@@ -235,24 +275,27 @@ def _table(pid: int, body: bytes, cc: int) -> bytes:
     return packet + b"\xff" * (PACKET - len(packet))
 
 
-def _tables(pmt_pid: int, pid: int, kind: int) -> tuple[bytes, bytes]:
+def _tables(pmt_pid: int, pid: int, kind: int, cc: int) -> tuple[bytes, bytes]:
     pat = struct.pack(">BHHBBB", _TABLE_PAT, 0xB000 | 13, 1, 0xC1, 0, 0) + struct.pack(">HH", 1, 0xE000 | pmt_pid)
     pmt = struct.pack(">BHHBBBHH", _TABLE_PMT, 0xB000 | 18, 1, 0xC1, 0, 0, 0xE000 | pid, 0xF000) + struct.pack(">BHH", kind, 0xE000 | pid, 0xF000)
-    return _table(PAT_PID, pat, 0), _table(pmt_pid, pmt, 0)
+    return _table(PAT_PID, pat, cc), _table(pmt_pid, pmt, cc)
 
 
 _PMT_PID, _DATA_PID = 0x0100, 0x0101
-_HEAD = _tables(_PMT_PID, _DATA_PID, PRIVATE_STREAM_TYPE)
 
 
 def mux(payload: bytes, pes_bytes: int = 48_000, every: int = 4, ticks: int = 3_600) -> bytes:
     """``payload`` as a transport stream of one program with one private data stream.
 
     PES packets hold ``pes_bytes`` each, ``ticks`` of the 90 kHz clock apart;
-    every ``every``-th is a random-access point.
+    every ``every``-th is a random-access point, with the tables before it, so
+    that a reader may begin there.
     """
-    out, cc = [*_HEAD], 0
+    tables = lambda n: _tables(_PMT_PID, _DATA_PID, PRIVATE_STREAM_TYPE, n & 15)
+    out, cc = [] if payload else [*tables(0)], 0
     for i, a in enumerate(range(0, len(payload), pes_bytes)):
+        if i % every == 0:
+            out += tables(i // every)
         part = payload[a : a + pes_bytes]
         body = struct.pack(">BBB", 0x84, 0x80, 5) + _stamped(2, _CLOCK + i * ticks)
         raw = struct.pack(">IH", 0x100 | PRIVATE_STREAM_ID, len(body) + len(part)) + body + part
@@ -302,6 +345,7 @@ MEDIA = {
     "bad_tables": T.LongType(),
     "broken_bytes": T.LongType(),
     "unnamed_packets": T.LongType(),
+    "unreadable_packets": T.LongType(),
     "pes": T.ArrayType(
         T.StructType(
             [
@@ -332,6 +376,7 @@ def media_columns(df: DataFrame, media: str = "media", keep: list[str] | None =
             "bad_tables": get(lambda s: s.bad_tables),
             "broken_bytes": get(lambda s: s.broken),
             "unnamed_packets": get(lambda s: s.unnamed),
+            "unreadable_packets": get(lambda s: s.unreadable),
             "pes": get(lambda s: [{"pid": p.pid, "pts": p.pts, "dts": p.dts, "random_access": p.random_access, "damaged": p.damaged, "data": p.data} for p in s.pes]),
         }
 

@@ -539,7 +539,7 @@ def test_transport_stream(spark, odd, none):
         assert len(media) % 188 == 0 and s.data(0x101) == payload and (s.lost, s.broken, s.bad_tables, s.repeated) == (0, 0, 0, 0)
     media = mpegts.mux(rng.bytes(500_000))
     s = mpegts.parse(media)
-    assert s.programs == {1: 0x100} and s.streams == {0x101: 6} and [p.pts for p in s.pes[:2]] == [90_000, 93_600] and [p.random_access for p in s.pes[:5]] == [True, False, False, False, True]
+    assert s.programs == {1: 0x100} and s.repeated == 0 and s.streams == {0x101: 6} and [p.pts for p in s.pes[:2]] == [90_000, 93_600] and [p.random_access for p in s.pes[:5]] == [True, False, False, False, True]
     assert mpegts.parse(media[: 188 * 9] + media[188 * 10 :]).lost == 1
     assert mpegts.parse(media[: 188 * 9] + media[188 * 8 :]).repeated == 1
     assert mpegts.parse(b"junk" + media).broken == 4
@@ -579,6 +579,27 @@ def test_transport_stream_tables_over_packets_and_damage():
     assert mpegts.parse(b"".join(packets[:21] + packets[20:])).data(0x101) == bytes(range(256)) * 200
 
 
+def test_transport_stream_read_from_anywhere():
+    """Stray sync bytes before and between packets, spoilt sync bytes, marked packets, a stream cut at its start."""
+    payload = np.random.default_rng(8).bytes(400_000)
+    media = mpegts.mux(payload, pes_bytes=20_000)
+    packets = [media[i : i + 188] for i in range(0, len(media), 188)]
+    for stray in (b"\x47", b"\x47\x47", b"ab\x47cd\x47", bytes(187), b"\x47" * 187):
+        s = mpegts.parse(stray + media)
+        assert (s.data(0x101), s.lost, s.broken) == (payload, 0, len(stray))
+        s = mpegts.parse(b"".join(packets[:50]) + stray + b"".join(packets[50:]))
+        assert (s.data(0x101), s.lost, s.broken) == (payload, 0, len(stray))
+    spoilt = mpegts.parse(b"".join([*packets[:50], b"\x00" + packets[50][1:], *packets[51:]]))
+    assert spoilt.lost == 1 and sum(p.damaged for p in spoilt.pes) == 1 and spoilt.broken == 188
+    for at, bits in ((1, 0x80), (3, 0x80), (3, 0xC0)):
+        marked = bytes([*packets[50][:at], packets[50][at] | bits, *packets[50][at + 1 :]])
+        s = mpegts.parse(b"".join([*packets[:50], marked, *packets[51:]]))
+        assert (s.unreadable, s.lost) == (1, 1) and [p.damaged for p in s.pes].count(True) == 1
+    # tables come again: a reader that begins in the middle has all from the next random-access point on
+    s = mpegts.parse(media[188 * 300 + 77 :])
+    assert s.programs == {1: 0x100} and s.unnamed > 0 and payload.endswith(s.data(0x101)) and s.pes[0].random_access and len(s.data(0x101)) >= 160_000
+
+
 # 9
 
 
