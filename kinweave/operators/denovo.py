@@ -20,7 +20,7 @@ def classify(gts: DataFrame, ped: DataFrame, least_dp: int = 5, least_gq: int =
     by_site = own.groupBy("site_id").agg(F.map_from_entries(F.collect_list(F.struct("id", F.struct("gt", "called")))).alias("calls"))
     return (
         by_site.withColumn("child", F.explode(F.map_keys("calls")))
-        .join(F.broadcast(trios(ped)), "child")  # a few dozen people
+        .join(trios(ped), "child")  # a pedigree of usual size is broadcast by Spark's own check
         .select(
             "site_id",
             "child",
@@ -45,7 +45,7 @@ def inherited(classes: DataFrame, gts: DataFrame, ped: DataFrame) -> DataFrame:
     seen = (
         classes.where("kind = 'CanDenovo'")
         .select("site_id", "child", "gt")
-        .join(F.broadcast(kids), "child")
+        .join(kids, "child")
         .join(alleles, ["site_id", "grandchild"])
         .where(F.array_contains("gt", F.col("allele")))
         .groupBy("site_id", "child")
@@ -66,9 +66,9 @@ def transmission_counts(classes: DataFrame) -> DataFrame:
 def average_quality(gts: DataFrame, ped: DataFrame, least_dp: int = 5, least_gq: int = 10) -> DataFrame:
     """Mean GQ of a site over all people of the pedigree; no-calls and absent people count 0."""
     people = ped.select("id").distinct()
-    n_people = people.count()  # of one family study
+    n_people = people.count()
     called = F.col("g0").isNotNull() & F.col("g1").isNotNull() & (F.col("dp") >= least_dp) & (F.col("gq") >= least_gq)
-    sums = gts.join(F.broadcast(people), "id", "left_semi").groupBy("site_id").agg(F.sum(F.when(called, F.col("gq")).otherwise(0)).alias("gq"))
+    sums = gts.join(people, "id", "left_semi").groupBy("site_id").agg(F.sum(F.when(called, F.col("gq")).otherwise(0)).alias("gq"))
     return sums.select("site_id", (F.col("gq") / F.lit(n_people)).alias("avg_gq"))
 
 

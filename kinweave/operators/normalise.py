@@ -97,16 +97,18 @@ def trim_alternatives(alts: Column, ac: Column) -> Column:
     return F.filter(alts, lambda a, i: F.get(ac, i) > 0)
 
 
-def label_combinations(spark, children: list[str], father: tuple[str, str], mother: tuple[str, str]) -> DataFrame:
-    """(combination, id, h0, h1): all ways in which the children may have inherited.
+def label_combinations(ped: DataFrame, letters: str = "ABCD", most: int = 10) -> DataFrame:
+    """(father, mother, combination, id, h0, h1): all ways in which the children of each couple of ``ped`` may have inherited.
 
-    Bits 2j and 2j + 1 of the number choose child j's paternal and maternal
-    label.  4 ** children rows a child: 10 children at most.
+    ``ped`` has id, father, mother.  Bits 2j and 2j + 1 of a combination choose the
+    paternal and the maternal label of a couple's j-th child by id; the letters are
+    the father's two and the mother's two.  A couple has 4 ** children
+    combinations, so more than ``most`` children are an error.
     """
-    if len(children) > 10:
-        raise ValueError("4 ** children combinations: 10 children at most")
-    bit = lambda k: F.shiftright("combination", k).bitwiseAND(1)
-    each = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("id"), F.when(bit(2 * j) == 0, father[0]).otherwise(father[1]).alias("h0"), F.when(bit(2 * j + 1) == 0, mother[0]).otherwise(mother[1]).alias("h1")) for j, c in enumerate(children)])
-    ).alias("c")
-    return spark.range(1 << 2 * len(children)).withColumnRenamed("id", "combination").select("combination", each).select("combination", "c.*")
+    couples = ped.where("father is not null and mother is not null").groupBy("father", "mother").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    n = F.size("ids")
+    checked = couples.withColumn("n", F.when(n <= most, n).otherwise(F.raise_error(F.concat(F.lit("too many children of "), "father", F.lit(" and "), "mother"))))
+    ways = checked.withColumn("combination", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, 2 * n) - 1"))))
+    each = ways.select("father", "mother", "combination", F.posexplode("ids").alias("j", "id"))
+    label = lambda k, at: F.when(F.expr(f"(shiftright(combination, 2 * j + {k}) & 1) = 0"), letters[at]).otherwise(letters[at + 1])
+    return each.select("father", "mother", "combination", "id", label(0, 0).alias("h0"), label(1, 2).alias("h1"))

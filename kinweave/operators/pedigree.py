@@ -1,7 +1,7 @@
 """Family structure: who descends from whom (columns id, father, mother; null where unknown).
 
-A pedigree is a table of people in one family study; generations are walked by a
-recursive query, so its depth needs no driver loop.
+A pedigree is a table of people in one family study; generations are walked one
+after the other, each person once in each, so that inbred lines don't multiply.
 """
 
 from __future__ import annotations
@@ -9,25 +9,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import cut
+
 
 def parents(ped: DataFrame) -> DataFrame:
     """(child, parent): one row for each known parent."""
     return ped.select(F.col("id").alias("child"), F.explode(F.array("father", "mother")).alias("parent")).where("parent is not null").distinct()
 
 
+def assert_acyclic(ped: DataFrame) -> None:
+    """An error that names those who descend from themselves, if there are any.
+
+    Leaves off people without parents among those left, generation by generation.
+    """
+    pairs = parents(ped)
+    while True:
+        inner = pairs.join(pairs.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("child", "parent")
+        inner = cut(inner)
+        if inner.isEmpty():
+            return
+        if inner.count() == pairs.count():
+            looped = [r["child"] for r in inner.select("child").distinct().orderBy("child").limit(10).collect()]
+            raise ValueError(f"a pedigree in which someone descends from themselves: {', '.join(looped)}")
+        pairs = inner
+
+
 def depths(ped: DataFrame) -> DataFrame:
-    """(id, depth): the longest way down from someone without parents."""
-    return ped.sparkSession.sql(
-        """
-        with recursive walk(id, depth) as (
-          select id, 0 from {ped} where father is null and mother is null
-          union all
-          select p.child, w.depth + 1 from walk w join {pairs} p on p.parent = w.id)
-        select id, max(depth) as depth from walk group by id
-        """,
-        ped=ped,
-        pairs=parents(ped),
-    )
+    """(id, depth): the longest way down from someone without parents (S10); a pedigree in which someone descends from themselves is an error."""
+    assert_acyclic(ped)
+    start = ped.where("father is null and mother is null").select("id")
+    return _levels(start, parents(ped)).groupBy("id").agg(F.max("level").alias("depth"))
+
+
+def _levels(start: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, level) of all who are so many generations below ``start`` (id) by ``pairs`` (child, parent); each once a level, however many ways lead there."""
+    now, level = cut(start.select("id").distinct().withColumn("level", F.lit(0))), 0
+    out = now
+    while not now.isEmpty():
+        level += 1
+        now = cut(now.join(pairs, F.col("id") == F.col("parent")).select(F.col("child").alias("id")).distinct().withColumn("level", F.lit(level)))
+        out = out.unionByName(now)
+    return out
 
 
 def founders(ped: DataFrame) -> DataFrame:
@@ -69,19 +91,10 @@ def reachable(ped: DataFrame, focal: list[str]) -> DataFrame:
 
     Someone is judged only with both parents known; their children follow.
     """
-    start = ped.where(F.col("id").isin(focal))
-    return ped.sparkSession.sql(
-        """
-        with recursive walk(id) as (
-          select id from {start} where father is not null and mother is not null
-          union all
-          select p.child from walk w join {pairs} p on p.parent = w.id join {both} b on b.id = p.child)
-        select distinct id from walk
-        """,
-        start=start,
-        pairs=parents(ped),
-        both=ped.where("father is not null and mother is not null").select("id"),
-    )
+    assert_acyclic(ped)
+    both = ped.where("father is not null and mother is not null").select("id")
+    judged = parents(ped).join(both, F.col("id") == F.col("child"), "left_semi")
+    return _levels(both.where(F.col("id").isin(focal)), judged).select("id").distinct()
 
 
 def check_samples(ped: DataFrame, samples: DataFrame) -> DataFrame:

@@ -52,6 +52,21 @@ def annotate(variants: DataFrame, annotations: DataFrame) -> DataFrame:
     return variants.join(last, "key", "left")
 
 
+def annotate_records(records: DataFrame, annotations: DataFrame, tag: str = "OVL") -> DataFrame:
+    """Records (chrom, pos0, ref, alts, info, ...) with the annotation of their first alternative added to INFO's ``tag`` (SK10, J11).
+
+    ``annotations`` has key (chrom:pos0:ref:alt), anno and n, the order.  A value
+    that is there already stays in front.
+    """
+    key = F.concat_ws(":", "chrom", F.col("pos0").cast("string"), "ref", F.get("alts", 0))
+    both = annotate(records.withColumn("key", key), annotations)
+    old = F.try_element_at("info", F.lit(tag))
+    value = F.when(old.isNull(), F.col("anno")).otherwise(F.concat(old, F.lit(","), "anno"))
+    rest = F.map_filter("info", lambda k, v: k != tag)
+    added = F.when(F.col("anno").isNull(), F.col("info")).otherwise(F.map_concat(rest, F.create_map(F.lit(tag), value)))
+    return both.withColumn("info", added).select(*records.columns)
+
+
 def best_haplotypes(alignments: DataFrame, least_block: int = 1500) -> DataFrame:
     """The best haplotype of each key (A11): least edits, then fewer indels, then first.
 

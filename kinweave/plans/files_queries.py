@@ -14,6 +14,7 @@ from ..operators.storage import shared_folder
 from ..sources import readers as rd
 from ..sources import writers as wr
 from .registry import query
+from .sv_queries import _MERGED
 
 
 #: The sequenced family of the views: two parents and their eight children.
@@ -39,7 +40,7 @@ def file_ped(ped):
     return rd.read_ped(ped.sparkSession, at)
 
 
-@query("file_vcf", "SC4 SC6 SC8 SC23 SK4 SK10", "fx_site", "fx_gt", sql="""
+@query("file_vcf", "SC6 SC8 SC23 SK4", "fx_site", "fx_gt", sql="""
 select s.chrom, s.pos0, s.ref, s.alt, cast(s.qual as double) as qual, g.id, g.g0, g.g1, cast(g.dp as integer) as dp, cast(g.gq as integer) as gq from fx_site s join fx_gt g on g.site_id = s.site_id
 """)
 def file_vcf(site, gt):
@@ -193,7 +194,7 @@ def file_alignments(site, block):
     return met.select("site_id", "b", assembly.project(F.col("ops"), F.col("start_pos"), F.col("pos0")).alias("q"))
 
 
-@query("file_json", "SC19 SK9", "fx_label", sql="select chrom || ':' || b as region, id, [h0, h1][1] as first, [h0, h1][2] as second from fx_label")
+@query("file_json", "SC19", "fx_label", sql="select chrom || ':' || b as region, id, [h0, h1][1] as first, [h0, h1][2] as second from fx_label")
 def file_json(label):
     at = _place(label)
     wr.write_lines(wr.json_lines(label.select(F.concat_ws(":", "chrom", F.col("b").cast("string")).alias("region"), "id", F.array("h0", "h1").alias("haps"))), at)
@@ -201,7 +202,7 @@ def file_json(label):
     return rows.select("region", "id", F.get("haps", 0).alias("first"), F.get("haps", 1).alias("second"))
 
 
-@query("file_sites", "SC22 SK14", "fx_site", sql="select cast(site_id as varchar) as site_id, chrom, cast(pos0 as varchar) as pos0 from fx_site")
+@query("file_sites", "SC22", "fx_site", sql="select cast(site_id as varchar) as site_id, chrom, cast(pos0 as varchar) as pos0 from fx_site")
 def file_sites(site):
     at = _place(site)
     wr.csv_folder(site.select("site_id", "chrom", "pos0"), at, "\t")
@@ -224,6 +225,11 @@ select cast(trid as varchar) as trid, 'chr1' as chrom, trid * 100 as s, trid * 1
 """)
 def file_repeats(tr):
     at = _place(tr)
+    wr.write_lines(_repeat_lines(tr), at, wr.vcf_header(PEOPLE))
+    return rd.read_repeats_vcf(tr.sparkSession, at).drop("motifs")
+
+
+def _repeat_lines(tr):
     loci = tr.groupBy("trid").agg(F.sort_array(F.collect_set("seq")).alias("seqs"), F.collect_list(F.struct("i", "slot", "seq", "purity_pct")).alias("c"))
 
     def call(who: int):
@@ -234,8 +240,7 @@ def file_repeats(tr):
     info = F.concat(F.lit("TRID="), F.col("trid").cast("string"), F.lit(";END="), (F.col("trid") * 100 + 50).cast("string"), F.lit(";MOTIFS=AC,G;STRUC=x"))
     alts = F.array_join(F.transform("seqs", lambda x: F.concat(F.lit("T"), x)), ",")
     line = F.concat_ws("\t", F.lit("chr1"), (F.col("trid") * 100).cast("string"), F.lit("."), F.lit("TA"), alts, F.lit("."), F.lit("."), info, F.lit("GT:AP:AM"), *[call(4 + k) for k in range(10)])
-    wr.write_lines(loci.select(line), at, wr.vcf_header(PEOPLE))
-    return rd.read_repeats_vcf(tr.sparkSession, at).drop("motifs")
+    return loci.select(line)
 
 
 _SV_INFO = ["SVTYPE", "SVLEN", "END", "RNAMES"]
@@ -267,19 +272,17 @@ def file_sv_stripped(calls):
     return rd.read_vcf(spark, at).select("id", "chrom", "pos0", F.array_join(F.sort_array(F.map_keys("info")), ";").alias("keys"))
 
 
-@query("file_sv_merged", "SK11 S6", "fx_sv", sql="""
-with iv as (select id, prio, chrom, svtype, start_pos - 200 as s, end_pos + case when svtype = 'INS' then 1 else 0 end + 200 as e, start_pos from fx_sv where prio < 2),
-m as (select p.id as primary_id, c.id as support_id from iv c join iv p on p.prio = 0 and p.chrom = c.chrom and p.svtype = c.svtype and c.s < p.e and p.s < c.e where c.prio = 1),
-g as (select primary_id, string_agg(distinct support_id, ',' order by support_id) as ids from m group by primary_id)
-select id, chrom, start_pos as pos0, svtype, coalesce(ids, '.') as support, case when ids is null then '1' else '2' end as n_sources from iv left join g on g.primary_id = iv.id where prio = 0 or id not in (select support_id from m)
+@query("file_sv_merged", "SK11 S6", "fx_sv", sql=f"""
+with {_MERGED}, g as (select primary_id, string_agg(distinct support_id, ',' order by support_id) as ids, count(distinct round) as n from lk group by primary_id)
+select p3.id, p3.chrom, f.start_pos as pos0, p3.svtype, coalesce(ids, '.') as support, cast(1 + coalesce(n, 0) as varchar) as n_sources from p3 join fx_sv f on f.id = p3.id left join g on g.primary_id = p3.id
 """)
 def file_sv_merged(calls):
+    """All four callers merged, written as one VCF and read back."""
     from ..operators import sv
 
     spark, at = calls.sparkSession, _place(calls)
-    two = calls.where("prio < 2")
-    primaries, links = sv.merge_callers(two, 2)
-    wr.write_lines(wr.merged_sv_lines(primaries, links, two), at, wr.vcf_header([]))
+    primaries, links = sv.merge_callers(calls, 4)
+    wr.write_lines(wr.merged_sv_lines(primaries, links, calls), at, wr.vcf_header([]))
     info = lambda k: F.element_at("info", k)
     return rd.read_vcf(spark, at).select("id", "chrom", "pos0", info("SVTYPE").alias("svtype"), info("SUPPORT").alias("support"), info("N_SOURCES").alias("n_sources"))
 
@@ -342,8 +345,110 @@ def file_region(site, gt):
 
 
 @query("label_combinations", "J19", "fx_ped", sql="""
-select cast(k as bigint) as combination, 'S0' || (6 + j) as id, case when (k >> (2 * j)) % 2 = 0 then 'A' else 'B' end as h0, case when (k >> (2 * j + 1)) % 2 = 0 then 'C' else 'D' end as h1
-from (select unnest(range(64)) as k) a cross join (select unnest(range(3)) as j) b
+with k as (select father, mother, id, row_number() over (partition by father, mother order by id) - 1 as j, count(*) over (partition by father, mother) as n from fx_ped where father is not null and mother is not null),
+c as (select k.*, unnest(range(cast(pow(4, n) as bigint))) as x from k)
+select father, mother, id, case when (x >> (2 * j)) % 2 = 0 then 'A' else 'B' end as h0, case when (x >> (2 * j + 1)) % 2 = 0 then 'C' else 'D' end as h1, count(*) as n, cast(sum(x) as bigint) as combinations from c group by all
 """)
 def label_combinations(ped):
-    return nm.label_combinations(ped.sparkSession, ["S06", "S07", "S08"], ("A", "B"), ("C", "D"))
+    """How often each child of each couple of the table has each pair of labels, and the sum of the combinations' numbers."""
+    return nm.label_combinations(ped).groupBy("father", "mother", "id", "h0", "h1").agg(F.count(F.lit(1)).alias("n"), F.sum("combination").alias("combinations"))
+
+
+@query("file_annotated", "SK9 SK10 J11 J12 J13 G16", "fx_site", sql="""
+with v as (select *, case when site_id % 3 = 1 then 'HAP_PASS' when site_id % 2 = 0 then 'HAP_FAIL' else 'HAP_OVLP' end as label from fx_site)
+select chrom, pos0, ref, alt, case when site_id % 4 = 0 and site_id % 5 <> 0 then 'old,' || label when site_id % 4 = 0 then 'old' when site_id % 5 <> 0 then label end as ovl from v
+""")
+def file_annotated(site):
+    """Labels of variants as JSON, read back into the INFO of a VCF, which is written and read back."""
+    from ..operators import truthset
+
+    spark, at = site.sparkSession, _place(site)
+    key = F.concat_ws(":", "chrom", F.col("pos0").cast("string"), "ref", "alt")
+    variants = site.select((F.col("site_id") % 7).alias("key"), (F.col("site_id") % 3).alias("hap"), key.alias("variant"), (F.col("site_id") % 2 == 0).alias("overlaps"), "site_id")
+    labelled = truthset.haplotype_labels(variants, spark.range(7).select(F.col("id").alias("key"), F.lit(1).alias("hap"))).where("site_id % 5 <> 0")
+    wr.write_lines(wr.json_lines(labelled.select(F.col("variant").alias("key"), F.col("label").alias("anno"))), f"{at}/var_anno.json")
+    labels = rd.read_json_lines(spark, f"{at}/var_anno.json", "key string, anno string").withColumn("n", F.lit(0))
+    none = F.array(F.struct(F.lit("").alias("sample"), F.array(F.lit(None).cast("int")).alias("gt"), F.lit(False).alias("phased"), F.lit(None).cast("int").alias("dp"), F.lit(None).cast("int").alias("gq")))
+    info = F.when(F.col("site_id") % 4 == 0, F.create_map(F.lit("OVL"), F.lit("old"), F.lit("X"), F.lit("1"))).otherwise(F.create_map(F.lit("X"), F.lit("1")))
+    records = site.select("chrom", "pos0", F.lit(None).cast("string").alias("id"), "ref", F.array("alt").alias("alts"), F.col("qual").cast("double").alias("qual"), F.array(F.lit("PASS")).alias("filters"), info.alias("info"), none.alias("calls"))
+    wr.write_lines(wr.vcf_lines(truthset.annotate_records(records, labels), []), f"{at}/vcf", wr.vcf_header([]))
+    return rd.read_vcf(spark, f"{at}/vcf").select("chrom", "pos0", "ref", F.get("alts", 0).alias("alt"), F.try_element_at("info", F.lit("OVL")).alias("ovl"))
+
+
+@query("file_repeats_kept", "SK14 J14", "fx_tr", sql="""
+select cast(trid as varchar) as trid, 'S' || lpad(cast(i as varchar), 2, '0') as id, cast(slot as integer) as slot, seq, 'chr1' || chr(9) || trid * 100 || chr(9) || (trid * 100 + 50) || chr(9) || trid as line from fx_tr where trid % 3 = 0
+""")
+def file_repeats_kept(tr):
+    """The loci of a repeat VCF that a set names, their lines as they were, and a BED of them."""
+    spark, at = tr.sparkSession, _place(tr)
+    wr.write_lines(_repeat_lines(tr), f"{at}/all", wr.vcf_header(PEOPLE))
+    keep = tr.where("trid % 3 = 0").select(F.col("trid").cast("string").alias("trid")).distinct()
+    wr.subset_repeats(spark, f"{at}/all", keep, f"{at}/kept")
+    rows = rd.read_repeats_vcf(spark, f"{at}/kept")
+    wr.write_lines(wr.bed_lines(rows.select("chrom", "s", "e", "trid").distinct(), "trid"), f"{at}/bed")
+    bed = rd.read_bed(spark, f"{at}/bed").select(F.get("rest", 0).alias("trid"), F.concat_ws("\t", "chrom", F.col("s").cast("string"), F.col("e").cast("string"), F.get("rest", 0)).alias("line"))
+    return rows.join(bed, "trid").select("trid", "id", "slot", "seq", "line")
+
+
+#: Lines of each format made of sites, of which every seventh, eleventh and thirteenth is damaged.
+_DAMAGED = {
+    "bed": "concat_ws('\t', chrom, {n}, cast(pos0 + 5 as string))",
+    "ped": "concat_ws(' ', 'f', cast(site_id as string), 'NA', 'NA', {n}, '2')",
+    "vcf": "concat_ws('\t', chrom, {n}, '.', ref, alt, '9', '.', '.', 'GT', '0/1')",
+    "inheritance": "concat_ws(',', chrom, {n}, cast(pos0 + 5 as string), 'AC', 'BD')",
+    "iht": "concat_ws(' ', chrom, {n}, cast(pos0 + 5 as string), 'A/B', '4')",
+    "paf": "concat_ws('\t', 'a', '1', '0', '1', '+', 'b', '1', '0', '1', '1', {n}, '60', 'NM:i:3')",
+    "sam": "concat_ws('\t', 'r', '0', chrom, {n}, '60', '5M', '*', '0', '0', 'ACGTA', '*')",
+    "fai": "concat_ws('\t', chrom, {n}, '6')",
+    "mash": "concat_ws('\t', concat_ws(':', chrom, {n}, '1', ref, alt), 'x', 'y')",
+    "regions": "concat(chrom, ':', {n}, '-', cast(pos0 + 5 as string))",
+    "sites": "concat_ws('\t', cast(site_id as string), chrom, {n})",
+}
+
+
+def _reason(kind: str) -> str:
+    """SQL: why a line of the damaged files is bad."""
+    number = {"ped": "sex is no number", "paf": "block length is no number", "fai": "length is no number", "bed": "start or end is no number", "inheritance": "start or end is no number", "iht": "start or end is no number", "regions": "no chrom:start-end"}.get(kind, "position is no number")
+    few = {"bed": 3, "ped": 6, "vcf": 8, "inheritance": 4, "iht": 5, "paf": 12, "sam": 11, "fai": 2, "mash": 3, "sites": 3}.get(kind)
+    short = f"'fewer than {few} fields'" if few else "'no chrom:start-end'"
+    return f"case when site_id % 11 = 0 then {short} when site_id % 7 = 0 then {'null' if kind == 'mash' else repr(number)} end"
+
+
+@query("file_damaged", "2.14", "fx_site", sql="select kind, reason, count(*) as n from (" + " union all ".join(f"select '{k}' as kind, {_reason(k)} as reason from fx_site" for k in _DAMAGED) + ") x group by kind, reason")
+def file_damaged(site):
+    """Damaged files of every format: how many lines are bad, and why."""
+    from ..sources import validation
+
+    spark, at = site.sparkSession, _place(site)
+    out = None
+    for kind, line in _DAMAGED.items():
+        number = "if(site_id % 7 = 0, 'x1', cast(pos0 % 1000 as string))"
+        text = F.expr(f"if(site_id % 11 = 0, 'cut', {line.format(n=number)})")
+        wr.write_lines(site.select(text), f"{at}/{kind}")
+        found = validation.checked(spark, f"{at}/{kind}", kind).groupBy(F.lit(kind).alias("kind"), "reason").agg(F.count(F.lit(1)).alias("n"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("text_rewrites", "2.15 2.12", "fx_gt", sql="""
+select site_id, id, case when i % 5 = 0 then '##' || id || '|' || coalesce(g0, 9) else coalesce(g0, 9) || '/' || coalesce(g1, 9) end as line, case when i % 2 = 0 then '>hap1_' || id || ' x' else 'AC|GT' end as name from fx_gt
+""")
+def text_rewrites(gt):
+    from ..functions import text as tx
+
+    a, b = F.coalesce("g0", F.lit(9)).cast("string"), F.coalesce("g1", F.lit(9)).cast("string")
+    line = F.when(F.col("i") % 5 == 0, F.concat(F.lit("##"), "id", F.lit("|"), a)).otherwise(F.concat(a, F.lit("|"), b))
+    name = F.when(F.col("i") % 2 == 0, F.concat(F.lit(">"), "id", F.lit(" x"))).otherwise("AC|GT")
+    return gt.select("site_id", "id", tx.unphase_separators(line).alias("line"), tx.prefix_name(name, "hap1_").alias("name"))
+
+
+@query("caller_sets", "2.11 F19", "fx_sv", sql="""
+with a as (select distinct chrom, svtype, start_pos % 50 as x from fx_sv where prio = 0), b as (select distinct chrom, svtype, start_pos % 50 as x from fx_sv where prio = 1)
+select 'both' as kind, * from (select * from a intersect select * from b) union all select 'first', * from (select * from a except select * from b) union all select 'second', * from (select * from b except select * from a)
+""")
+def caller_sets(calls):
+    """What two callers share and what only one of them has."""
+    place = lambda prio: calls.where(F.col("prio") == prio).select("chrom", "svtype", (F.col("start_pos") % 50).alias("x")).distinct()
+    a, b = place(0), place(1)
+    named = lambda df, kind: df.select(F.lit(kind).alias("kind"), "chrom", "svtype", "x")
+    return named(a.intersect(b), "both").unionByName(named(a.subtract(b), "first")).unionByName(named(b.subtract(a), "second"))

@@ -50,6 +50,12 @@ from (select site_id, id, i, case when (site_id * 13 + i * 5) % 197 = 0 then 1 -
       case when (s.site_id * 31 + (case l.h0 when 'A' then 1 when 'B' then 2 when 'C' then 3 else 4 end) * 17) % 7 < 3 then 1 else 0 end as a0,
       case when (s.site_id * 31 + (case l.h1 when 'A' then 1 when 'B' then 2 when 'C' then 3 else 4 end) * 17) % 7 < 3 then 1 else 0 end as a1
     from {fx_site} s join {fx_label} l on s.chrom = l.chrom and cast(floor(s.pos0 / 200000) as bigint) = l.b and s.pos0 between l.start_pos and l.end_pos) x) y
+""",
+    # with the children of S06 and S14: one allele of S06's and one of their own
+    "fx_gen": """
+select site_id, id, i, g0, g1, dp, gq from {fx_gt}
+union all select g.site_id, p.id, p.i, case when (g.site_id + p.i) % 2 = 0 then g.g0 else g.g1 end, (g.site_id * 7 + p.i) % 2, 20 + p.i, 40 from {fx_gt} g join {fx_ped} p on p.father = 'S06' where g.id = 'S06'
+union all select site_id, 'S14', 14, 0, 1, 30, 40 from {fx_gt} where id = 'S06'
 """,
     # the same with chromosomes, one of them X
     "fx_gtx": """

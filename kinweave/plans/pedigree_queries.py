@@ -84,13 +84,15 @@ def ped_sample_check(ped, gt):
 
 
 _TRIO = """
-t as (select c.site_id, c.id as child, case
+t0 as (select c.site_id, c.id as child, c.g0, c.g1, case
     when c.g0 is null or f.g0 is null or m.g0 is null or c.dp < 5 or f.dp < 5 or m.dp < 5 or c.gq < 10 or f.gq < 10 or m.gq < 10 then 'Unknown'
     when (c.g0 in (m.g0, m.g1) and c.g1 in (f.g0, f.g1)) or (c.g1 in (m.g0, m.g1) and c.g0 in (f.g0, f.g1)) then 'Valid'
     when m.g0 = 0 and m.g1 = 0 and f.g0 = 0 and f.g1 = 0 and c.g0 <> c.g1 then 'CanDenovo' else 'Violation' end as kind
-  from fx_gt c join fx_ped p on p.id = c.id join fx_gt f on f.site_id = c.site_id and f.id = p.father join fx_gt m on m.site_id = c.site_id and m.id = p.mother),
+  from fx_gen c join fx_ped p on p.id = c.id join fx_gen f on f.site_id = c.site_id and f.id = p.father join fx_gen m on m.site_id = c.site_id and m.id = p.mother),
+t as (select site_id, child, case when kind = 'CanDenovo' and exists (select 1 from fx_gen k join fx_ped q on q.id = k.id where k.site_id = t0.site_id and t0.child in (q.father, q.mother) and t0.g0 in (k.g0, k.g1))
+    and exists (select 1 from fx_gen k join fx_ped q on q.id = k.id where k.site_id = t0.site_id and t0.child in (q.father, q.mother) and t0.g1 in (k.g0, k.g1)) then 'IhtDenovo' else kind end as kind from t0),
 n as (select site_id, count(*) filter (where kind = 'Valid') as n_valid, count(*) filter (where kind = 'Violation') as n_violation,
-    count(*) filter (where kind = 'Unknown') as n_unknown, count(*) filter (where kind = 'CanDenovo') as n_denovo, cast(0 as bigint) as n_iht_denovo, count(*) as n_total
+    count(*) filter (where kind = 'Unknown') as n_unknown, count(*) filter (where kind = 'CanDenovo') as n_denovo, count(*) filter (where kind = 'IhtDenovo') as n_iht_denovo, count(*) as n_total
   from t group by site_id)
 """
 
@@ -111,7 +113,7 @@ def trio_class(gt, ped):
     return denovo.classify(gt.where("i >= 4"), ped).where("child >= 'S06'").select("site_id", "child", "kind")
 
 
-@query("transmission_counts", "A5", "fx_gt", "fx_ped", sql=f"with {_TRIO} select * from n")
+@query("transmission_counts", "A5 G9", "fx_gen", "fx_ped", sql=f"with {_TRIO} select * from n")
 def transmission_counts(gt, ped):
     c = denovo.classify(gt, ped).where("child >= 'S06'")
     return denovo.transmission_counts(denovo.inherited(c, gt, ped))
@@ -124,9 +126,9 @@ def avg_gq(gt, ped):
     return denovo.average_quality(gt, ped).withColumn("avg_gq", F.round("avg_gq", 6))
 
 
-@query("denovo_candidates", "G9 G10 F12 SK6", "fx_gt", "fx_ped", sql=f"""
+@query("denovo_candidates", "G9 G10 F12 SK6", "fx_gen", "fx_ped", sql=f"""
 with {_TRIO} select n.site_id, c.child, n.n_denovo, n.n_iht_denovo, n.n_unknown, n.n_valid
-from n join (select site_id, min(child) as child from t where kind = 'CanDenovo' group by site_id) c on c.site_id = n.site_id where n.n_violation = 0 and n.n_unknown < 3
+from n join (select site_id, min(child) as child from t where kind in ('CanDenovo', 'IhtDenovo') group by site_id) c on c.site_id = n.site_id where n.n_violation = 0 and n.n_unknown < 3
 """)
 def denovo_candidates(gt, ped):
     c = denovo.classify(gt, ped).where("child >= 'S06'")

@@ -104,6 +104,15 @@ def fasta_lines(df: DataFrame, name: str, sequence: str) -> DataFrame:
     return df.select(F.concat(F.lit(">"), F.col(name), F.lit("\n"), F.col(sequence)))
 
 
+def subset_repeats(spark, path: str, keep: DataFrame, out: str) -> None:
+    """The header of a repeat VCF and its lines whose TRID ``keep`` (trid) has, as they are (SK14, J14)."""
+    lines = spark.read.text(path)
+    head = [r["value"] for r in lines.where("value like '##%' or value like '#CHROM%'").collect()]
+    trid = F.replace(F.split(F.split("value", r"\s+")[7], ";")[0], F.lit("TRID="), F.lit(""))
+    own = lines.where("value not like '#%'").withColumn("trid", trid).join(keep.select("trid").distinct(), "trid", "left_semi")
+    write_lines(own.select("value"), out, sorted(head, key=lambda h: not h.startswith("##")))
+
+
 def json_lines(df: DataFrame) -> DataFrame:
     """Each row as a JSON object (SK8, SK9)."""
     return df.select(F.to_json(F.struct(*df.columns)))

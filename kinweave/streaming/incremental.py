@@ -7,13 +7,10 @@ operators serve a stream of sites without change.  Blocks are a stored table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..operators.concordance import BIN
+from ..operators.concordance import block_join
 
 
-def place_sites(sites: DataFrame, blocks: DataFrame, size: int = BIN) -> DataFrame:
-    """Streamed sites (chrom, pos0, ...) with the blocks that hold them: a stream joined to a table by bins."""
-    spread = F.explode(F.sequence(F.expr(f"floor(start_pos / {size})"), F.expr(f"floor(end_pos / {size})")))
-    tiles = blocks.select("chrom", "b", "start_pos", "end_pos").withColumn("_bin", spread)
-    return sites.withColumn("_bin", F.expr(f"floor(pos0 / {size})")).join(tiles, ["chrom", "_bin"]).where("pos0 between start_pos and end_pos").drop("_bin")
+def place_sites(sites: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Streamed sites (chrom, pos0, ...) with all blocks that hold them: the batch join, on a stream and a stored table."""
+    return block_join(sites, blocks, first_only=False)
