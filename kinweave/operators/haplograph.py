@@ -1,15 +1,15 @@
 """Haplotypes through overlapping variants: chains, all paths, and their sequences.
 
-A region's variants are few (a region is a handful of overlapping calls), and
-each region and haplotype is solved on its own.  The number of paths is
-exponential in a region's forks, and so are the rows; they are made one by one
-and handed on in batches, so that memory holds a region's variants and one path.
+A region's variants are few (a region is a handful of overlapping calls), but the
+number of ways through them is exponential in its forks, and so are the rows.
+Ways are numbered: how many lead on from each variant is counted backwards, so
+that the k-th way is found without those before it.  Ranges of numbers are dealt
+out to tasks, which hold a region's variants and one way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,36 +27,42 @@ def variant_end(pos: int, ref: str, alt: str) -> int:
     return pos + len(ref) - len(alt) if variant_kind(ref, alt) == "DEL" else pos
 
 
-def each_path(variants: list[tuple[int, str, str]]) -> Iterator[list[int]]:
+class Ways:
     """All ways, in order, through variants sorted by position that take no two overlapping ones.
 
-    A path goes from a variant to those that begin behind it before any variant
-    that it could have taken in between ends.
+    A way goes from a variant to those that begin behind it before any variant
+    that it could have taken in between ends.  ``ways[k]`` is the k-th, as places
+    of its variants.
     """
-    n = len(variants)
-    start = [p + (variant_kind(r, a) != "SNV") for p, r, a in variants]
-    end = [variant_end(p, r, a) for p, r, a in variants]
 
-    def following(last: int) -> list[int]:
-        after = [i for i in range(n) if start[i] > last]
-        if not after:
-            return []
-        first_end = min(end[i] for i in after)
-        return [i for i in after if start[i] <= first_end]
-
-    stack: list[tuple[list[int], int]] = [([], -1 << 62)]
-    while stack:
-        path, last = stack.pop()
-        nxt = following(last)
-        if not nxt:
-            yield path
-        stack += [([*path, i], max(end[i], start[i])) for i in reversed(nxt)]
-
-
-def paths(variants: list[tuple[int, str, str]], max_paths: int = 4096) -> list[list[int]] | None:
-    """The ways of ``each_path`` as a list; None beyond ``max_paths``."""
-    out = list(islice(each_path(variants), max_paths + 1))
-    return None if len(out) > max_paths else sorted(out)
+    def __init__(self, variants: list[tuple[int, str, str]]):
+        start = [p + (variant_kind(r, a) != "SNV") for p, r, a in variants]
+        end = [max(variant_end(p, r, a), s) for (p, r, a), s in zip(variants, start)]
+        order = sorted(range(len(variants)), key=lambda i: -end[i])
+        before = min(start, default=0) - 1
+        self.first = before
+        self.next: dict[int, list[tuple[int, int]]] = {}  # by where the last variant ends: what may follow, and where that ends
+        self.count: dict[int, int] = {}
+        ends = [variant_end(p, r, a) for p, r, a in variants]
+        for last in [*dict.fromkeys(end[i] for i in order), before]:
+            after = [i for i in range(len(variants)) if start[i] > last]
+            first_end = min((ends[i] for i in after), default=0)
+            self.next[last] = [(i, end[i]) for i in after if start[i] <= first_end]
+            self.count[last] = sum(self.count[e] for _, e in self.next[last]) if self.next[last] else 1
+
+    def __len__(self) -> int:
+        return self.count[self.first]
+
+    def __getitem__(self, k: int) -> list[int]:
+        path, last = [], self.first
+        while self.next[last]:
+            for i, end in self.next[last]:
+                if k < self.count[end]:
+                    break
+                k -= self.count[end]
+            path.append(i)
+            last = end
+        return path
 
 
 def haplotype(sequence: str, offset: int, chosen: list[tuple[int, str, str]]) -> str:
@@ -85,23 +91,74 @@ def haplotype(sequence: str, offset: int, chosen: list[tuple[int, str, str]]) ->
     return "".join(bases)
 
 
-def region_haplotypes(variants: DataFrame, batch: int = 2000) -> DataFrame:
+def region_haplotypes(variants: DataFrame, share: int = 4096) -> DataFrame:
     """(region, path, n_variants, haplotype, complete) of each way through each region's variants.
 
     ``variants`` has region, sequence, offset, pos, ref, alt.  However many ways
-    a region has, all are given, so ``complete`` is true.
+    a region has, all are given, so ``complete`` is true; a task makes ``share`` of
+    them at once.
     """
-    names = ["region", "path", "n_variants", "haplotype", "complete"]
+    regions, ranges = _gathered(variants), "region string, sequence string, offset long, found array<struct<pos:long,ref:string,alt:string>>, first long, until long"
 
-    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for region, sequence, offset, found in zip(pdf["region"], pdf["sequence"], pdf["offset"], pdf["found"]):
-                rows = sorted((v["pos"], v["ref"], v["alt"]) for v in found)
-                ways = enumerate(each_path(rows))
-                while some := list(islice(ways, batch)):
-                    made = [(region, k, len(p), haplotype(sequence, int(offset), [rows[i] for i in p]), True) for k, p in some]
-                    yield pd.DataFrame(made, columns=names)
+                n, rows = len_of(_sorted(found)), [{"pos": v["pos"], "ref": v["ref"], "alt": v["alt"]} for v in found]
+                for low in range(0, n, share * 256):
+                    firsts = list(range(low, min(n, low + share * 256), share))
+                    yield pd.DataFrame({"region": region, "sequence": sequence, "offset": offset, "found": [rows] * len(firsts), "first": firsts, "until": [min(n, k + share) for k in firsts]})
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for region, sequence, offset, found, first, until in pdf.itertuples(index=False):
+                rows = _sorted(found)
+                yield _made(region, sequence, offset, rows, Ways(rows), range(first, until))
+
+    # so many tasks that small rows, which stand for much work, aren't put together again
+    tasks = int(variants.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return regions.mapInPandas(split, ranges).repartition(tasks, "region", "first").mapInPandas(solve, _OUT)
+
+
+def some_haplotypes(variants: DataFrame, wanted: DataFrame) -> DataFrame:
+    """As ``region_haplotypes``, of the ways that ``wanted`` (region, path) numbers; those before them are not made."""
+    asked = wanted.select(F.col("region").cast("string").alias("region"), F.col("path").cast("long").alias("path")).distinct()
+    both = _gathered(variants).join(asked, "region").select("region", "sequence", "offset", "found", "path")
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for region, sequence, offset, found, path in pdf.itertuples(index=False):
+                rows = _sorted(found)
+                ways = Ways(rows)
+                if 0 <= path < len_of(rows, ways):
+                    yield _made(region, sequence, offset, rows, ways, [path])
+
+    return both.mapInPandas(solve, _OUT)
+
+
+_OUT = "region string, path long, n_variants long, haplotype string, complete boolean"
+
+
+def len_of(rows: list[tuple[int, str, str]], ways: Ways | None = None) -> int:
+    """How many ways there are; an error if their numbers don't fit in 64 bits."""
+    ways = ways or Ways(rows)
+    n = ways.count[ways.first]
+    if n >= 1 << 62:
+        raise ValueError(f"{n} ways through one region")
+    return n
+
+
+def _sorted(found) -> list[tuple[int, str, str]]:
+    return sorted((v["pos"], v["ref"], v["alt"]) for v in found)
+
+
+def _made(region, sequence, offset, rows, ways: Ways, numbers) -> pd.DataFrame:
+    out = []
+    for k in numbers:
+        path = ways[k]
+        out.append((region, k, len(path), haplotype(sequence, int(offset), [rows[i] for i in path]), True))
+    return pd.DataFrame(out, columns=["region", "path", "n_variants", "haplotype", "complete"])
+
 
+def _gathered(variants: DataFrame) -> DataFrame:
     rows = variants.select(F.col("region").cast("string").alias("region"), "sequence", F.col("offset").cast("long").alias("offset"), F.struct(F.col("pos").cast("long").alias("pos"), "ref", "alt").alias("v"))
-    regions = rows.groupBy("region").agg(F.min_by("sequence", "offset").alias("sequence"), F.min("offset").alias("offset"), F.collect_set("v").alias("found"))
-    return regions.mapInPandas(solve, "region string, path long, n_variants long, haplotype string, complete boolean")
+    return rows.groupBy("region").agg(F.min_by("sequence", "offset").alias("sequence"), F.min("offset").alias("offset"), F.collect_set("v").alias("found"))

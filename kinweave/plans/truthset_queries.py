@@ -94,7 +94,14 @@ def problem_regions(a):
     return ts.problem_regions(a.withColumns({"x": F.col("s") % 9, "y": F.col("e") % 10}))
 
 
-@query("region_haplotypes", "W10 S3 S4", "fx_site")
+@query("region_haplotypes", "W10 S3 S4", "fx_site", sql="""
+with recursive v as (select distinct cast(pos0 // 40000 as varchar) as region, pos0 % 40 as p, case when alt = 'A' then 'C' else alt end as alt from fx_site),
+r as (select *, dense_rank() over (partition by region order by p) as k from v),
+w as (select distinct region, cast(0 as bigint) as k, '' as hap, cast(-1 as bigint) as last, '' as alts from v
+  union all select w.region, r.k, w.hap || repeat('A', cast(r.p - w.last - 1 as integer)) || r.alt, r.p, w.alts || r.alt from w join r on r.region = w.region and r.k = w.k + 1),
+m as (select region, max(k) as n from r group by region)
+select w.region, row_number() over (partition by w.region order by alts) - 1 as path, n as n_variants, hap || repeat('A', cast(59 - last as integer)) as haplotype, true as complete from w join m on m.region = w.region and m.n = w.k
+""")
 def region_haplotypes(site):
     at = F.col("pos0") % 40
     base = F.repeat(F.lit("A"), 60)
