@@ -330,6 +330,25 @@ def left_align(site):
     return made.where("matches").select("site_id", "alt_no", "pos0", "ref", "alt")
 
 
+@query("file_ordered", "SK1 SK4 SK7 I1", "fx_site", sql="""
+select 'vcf' as file, chrom, pos0 + 1 as pos from fx_site where site_id % 3 > 0 and chrom = 'chr2' and pos0 + 1 between 2000000 and 9000000
+union all select 'bed', chrom, pos0 from fx_site where chrom = 'chr3' and pos0 between 0 and 5000000
+""")
+def file_ordered(site):
+    """Pass and fail VCFs and a BED, each in order over its parts, read back by region through their indexes."""
+    spark, at = site.sparkSession, _place(site)
+    none = F.array(F.struct(F.lit("").alias("sample"), F.array(F.lit(None).cast("int")).alias("gt"), F.lit(False).alias("phased"), F.lit(None).cast("int").alias("dp"), F.lit(None).cast("int").alias("gq")))
+    records = site.select(
+        "chrom", "pos0", F.col("site_id").cast("string").alias("id"), "ref", F.array("alt").alias("alts"), F.col("qual").cast("double").alias("qual"), F.array(F.lit("PASS")).alias("filters"), F.create_map(F.lit("X"), F.lit("1")).alias("info"),
+        none.alias("calls"), F.when(F.col("site_id") % 3 > 0, "pass").otherwise("fail").alias("status"),
+    )
+    wr.split_by_status(records, at, lambda rows: wr.vcf_lines(rows, []), wr.vcf_header([]))
+    wr.write_ordered(wr.bed_lines(site.select("chrom", F.col("pos0").alias("s"), (F.col("pos0") + 9).alias("e"))), f"{at}/bed")
+    f = F.split("value", "\t")
+    rows = lambda name, found: found.select(F.lit(name).alias("file"), f[0].alias("chrom"), f[1].cast("long").alias("pos"))
+    return rows("vcf", wr.read_ordered(spark, f"{at}/pass", "chr2", 2_000_000, 9_000_000)).unionByName(rows("bed", wr.read_ordered(spark, f"{at}/bed", "chr3", 0, 5_000_000)))
+
+
 @query("file_region", "SC4 SC5 SC7 F1", "fx_site", "fx_gt", sql="""
 select s.chrom, s.pos0, s.ref, s.alt, cast(s.qual as double) as qual, g.id, g.g0, g.g1 from fx_site s join fx_gt g on g.site_id = s.site_id
 where s.qual >= 12 and ((s.chrom = 'chr2' and s.pos0 between 3000000 and 6500000) or (s.chrom = 'chr4' and s.pos0 between 0 and 1000000))

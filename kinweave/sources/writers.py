@@ -24,6 +24,38 @@ def write_lines(lines: DataFrame, path: str, header: list[str] | None = None, as
     own.write.mode("errorifexists").text(path)
 
 
+def write_ordered(lines: DataFrame, path: str, header: list[str] | None = None, parts: int | None = None) -> None:
+    """Write tab-separated lines in the order of their first two fields, chromosome and position, with an index (SK1, SK4, SK7).
+
+    Rows are dealt out by ranges, so the parts are in order one after the other
+    and each is sorted; the header is the first part alone.  ``_index`` below the
+    folder, which readers of the folder pass over, has for each part and
+    chromosome the first and the last position and the number of lines.
+    """
+    spark = lines.sparkSession
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    f = F.split("value", "\t")
+    keyed = lines.toDF("value").withColumns({"chrom": F.get(f, 0), "pos": F.get(f, 1).try_cast("long")})
+    own = keyed.repartitionByRange(n, "chrom", "pos").sortWithinPartitions("chrom", "pos", "value").select("value")
+    if header:
+        own = spark.createDataFrame([(i, h) for i, h in enumerate(header)], "i int, value string").coalesce(1).sortWithinPartitions("i").select("value").unionByName(own)
+    own.write.mode("errorifexists").text(path)
+    written = spark.read.text(path).where("not startswith(value, '#')")
+    places = written.select(F.col("_metadata.file_name").alias("part"), F.get(f, 0).alias("chrom"), F.get(f, 1).try_cast("long").alias("pos"))
+    index = places.groupBy("part", "chrom").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count(F.lit(1)).alias("lines"))
+    index.coalesce(1).write.parquet(f"{path}/_index")
+
+
+def read_ordered(spark, path: str, chrom: str, first: int, last: int) -> DataFrame:
+    """Lines of ``write_ordered`` whose positions lie in a region, both ends in; only the parts that the index names are read."""
+    index = spark.read.parquet(f"{path}/_index")
+    parts = [r["part"] for r in index.where((F.col("chrom") == chrom) & (F.col("first") <= last) & (F.col("last") >= first)).select("part").distinct().collect()]
+    if not parts:
+        return spark.createDataFrame([], "value string")
+    f = F.split("value", "\t")
+    return spark.read.text([f"{path}/{p}" for p in parts]).where((F.get(f, 0) == chrom) & F.get(f, 1).try_cast("long").between(first, last))
+
+
 def bed_lines(df: DataFrame, *more: str) -> DataFrame:
     """Tab-separated chrom, s, e and more columns (SK7)."""
     return df.select(F.concat_ws("\t", "chrom", F.col("s").cast("string"), F.col("e").cast("string"), *[F.coalesce(F.col(c).cast("string"), F.lit(".")) for c in more]))
@@ -66,10 +98,10 @@ def vcf_header(samples: list[str], contigs: list[tuple[str, int]] = ()) -> list[
     return ["##fileformat=VCFv4.2", *[f"##contig=<ID={c},length={n}>" for c, n in contigs], "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])]
 
 
-def split_by_status(decided: DataFrame, path: str, lines) -> None:
-    """Two folders, ``pass`` and ``fail``, of one decided table (SK4); ``lines`` makes text of rows."""
+def split_by_status(decided: DataFrame, path: str, lines, header: list[str] | None = None) -> None:
+    """Two ordered folders, ``pass`` and ``fail``, of one decided table (SK4); ``lines`` makes text of rows."""
     for name in ("pass", "fail"):
-        write_lines(lines(decided.where(F.col("status") == name)), f"{path}/{name}")
+        write_ordered(lines(decided.where(F.col("status") == name)), f"{path}/{name}", header)
 
 
 def iht_lines(labels: DataFrame, people: list[str], founders: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kinweave.operators import normalise as nm
 from kinweave.sources import readers as rd
+from kinweave.sources import writers as wr
 
 
 def test_fasta_of_many_splits(spark, tmp_path):
@@ -89,3 +90,22 @@ def test_regions_read_what_they_need(spark, tmp_path):
         assert "PartitionFilters: [" in plan and "range#" in plan.split("PartitionFilters")[1] and "GreaterThanOrEqual(pos0," in plan and "qual" in plan.split("PushedFilters")[1]
     files = {r[0] for r in rd.read_region(spark, at, [("chr1", 20_005, 21_000)], None, 4000).select(F.input_file_name()).collect()}
     assert len(files) == 1 and rd.read_region(spark, at, [], None, 4000).count() == 0
+
+
+def test_ordered_files_and_their_index(spark, tmp_path):
+    """Parts in order one after the other, the header once and first, and regions that read few parts."""
+    rng = random.Random(4)
+    rows = [(f"chr{rng.randrange(1, 4)}\t{rng.randrange(5000)}\tx{k}",) for k in range(3000)]
+    at = str(tmp_path / "out")
+    wr.write_ordered(spark.createDataFrame(rows, "line string").repartition(5), at, ["##one", "#CHROM\tPOS"], parts=8)
+    parts = sorted(p for p in (tmp_path / "out").iterdir() if p.name.startswith("part-"))
+    lines = [x for p in parts for x in p.read_text().splitlines()]
+    key = lambda x: (x.split("\t")[0], int(x.split("\t")[1]), x)
+    assert lines == ["##one", "#CHROM\tPOS", *sorted((r[0] for r in rows), key=key)]
+    assert len(parts) == 9 and spark.read.text(at).count() == 3002
+    found = wr.read_ordered(spark, at, "chr2", 1000, 1200)
+    assert sorted((r["value"] for r in found.collect()), key=key) == [x for x in lines[2:] if x.startswith("chr2\t") and 1000 <= key(x)[1] <= 1200]
+    assert len(found.inputFiles()) <= 2
+    assert wr.read_ordered(spark, at, "chr9", 0, 9).count() == 0
+    index = spark.read.parquet(f"{at}/_index").collect()
+    assert sum(r["lines"] for r in index) == 3000
