@@ -143,6 +143,18 @@ def blocks(batch: pa.RecordBatch, row: int, table: bytes, name: str = "text", mo
         yield rest
 
 
+def word_lists(text: str, most: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text as UTF-8 bytes, ASCII letters lower-cased, a list for each ``most`` bytes or so."""
+    data, rest = text.encode("utf-8", "surrogatepass"), b""
+    for a in range(0, len(data), most):
+        now = rest + data[a : a + most].lower()
+        if a + most < len(data):
+            end = max(now.rfind(c) for c in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")) + 1
+            now, rest = now[:end], now[end:]
+        if words := now.split():
+            yield words
+
+
 def slices(n: int, size: int) -> Iterator[tuple[int, int]]:
     for a in range(0, n, size):
         yield a, min(n, a + size)

@@ -19,11 +19,15 @@ copies cost nothing.
 
 Defined results: a null or empty text has fingerprint zero and is linked like
 any other; rows are kept as they are, equal rows included; a null id belongs to
-a component but never names one, unless all of its ids are null.
+a component but never names one, unless all of its ids are null; an empty table
+has no components; columns other than doc_id and text are not read by ``cluster``
+and stay in ``deduplicate``, a column ``fp`` is replaced in ``fingerprints``.  A text
+of any length is hashed in blocks of a megabyte.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -33,25 +37,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, map_batches, texts
+from .common import cut, map_batches, texts, word_lists
 
 _BITS = 64
 
 
-def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
-    """The SimHash of one text (unsigned)."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: lower-cases and splits ASCII only
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], width: int, seed: int) -> np.ndarray:
+    """XXH64 of each stretch of ``width`` words, of all words if there are fewer."""
     joined = b" ".join(words)
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+    ends = np.cumsum(sizes)
     n = max(1, len(words) - width + 1)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = (ends - [len(w) + 1 for w in words])[:n].tolist()
-    stops = (ends[min(width, len(words)) - 1 :] - 1).tolist()
+    starts, stops = (ends - sizes)[:n].tolist(), (ends[min(width, len(words)) - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:z], seed) for a, z in zip(starts, stops)), dtype=np.uint64, count=n)
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return np.fromiter((digest(joined[a:z], seed) for a, z in zip(starts, stops)), dtype=np.uint64, count=n)
+
+
+def hash_blocks(text: str, width: int, seed: int, most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """The hashes of all shingles of a text, block by block; shingles run over the blocks' borders."""
+    kept: list[bytes] = []
+    whole = False
+    for words in word_lists(text, most):
+        kept += words
+        if len(kept) >= width:
+            whole = True
+            yield shingle_hashes(kept, width, seed)
+            kept = kept[len(kept) - width + 1 :]
+    if kept and not whole:
+        yield shingle_hashes(kept, width, seed)
+
+
+def fingerprint(text: str, width: int = 3, seed: int = 42, most: int = 1 << 20) -> int:
+    """The SimHash of one text (unsigned)."""
+    ones, n = np.zeros(_BITS, dtype=np.int64), 0
+    for hashes in hash_blocks(text, width, seed, most):
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0]) if n else 0
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, keep: list[str] | None = None) -> DataFrame:

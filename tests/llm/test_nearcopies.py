@@ -103,3 +103,31 @@ def test_odd(spark):
     got = nearcopies.deduplicate(spark.createDataFrame(rows, DOCS)).collect()
     assert sorted(r["doc_id"] for r in got) == [4, 4, 5, 7]
     assert nearcopies.cluster(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_long_texts_in_blocks():
+    """Fingerprints, marks and sets are those of the whole text however it is cut, and need little more than the text."""
+    import random
+    import tracemalloc
+
+    from kinweave.llm import common, simhash
+
+    rng = random.Random(2)
+    sep = [" ", "  ", "\n", "\t", " \x0b", "\x1c", " "]
+    for n in (0, 1, 2, 3, 4, 5, 6, 40, 400):
+        text = "".join("Ab" * rng.randrange(1, 6) + str(rng.randrange(30)) + rng.choice(sep) for _ in range(n))
+        words = text.encode().lower().split()
+        for most in (1, 7, 64, 1 << 20):
+            assert [w for part in common.word_lists(text, most) for w in part] == words
+            assert simhash.fingerprint(text, 3, 42, most) == simhash.fingerprint(text)
+            got = list(simhash.hash_blocks(text, 5, 0, most))
+            assert (np.concatenate(got).tolist() if got else []) == (simhash.shingle_hashes(words, 5, 0).tolist() if words else [])
+    assert nearcopies.mark("One  two\nthree") == nearcopies.mark("one two THREE ") != nearcopies.mark("one twothree")
+    long = "some words that come again and again " * 400_000  # 15 MB
+    tracemalloc.start()
+    simhash.fingerprint(long)
+    nearcopies.mark(long)
+    nearcopies.shingles(long)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * len(long) + 100_000_000
