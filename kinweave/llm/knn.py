@@ -25,7 +25,8 @@ Defined results: null ids, null vectors and vectors with null or non-finite
 components take no part; vectors meet only vectors of the same length; all rows
 with an id equal to the query's are its own; rows may repeat and each counts,
 but a query id asks once: of several vectors with one id the smallest asks.
-Scores beyond 64 bits overflow.
+Scores beyond 64 bits overflow.  An empty table has no neighbours; columns other
+than vec_id and embedding are not read.
 """
 
 from __future__ import annotations

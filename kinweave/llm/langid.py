@@ -11,7 +11,9 @@ kernel times coefficients.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
 equal texts get equal results; ties go to the smaller language name; without
-any learned language all is ``und``.
+any learned language all is ``und``; an empty table gives an empty result; of
+other columns those in ``keep`` stay, those named like a result are replaced.  A
+text of any length is one array of symbols in its task.
 
 Learning reads a bounded sample: ``per_language`` documents of each language
 with the smallest hashes of their ids, ``max_docs`` in all, of the

@@ -19,7 +19,9 @@ a count for each shard and source; positions, slots and joins are distributed.
 Defined results: null and wordless texts take part with size 0 and are taken 0
 times; a null source is a source of its own and comes last; rows may repeat,
 each counts for itself; an empty table gives an empty mix.  Equal inputs and
-parameters give equal mixes.
+parameters give equal mixes.  A text of any length is one string in its task, and
+what the mix takes of it is cut from it there; of other columns ``mixed_documents``
+keeps those of its input, ``taken_words`` reads none.
 """
 
 from __future__ import annotations

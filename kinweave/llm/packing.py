@@ -15,7 +15,9 @@ pieces of each length are numbered, and a piece's number tells its place.
 Defined results: a null text counts as the empty text, which is the end token
 alone; ids may be null and rows may repeat, each row is packed for itself;
 equal inputs give equal plans, and rows that tie get places in the order of
-their id and piece.
+their id and piece; an empty table gives no sequence; only doc_id and text are
+read.  A text of any length is tokenized word by word, as a whole where the
+tokenizer can't be read so, and its ids are held in its task.
 """
 
 from __future__ import annotations
