@@ -94,16 +94,17 @@ def count_overlaps(a: DataFrame, b: DataFrame, name: str = "n", size: int = BIN)
     return _tally(a, overlap_join(a, b.select("chrom", "s", "e"), size=size), F.lit(1), name)
 
 
-def merge(df: DataFrame, size: int = BIN, gap: int = 0) -> DataFrame:
-    """Islands of overlapping and book-ended intervals (I2): chrom, s, e, n intervals."""
+def merge(df: DataFrame, size: int = BIN, gap: int = 0, keys: list[str] | None = None) -> DataFrame:
+    """Islands of overlapping and book-ended intervals (I2): chrom, s, e, n intervals; with ``keys`` of each of them for itself."""
+    keys = keys or ["chrom"]
     # equal rows are one first: both scans need the same total order
-    rows = df.groupBy("chrom", "s", "e").agg(F.count(F.lit(1)).alias("_n")).withColumn("_bin", F.expr(f"floor(s / {size * 64})"))
+    rows = df.groupBy(*keys, "s", "e").agg(F.count(F.lit(1)).alias("_n")).withColumn("_bin", F.expr(f"floor(s / {size * 64})"))
     order = ["s", "e"]
-    seen = running(rows, ["chrom"], "_bin", order, F.col("e"), "_reach")
+    seen = running(rows, keys, "_bin", order, F.col("e"), "_reach")
     starts = F.col("_reach").isNull() | (F.col("s") > F.col("_reach") + gap)
     marked = seen.withColumn("_start", F.when(starts, F.col("s")))
-    island = running(marked, ["chrom"], "_bin", order, F.col("_start"), "_island", inclusive=True)
-    return island.groupBy("chrom", F.col("_island").alias("s")).agg(F.max("e").alias("e"), F.sum("_n").alias("n")).select("chrom", "s", "e", "n")
+    island = running(marked, keys, "_bin", order, F.col("_start"), "_island", inclusive=True)
+    return island.groupBy(*keys, F.col("_island").alias("s")).agg(F.max("e").alias("e"), F.sum("_n").alias("n")).select(*keys, "s", "e", "n")
 
 
 def intersect(a: DataFrame, b: DataFrame, size: int = BIN) -> DataFrame:
@@ -150,10 +151,10 @@ def _with_next(df: DataFrame, position: str, order: list[str]) -> DataFrame:
 
 
 def multi_intersect(sets: list[DataFrame], k: int | None = None) -> DataFrame:
-    """Segments that ``k`` of the sets cover, all of them by default (I7); each set is merged first."""
+    """Segments that ``k`` of the sets cover, all of them by default (I7); each set is merged first, all in one pass."""
     k = len(sets) if k is None else k
-    merged = reduce(DataFrame.unionByName, [merge(x).select("chrom", "s", "e") for x in sets])
-    return depth_segments(merged).where(F.col("depth") == k).select("chrom", "s", "e")
+    tagged = reduce(DataFrame.unionByName, [x.select("chrom", "s", "e", F.lit(i).alias("_set")) for i, x in enumerate(sets)])
+    return depth_segments(merge(tagged, keys=["chrom", "_set"])).where(F.col("depth") == k).select("chrom", "s", "e")
 
 
 def union_merge(sets: list[DataFrame]) -> DataFrame:
