@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,22 @@ def variant_end(pos: int, ref: str, alt: str) -> int:
     return pos + len(ref) - len(alt) if variant_kind(ref, alt) == "DEL" else pos
 
 
+def overlaps(variants: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``idx``, the place among the variants of ``keys``, and ``overlap``: OvlNext, OvlPrev or NoOvl.
+
+    A variant overlaps the one before if that ends at or behind its start, which
+    for insertions and deletions is the base after the anchor; of one that overlaps
+    both neighbours the next counts.  Keys are regions, with few variants each.
+    """
+    one = (F.length("ref") == 1) & (F.length("alt") == 1)
+    start, end = F.col("pos") + F.when(one, 0).otherwise(1), F.col("pos") + F.when(~one & (F.length("ref") > F.length("alt")), F.length("ref") - F.length("alt")).otherwise(0)
+    line = Window.partitionBy(*keys).orderBy("pos", "ref", "alt")
+    placed = variants.withColumns({"_s": start, "_e": end})
+    near = placed.withColumns({"_next": F.lead("_s").over(line), "_before": F.lag("_e").over(line), "idx": F.row_number().over(line)})
+    kind = F.when(F.col("_e") >= F.col("_next"), "OvlNext").when(F.col("_before") >= F.col("_s"), "OvlPrev").otherwise("NoOvl")
+    return near.withColumn("overlap", kind).drop("_s", "_e", "_next", "_before")
+
+
 class Ways:
     """All ways, in order, through variants sorted by position that take no two overlapping ones.
 
@@ -91,8 +107,8 @@ def haplotype(sequence: str, offset: int, chosen: list[tuple[int, str, str]]) ->
     return "".join(bases)
 
 
-def region_haplotypes(variants: DataFrame, share: int = 4096) -> DataFrame:
-    """(region, path, n_variants, haplotype, complete) of each way through each region's variants.
+def region_haplotypes(variants: DataFrame, share: int = 4096, with_variants: bool = False) -> DataFrame:
+    """(region, path, n_variants, haplotype, complete) of each way through each region's variants, and ``variants`` if asked for.
 
     ``variants`` has region, sequence, offset, pos, ref, alt.  However many ways
     a region has, all are given, so ``complete`` is true; a task makes ``share`` of
@@ -112,11 +128,11 @@ def region_haplotypes(variants: DataFrame, share: int = 4096) -> DataFrame:
         for pdf in frames:
             for region, sequence, offset, found, first, until in pdf.itertuples(index=False):
                 rows = _sorted(found)
-                yield _made(region, sequence, offset, rows, Ways(rows), range(first, until))
+                yield _made(region, sequence, offset, rows, Ways(rows), range(first, until), with_variants)
 
     # so many tasks that small rows, which stand for much work, aren't put together again
     tasks = int(variants.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return regions.mapInPandas(split, ranges).repartition(tasks, "region", "first").mapInPandas(solve, _OUT)
+    return regions.mapInPandas(split, ranges).repartition(tasks, "region", "first").mapInPandas(solve, _OUT + (", variants array<struct<pos:long,ref:string,alt:string>>" if with_variants else ""))
 
 
 def some_haplotypes(variants: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -151,12 +167,13 @@ def _sorted(found) -> list[tuple[int, str, str]]:
     return sorted((v["pos"], v["ref"], v["alt"]) for v in found)
 
 
-def _made(region, sequence, offset, rows, ways: Ways, numbers) -> pd.DataFrame:
+def _made(region, sequence, offset, rows, ways: Ways, numbers, with_variants: bool = False) -> pd.DataFrame:
     out = []
     for k in numbers:
-        path = ways[k]
-        out.append((region, k, len(path), haplotype(sequence, int(offset), [rows[i] for i in path]), True))
-    return pd.DataFrame(out, columns=["region", "path", "n_variants", "haplotype", "complete"])
+        chosen = [rows[i] for i in ways[k]]
+        made = (region, k, len(chosen), haplotype(sequence, int(offset), chosen), True)
+        out.append((*made, [{"pos": p, "ref": r, "alt": a} for p, r, a in chosen]) if with_variants else made)
+    return pd.DataFrame(out, columns=["region", "path", "n_variants", "haplotype", "complete", *(["variants"] if with_variants else [])])
 
 
 def _gathered(variants: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import assembly, haplograph
@@ -110,6 +112,55 @@ def region_haplotypes(site):
     )
 
 
+_MARKED = """
+v as (select distinct chrom, pos0 // 40000 as region, pos0 % 400 as pos, case when site_id % 4 = 0 then ref || 'ACG' when site_id % 4 = 1 then ref || 'A' else ref end as ref, case when site_id % 4 = 2 then alt || 'TT' when site_id % 4 = 1 then ref else alt end as alt from fx_site),
+w as (select *, length(ref) = 1 and length(alt) = 1 as one from v),
+p as (select *, pos + case when one then 0 else 1 end as st, pos + case when not one and length(ref) > length(alt) then length(ref) - length(alt) else 0 end as en from w),
+n as (select *, lead(st) over o as nx, lag(en) over o as pv, row_number() over o as idx from p window o as (partition by chrom, region order by pos, ref, alt))
+"""
+
+
+@query("file_overlaps", "W10 SK8", "fx_site", sql=f"""
+with {_MARKED} select chrom || chr(9) || (pos + 1) || chr(9) || ref || chr(9) || alt || chr(9) || case when en >= nx then 'OvlNext' else 'OvlPrev' end || chr(9) || idx || chr(9) || 0 as line from n where en >= nx or pv >= st
+""")
+def file_overlaps(site):
+    """Overlapping variants of each region, written and read back."""
+    from ..operators.storage import shared_folder
+    from ..sources import writers
+
+    k = F.col("site_id") % 4
+    ref = F.when(k == 0, F.concat("ref", F.lit("ACG"))).when(k == 1, F.concat("ref", F.lit("A"))).otherwise(F.col("ref"))
+    alt = F.when(k == 2, F.concat("alt", F.lit("TT"))).when(k == 1, F.col("ref")).otherwise(F.col("alt"))
+    rows = site.select("chrom", F.expr("pos0 div 40000").alias("region"), (F.col("pos0") % 400).alias("pos"), ref.alias("ref"), alt.alias("alt")).distinct().withColumn("hap", F.lit(0))
+    at = f"{shared_folder(site.sparkSession)}/{uuid.uuid4().hex}"
+    writers.write_lines(writers.overlap_lines(haplograph.overlaps(rows, ["chrom", "region"])), at)
+    return site.sparkSession.read.text(at).select(F.col("value").alias("line"))
+
+
+@query("file_haplotypes", "S3 S4 SK8 J12", "fx_site", sql="""
+with recursive v as (select distinct cast(pos0 // 40000 as varchar) as region, pos0 % 40 as p, case when alt = 'A' then 'C' else alt end as alt from fx_site where site_id % 2 = 0),
+r as (select *, dense_rank() over (partition by region order by p) as k from v),
+w as (select distinct region, cast(0 as bigint) as k, '' as hap, cast(-1 as bigint) as last, '' as alts, '' as vars from v
+  union all select w.region, r.k, w.hap || repeat('a', cast(r.p - w.last - 1 as integer)) || lower(r.alt), r.p, w.alts || r.alt, w.vars || r.p || r.alt || ';' from w join r on r.region = w.region and r.k = w.k + 1),
+m as (select region, max(k) as n from r group by region)
+select 's1;' || w.region || ';hap:' || (row_number() over (partition by w.region order by alts) - 1) as label, n as count, hap || repeat('a', cast(59 - last as integer)) as sequence, vars from w join m on m.region = w.region and m.n = w.k
+""")
+def file_haplotypes(site):
+    """Sequences and variants of all ways as FASTA and JSON, read back and put together by label."""
+    from ..operators.storage import shared_folder
+    from ..sources import readers, writers
+
+    spark = site.sparkSession
+    at = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    alt = F.when(F.col("alt") == "A", "C").otherwise(F.col("alt"))
+    rows = site.where("site_id % 2 = 0").select(F.expr("pos0 div 40000").alias("region"), F.repeat(F.lit("A"), 60).alias("sequence"), F.lit(0).alias("offset"), (F.col("pos0") % 40).alias("pos"), F.lit("A").alias("ref"), alt.alias("alt"))
+    writers.write_haplotypes(haplograph.region_haplotypes(rows, with_variants=True), "s1", at)
+    made = readers.read_json_lines(spark, f"{at}/variants.json", "label string, count long, vars array<struct<pos:long,ref:string,alt:string>>")
+    text = F.array_join(F.transform("vars", lambda v: F.concat(v["pos"].cast("string"), v["alt"], F.lit(";"))), "")
+    found = readers.read_fasta(spark, f"{at}/haps.fasta").withColumnRenamed("name", "label")
+    return made.select("label", "count", text.alias("vars")).join(found, "label")
+
+
 @query("cigar_projection", "S11", "fx_site", sql="""
 select site_id, case when t < 20 then t when t < 25 then 20 else t - 5 + 3 end as q from (select site_id, pos0 % 50 as t from fx_site) x
 """)

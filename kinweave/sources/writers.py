@@ -136,6 +136,19 @@ def fasta_lines(df: DataFrame, name: str, sequence: str) -> DataFrame:
     return df.select(F.concat(F.lit(">"), F.col(name), F.lit("\n"), F.col(sequence)))
 
 
+def overlap_lines(marked: DataFrame) -> DataFrame:
+    """Lines of overlapping variants: chrom, start from 1, ref, alt, kind of overlap, idx, hap (SK8); ``marked`` is that of ``haplograph.overlaps``."""
+    return marked.where("overlap <> 'NoOvl'").select(F.concat_ws("\t", "chrom", (F.col("pos") + 1).cast("string"), "ref", "alt", "overlap", F.col("idx").cast("string"), F.col("hap").cast("string")))
+
+
+def write_haplotypes(ways: DataFrame, sample: str, path: str) -> None:
+    """``haps.fasta`` and ``variants.json`` of ways with their variants, by labels ``sample;region;hap:path`` (SK8)."""
+    label = F.concat(F.lit(f"{sample};"), "region", F.lit(";hap:"), F.col("path").cast("string"))
+    named = ways.withColumn("label", label)
+    write_lines(fasta_lines(named.withColumn("head", F.concat("label", F.lit(" nvar:"), F.col("n_variants").cast("string"))), "head", "haplotype"), f"{path}/haps.fasta")
+    write_lines(json_lines(named.select("label", F.col("n_variants").alias("count"), F.col("variants").alias("vars"))), f"{path}/variants.json")
+
+
 def subset_repeats(spark, path: str, keep: DataFrame, out: str) -> None:
     """The header of a repeat VCF and its lines whose TRID ``keep`` (trid) has, as they are (SK14, J14)."""
     lines = spark.read.text(path)
