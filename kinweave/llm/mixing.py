@@ -205,19 +205,22 @@ def slots(spark: SparkSession, plan: Plan, per_task: int = 1 << 18) -> DataFrame
     return spark.range(0, total, 1, max(1, -(-total // per_task))).mapInArrow(run, schema)
 
 
-def place(docs: DataFrame, salts: int = 512) -> DataFrame:
-    """Add ``size`` and ``at``, the position of a document's first word among its source's words.
-
-    ``docs`` has doc_id, source and size.  Documents are dealt into ``salts``
-    groups of each source by a hash; running sums inside the groups and over the
-    groups' totals give the positions, so no source is summed up in one task.
+def place(docs: DataFrame, salts: int | None = None) -> DataFrame:
+    """Add ``at``, the position of a document's first word among its source's words.
+
+    ``docs``, a stored table, has doc_id, source and size, and may have ``_key``,
+    which tells rows apart that tie in these.  Documents are dealt into ``salts``
+    groups of each source by a hash, of some 200,000 rows if one source has them
+    all; running sums inside the groups and over the groups' totals give the
+    positions, so no source is summed up in one task.
     """
+    salts = salts or max(512, -(-docs.count() // 200_000))
     spread = docs.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(salts)).cast("int"))
     group = ["source", "_salt"]
     totals = spread.groupBy(*group).agg(F.sum("size").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("source").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
     firsts = totals.select(*group, F.coalesce(before, F.lit(0)).alias("_first"))
-    order = Window.partitionBy(*group).orderBy(F.xxhash64("doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(*group).orderBy(F.xxhash64("doc_id"), "doc_id", "size", *[c for c in docs.columns if c == "_key"]).rowsBetween(Window.unboundedPreceding, -1)
     inside = spread.withColumn("_inside", F.coalesce(F.sum("size").over(order), F.lit(0)))
     same = inside["source"].eqNullSafe(firsts["source"]) & (inside["_salt"] == firsts["_salt"])
     return inside.join(firsts, same).select(*[inside[c] for c in docs.columns], (F.col("_first") + F.col("_inside")).alias("at"))

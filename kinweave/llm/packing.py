@@ -272,13 +272,14 @@ def _places(planned: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 4)
 
 
-def pack(cut_pieces: DataFrame, capacity: int = 4096, salts: int = 512) -> DataFrame:
+def pack(cut_pieces: DataFrame, capacity: int = 4096, salts: int | None = None) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces (doc_id, piece, length, ...), which should be a stored table.
 
-    Pieces of a length are numbered in ``salts`` groups by their id, whose sizes
-    a running sum turns into the groups' first numbers, so that a length with a
-    third of all rows is spread.
+    Pieces of a length are numbered in ``salts`` groups by their id, of some 200,000
+    rows if all have one length, whose sizes a running sum turns into the groups'
+    first numbers, so that a length with a third of all rows is spread.
     """
+    salts = salts or max(512, -(-cut_pieces.count() // 200_000))
     spread = cut_pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     sizes = spread.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     per_length = {int(r["length"]): int(r["n"]) for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
