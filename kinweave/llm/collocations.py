@@ -106,8 +106,8 @@ class Dictionary:
     def parts(self, lang: str, pivots: np.ndarray, per_part: int) -> np.ndarray:
         """In how many parts the partition of each pivot, a word of the dictionary, is counted."""
         counts = self.counts.get(lang, np.zeros(0, dtype=np.int64))
-        # a frequent word has few more frequent ones beside it, so that its stretches are few different ones
-        return 1 + np.minimum(counts[pivots - 1], np.minimum(pivots, 2000) ** (2 * _SIDE)) // per_part
+        # a frequent word has few more frequent ones beside it, so that its stretches are few different ones; the bar keeps the power in 64 bits
+        return 1 + np.minimum(counts[pivots - 1], np.minimum(pivots, 1000) ** (2 * _SIDE)) // per_part
 
 
 def dictionary(counts: DataFrame, min_count: int = MIN_COUNT, most_words: int = MOST_WORDS) -> Dictionary:

@@ -141,6 +141,13 @@ def test_collocations_of_documents(spark, most_words):
     assert sorted(tuple(r[c] for c in COLUMNS) for r in got.collect()) == brute_collocations([tuple(r) for r in docs.collect()], 12, 40)
 
 
+def test_collocations_of_many_words(spark):
+    """Pivots at every place of a dictionary of 2,100 words; between 1,449 and 2,000 the power for their parts passed 64 bits."""
+    rows = [(i, " ".join(f"w{j:04d} w{j + 1:04d}." for j in range(i, i + 300)), "en", "x") for i in range(0, 2100, 300)] * 2
+    got = collocations.mine(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), min_count=2, top=3000)
+    assert sorted(tuple(r[c] for c in COLUMNS) for r in got.collect()) == brute_collocations(rows, 2, 3000)
+
+
 def test_collocations_none(spark, none):
     assert collocations.mine(none).collect() == []
 
