@@ -182,9 +182,13 @@ def smooth(regions: DataFrame, width: int = 100, step: int = 50, least: float =
     ``least`` are taken out.
     """
     merged = merge(regions).select("chrom", "s", "e")
-    span = merged.groupBy("chrom").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    tiles = windows(span, width, step).select("chrom", F.col("ws").alias("s"), F.col("we").alias("e"))
-    thin = coverage(tiles, merged).where(F.col("fraction") < least).select("chrom", "s", "e")
+    span = merged.groupBy("chrom").agg(F.min("s").alias("_from"), F.max("e").alias("_to"))
+    # only tiles that a region reaches into can take something from it: each region makes its own
+    first, last = F.expr(f"greatest(0, floor((s - _from - {width}) / {step}) + 1)"), F.expr(f"floor((e - 1 - _from) / {step})")
+    numbered = merged.where("s < e").join(span, "chrom").where(first <= last).withColumn("_k", F.explode(F.sequence(first, last)))
+    tiles = numbered.select("chrom", (F.col("_from") + F.col("_k") * step).alias("ts"), "s", "e", "_to").withColumn("te", F.least(F.col("ts") + width, F.col("_to")))
+    covered = tiles.groupBy("chrom", "ts", "te").agg(F.sum(F.least("e", "te") - F.greatest("s", "ts")).alias("covered"))
+    thin = covered.where(F.col("covered") / (F.col("te") - F.col("ts")) < least).select("chrom", F.col("ts").alias("s"), F.col("te").alias("e"))
     return subtract(merged, thin).where(F.col("e") - F.col("s") > longer)
 
 

@@ -75,3 +75,40 @@ def test_sites_outside_blocks_with_nulls(spark):
     sites = spark.createDataFrame([("c", 5, None), ("c", 5, 1), ("c", 50, None)], "chrom string, pos0 long, qual int")
     blocks = spark.createDataFrame([("c", 0, 0, 10)], "chrom string, b long, start_pos long, end_pos long")
     assert [r["pos0"] for r in concordance.outside_blocks(sites, blocks).collect()] == [50]
+
+
+def test_smooth_makes_no_tiles_between_regions(spark):
+    """Two regions so far apart that the tiles of the span between them are more than an array holds."""
+    from kinweave.operators import intervals as iv
+
+    rows = [("c", 0, 150), ("c", 10**12, 10**12 + 200), ("c", 10**12 + 200, 10**12 + 210), ("d", 5, 5)]
+    got = iv.smooth(spark.createDataFrame(rows, "chrom string, s long, e long"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(brute_smooth(rows))
+
+
+def brute_smooth(rows, width=100, step=50, least=0.75, longer=50):
+    """By tiles that a region reaches into; regions are apart or book-ended."""
+    out = []
+    for c in {r[0] for r in rows}:
+        merged = []
+        for _, s, e in sorted(r for r in rows if r[0] == c):
+            if merged and s <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], e)
+            else:
+                merged.append([s, e])
+        low, high = merged[0][0], max(e for _, e in merged)
+        for s, e in merged:
+            near = {low + k * step for k in range((s - low) // step - 4, (e - low) // step + 4) if k >= 0 and low + k * step < high}
+            bad = set()
+            for ts in near:
+                te = min(ts + width, high)
+                if sum(max(0, min(te, y) - max(ts, x)) for x, y in merged) / (te - ts) < least:
+                    bad |= set(range(max(ts, s), min(te, e)))
+            run = []
+            for p in [*range(s, e), None]:
+                if p is not None and p not in bad:
+                    run.append(p)
+                elif run:
+                    out.append((c, run[0], run[-1] + 1))
+                    run = []
+    return [x for x in out if x[2] - x[1] > longer]
