@@ -59,6 +59,19 @@ def test_viterbi_of_the_table(spark):
         assert [whole[chrom, p] for p in rows["pos0"]] == hmm.viterbi(rows["observed"].to_numpy(), 8)[0].tolist()
 
 
+def test_sites_are_computed_once_whatever_the_windows(spark):
+    rows = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(60).selectExpr("'a' as chrom", "id as pos0", "id % 4 as observed", "cast(id div 10 as int) as window")
+    assert hmm.viterbi_paths(df.mapInArrow(seen, df.schema), 2, ["chrom"]).count() == 60
+    assert rows.value == 60
+
+
 def test_a_long_switch_is_followed():
     seen = np.array([1] * 60 + [3] * 60)
     assert hmm.viterbi(seen, 2)[0].tolist() == seen.tolist()
