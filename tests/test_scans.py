@@ -81,3 +81,11 @@ def test_chunks_summaries_and_ends_across_bins(spark):
     for size in (10, 1 << 26):
         row = hmm.child_summary(labels, bin_size=size).first()
         assert (row["n_blocks"], row["paternal_switches"], row["maternal_switches"], row["gap_bases"]) == (5, 4, 0, 20)
+
+
+def test_depths_on_the_edge_of_the_band_are_kept(spark):
+    """Two depths, each as often: both lie one deviation from the mean, however the rows are dealt out."""
+    from kinweave.operators import hapmap
+
+    rows = spark.range(60 * 700).repartition(7).selectExpr("'c' as chrom", "id % 60 as sample_id", "id as site_id", "if(id div 60 % 2 = 0, id % 60 + 3, 2 * (id % 60) + 100) as dp")
+    assert hapmap.depth_band(rows, hapmap.depth_stats(rows)).where("not kept").count() == 0
