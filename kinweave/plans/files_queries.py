@@ -10,7 +10,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import normalise as nm
-from ..operators.storage import shared_folder
+from ..operators.scans import running
+from ..operators.storage import cut, shared_folder
 from ..sources import readers as rd
 from ..sources import writers as wr
 from .registry import query
@@ -316,17 +317,24 @@ def left_align(site):
     """Normalised against a FASTA that is written and read back; a shift crosses many of its small chunks."""
     at = _place(site)
     piece = F.concat(F.repeat("ref", (1 + F.col("site_id") % 7).cast("int")), F.when(F.col("site_id") % 160 == 0, F.repeat(F.lit("ACT"), 60)).otherwise(""))
-    bases = site.groupBy("chrom").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("site_id", piece.alias("x")))), lambda x: x["x"]), "").alias("seq"))
-    wr.write_lines(wr.fasta_lines(bases.select("chrom", F.regexp_replace("seq", "(.{60})", "$1\n").alias("lines")), "chrom", "lines"), at)
-    a, k = 400 + (F.col("site_id") * 37) % (F.length("seq") - 800), 1 + F.col("site_id") % 3
-    placed = site.select("site_id", "chrom").join(bases, "chrom").withColumns({"a": a, "k": k, "deletes": F.col("site_id") % 2 == 0})
-    base = lambda n: F.substr("seq", (F.col("a") + 1).cast("int"), n.cast("int"))
-    ref = F.when(F.col("deletes"), base(1 + F.col("k"))).otherwise(base(F.lit(1)))
-    alt = F.when(F.col("deletes"), base(F.lit(1))).otherwise(base(1 + F.col("k")))
+    # a line holds the pieces of 16 sites: no row has a chromosome
+    pieces = running(site.select("chrom", "site_id", piece.alias("x"), F.expr("floor(site_id / 16384)").alias("_bin")), ["chrom"], "_bin", ["site_id"], F.lit(1), "n", how="sum")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("site_id", "x"))), lambda p: p["x"]), "")
+    lines = pieces.groupBy("chrom", F.expr("n div 16").alias("line")).agg(text.alias("value"))
+    heads = site.select("chrom").distinct().select("chrom", F.lit(-1).cast("long").alias("line"), F.concat(F.lit(">"), "chrom").alias("value"))
+    wr.write_lines(lines.unionByName(heads).repartition("chrom").sortWithinPartitions("chrom", "line").select("value"), at)
+    chunks = cut(rd.read_fasta_chunks(site.sparkSession, at, 64))
+    length = chunks.groupBy("chrom").agg(F.sum(F.length("sequence")).alias("length"))
+    a, k = 400 + (F.col("site_id") * 37) % (F.col("length") - 800), 1 + F.col("site_id") % 3
+    at_base = site.select("site_id", "chrom").join(length, "chrom").select("site_id", "chrom", a.alias("a"), k.alias("k"), (F.col("site_id") % 2 == 0).alias("deletes")).withColumn("z", F.col("a") + 1 + F.col("k"))
+    bases = rd.fasta_region(chunks, at_base.select("chrom", F.col("a").alias("s"), F.col("z").alias("e")), 64).select("chrom", F.col("s").alias("a"), F.col("e").alias("z"), F.upper("sequence").alias("bases"))
+    placed = at_base.join(bases, ["chrom", "a", "z"])
+    ref = F.when(F.col("deletes"), F.col("bases")).otherwise(F.left("bases", F.lit(1)))
+    alt = F.when(F.col("deletes"), F.left("bases", F.lit(1))).otherwise(F.col("bases"))
     last = F.concat(F.expr("left(ref, length(ref) - 1)"), F.translate(F.right("ref", F.lit(1)), "ACGT", "CGTA"))
     records = placed.select("site_id", "chrom", F.col("a").alias("pos0"), ref.alias("ref"), alt.alias("alt"))
     records = records.select("site_id", "chrom", "pos0", "ref", F.when(F.col("site_id") % 5 == 0, F.array("alt", last)).otherwise(F.array("alt")).alias("alts"))
-    made = nm.normalise(records, rd.read_fasta_chunks(site.sparkSession, at, 64), 64, reach=16)
+    made = nm.normalise(records, chunks, 64, reach=16)
     return made.where("matches").select("site_id", "alt_no", "pos0", "ref", "alt")
 
 

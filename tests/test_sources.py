@@ -101,3 +101,14 @@ def test_vcf_with_repeated_info_keys(spark, tmp_path):
     """The first of a repeated key counts; the job goes on."""
     (tmp_path / "x.vcf").write_text("##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\nc\t7\t.\tA\tG\t5\tPASS\tDP=1;DB;DP=2;DB\n")
     assert rd.read_vcf(spark, str(tmp_path / "x.vcf")).first()["info"] == {"DP": "1", "DB": "true"}
+
+
+def test_left_align_writes_no_chromosome_as_one_row(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from kinweave.plans import files_queries, registry
+
+    written, write = [], files_queries.wr.write_lines
+    monkeypatch.setattr(files_queries.wr, "write_lines", lambda lines, *x, **y: (written.append(lines), write(lines, *x, **y))[1])
+    assert registry.QUERIES["left_align"](spark, "/root/testdata/sf0.01").count() == 18000
+    assert written[0].toDF("value").agg(F.max(F.length("value"))).first()[0] < 4000
