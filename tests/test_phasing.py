@@ -17,3 +17,20 @@ def test_orientations_agree(spark):
     # a plan for many founders stays small
     many = df.select(*[F.lit(0).alias(f"f{j}_{k}") for j in range(12) for k in (0, 1)], "calls").select(phasing.orientations(12).alias("x"))
     assert len(many._jdf.queryExecution().optimizedPlan().toString()) < 200_000
+
+
+def test_flips_compute_their_blocks_once(spark):
+    """The scans, and the blocks that say nothing, read stored rows."""
+    from kinweave.operators.phases import flip_phases
+
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(40).selectExpr("'c' as chrom", "id * 10 as start_pos", "id * 10 as end_pos", "1L as n_markers", "if(id % 7 = 0, '????', if(id % 2 = 0, 'ACBC', 'BCAC')) as labels")
+    flipped = flip_phases(df.mapInArrow(seen, df.schema), ["AB"], [0, 1, 2, 3]).collect()
+    assert len(flipped) == 40 and {r["labels"] for r in flipped} == {"????", "BCAC"}
+    assert made.value == 40
