@@ -13,11 +13,10 @@ word it sums to one.
 The recurrent weights are learned in numpy by backpropagation truncated to
 windows.  They begin as a fit on a bounded sample of learning documents
 (``sample_docs`` with the smallest hashes of their ids, of ``sample_chars``
-characters at most) and go on learning on the executors from one in ``share`` of
-all learning documents, a number that grows with the input: in each of
-``rounds`` rounds every worker learns on some hundred documents from the same
-weights, and the mean of the workers' weights, weighted by tokens, is what the
-next round begins with.  Counts, classes and discounts come from all learning
+characters at most), and then learn on the executors from all tokens of all
+learning documents: each is dealt to one of ``rounds`` rounds, in which every
+worker learns on about a thousand documents from the same weights, and the mean
+of the workers' weights, weighted by tokens, is what the next round begins with.  Counts, classes and discounts come from all learning
 documents.  Scoring carries the state over windows through the whole document,
 many documents side by side.
 
@@ -230,18 +229,23 @@ class Network:
         y -= np.log(np.exp(y).sum(axis=1, keepdims=True))
         return y
 
-    def outcome(self, h: np.ndarray, kind: np.ndarray, unknown: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log probabilities of the classes ``kind`` and of the unknown word, without those of all others."""
-        y = h @ self.p["c"]
-        y += self.p["cb"]
+    def outcome(self, h: np.ndarray, kind: np.ndarray, unknown: np.ndarray, rows: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities of the classes ``kind`` and of the unknown word, without those of all others; ``rows`` at a time stay in a cache."""
         # states lie between -1 and 1, which bounds the exponents
-        if float((np.abs(self.p["c"]).sum(axis=0) + np.abs(self.p["cb"])).max()) > 80:
-            y -= y.max(axis=1, keepdims=True)
-        own = y[np.arange(len(kind)), kind]
-        np.exp(y, out=y)
-        sums = y @ np.stack((np.ones(y.shape[1], dtype=np.float32), np.concatenate((np.zeros(HEAD_CLASSES, dtype=np.float32), unknown))), axis=1)
-        total = np.log(sums[:, 0])
-        return own - total, np.log(np.maximum(sums[:, 1], 1e-30)) - total
+        wide = float((np.abs(self.p["c"]).sum(axis=0) + np.abs(self.p["cb"])).max()) > 80
+        weigh = np.stack((np.ones(_CLASSES, dtype=np.float32), np.concatenate((np.zeros(HEAD_CLASSES, dtype=np.float32), unknown))), axis=1)
+        own, other = np.empty(len(kind), dtype=np.float32), np.empty(len(kind), dtype=np.float32)
+        for a in range(0, len(kind), rows):
+            y = h[a : a + rows] @ self.p["c"]
+            y += self.p["cb"]
+            if wide:
+                y -= y.max(axis=1, keepdims=True)
+            here = y[np.arange(len(y)), kind[a : a + rows]]
+            np.exp(y, out=y)
+            sums = y @ weigh
+            total = np.log(sums[:, 0])
+            own[a : a + rows], other[a : a + rows] = here - total, np.log(np.maximum(sums[:, 1], 1e-30)) - total
+        return own, other
 
     def groups(self, kind: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Head classes with the places of their words."""
@@ -251,6 +255,14 @@ class Network:
             if edges[c + 1] > edges[c]:
                 yield c, order[edges[c] : edges[c + 1]]
 
+    @staticmethod
+    def shares(y: np.ndarray) -> np.ndarray:
+        """Probabilities, in place of their unnormalised logarithms."""
+        y -= y.max(axis=1, keepdims=True)
+        np.exp(y, out=y)
+        y /= y.sum(axis=1, keepdims=True)
+        return y
+
     def inside(self, c: int, h: np.ndarray) -> np.ndarray:
         y = h @ self.p["w"][c]
         y += self.p["wb"][c]
@@ -266,7 +278,8 @@ def fit(
     """Learn on documents of (input ids, classes with head words' ids): see ``Reader.arrays``.
 
     Learning goes on from ``start`` if given; the rate falls to the share
-    ``until`` of its first value.
+    ``until`` of its first value.  Where the tokens don't fill all lanes, some
+    are learned from twice, and none is left out.
     """
     net = Network(vocabulary, hidden, seed) if start is None else start
     documents = [d for d in documents if len(d[0])]
@@ -282,7 +295,8 @@ def fit(
         x = np.concatenate([documents[i][0] for i in order])
         y = np.concatenate([documents[i][1] for i in order])
         width = max(1, min(lanes, len(x) // window))
-        long = len(x) // width
+        long = -(-len(x) // width)
+        x, y = np.resize(x, width * long), np.resize(y, width * long)
         x, y = x[: width * long].reshape(width, long).T, y[: width * long].reshape(width, long).T
         total = total or epochs * -(-long // window)
         h = np.zeros((width, k), dtype=np.float32)
@@ -295,16 +309,21 @@ def fit(
             kind = np.where(target < _HEAD, target // HEAD_SIZE, HEAD_CLASSES + target - _HEAD)
             n = len(target)
             g = {name: np.zeros_like(q) for name, q in p.items()}
-            d = np.exp(net.classes(flat))
+            d = flat @ p["c"]
+            d += p["cb"]
+            net.shares(d)
             d[np.arange(n), kind] -= 1
             d /= n
             g["c"], g["cb"] = flat.T @ d, d.sum(axis=0)
             dh = d @ p["c"].T
             for c, at in net.groups(kind):
-                q = np.exp(net.inside(c, flat[at]))
+                own = flat[at]
+                q = own @ p["w"][c]
+                q += p["wb"][c]
+                net.shares(q)
                 q[np.arange(len(at)), target[at] % HEAD_SIZE] -= 1
                 q /= n
-                g["w"][c], g["wb"][c] = flat[at].T @ q, q.sum(axis=0)
+                g["w"][c], g["wb"][c] = own.T @ q, q.sum(axis=0)
                 dh[at] += q @ p["w"][c].T
             dh = dh.reshape(hs.shape)
             back = np.zeros((width, k), dtype=np.float32)
@@ -438,27 +457,28 @@ class Reader:
         return sizes, np.bincount(doc[known], minlength=len(docs)), sums[0], sums[1], doc[places], others, p_class[places] / _LOG10, p_unknown[places] / _LOG10
 
 
-def refine(net: Network, vocab: Vocabulary, texts_: DataFrame, rounds: int = 4, worker_docs: int = 500, rate: float = 3e-3) -> Network:
-    """Go on learning on all of ``texts_`` (h, text), which workers share out by ``h``.
+def refine(net: Network, vocab: Vocabulary, texts_: DataFrame, rounds: int = 4, worker_docs: int = 1000, rate: float = 3e-3, worker_tokens: int = 1_000_000) -> Network:
+    """Go on learning on all of ``texts_`` (h, text), each row in one round and by one worker.
 
     Each round deals its documents to workers of about ``worker_docs`` each, so
-    there are more workers, not longer ones, where there is more text.
+    there are more workers, not longer ones, where there is more text.  A worker
+    holds ``worker_tokens`` or one document at a time, and goes on with the next.
     """
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(vocab, None)
         for batch in small(batches):
-            own = [pa.array(y) for _, y in reader.arrays(texts(batch))]
-            offsets = np.concatenate(([0], np.cumsum([len(y) for y in own]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([column(batch, "h"), pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(own).cast(pa.int32()))], names=["h", "own"])
+            own = pa.array([y.astype("<u2").tobytes() for _, y in reader.arrays(texts(batch))], pa.binary())
+            yield pa.RecordBatch.from_arrays([column(batch, "h"), own], names=["h", "own"])
 
-    held = cut(texts_.select("h", "text").mapInArrow(numbered, "h long, own array<int>"))
+    held = cut(texts_.select("h", "text").mapInArrow(numbered, "h long, own binary"))
     n = held.count()
     if not n:
         return net
     rounds = max(1, min(rounds, n // worker_docs))
     workers = max(1, -(-n // (rounds * worker_docs)))
-    slot = F.pmod(F.xxhash64("h", F.lit(7)), F.lit(rounds * workers))
+    # by the text too: rows of one id, or of none, are spread
+    slot = F.pmod(F.xxhash64("h", "own", F.lit(7)), F.lit(rounds * workers))
     dealt = held.select("h", "own", (slot % rounds).alias("round"), F.floor(slot / rounds).cast("int").alias("worker"))
     names = sorted(net.p)
     size, chunk = sum(net.p[x].size for x in names), 32_768
@@ -466,26 +486,39 @@ def refine(net: Network, vocab: Vocabulary, texts_: DataFrame, rounds: int = 4,
         begin = rate * (1 - 0.75 * r / rounds)
 
         def learn(batches: Iterator[pa.RecordBatch], net: Network = net, r: int = r, begin: float = begin) -> Iterator[pa.RecordBatch]:
-            def learned(worker: int, docs: list[np.ndarray]) -> pa.RecordBatch:
+            def begun() -> Network:
                 own = Network.__new__(Network)
                 own.hidden, own.p = net.hidden, {x: net.p[x].copy() for x in names}
+                return own
+
+            def more(own: Network, worker: int, docs: list[np.ndarray]) -> None:
+                docs = [y.astype(np.int64) for y in docs]
                 inputs = [np.concatenate(([_START], y[:-1])) for y in docs]
                 fit(list(zip(inputs, docs)), None, epochs=1, lanes=128, rate=begin, seed=1000 * r + worker % 1000, start=own, until=0.3 * (r + 1 < rounds))
+
+            def learned(own: Network, worker: int, tokens: int) -> pa.RecordBatch:
                 flat = np.concatenate([own.p[x].ravel() for x in names])
                 parts = [flat[a : a + chunk].tobytes() for a in range(0, size, chunk)]
                 m = len(parts)
-                return pa.RecordBatch.from_arrays([pa.array(range(m), pa.int32()), pa.array([worker] * m, pa.int32()), pa.array([float(sum(map(len, docs)))] * m), pa.array(parts, pa.binary())], names=["chunk", "worker", "tokens", "weights"])
+                return pa.RecordBatch.from_arrays([pa.array(range(m), pa.int32()), pa.array([worker] * m, pa.int32()), pa.array([float(tokens)] * m), pa.array(parts, pa.binary())], names=["chunk", "worker", "tokens", "weights"])
 
-            current, docs = None, []
+            current, own, docs, held_, total = None, None, [], 0, 0
             for batch in batches:
-                for worker, y in zip(column(batch, "worker").to_pylist(), column(batch, "own")):
-                    if worker != current and docs:
-                        yield learned(current, docs)
-                        docs = []
-                    current = worker
-                    docs.append(y.values.to_numpy().astype(np.int64))
-            if docs:
-                yield learned(current, docs)
+                for worker, raw in zip(column(batch, "worker").to_pylist(), column(batch, "own").to_pylist()):
+                    if worker != current:
+                        if own is not None:
+                            more(own, current, docs)
+                            yield learned(own, current, total)
+                        current, own, docs, held_, total = worker, begun(), [], 0, 0
+                    y = np.frombuffer(raw, dtype="<u2")
+                    if docs and held_ + len(y) > worker_tokens:
+                        more(own, current, docs)
+                        docs, held_ = [], 0
+                    docs.append(y)
+                    held_, total = held_ + len(y), total + len(y)
+            if own is not None:
+                more(own, current, docs)
+                yield learned(own, current, total)
             give_back()
 
         def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -521,7 +554,7 @@ def refine(net: Network, vocab: Vocabulary, texts_: DataFrame, rounds: int = 4,
 
 
 def score_documents(
-    docs: DataFrame, learns: Column, hidden: int = 32, sample_docs: int = 1500, sample_chars: int = 100_000, vocabulary: int = 262_144, epochs: int = 2, share: int = 24, rounds: int = 4
+    docs: DataFrame, learns: Column, hidden: int = 32, sample_docs: int = 1500, sample_chars: int = 100_000, vocabulary: int = 262_144, epochs: int = 2, rounds: int = 4
 ) -> DataFrame:
     """Scores of ``docs`` (doc_id, text) by a model of the rows where ``learns`` holds.
 
@@ -538,7 +571,7 @@ def score_documents(
     sample = [r["text"] or "" for r in sorted(sample, key=lambda r: (r["h"], r["doc_id"] or 0))]
     net = fit(Reader(vocab, None).arrays(sample), vocab, hidden, epochs) if vocab.n else Network(vocab, hidden)
     if vocab.n:
-        net = refine(net, vocab, marked.where("learned").select(key.alias("h"), "text").where(F.pmod(F.xxhash64("h", F.lit(3)), F.lit(share)) == 0), rounds)
+        net = refine(net, vocab, marked.where("learned").select(key.alias("h"), "text"), rounds)
     schema = "uid long, doc_id %s, learned boolean, n_tokens long, n_known long, base double, model double, word binary, n long, p_class double, p_unknown double" % docs.schema["doc_id"].dataType.simpleString()
     names = ["uid", "doc_id", "learned", "n_tokens", "n_known", "base", "model", "word", "n", "p_class", "p_unknown"]
 

@@ -461,6 +461,25 @@ def test_language_model_goes_on_learning_on_workers(spark):
     assert lm.refine(start, vocab, docs.limit(0)) is start
 
 
+def test_language_model_learns_from_every_learning_document_and_token(spark, docs, monkeypatch):
+    seen = []
+
+    def refine(net, vocab, texts_, rounds):
+        seen.extend(r["text"] for r in texts_.collect())
+        return net
+
+    monkeypatch.setattr(lm, "refine", refine)
+    learns = F.col("doc_id") % 5 != 1
+    lm.score_documents(docs, learns, sample_docs=20, epochs=1)
+    assert collections.Counter(seen) == collections.Counter(r["text"] for r in docs.where(learns).collect())
+    # a last token that fills no lane
+    vocab = lm.Vocabulary([lm.END], np.array([5]), np.array([0]), 5, 1, 0.5, np.ones(lm.TAIL_CLASSES), np.ones(lm.TAIL_CLASSES))
+    y = np.full(73, lm._HEAD)
+    x = np.concatenate(([lm._START], y[:-1]))
+    one, other = (lm.fit([(x, np.append(y[:-1], lm._HEAD + k))], vocab, hidden=4, epochs=1) for k in (0, 1))
+    assert not np.array_equal(one.p["cb"], other.p["cb"])
+
+
 def test_language_model_odd(spark, odd, none):
     got = lm.score_documents(odd, F.col("doc_id") < 5, epochs=1).collect()
     assert len(got) == len(ODD) and all(np.isfinite(r["score"]) for r in got)
