@@ -4,8 +4,9 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from kinweave.plans import registry
+from kinweave.plans import fixtures, registry
 
 DATA = os.environ.get("KINWEAVE_TESTDATA", "/root/testdata/sf0.001")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -49,3 +50,14 @@ def test_no_pairwise_plans(spark):
     for name in ("overlap_join_binned", "bed_subtract", "site_block_join", "sv_shared_exclusive", "tr_locus_blocks"):
         plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+def test_alleles_are_dealt_by_locus(spark, monkeypatch):
+    """A view that multiplies a small table isn't one task's, and what follows by locus shuffles no allele."""
+    part = spark.range(20_001).select(F.col("id").alias("p_partkey"), F.lit(7).alias("p_size"))
+    assert fixtures.dealt(part, "p_partkey").rdd.getNumPartitions() == 5
+    assert fixtures.dealt(part.limit(0), "p_partkey").count() == 0
+    monkeypatch.setattr(fixtures.dealt, "__defaults__", (50,))
+    plan = registry.QUERIES["tr_best_assign"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "hashpartitioning" in x]
+    assert dealt and all("hashpartitioning(p_partkey" in x for x in dealt)
