@@ -73,8 +73,10 @@ def best_assignment(choices: DataFrame, found: DataFrame, calls: DataFrame, labe
     of its two labels alone, so samples are compared once for each pair of
     candidates, and a choice adds up what its pairs cost.
     """
-    of = lambda h: found.select("trid", F.col("label").alias(h), F.col("seq").alias(f"s{h}"))
-    pairs = calls.join(of("h0"), ["trid", "h0"]).join(of("h1"), ["trid", "h1"]).where("h0 <> h1 or sh0 = sh1")
+    # all meet by locus, so that tables dealt by locus stay where they are
+    held = found.groupBy("trid").agg(F.collect_list(F.struct("label", "seq")).alias("_found"))
+    of = lambda h: F.explode(F.transform(F.filter("_found", lambda x: x["label"] == F.col(h)), lambda x: x["seq"])).alias(f"s{h}")
+    pairs = calls.join(held, "trid").select("*", of("h0")).select("*", of("h1")).where("h0 <> h1 or sh0 = sh1")
     scored = pairs.withColumn("_d", pair_distance(F.col("a0"), F.col("a1"), F.col("sh0"), F.col("sh1")))
     costs = scored.groupBy("trid", "h0", "h1", "sh0", "sh1").agg(F.sum("_d.errors").alias("errors"), F.sum("_d.distance").alias("distance"))
     key = lambda *x: F.concat_ws("|", *x)
