@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import repeats as rp
@@ -90,8 +91,10 @@ with e as (select trid, slot, min(seq) as expected from fx_tr where i >= 8 group
 select t.i as id, cast(sum(greatest(length(seq) - length(expected), 0)) as bigint) as expansion, cast(sum(greatest(length(expected) - length(seq), 0)) as bigint) as contraction from fx_tr t join e on e.trid = t.trid and e.slot = t.slot group by t.i
 """)
 def tr_deltas(tr):
-    expected = tr.where("i >= 8").groupBy("trid", "slot").agg(F.min("seq").alias("expected"))
-    return rp.deltas(tr.join(expected, ["trid", "slot"]).select(F.col("i").alias("id"), "seq", "expected"))
+    # a window, not a join: alleles dealt by locus stay where they are
+    line, counts = Window.partitionBy("trid", "slot"), F.col("i") >= 8
+    expected = tr.withColumns({"expected": F.min(F.when(counts, F.col("seq"))).over(line), "_n": F.count_if(counts).over(line)})
+    return rp.deltas(expected.where("_n > 0").select(F.col("i").alias("id"), "seq", "expected"))
 
 
 @query("tr_locus_blocks", "J4", "fx_site", "fx_block", sql="""
