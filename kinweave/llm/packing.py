@@ -63,7 +63,7 @@ class Encoder:
 
     PROBE = "The CAT's hats, naïve Übung; word2vec don't stop... 12,5 % off! (x) a_b $9 #tag ÀÉ ß ÑANDÚ 日本 Tokens:\n\n two  spaces\tand a_long/path -- end"
 
-    def __init__(self, path: str, remember: int = 150_000):
+    def __init__(self, path: str, remember: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor share its cores already
         from tokenizers import Tokenizer
 
@@ -87,8 +87,9 @@ class Encoder:
     def _run(self, run: str) -> bytes:
         ids = self.runs.get(run)
         if ids is None:
-            made = self.tokenizer.model.tokenize("".join([self.shown[b] for b in run.encode()]))
-            ids = array("I", [t.id for t in made]).tobytes()
+            # printable ASCII stands for itself
+            made = self.tokenizer.model.tokenize(run if run.isascii() else "".join([self.shown[b] for b in run.encode()]))
+            ids = made[0].id.to_bytes(4, "little") if len(made) == 1 else array("I", [t.id for t in made]).tobytes()
             self.runs[run] = ids
         return ids
 
