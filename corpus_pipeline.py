@@ -37,7 +37,11 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near copies: five-word Jaccard similarity of 0.8 or more."""
+    """One document, that with the smallest id, of each group of near copies.
+
+    Linked are SimHash fingerprints that differ in two bits at most, as in
+    ``op7_simhash``, and texts of a five-word Jaccard similarity of 0.8 or more.
+    """
     return nearcopies.deduplicate(docs.select(*COLUMNS))
 
 

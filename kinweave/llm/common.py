@@ -46,6 +46,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffles and checkpoints that nothing refers to, and of the driver's memory for them.
+
+    Spark's cleaner hears of them when the driver collects its garbage, which it may not do for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def id_remainder(column: str, m: int) -> Column:
     """crc32 of the id as text, modulo ``m``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(m)

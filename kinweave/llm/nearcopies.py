@@ -1,10 +1,13 @@
-"""Near copies by the Jaccard similarity of their sets of five-word shingles.
+"""Near copies by SimHash fingerprints, and by the Jaccard similarity of their sets of five-word shingles.
 
-Candidates come from MinHash: ``bands`` keys a text, each of ``rows`` minima.
+Texts whose fingerprints differ in two bits at most are linked as ``simhash`` links
+them: pigeonhole blocks, verified Hamming distance, star components.  Two bits are
+few, so that texts of similarity 0.8 mostly differ in more; these are linked too.
+Their candidates come from MinHash: ``bands`` keys a text, each of ``rows`` minima.
 Texts of similarity s share a key with probability 1 - (1 - s^rows)^bands, which
 is 0.99993 at 0.8 with 24 bands of 5 rows, and more above.  Each candidate is
 then verified by the exact similarity of the two sets, so that nothing below
-``similarity`` is ever linked.
+``similarity`` is ever linked by it.
 
 Only different texts are compared: copies (equal words, ASCII letters
 lower-cased) share a mark, so large groups of copies cost nothing.  In a key with
@@ -42,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, map_batches, texts, word_lists
-from .simhash import components, hash_blocks
+from .simhash import components, fingerprint, hash_blocks, links
 
 WIDTH, SIMILARITY, BANDS, ROWS, CROWD, BLOCK = 5, 0.8, 24, 5, 48, 512
 
@@ -94,6 +97,14 @@ def in_pairs(few: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, keys).where("a < b and la <> lb").select("a", "b").distinct()
 
 
+def by_fingerprint(of_mark: DataFrame) -> DataFrame:
+    """(a, b): marks of ``of_mark`` (mark, fp) whose SimHash fingerprints differ in two bits at most, enough of them for the same components."""
+    fps = of_mark.groupBy("fp").agg(F.min("mark").alias("m"))
+    equal = of_mark.select("fp", F.col("mark").alias("b")).join(fps, "fp").where("m <> b").select(F.col("m").alias("a"), "b")
+    near = links(fps.select("fp")).join(fps.select(F.col("fp").alias("a"), F.col("m").alias("ma")), "a")
+    return near.join(fps.select(F.col("fp").alias("b"), F.col("m").alias("mb")), "b").select(F.col("ma").alias("a"), F.col("mb").alias("b")).unionByName(equal)
+
+
 def sets_of(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """(mark, set): the shingles of each of ``marks`` (mark)."""
     marked = map_batches(docs.select("text"), lambda batch: {"mark": [mark(t) for t in texts(batch)]}, {"mark": T.LongType()})
@@ -170,34 +181,41 @@ def in_blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     return ask.unionByName(asked).groupBy("family", "i", "j").applyInPandas(lambda part: compare(part), "a long, b long")
 
 
-def cluster(docs: DataFrame, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
-    """(doc_id, component_id) of each row of ``docs`` (doc_id, text)."""
+def cluster(docs: DataFrame, crowd: int = CROWD, block: int = BLOCK, fingerprints: bool = False) -> DataFrame:
+    """(doc_id, component_id) of each row of ``docs`` (doc_id, text), linked by similarity and, with ``fingerprints``, by these too."""
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
         found = texts(batch)
-        return {"mark": [mark(t) for t in found], "keys": [band_keys(shingles(t)) for t in found]}
-
-    marked = cut(map_batches(docs.select("doc_id", "text"), run, {"mark": T.LongType(), "keys": T.ArrayType(T.LongType())}, keep=["doc_id"]))
-    keyed = marked.select(F.explode("keys").alias("key"), "mark").distinct()
-    shared = cut(shared_keys(keyed))
+        fp = np.array([fingerprint(t) if fingerprints else 0 for t in found], dtype=np.uint64).view(np.int64)
+        return {"mark": [mark(t) for t in found], "fp": fp, "keys": [band_keys(shingles(t)) for t in found]}
+
+    new = {"mark": T.LongType(), "fp": T.LongType(), "keys": T.ArrayType(T.LongType())}
+    marked = cut(map_batches(docs.select("doc_id", "text"), run, new, keep=["doc_id"]))
+    # one row for each different text: what copies have in common is equal
+    of_mark = cut(marked.groupBy("mark").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    shared = cut(shared_keys(of_mark.select(F.explode(F.array_distinct("keys")).alias("key"), "mark")))
     # once, for all comparisons: texts that share no key are in none
     sets = cut(sets_of(docs, shared.select("mark").distinct()))
     label = F.coalesce("root", "mark").alias("label")
     few = shared.where(F.col("n") <= crowd).withColumn("label", F.col("mark"))
     hubs = cut(with_hubs(shared.where(F.col("n") > crowd)))
-    # the pairs of small keys and one hub for each large one: what they link needs no other comparison
-    first = cut(similar(cut(in_pairs(few, ["key"]).unionByName(hubs).distinct()), sets))
-    grouped = components(first)
-    families = components(hubs).select(F.col("node").alias("mark"), F.col("root").alias("family"))
+    # the pairs of small keys and one hub for each large one: what they and the fingerprints link needs no other comparison
+    first = similar(cut(in_pairs(few, ["key"]).unionByName(hubs).distinct()), sets)
+    if fingerprints:
+        first = first.unionByName(by_fingerprint(of_mark))
+    # both graphs in the same rounds
+    parts = components(first.select(F.lit(0).alias("graph"), "a", "b").unionByName(hubs.select(F.lit(1).alias("graph"), "a", "b")), ["graph"])
+    grouped = parts.where("graph = 0").select("node", "root")
+    families = parts.where("graph = 1").select(F.col("node").alias("mark"), F.col("root").alias("family"))
     members = families.join(grouped, F.col("mark") == F.col("node"), "left").select("mark", "family", label)
     several = members.groupBy("family").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("family")
     left = cut(members.join(several, "family", "left_semi"))
     found = cut(profiles(left, sets, crowd))
     rare = found.select("family", "mark", "label", F.explode("rare").alias("shingle"))
-    links = similar(cut(in_pairs(rare, ["family", "shingle"])), sets).unionByName(in_blocks(found.where("frequent is not null"), block))
-    # the components of all links: those of the first, joined by the others
-    grouped = components(grouped.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
-    of_mark = marked.groupBy("mark").agg(F.min("doc_id").alias("least"))
+    more = cut(similar(cut(in_pairs(rare, ["family", "shingle"])), sets).unionByName(in_blocks(found.where("frequent is not null"), block)))
+    if not more.isEmpty():
+        # the components of all links: those of the first, joined by the others
+        grouped = components(grouped.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = of_mark.join(grouped, F.col("mark") == F.col("node"), "left").select("mark", F.coalesce("root", "mark").alias("root"), "least")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return marked.select("doc_id", "mark").join(named.join(ids, "root").select("mark", "component_id"), "mark").select("doc_id", "component_id")
@@ -208,5 +226,5 @@ def deduplicate(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
 
     Of equal rows with that id all stay, as they are one document.
     """
-    stays = cluster(docs, crowd).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
+    stays = cluster(docs, crowd, fingerprints=True).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
     return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")

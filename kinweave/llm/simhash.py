@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, map_batches, texts, word_lists
+from .common import cut, map_batches, release, texts, word_lists
 
 _BITS = 64
 
@@ -129,37 +129,42 @@ def links(fps: DataFrame, distance: int = 2, n_blocks: int = 5, crowd: int = 48)
     return pairs.unionByName(met).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(node, root) of the connected components of ``edges`` (a, b): root is the smallest node.
 
+    With ``keys``, columns of ``edges`` that tell several graphs apart, all of them
+    are taken in the same rounds, and the keys come first in the result.
+
     Alternating large-star and small-star rounds, until nothing changes: their
     number grows with the logarithm of the nodes.  Each round writes its links to
     the checkpoint folder, and the driver sees two sums a round only.
     """
-    now = cut(edges.select("a", "b").where("a <> b").distinct())
+    of = keys or []
+    now = cut(edges.select(*of, "a", "b").where("a <> b").distinct())
     before = None
     while True:
         # large star: each node links its larger neighbours to the smallest of its neighbours and itself
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        both = now.unionByName(now.select(*of, F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy(*of, "a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        large = both.where("b > a").join(least, [*of, "a"]).select(*of, F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: each node links its smaller neighbours and itself to the smallest of them
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        floor = down.groupBy("a").agg(F.min("b").alias("m"))
+        down = large.select(*of, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        floor = down.groupBy(*of, "a").agg(F.min("b").alias("m"))
         small = (
-            down.join(floor, "a")
-            .select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionByName(floor.select("a", F.col("m").alias("b")))
+            down.join(floor, [*of, "a"])
+            .select(*of, F.col("b").alias("a"), F.col("m").alias("b"))
+            .unionByName(floor.select(*of, "a", F.col("m").alias("b")))
             .where("a <> b")
             .distinct()
         )
         now = cut(small)
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*of, "a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+    release(edges.sparkSession)
+    roots = now.select(*of, F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    return now.select(*of, F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
 def cluster(docs: DataFrame, width: int = 3, seed: int = 42, distance: int = 2) -> DataFrame:

@@ -131,3 +131,20 @@ def test_long_texts_in_blocks():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 4 * len(long) + 100_000_000
+
+
+def test_near_fingerprints_are_links(spark):
+    """Every pair within two bits is in one component, also where the sets of shingles differ: here one line that repeats outweighs the rest."""
+    from kinweave.llm.simhash import fingerprint
+
+    rng = np.random.default_rng(8)
+    fresh = lambda k: " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, k))
+    line = fresh(10)
+    texts = [fresh(40) for _ in range(20)] + [f"{' '.join([line] * 60)} {fresh(20)}" for _ in range(70)]
+    fps = [fingerprint(t) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2]
+    assert near and all(len(grams(texts[i]) & grams(texts[j])) < 0.8 * len(grams(texts[i])) for i, j in near)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.cluster(df, fingerprints=True).collect()}
+    assert all(got[i] == got[j] for i, j in near)
+    assert [got[i] for i in range(20)] == list(range(20))
