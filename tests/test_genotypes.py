@@ -38,6 +38,22 @@ def test_denovo_seen_in_grandchildren(spark):
     assert denovo.candidates(raised).first()["child"] == "k"
 
 
+def test_grandchildren_are_read_in_the_sites_row(spark):
+    """As ``inherited`` has it, for all kinds of gaps among the grandchildren, and without another join of the calls."""
+    ped = spark.createDataFrame([("d", None, None), ("m", None, None), ("k", "d", "m"), ("j", "d", "m"), ("w", None, None), ("g1", "k", "w"), ("g2", "k", "w")], "id string, father string, mother string")
+    rows = []
+    for site, (a, b) in enumerate([((0, 1), (0, 0)), ((0, 0), (1, 1)), ((0, 0), (0, 0)), ((None, 1), (0, None)), ((1, 1), (None, None)), ((2, 1), (0, 2))]):
+        rows += [(site, i, *gt, 30, 50) for i, gt in (("d", (0, 0)), ("m", (0, 0)), ("k", (0, 1)), ("j", (0, 1)), ("w", (0, 0)), ("g1", a), ("g2", b)) if site != 5 or i != "w"]
+    gts = spark.createDataFrame([r for r in rows if r[:2] != (2, "g2")], "site_id long, id string, g0 int, g1 int, dp int, gq int")
+    key = lambda df: sorted((r["site_id"], r["child"], r["kind"]) for r in df.collect())
+    now = denovo.classify(gts, ped, grandchildren=True)
+    want = key(denovo.inherited(denovo.classify(gts, ped), gts, ped))
+    assert key(now) == want and {k for _, _, k in want} >= {"IhtDenovo", "CanDenovo"}
+    for query in (denovo.transmission_counts(now), denovo.candidates(now)):
+        assert query._jdf.queryExecution().optimizedPlan().toString().count("collect_list") == 1
+        assert query._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 5  # the calls once, the pedigree for trios and children
+
+
 def test_scalar_rules(spark):
     df = spark.createDataFrame([("ACGTN-", "chr10:5-9", "x:1", float("nan"), "A", ["AT"])], "s string, r string, bad string, q double, ref string, alts array<string>")
     r = df.select(
