@@ -13,7 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.genotype import matches_ignoring_missing
-from .concordance import allele_of, founder_alleles
+from .concordance import founder_alleles, label_number
+
+
+def _oriented(n: Column, orientation: Column, alleles: Column, n_founders: int) -> Column:
+    swapped = F.call_function("shiftright", orientation, F.floor(n / 2).cast("int")).bitwiseAND(1)
+    return F.when(n.between(0, 2 * n_founders - 1), F.get(alleles, n.bitwiseXOR(swapped.cast("int"))))
 
 
 def oriented_allele(label: Column, orientation: Column, n_founders: int) -> Column:
@@ -23,37 +28,49 @@ def oriented_allele(label: Column, orientation: Column, n_founders: int) -> Colu
     of the orientation swaps them.
     """
     alleles = F.array(*[F.col(f"f{j}_{k}") for j in range(n_founders) for k in (0, 1)])
-    n = F.ascii(label) - 65
-    swapped = F.call_function("shiftright", orientation, F.floor(n / 2).cast("int")).bitwiseAND(1)
-    return F.when((F.length(label) == 1) & n.between(0, 2 * n_founders - 1), F.get(alleles, n.bitwiseXOR(swapped.cast("int"))))
+    return _oriented(label_number(label), orientation, alleles, n_founders)
 
 
 def orientations(n_founders: int, written_out: int = 3) -> Column:
     """array<(mismatches, orientation, wrong ids)> over all orientations of ``gather``'s founders.
 
-    Up to eight orientations are written out, which compiles; more are the
-    elements of a sequence, so that the plan doesn't grow with their number.  A
-    label that no called founder has stands for a missing allele, which agrees
-    with any.  A sample with first label ``.`` has its second allele twice.
+    Up to eight orientations are written out; more are the elements of a
+    sequence, so that the plan doesn't grow with their number.  A label that no
+    called founder has stands for a missing allele, which agrees with any.  A
+    sample with first label ``.`` has its second allele twice.  What all
+    orientations share, the labels' numbers and each orientation's alleles, is
+    made once for a site: lambdas are interpreted, and repeat what they name.
     """
     if n_founders > 12:
         raise ValueError("2 ** founders orientations: 12 founders at most")
+    few = n_founders <= written_out
 
-    def one(k: Column, allele: Callable[[Column], Column]) -> Column:
-        def wrong(c: Column) -> Column:
-            second = allele(c["h1"])
-            first = F.when(c["h0"] == ".", second).otherwise(allele(c["h0"]))
-            whole = c["g0"].isNotNull() & c["g1"].isNotNull() & first.isNotNull() & second.isNotNull()
-            alike = (F.least(c["g0"], c["g1"]) == F.least(first, second)) & (F.greatest(c["g0"], c["g1"]) == F.greatest(first, second))
-            partly = matches_ignoring_missing(F.array(c["g0"], c["g1"]), F.array(first, second))
-            return c["h0"].isNotNull() & ~F.when(whole, alike).otherwise(partly)
+    def wrong(c: Column) -> Column:
+        alike = ((c["g0"] == c["x"]) & (c["g1"] == c["y"])) | ((c["g0"] == c["y"]) & (c["g1"] == c["x"]))
+        # unknown only where an allele is missing
+        return F.coalesce(~alike, ~matches_ignoring_missing(F.array(c["g0"], c["g1"]), F.array(c["x"], c["y"])))
 
-        bad = F.transform(F.filter("calls", wrong), lambda c: c["id"])
-        return F.struct(F.size(bad).alias("mismatches"), k.alias("orientation"), bad.alias("wrong"))
+    def bad(calls: Column, allele: Callable[[Column], Column]) -> Column:
+        def expected(c: Column) -> Column:
+            second = allele(c["n1"])
+            return F.struct(c["id"].alias("id"), c["g0"].alias("g0"), c["g1"].alias("g1"), F.when(c["same"], second).otherwise(allele(c["n0"])).alias("x"), second.alias("y"))
+
+        return F.transform(F.filter(F.transform(calls, expected), wrong), lambda c: c["id"])
+
+    numbered = F.transform(
+        F.filter("calls", lambda c: c["h0"].isNotNull()),
+        lambda c: F.struct(c["id"].alias("id"), c["g0"].alias("g0"), c["g1"].alias("g1"), (c["h0"] == ".").alias("same"), label_number(c["h0"]).alias("n0"), label_number(c["h1"]).alias("n1")),
+    )
+    alleles = [F.array(*founder_alleles(k, n_founders)).alias(f"a{k}") for k in (range(1 << n_founders) if few else [0])]
 
-    if n_founders <= written_out:
-        return F.array(*[one(F.lit(k), lambda label, k=k: allele_of(label, founder_alleles(k, n_founders))) for k in range(1 << n_founders)])
-    return F.transform(F.sequence(F.lit(0), F.lit((1 << n_founders) - 1)), lambda k: one(k, lambda label: oriented_allele(label, k, n_founders)))
+    def of_site(s: Column) -> Column:
+        if few:
+            lists = F.array(*[bad(s["calls"], lambda n, k=k: F.get(s[f"a{k}"], n)) for k in range(1 << n_founders)])
+        else:
+            lists = F.transform(F.sequence(F.lit(0), F.lit((1 << n_founders) - 1)), lambda k: bad(s["calls"], lambda n: _oriented(n, k, s["a0"], n_founders)))
+        return F.transform(lists, lambda ids, k: F.struct(F.size(ids).alias("mismatches"), k.alias("orientation"), ids.alias("wrong")))
+
+    return F.get(F.transform(F.array(F.struct(numbered.alias("calls"), *alleles)), of_site), 0)
 
 
 def best_orientation(gathered: DataFrame, n_founders: int, least_qual: float = 20.0, least_depth: int = 5) -> DataFrame:
@@ -69,21 +86,28 @@ def best_orientation(gathered: DataFrame, n_founders: int, least_qual: float = 2
     return out.withColumn("status", status)
 
 
+def _alone() -> Column:
+    """The sample that alone makes a site fail, or null."""
+    return F.when((F.col("status") == "fail") & (F.col("best.mismatches") == 1), F.get("best.wrong", 0))
+
+
+# conditions on status and best are values of the aggregates: as filters they would be pushed below, where all orientations are tried again
+
+
 def orientation_stats(decided: DataFrame) -> DataFrame:
     """Sites of each block by outcome, with the samples that alone made a site fail (A3): ``id:n`` in order of id."""
-    n = lambda s: F.count_if(F.col("status") == s)
-    sums = decided.where("status <> 'low_qual'").groupBy("chrom", "b").agg(n("pass").alias("passing"), n("fail").alias("failing"), n("nocall").alias("nocall"))
-    single = failed_singletons(decided).groupBy("chrom", "b").agg(F.array_join(F.sort_array(F.collect_list(F.concat("id", F.lit(":"), F.col("n").cast("string")))), ";").alias("singletons"))
+    outcomes = ["pass", "fail", "nocall"]
+    counted = decided.groupBy("chrom", "b", _alone().alias("id")).agg(F.count_if(F.col("status") != "low_qual").alias("used"), *[F.count_if(F.col("status") == s).alias(s) for s in outcomes])
+    single = F.when(F.col("id").isNotNull(), F.concat("id", F.lit(":"), F.col("fail").cast("string")))
+    named = [F.sum(s).alias(n) for s, n in zip(outcomes, ["passing", "failing", "nocall"])]
+    sums = counted.groupBy("chrom", "b").agg(*named, F.array_join(F.sort_array(F.collect_list(single)), ";").alias("singletons"), F.sum("used").alias("used")).where("used > 0").drop("used")
     total = F.col("passing") + F.col("failing")
-    return sums.join(single, ["chrom", "b"], "left").withColumns(
-        {"rate": F.when(total > 0, F.round(F.col("passing") / total, 3)).otherwise(0.0), "singletons": F.coalesce("singletons", F.lit(""))}
-    )
+    return sums.select("chrom", "b", "passing", "failing", "nocall", "singletons", F.when(total > 0, F.round(F.col("passing") / total, 3)).otherwise(0.0).alias("rate"))
 
 
 def failed_singletons(decided: DataFrame) -> DataFrame:
     """(chrom, b, id, n): sites that fail because of one sample."""
-    one = decided.where("status = 'fail' and best.mismatches = 1")
-    return one.groupBy("chrom", "b", F.col("best.wrong")[0].alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return decided.groupBy("chrom", "b", _alone().alias("id")).agg(F.count(_alone()).alias("n")).where("n > 0")
 
 
 def phased_by_map(decided: DataFrame, n_founders: int, samples: list[str]) -> DataFrame:

@@ -34,3 +34,27 @@ def test_flips_compute_their_blocks_once(spark):
     flipped = flip_phases(df.mapInArrow(seen, df.schema), ["AB"], [0, 1, 2, 3]).collect()
     assert len(flipped) == 40 and {r["labels"] for r in flipped} == {"????", "BCAC"}
     assert made.value == 40
+
+
+def test_orientations_are_tried_once(spark):
+    """No filter on what they decide is pushed below, where they would be tried again."""
+    from kinweave.plans import registry
+    from tests.test_queries import DATA
+
+    def plan(name):
+        return registry.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+
+    for name in ("orientation_block_stats", "failed_singletons"):
+        assert plan(name).count("array_min(") == 1, name
+    filters = [line for line in plan("phased_genotypes").splitlines() if line.lstrip(" +-:").startswith("Filter")]
+    assert not any("forall(" in line for line in filters)
+
+
+def test_a_block_of_low_quality_has_no_row(spark):
+    calls = "array<struct<id:string,g0:int,g1:int,dp:int,h0:string,h1:string>>"
+    one = [("s1", 0, 1, 30, "A", "B")]
+    rows = [("c", 1, "low_qual", 1, ["s1"], one), ("c", 2, "fail", 1, ["s1"], one), ("c", 2, "fail", 1, ["s2"], one), ("c", 2, "fail", 1, ["s1"], one), ("c", 2, "pass", 0, [], one), ("c", 2, "low_qual", 1, ["s9"], one)]
+    df = spark.createDataFrame(rows, f"chrom string, b long, status string, m int, wrong array<string>, calls {calls}").withColumn("best", F.struct(F.col("m").alias("mismatches"), "wrong"))
+    got = [r.asDict() for r in phasing.orientation_stats(df).collect()]
+    assert got == [{"chrom": "c", "b": 2, "passing": 1, "failing": 3, "nocall": 0, "singletons": "s1:2;s2:1", "rate": 0.25}]
+    assert sorted((r["b"], r["id"], r["n"]) for r in phasing.failed_singletons(df).collect()) == [(2, "s1", 2), (2, "s2", 1)]
