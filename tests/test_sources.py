@@ -112,3 +112,17 @@ def test_left_align_writes_no_chromosome_as_one_row(spark, monkeypatch):
     monkeypatch.setattr(files_queries.wr, "write_lines", lambda lines, *x, **y: (written.append(lines), write(lines, *x, **y))[1])
     assert registry.QUERIES["left_align"](spark, "/root/testdata/sf0.01").count() == 18000
     assert written[0].toDF("value").agg(F.max(F.length("value"))).first()[0] < 4000
+
+
+def test_calls_and_info_are_parsed_once(spark, tmp_path):
+    """Filters on what was read do not repeat the parsing below; odd INFO entries are read as they stand."""
+    line = "chr1\t5\t.\tA\tC,.\t.\t.\tA=1;A=2;F;E=;=v;B=x=y\tGT:DP:AD\t0|1:7:1,.\t.:.:."
+    (tmp_path / "x.vcf").write_text(f"#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tp\tq\n{line}\nchr1\tx\t.\tA\tC\t.\t.\t.\n")
+    records = rd.read_vcf(spark, str(tmp_path / "x.vcf"))
+    got = records.collect()
+    assert len(got) == 1 and got[0]["info"] == {"A": "1", "F": "true", "E": "", "": "v", "B": "x=y"} and got[0]["alts"] == ["C"]
+    assert [(c["gt"], c["phased"], c["dp"], c["gq"], c["ad"], c["sd"]) for c in got[0]["calls"]] == [([0, 1], True, 7, None, [1, None], None), ([None], False, None, None, None, None)]
+    for rows in (rd.genotypes(records), rd.read_sv_vcf(spark, str(tmp_path / "x.vcf"), 0).where(F.col("svtype").isin("INS", "DEL"))):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        filters = [p for p in plan if p.lstrip(" +-:").startswith("Filter")]
+        assert filters and all(p.count("split(") <= 2 for p in filters)
