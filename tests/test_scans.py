@@ -89,3 +89,19 @@ def test_depths_on_the_edge_of_the_band_are_kept(spark):
 
     rows = spark.range(60 * 700).repartition(7).selectExpr("'c' as chrom", "id % 60 as sample_id", "id as site_id", "if(id div 60 % 2 = 0, id % 60 + 3, 2 * (id % 60) + 100) as dp")
     assert hapmap.depth_band(rows, hapmap.depth_stats(rows)).where("not kept").count() == 0
+
+
+def test_depth_band_of_unknown_depths_and_samples(spark, tmp_path):
+    """As in SQL: rows without a sample or a chromosome go, and a site without a known depth is neither kept nor left out."""
+    import duckdb
+
+    from kinweave.plans import registry
+
+    rows = [(0, 1, "a", 3.5), (1, 1, "a", 9.0), (2, 1, "a", None), (3, None, "a", 4.0), (4, 1, None, 4.0), (5, 2, "b", None), (6, 1, "a", 200.0), (7, 1, "a", 5.0), (7, None, "a", 900.0), (7, 3, "a", None)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = registry.QUERIES["depth_band_filter"](spark, str(tmp_path)).collect()
+    db = duckdb.connect()
+    db.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = db.sql(registry.ORACLES["depth_band_filter"]).fetchall()
+    assert len(got) == len(want) and set(map(tuple, got)) == set(want)
+    assert {r["site_id"]: r["kept"] for r in got} == {0: True, 1: True, 2: None, 5: None, 6: False, 7: True}
