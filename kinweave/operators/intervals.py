@@ -17,9 +17,14 @@ from .scans import running
 BIN = 1 << 14
 
 
-def _bins(s: str, e: str, size: int) -> Column:
+def bins(s: str, e: str, size: int = BIN) -> Column:
+    """The bins that an interval reaches into, as an array."""
     first = F.expr(f"floor({s} / {size})")
-    return F.explode(F.sequence(first, F.greatest(first, F.expr(f"floor(({e} - 1) / {size})"))))
+    return F.sequence(first, F.greatest(first, F.expr(f"floor(({e} - 1) / {size})")))
+
+
+def _bins(s: str, e: str, size: int) -> Column:
+    return F.explode(bins(s, e, size))
 
 
 def _renamed(df: DataFrame, prefix: str, keys: list[str]) -> DataFrame:

@@ -5,10 +5,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import overlap_join
+from .intervals import BIN, bins, overlap_join
 from .storage import cut
 
 MERGED_TYPES = ("INS", "DEL", "INV")
@@ -52,25 +54,89 @@ def number_duplicates(df: DataFrame, name: str, order: list[str]) -> DataFrame:
     return df.withColumn("unique_id", F.when(n > 0, F.concat(name, F.lit("_"), n.cast("string"))).otherwise(F.col(name)))
 
 
+#: Calls of one task: a merge sorts them several times, and they are small where they were read.
+CALLS = 100_000
+_PLACE = ["chrom", "svtype", "s", "e"]
+_OVERLAP = "s < b_e and b_s < e"
+
+
+def _of_callers(calls: DataFrame, n_callers: int, flank: int, *carried: str) -> tuple[DataFrame, DataFrame]:
+    """The callers' calls with a place, and those without one, which overlap nothing."""
+    rows = flanked(keep_types(calls), flank).where(F.col("prio").between(0, n_callers - 1)).select("id", "prio", *_PLACE, *carried)
+    placed = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in _PLACE])
+    return rows.where(placed), rows.where(~placed)
+
+
+def _tasks(calls: DataFrame) -> int:
+    return max(1, -(-calls.count() // CALLS))
+
+
+def _with_primary(rows: DataFrame, rounds: int, tasks: int) -> DataFrame:
+    """Add ``primary`` to calls with a place: right for the first caller and ``rounds`` more.  No round makes pairs or moves a row.
+
+    A call overlaps a primary of its type if one that begins up to its own start
+    reaches over that, or if the next one begins before its end: a running maximum
+    and a running minimum, inside bins and over the bins' totals.  Ends before
+    starts are put where they end, and reach over nothing.
+    """
+    at, order = ["_home", "chrom", "svtype"], [F.least("s", "e"), F.col("s") < F.col("e")]
+    # a number first tells most rows apart when they are sorted
+    up, down = [Window.partitionBy("_key", *at).orderBy(*by) for by in (order, [x.desc() for x in order])]
+    line = Window.partitionBy("chrom", "svtype")
+    reach = F.max(F.when(F.col("primary") & (F.col("s") < F.col("e")), F.col("e")))
+    begin = F.min(F.when(F.col("primary"), F.col("s")))
+    rows = rows.withColumn("_home", F.expr(f"floor(least(s, e) / {BIN})")).repartition(tasks, *at).withColumns({"primary": F.col("prio") == 0, "_key": F.xxhash64(*at)})
+    own = rows.columns
+    for k in range(1, rounds + 1):
+        totals = rows.groupBy(*at).agg(reach.alias("_reach"), begin.alias("_begin"))
+        before = F.max("_reach").over(line.orderBy("_home").rowsBetween(Window.unboundedPreceding, -1))
+        after = F.min("_begin").over(line.orderBy(F.desc("_home")).rowsBetween(Window.unboundedPreceding, -1))
+        around = totals.select(*at, before.alias("_before"), after.alias("_after"))
+        seen = rows.withColumns({"_reach": reach.over(up), "_begin": begin.over(down)}).join(around, at, "left")
+        met = F.coalesce((F.greatest("_reach", "_before") > F.col("s")) | (F.least("_begin", "_after") < F.col("e")), F.lit(False))
+        rows = seen.withColumn("primary", F.col("primary") | ((F.col("prio") == k) & ~met)).select(*own)
+    return rows.drop("_home", "_key")
+
+
+def _dealt(rows: DataFrame, rounds: int, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct calls in each bin that they reach into, with ``n``, how often they are there; the first also with ``primary``.
+
+    Which calls are primaries is found out on their places alone; all columns are
+    shuffled once, by bin, and both are read from that.
+    """
+    found = _with_primary(rows.select("prio", *_PLACE), rounds, tasks).where("primary").drop("primary").withColumn("_mark", F.lit(True))
+    both = rows.withColumn("_mark", F.lit(None).cast("boolean")).unionByName(found, allowMissingColumns=True)
+    binned = both.withColumn("_bin", F.explode(bins("s", "e"))).repartition(tasks, "_bin", "chrom", "svtype")
+    # n also counts marks away: a filter on them would be moved below the shuffle, which would then be made twice
+    counted = lambda df: df.groupBy(*[c for c in df.columns if c != "_mark"]).agg(F.count_if(F.col("_mark").isNull()).alias("n")).where("n > 0")
+    same = Window.partitionBy("_bin", *_PLACE, "prio")
+    return counted(binned.withColumn("primary", F.coalesce(F.bool_or("_mark").over(same), F.lit(False)))), counted(binned)
+
+
+def _gathered(owners: DataFrame, others: DataFrame, meets: Column) -> DataFrame:
+    """Pairs of dealt ``owners`` and ``others`` (their columns with the prefix ``b_``) that meet in a bin, each in one only; still dealt by ``_bin``.
+
+    Both sides ask the same of their rows, so that they read one shuffle.
+    """
+    y = others.select(*[F.col(c).alias(f"b_{c}") for c in others.columns])
+    first = F.col("_bin") == F.greatest(*[F.expr(f"floor({c} / {BIN})") for c in ("s", "b_s")])
+    here = (F.col("_bin") == F.col("b__bin")) & (F.col("chrom") == F.col("b_chrom")) & (F.col("svtype") == F.col("b_svtype"))
+    return owners.join(y, here & first & meets)
+
+
 def merge_callers(calls: DataFrame, n_callers: int, flank: int = 200) -> tuple[DataFrame, DataFrame]:
     """Merge callers in the order of prio (S6): primaries, and support links (primary_id, support_id, round).
 
     A call that overlaps primaries of its type supports each of them; one that
     overlaps none becomes a primary.  Calls of one caller don't support each
     other, so a caller is joined as a set and the order within it doesn't matter.
+    An id names one call, which may be there several times.
     """
-    rows = flanked(keep_types(calls), flank).select("id", "prio", "chrom", "svtype", "s", "e")
-    primaries = rows.where("prio = 0")
-    links = None
-    for k in range(1, n_callers):
-        mine = rows.where(F.col("prio") == k)
-        met = overlap_join(mine, primaries.select("chrom", "svtype", "s", "e", "id"), keys=["chrom", "svtype"])
-        met = cut(met.select(F.col("b_id").alias("primary_id"), F.col("id").alias("support_id"), F.lit(k).alias("round")))
-        links = met if links is None else links.unionByName(met)
-        primaries = primaries.unionByName(mine.join(met.select(F.col("support_id").alias("id")).distinct(), "id", "left_anti"))
-        if k + 1 < n_callers:
-            primaries = cut(primaries)
-    return primaries, links
+    placed, nowhere = _of_callers(calls, n_callers, flank)
+    rows = cut(_with_primary(placed, n_callers - 1, _tasks(calls)).unionByName(nowhere.withColumn("primary", F.lit(True))))
+    primaries = rows.where("primary").drop("primary")
+    met = overlap_join(rows.where("not primary").drop("primary"), primaries, keys=["chrom", "svtype"]).where("b_prio < prio")
+    return primaries, met.select(F.col("b_id").alias("primary_id"), F.col("id").alias("support_id"), F.col("prio").cast("int").alias("round"))
 
 
 def closest_support(calls: DataFrame, links: DataFrame) -> DataFrame:
@@ -82,6 +148,12 @@ def closest_support(calls: DataFrame, links: DataFrame) -> DataFrame:
     return both.groupBy("primary_id", "prio").agg(best).select("primary_id", "prio", "m.support_id", "m.diff")
 
 
+def _winner(tried: Column, threshold: int) -> Column:
+    """The entry (s, e, id, diff, same_gt) that wins of sorted ones."""
+    later = lambda best, x: F.when((x["diff"] < best["diff"]) | ((x["diff"] <= threshold) & x["same_gt"]), x).otherwise(best)
+    return F.aggregate(tried, F.get(tried, 0), later)
+
+
 def best_primary(matches: DataFrame, threshold: int = 50) -> DataFrame:
     """(support_id, primary_id) of supports with several primaries.
 
@@ -91,22 +163,32 @@ def best_primary(matches: DataFrame, threshold: int = 50) -> DataFrame:
     """
     entry = F.struct("s", "e", F.col("primary_id").alias("id"), "diff", "same_gt")
     tried = matches.groupBy("support_id").agg(F.sort_array(F.collect_list(entry)).alias("xs")).where(F.size("xs") > 1)
-    start = F.get("xs", 0)
-    won = F.aggregate("xs", start, lambda best, x: F.when((x["diff"] < best["diff"]) | ((x["diff"] <= threshold) & x["same_gt"]), x).otherwise(best))
-    return tried.select("support_id", won["id"].alias("primary_id"))
+    return tried.select("support_id", _winner(F.col("xs"), threshold)["id"].alias("primary_id"))
 
 
-def support_table(primaries: DataFrame, links: DataFrame, calls: DataFrame) -> DataFrame:
-    """Each primary with its number of supports, of callers, and whether all genotypes agree.
+def support_table(calls: DataFrame, n_callers: int, flank: int = 200) -> DataFrame:
+    """Each primary of the merged ``calls`` with its number of supports, of callers, and whether all genotypes agree.
 
-    ``calls`` has id, prio and gt, the genotypes of all samples as text.
+    ``calls`` has gt too, the genotypes of all samples as text.  Calls that are
+    there several times count as often as a join by their id would.
     """
-    own = calls.select(F.col("id").alias("member"), "prio", "gt")
-    members = links.select("primary_id", F.col("support_id").alias("member")).unionByName(primaries.select(F.col("id").alias("primary_id"), F.col("id").alias("member")))
-    return (
-        members.join(own, "member")
-        .groupBy("primary_id")
-        .agg((F.count(F.lit(1)) - 1).alias("n_support"), F.countDistinct("prio").alias("n_sources"), (F.countDistinct("gt") <= 1).alias("gt_consistent"))
+    placed, nowhere = _of_callers(calls, n_callers, flank, "gt")
+    rows, every = _dealt(placed, n_callers - 1, _tasks(calls))
+    primaries = rows.where("primary").drop("primary")
+    bit = lambda prio: F.expr(f"shiftleft(1L, cast({prio} as int))")
+    supports = F.col("b_prio") > F.col("prio")
+    # a primary meets itself too, so that those without supports stay
+    itself = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in ("id", "prio", "s", "e", "gt")])
+    parts = [F.sum(F.when(supports, F.col("b_n") * F.col("b_n"))).alias("_times"), F.bit_or(bit("b_prio")).alias("_callers"), F.min("b_gt").alias("_low"), F.max("b_gt").alias("_high")]
+    met = _gathered(primaries, every, (F.expr(_OVERLAP) & supports) | itself)
+    found = met.groupBy(*[c for c in primaries.columns if c != "_bin"]).agg(*parts)
+    found = found.unionByName(nowhere.groupBy(*nowhere.columns).agg(F.count(F.lit(1)).alias("n")), allowMissingColumns=True)
+    members = F.col("n") * F.coalesce("_times", F.lit(0)) + F.col("n") * F.col("n")
+    callers = F.bit_count(F.coalesce("_callers", F.lit(0).cast("long")).bitwiseOR(bit("prio")))
+    # nulls count as no genotype
+    return found.select(
+        F.col("id").alias("primary_id"), (members - 1).alias("n_support"), callers.cast("long").alias("n_sources"),
+        F.coalesce(F.least("_low", "gt") == F.greatest("_high", "gt"), F.lit(True)).alias("gt_consistent"),
     )
 
 

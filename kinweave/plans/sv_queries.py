@@ -77,12 +77,12 @@ def sv_best_primary(calls):
 
 @query("sv_gt_consistency", "A12", "fx_sv", sql=f"with {_MERGED} select * from sup")
 def sv_gt_consistency(calls):
-    return sv.support_table(*_merged(calls), _with_gt(calls))
+    return sv.support_table(_with_gt(calls), 4)
 
 
 @query("sv_support_stats", "A13", "fx_sv", sql=f"with {_MERGED} select n_sources, gt_consistent, count(*) as n from sup group by n_sources, gt_consistent")
 def sv_support_stats(calls):
-    return sv.support_stats(sv.support_table(*_merged(calls), _with_gt(calls)))
+    return sv.support_stats(sv.support_table(_with_gt(calls), 4))
 
 
 @query("sv_size_stats", "A14", "fx_sv", sql="select svtype, count(*) as n, cast(sum(abs(svlen)) as bigint) as total_len from fx_sv group by rollup (svtype)")
