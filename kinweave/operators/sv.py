@@ -166,6 +166,21 @@ def best_primary(matches: DataFrame, threshold: int = 50) -> DataFrame:
     return tried.select("support_id", _winner(F.col("xs"), threshold)["id"].alias("primary_id"))
 
 
+def best_primaries(calls: DataFrame, n_callers: int, flank: int = 200, threshold: int = 50) -> DataFrame:
+    """``best_primary`` of the merged ``calls``, which have svlen and gt too, without their links as rows."""
+    # whatever overlaps an earlier primary is a support, and the last caller's primaries have none: their round isn't needed
+    rows, every = _dealt(_of_callers(calls, n_callers, flank, "svlen", "gt")[0], n_callers - 2, _tasks(calls))
+    primaries = rows.where("primary").drop("primary")
+    entry = F.struct(F.col("b_s").alias("s"), F.col("b_e").alias("e"), F.col("b_id").alias("id"), F.abs(F.col("svlen") - F.col("b_svlen")).alias("diff"), (F.col("gt") == F.col("b_gt")).alias("same_gt"))
+    pairs = _gathered(every, primaries, F.expr(f"{_OVERLAP} and b_prio < prio"))
+    keys = [c for c in every.columns if c != "_bin"]
+    here = pairs.groupBy("_bin", *keys).agg(F.collect_list(entry).alias("xs"), F.sum(F.col("n") * F.col("b_n")).alias("_links"))
+    # calls inside one bin have all their primaries there
+    here = here.where(F.size(bins("s", "e")) * F.col("_links") > 1)
+    tried = here.groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list("xs"))).alias("xs"), F.sum("_links").alias("_links")).where("_links > 1")
+    return tried.select(F.col("id").alias("support_id"), _winner(F.col("xs"), threshold)["id"].alias("primary_id"))
+
+
 def support_table(calls: DataFrame, n_callers: int, flank: int = 200) -> DataFrame:
     """Each primary of the merged ``calls`` with its number of supports, of callers, and whether all genotypes agree.
 

@@ -68,11 +68,7 @@ with {_MERGED}, x as (select lk.support_id, list_sort(list({{'s': p.s, 'e': p.e,
 select support_id, list_reduce(xs, lambda b, v: case when v.diff < b.diff or (v.diff <= 50 and v.same_gt) then v else b end).id as primary_id from x
 """)
 def sv_best_primary(calls):
-    links = _merged(calls)[1]
-    p = sv.flanked(calls).select(F.col("id").alias("primary_id"), "s", "e", F.col("svlen").alias("p_len"), (F.col("start_pos") % 2).alias("p_gt"))
-    s = calls.select(F.col("id").alias("support_id"), "svlen", (F.col("start_pos") % 2).alias("gt"))
-    both = links.join(p, "primary_id").join(s, "support_id")
-    return sv.best_primary(both.select("support_id", "primary_id", "s", "e", F.abs(F.col("svlen") - F.col("p_len")).alias("diff"), (F.col("gt") == F.col("p_gt")).alias("same_gt")))
+    return sv.best_primaries(_with_gt(calls), 4)
 
 
 @query("sv_gt_consistency", "A12", "fx_sv", sql=f"with {_MERGED} select * from sup")

@@ -8,7 +8,7 @@ import pytest
 
 from kinweave.operators import sv
 from kinweave.operators.storage import shared_folder
-from kinweave.plans import sv_queries
+from kinweave.plans import registry, sv_queries
 
 COLUMNS = "id string, prio int, chrom string, svtype string, start_pos long, end_pos long, svlen long"
 
@@ -41,9 +41,12 @@ def test_merge_of_odd_calls(spark, seed):
     table = sv.support_table(with_gt, 4).select("primary_id", "n_support", "n_sources", "gt_consistent")
     want = db.sql(f"{heads} select * from sup").fetchall()
     assert order(table.collect()) == order(want) and len(want) > 50 and {w[2] for w in want} > {1, 2}
+    best = registry.ORACLES["sv_best_primary"]
+    sql = heads + best[best.index(", x as (select lk.support_id"):]
+    assert order(sv.best_primaries(with_gt, 4).select("support_id", "primary_id").collect()) == order(db.sql(sql).fetchall())
 
 
-@pytest.mark.parametrize("name", ["sv_gt_consistency", "sv_support_stats"])
+@pytest.mark.parametrize("name", ["sv_gt_consistency", "sv_support_stats", "sv_best_primary"])
 def test_links_are_neither_shuffled_nor_stored(spark, name):
     """360,000 links of 1,200 calls; only calls travel."""
     rows = [(f"caller{i % 2}.{i * 7919 % 10007}", i % 2, "chr1", "DEL", 5000 + i % 7, 5300 + i % 11, -i % 13) for i in range(1_200)]
